@@ -1,0 +1 @@
+"""Reserved. Every supported workload is a batch job, so no streaming query is built."""
