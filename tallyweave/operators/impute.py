@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -75,22 +73,14 @@ def impute_sessions(timeline: DataFrame, steps: DataFrame, modes: DataFrame) ->
 
 # --- generator -----------------------------------------------------------------------------
 # A ridge regression fitted on events that have both modalities. Its sufficient statistics X'X and
-# X'Y are sums over events; only those sums, whose size depends on the numbers of columns alone,
-# reach the driver.
-
-
-@dataclass(frozen=True)
-class LinearGenerator:
-    coefficients: np.ndarray  # inputs + 1 (intercept) x outputs
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        return np.hstack([x, np.ones((len(x), 1))]) @ self.coefficients
+# X'Y are sums over events; only they, whose size depends on the numbers of columns alone, meet in one
+# task.
 
 
 MOMENTS = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
 
 
-def _matrix(series: pd.Series) -> np.ndarray:
+def as_matrix(series: pd.Series) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=float) for v in series])
 
 
@@ -105,9 +95,9 @@ def generator_moments(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            x = _matrix(batch["x"])
+            x = as_matrix(batch["x"])
             x = np.hstack([x, np.ones((len(x), 1))])
-            part = x.T @ np.hstack([x, _matrix(batch["y"])])
+            part = x.T @ np.hstack([x, as_matrix(batch["y"])])
             total = part if total is None else total + part
         if total is not None:
             yield pd.DataFrame({"row": np.arange(len(total)), "sums": list(total)})
@@ -117,28 +107,48 @@ def generator_moments(pairs: DataFrame) -> DataFrame:
     return entries.groupBy("row", "column").agg(F.sum("value").alias("value"))
 
 
-def fit_generator(pairs: DataFrame, ridge: float = 1.0) -> LinearGenerator:
-    """Solve the ridge system of the collected sums (the intercept is not shrunk)."""
-    entries = generator_moments(pairs).toPandas()
-    if entries.empty:
-        raise ValueError("no event has both modalities")
-    height, width = int(entries["row"].max()) + 1, int(entries["column"].max()) + 1
-    moments = np.zeros((height, width))
-    moments[entries["row"], entries["column"]] = entries["value"]
-    penalty = ridge * np.eye(height)
-    penalty[-1, -1] = 0.0
-    return LinearGenerator(np.linalg.solve(moments[:, :height] + penalty, moments[:, height:]))
+COEFFICIENTS = T.StructType([
+    T.StructField("row", T.IntegerType()),
+    T.StructField("coefficients", T.ArrayType(T.DoubleType())),
+])
+
+
+def fit_generator(pairs: DataFrame, ridge: float = 1.0) -> DataFrame:
+    """Fitted state of a generator: ``row, coefficients``, the last row being the intercept.
+
+    One task solves the summed system, whose size does not grow with the events; the intercept is
+    not shrunk.
+    """
+
+    def solve(entries: pd.DataFrame) -> pd.DataFrame:
+        height, width = entries["row"].max() + 1, entries["column"].max() + 1
+        moments = np.zeros((height, width))
+        moments[entries["row"], entries["column"]] = entries["value"]
+        penalty = ridge * np.eye(height)
+        penalty[-1, -1] = 0.0
+        solved = np.linalg.solve(moments[:, :height] + penalty, moments[:, height:])
+        return pd.DataFrame({"row": np.arange(height), "coefficients": list(solved)})
+
+    return generator_moments(pairs).groupBy().applyInPandas(solve, COEFFICIENTS)
+
+
+def generator_matrix(fitted: DataFrame) -> np.ndarray:
+    return as_matrix(fitted.orderBy("row").toPandas()["coefficients"])
+
+
+def apply_generator(matrix: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.hstack([x, np.ones((len(x), 1))]) @ matrix
 
 
-def generate(rows: DataFrame, generator: LinearGenerator, keys: list[str]) -> DataFrame:
+def generate(rows: DataFrame, fitted: DataFrame, keys: list[str]) -> DataFrame:
     """Predicted ``y`` of each row's ``x``; the coefficients travel to each executor once."""
-    shared = rows.sparkSession.sparkContext.broadcast(generator)
+    shared = rows.sparkSession.sparkContext.broadcast(generator_matrix(fitted))
     schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("y", T.ArrayType(T.DoubleType()))])
 
     def predict(batches):
         for batch in batches:
             if len(batch):
-                yield batch[keys].assign(y=list(shared.value.predict(_matrix(batch["x"]))))
+                yield batch[keys].assign(y=list(apply_generator(shared.value, as_matrix(batch["x"]))))
 
     return rows.select(*keys, "x").mapInPandas(predict, schema)
 
