@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyweave.functions.batches import scattered
 from tallyweave.functions.columns import seeded_order
 from tallyweave.schemas import EVENT
 
@@ -78,11 +79,7 @@ def _dense(values: pd.Series, width: int | None) -> np.ndarray:
         length = max((len(v) for v in values if v is not None), default=0)
         rows = [np.zeros(length) if v is None else np.asarray(v, dtype=float) for v in values]
         return np.nan_to_num(np.vstack(rows))
-    dense = np.zeros((len(values), width))
-    for i, places in enumerate(values):
-        if places is not None:
-            dense[i, places] = 1.0
-    return dense
+    return scattered(values, width)
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyweave.functions.batches import scattered, stacked
 from tallyweave.operators.embeddings import long_vector
 from tallyweave.operators.timeline import event_spine
 from tallyweave.schemas import EVENT
@@ -80,10 +81,6 @@ def impute_sessions(timeline: DataFrame, steps: DataFrame, modes: DataFrame) ->
 MOMENTS = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
 
 
-def as_matrix(series: pd.Series) -> np.ndarray:
-    return np.vstack([np.asarray(v, dtype=float) for v in series])
-
-
 def generator_moments(pairs: DataFrame) -> DataFrame:
     """Rows of ``[X'X | X'Y]`` for ``pairs(x, y)``, the last column of X being the constant 1.
 
@@ -95,9 +92,9 @@ def generator_moments(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            x = as_matrix(batch["x"])
+            x = stacked(batch["x"])
             x = np.hstack([x, np.ones((len(x), 1))])
-            part = x.T @ np.hstack([x, as_matrix(batch["y"])])
+            part = x.T @ np.hstack([x, stacked(batch["y"])])
             total = part if total is None else total + part
         if total is not None:
             yield pd.DataFrame({"row": np.arange(len(total)), "sums": list(total)})
@@ -133,7 +130,7 @@ def fit_generator(pairs: DataFrame, ridge: float = 1.0) -> DataFrame:
 
 
 def generator_matrix(fitted: DataFrame) -> np.ndarray:
-    return as_matrix(fitted.orderBy("row").toPandas()["coefficients"])
+    return stacked(fitted.orderBy("row").toPandas()["coefficients"])
 
 
 def apply_generator(matrix: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -148,7 +145,7 @@ def generate(rows: DataFrame, fitted: DataFrame, keys: list[str]) -> DataFrame:
     def predict(batches):
         for batch in batches:
             if len(batch):
-                yield batch[keys].assign(y=list(apply_generator(shared.value, as_matrix(batch["x"]))))
+                yield batch[keys].assign(y=list(apply_generator(shared.value, stacked(batch["x"]))))
 
     return rows.select(*keys, "x").mapInPandas(predict, schema)
 
@@ -171,10 +168,7 @@ def dense_ones(positions: Column, width: int) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def scatter(series: pd.Series) -> pd.Series:
-        dense = np.zeros((len(series), width))
-        for i, places in enumerate(series):
-            dense[i, places] = 1.0
-        return pd.Series(list(dense))
+        return pd.Series(list(scattered(series, width)))
 
     return scatter(positions)
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyweave.functions.batches import scattered
 from tallyweave.functions.positions import with_positions
 from tallyweave.operators.features import event_bucket
 from tallyweave.schemas import EVENT
@@ -47,10 +47,6 @@ def dense_values(positions: Column, values: Column, width: int) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def scatter(places: pd.Series, numbers: pd.Series) -> pd.Series:
-        dense = np.zeros((len(places), width))
-        for i, (at, x) in enumerate(zip(places, numbers)):
-            if at is not None:
-                dense[i, at] = x
-        return pd.Series(list(dense))
+        return pd.Series(list(scattered(places, width, numbers)))
 
     return scatter(positions, values)

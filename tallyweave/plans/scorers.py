@@ -12,6 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.functions.batches import stacked
 from tallyweave.operators import anchors as A
 from tallyweave.operators import features as FE
 from tallyweave.operators import fusion, joint
@@ -218,7 +219,7 @@ def score_distilled(w: Workbench) -> DataFrame:
 
 
 def _predict(matrix, batch: pd.DataFrame) -> pd.DataFrame:
-    made = I.apply_generator(matrix, I.as_matrix(batch["x"]))
+    made = I.apply_generator(matrix, stacked(batch["x"]))
     return pd.DataFrame({EVENT: batch[EVENT], "length": (made**2).sum(axis=1) ** 0.5})
 
 
