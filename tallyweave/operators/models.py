@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +22,9 @@ def fit_scorer(
     iterations: int = 20,
     penalty: float = 0.01,
 ) -> PipelineModel:
-    """Fit item probabilities on ``features(event, vector)`` and ``targets(event, item[, weight])``.
+    """Fit item probabilities on ``features(event, vector)`` and ``targets(event, item[, weight])``,
+    ``vector`` being an ML vector.
+
 
     An event with several items gives one row per item, so its scores sum to 1. ``weights`` holds an
     extra weight per event.
@@ -32,9 +34,9 @@ def fit_scorer(
     if weights is not None:
         rows = rows.join(weights.select(EVENT, F.col("weight").alias("_event_weight")), EVENT)
         weight = weight * F.col("_event_weight")
-    training = rows.select(
-        "item_id", array_to_vector("vector").alias("vector"), weight.cast("double").alias("row_weight")
-    ).where(F.col("row_weight") > 0)
+    training = rows.select("item_id", "vector", weight.cast("double").alias("row_weight")).where(
+        F.col("row_weight") > 0
+    )
     index = StringIndexer(inputCol="item_id", outputCol="label", stringOrderType="alphabetAsc")
     model = LogisticRegression(
         featuresCol="vector",
@@ -50,7 +52,7 @@ def fit_scorer(
 def score_items(model: PipelineModel, features: DataFrame, run: int = 1) -> DataFrame:
     """Score of every known item for every event, in long form."""
     labels, classifier = model.stages[0].labels, model.stages[1]
-    scored = classifier.transform(features.select(EVENT, array_to_vector("vector").alias("vector")))
+    scored = classifier.transform(features.select(EVENT, "vector"))
     pairs = F.arrays_zip(F.lit(list(labels)).alias("item_id"), vector_to_array("probability").alias("score"))
     return scored.select(EVENT, F.explode(pairs).alias("_s")).select(
         F.lit(run).alias("run"), EVENT, F.col("_s.item_id").alias("item_id"), F.col("_s.score").alias("score")

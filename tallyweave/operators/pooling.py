@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tallyweave.functions.batches import scattered
 from tallyweave.functions.positions import with_positions
 from tallyweave.operators.features import event_bucket
 from tallyweave.schemas import EVENT
@@ -31,22 +28,17 @@ def pooled_sessions(steps: DataFrame, tie_breakers: Sequence[str] = ("session_id
     )
 
 
-def pooled_vectors(steps: DataFrame, pooled: DataFrame, width: int) -> DataFrame:
-    """Dense vector of ``3 * width`` values per event of ``steps``; events without features get zeros."""
-    places = F.array(*[(F.col("position") + i * width).cast("int") for i in range(3)])
-    entry = F.struct(places.alias("at"), F.array("any_step", "last_step", "recency").alias("x"))
-    # an event holds at most one row per class of the bounded vocabulary
-    packed = pooled.groupBy(EVENT).agg(F.collect_list(entry).alias("_e"))
-    at, x = F.flatten(F.col("_e.at")), F.flatten(F.col("_e.x"))
-    spine = steps.select(EVENT).distinct()
-    return spine.join(packed, EVENT, "left").select(EVENT, dense_values(at, x, 3 * width).alias("vector"))
+def pooled_entries(steps: DataFrame, pooled: DataFrame, width: int) -> DataFrame:
+    """Per event of ``steps``: the filled places of a vector of ``3 * width`` values, in order.
 
-
-def dense_values(positions: Column, values: Column, width: int) -> Column:
-    """Array of ``width`` zeros with ``values`` at ``positions``."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def scatter(places: pd.Series, numbers: pd.Series) -> pd.Series:
-        return pd.Series(list(scattered(places, width, numbers)))
-
-    return scatter(positions, values)
+    An event holds at most one row per class of the bounded vocabulary. ``entries`` is null for an
+    event without features.
+    """
+    triple = F.array(
+        *[
+            F.struct((F.col("position") + i * width).cast("int").alias("at"), F.col(name).alias("x"))
+            for i, name in enumerate(("any_step", "last_step", "recency"))
+        ]
+    )
+    packed = pooled.groupBy(EVENT).agg(F.array_sort(F.flatten(F.collect_list(triple))).alias("entries"))
+    return steps.select(EVENT).distinct().join(packed, EVENT, "left")

@@ -294,7 +294,10 @@ def impute_conv_generated(w: Workbench) -> DataFrame:
 
 @plan
 def impute_ses_generated(w: Workbench) -> DataFrame:
-    return FE.long_features(scorers.generated_sessions(w, "test"), [EVENT, "event_number"])
+    """Generated steps; an event whose steps are all empty shows with nulls."""
+    lacking = TL.missing_modality(w.timeline("test"), "session")
+    steps = FE.long_features(scorers.generated_sessions(w, "test"), [EVENT, "event_number"])
+    return lacking.join(steps, EVENT, "left")
 
 
 # --- labels, popularity, masks, ranking ------------------------------------------------------

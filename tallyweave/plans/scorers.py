@@ -7,12 +7,14 @@ kept by pooling (any step, last step, halving sum), not by a recurrent net.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.batches import stacked
+from tallyweave.functions.vectors import dense_entries, entry, shifted, stage_vectors
 from tallyweave.operators import anchors as A
 from tallyweave.operators import features as FE
 from tallyweave.operators import fusion, joint
@@ -21,7 +23,7 @@ from tallyweave.operators import timeline as TL
 from tallyweave.operators.labels import masked_scores
 from tallyweave.operators.models import batch_score as score_batches
 from tallyweave.operators.models import distilled_targets, fit_scorer, score_items
-from tallyweave.operators.pooling import pooled_sessions, pooled_vectors
+from tallyweave.operators.pooling import pooled_entries, pooled_sessions
 from tallyweave.operators.weights import distillation_weights, sample_weights
 from tallyweave.plans.workbench import Workbench
 from tallyweave.schemas import EVENT
@@ -37,49 +39,52 @@ GENERATOR_RIDGE = 1.0
 
 def conversation_vectors(w: Workbench, part: str) -> DataFrame:
     rows = w.event_embeddings(part).where(F.col("embedding").isNotNull())
-    return rows.select(EVENT, F.col("embedding").alias("vector"))
+    return rows.select(EVENT, array_to_vector("embedding").alias("vector"))
 
 
 def _pooled(w: Workbench, steps: DataFrame, vocabulary: DataFrame, ties: tuple[str, ...]) -> DataFrame:
-    return pooled_vectors(steps, pooled_sessions(steps, ties), w.width(vocabulary))
+    return pooled_entries(steps, pooled_sessions(steps, ties), w.width(vocabulary))
 
 
 def session_vectors(w: Workbench, part: str) -> DataFrame:
-    return _pooled(w, w.session_steps(part), w.session_vocabulary(), ("session_id",))
+    vocabulary = w.session_vocabulary()
+    pooled = _pooled(w, w.session_steps(part), vocabulary, ("session_id",))
+    return stage_vectors(pooled, 3 * w.width(vocabulary), f"session-vectors-{part}")
 
 
 def keyword_vectors(w: Workbench, part: str) -> DataFrame:
-    steps = FE.keyword_features(w.keywords(part), w.keyword_vocabulary())
-    pooled = _pooled(w, steps, w.keyword_vocabulary(), ("conversation_id", "session_id"))
+    vocabulary = w.keyword_vocabulary()
+    steps = w.keep(f"keyword-steps-{part}", lambda: FE.keyword_features(w.keywords(part), vocabulary))
+    pooled = _pooled(w, steps, vocabulary, ("conversation_id", "session_id"))
     talk = steps.groupBy(EVENT).agg(F.avg("conversation_ind").alias("_talk"))
-    return pooled.join(talk, EVENT).select(EVENT, F.concat("vector", F.array("_talk")).alias("vector"))
-
-
-def _side_by_side(talk: DataFrame, clicks: DataFrame, widths: tuple[int, int]) -> DataFrame:
-    """Vectors of both modalities joined, zeros where one is missing, with an indicator."""
-    left = talk.select(EVENT, F.col("vector").alias("_talk"))
-    right = clicks.select(EVENT, F.col("vector").alias("_clicks"))
-    zeros = [F.array_repeat(F.lit(0.0), n) for n in widths]
-    return left.join(right, EVENT, "full").select(
-        EVENT,
-        F.concat(
-            F.coalesce("_talk", zeros[0]),
-            F.coalesce("_clicks", zeros[1]),
-            F.array(F.col("_talk").isNotNull().cast("double")),
-        ).alias("vector"),
+    size = 3 * w.width(vocabulary) + 1
+    entries = F.concat(shifted(F.col("entries"), 0), entry(F.col("_talk"), size - 1))
+    both = pooled.join(talk, EVENT).select(EVENT, entries.alias("entries"))
+    return stage_vectors(both, size, f"keyword-vectors-{part}")
+
+
+def _side_by_side(w: Workbench, talk: DataFrame, clicks: DataFrame, vocabulary: DataFrame, label: str) -> DataFrame:
+    """Embeddings and pooled steps joined, zeros where one is missing, with an indicator."""
+    size = EMBEDDING_WIDTH + 3 * w.width(vocabulary) + 1
+    entries = F.concat(
+        shifted(dense_entries(F.col("embedding")), 0),
+        shifted(F.col("entries"), EMBEDDING_WIDTH),
+        entry(F.col("embedding").isNotNull(), size - 1),
     )
+    both = talk.join(clicks, EVENT, "full").select(EVENT, entries.alias("entries"))
+    return stage_vectors(both, size, label)
 
 
 def joint_vectors(w: Workbench, part: str) -> DataFrame:
-    widths = (EMBEDDING_WIDTH, 3 * w.width(w.session_vocabulary()))
-    return _side_by_side(conversation_vectors(w, part), session_vectors(w, part), widths)
+    vocabulary = w.session_vocabulary()
+    clicks = _pooled(w, w.session_steps(part), vocabulary, ("session_id",))
+    return _side_by_side(w, w.event_embeddings(part), clicks, vocabulary, f"joint-vectors-{part}")
 
 
 def relative_vectors(w: Workbench, part: str) -> DataFrame:
     steps = A.relative_timeline(w.relative_conversations(part), w.relative_sessions(part))
-    entry = F.concat("relative", F.array(F.col("conversation_ind").cast("double")))
-    mean = vector_to_array(Summarizer.mean(array_to_vector(entry)))
-    return steps.groupBy(EVENT).agg(mean.alias("vector"))
+    step = F.concat("relative", F.array(F.col("conversation_ind").cast("double")))
+    return steps.groupBy(EVENT).agg(Summarizer.mean(array_to_vector(step)).alias("vector"))
 
 
 def neutral_inputs(w: Workbench, part: str) -> DataFrame:
@@ -90,11 +95,11 @@ def neutral_inputs(w: Workbench, part: str) -> DataFrame:
 
 
 def neutral_vectors(w: Workbench, part: str) -> DataFrame:
-    timeline = w.timeline(part)
+    timeline, vocabulary = w.timeline(part), w.session_vocabulary()
     talk = I.impute_conversations(timeline, w.event_embeddings(part), w.embedding_means())
     steps = I.impute_sessions(timeline, w.session_steps(part), w.session_modes())
-    clicks = _pooled(w, steps, w.session_vocabulary(), ("session_id",))
-    return talk.join(clicks, EVENT).select(EVENT, F.concat("embedding", "vector").alias("vector"))
+    clicks = _pooled(w, steps, vocabulary, ("session_id",))
+    return _side_by_side(w, talk, clicks, vocabulary, f"neutral-vectors-{part}")
 
 
 # --- generated modality ----------------------------------------------------------------------
@@ -158,18 +163,26 @@ def generated_sessions(w: Workbench, part: str) -> DataFrame:
 
 def generated_vectors(w: Workbench, part: str) -> DataFrame:
     """Both modalities of every event, the missing one generated."""
+    vocabulary = w.intersection_vocabulary()
     talk = _embedded(w, part).withColumnRenamed("x", "embedding").unionByName(generated_conversations(w, part))
     steps = _steps(w, part).unionByName(generated_sessions(w, part), allowMissingColumns=True)
-    clicks = _pooled(w, steps, w.intersection_vocabulary(), ("session_id",))
-    widths = (EMBEDDING_WIDTH, 3 * w.width(w.intersection_vocabulary()))
-    return _side_by_side(talk.withColumnRenamed("embedding", "vector"), clicks, widths)
+    clicks = _pooled(w, steps, vocabulary, ("session_id",))
+    return _side_by_side(w, talk, clicks, vocabulary, f"generated-vectors-{part}")
 
 
 # --- fits and scores -------------------------------------------------------------------------
 
 
+def _model(w: Workbench, vectors, weights: DataFrame | None = None) -> PipelineModel:
+    """The scorer fitted on the train part, shared by the queries that use it."""
+    label = vectors.__name__
+    if label not in w.models:
+        w.models[label] = fit_scorer(vectors(w, "train"), w.labels("train"), weights)
+    return w.models[label]
+
+
 def _scored(w: Workbench, vectors, weights: DataFrame | None = None) -> DataFrame:
-    model = fit_scorer(stage(vectors(w, "train"), "train-vectors"), w.labels("train"), weights)
+    model = _model(w, vectors, weights)
     return masked_scores(score_items(model, vectors(w, "test")), w.available("test"))
 
 
@@ -205,14 +218,11 @@ def score_distilled(w: Workbench) -> DataFrame:
     """Student on intersection events, taught by the conversation and the session scorer."""
     teachers = []
     for vectors in (conversation_vectors, session_vectors):
-        model = fit_scorer(stage(vectors(w, "train"), "train-vectors"), w.labels("train"))
         both = TL.restrict(vectors(w, "train"), w.timeline("intersection"))
-        teachers.append(score_items(model, both))
+        teachers.append(score_items(_model(w, vectors), both))
     targets = fusion.distillation_targets(w.labels("intersection"), *teachers)
     blended = distilled_targets(targets, distillation_weights(w.types("train")))
-    student = fit_scorer(
-        stage(joint_vectors(w, "intersection"), "student-vectors"), stage(blended, "student-targets")
-    )
+    student = fit_scorer(joint_vectors(w, "intersection"), stage(blended, "student-targets"))
     test = w.types("test").where(F.col("event") == "intersection")
     scores = score_items(student, TL.restrict(joint_vectors(w, "test"), test))
     return masked_scores(scores, w.available("test"))

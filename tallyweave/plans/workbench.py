@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,12 +34,28 @@ class Workbench:
         self.spark = spark
         self.t: Tables = tables(spark, folder)
         self._kept: dict[str, DataFrame] = {}
+        self.models: dict[str, PipelineModel] = {}
 
     def keep(self, label: str, make: Callable[[], DataFrame]) -> DataFrame:
         if label not in self._kept:
             self._kept[label] = stage(make(), label)
         return self._kept[label]
 
+    def prepare(self) -> None:
+        """Build every shared table now instead of on first use."""
+        for part in ("train", "test"):
+            for table in (
+                self.timeline, self.types, self.labels, self.available, self.actions, self.session_steps,
+                self.keywords, self.conversations, self.event_embeddings,
+            ):
+                table(part)
+        for state in (
+            self.validation_events, self.popularity, self.masked, self.session_vocabulary,
+            self.intersection_vocabulary, self.keyword_vocabulary, self.embedding_means, self.session_modes,
+            self.conversation_anchors, self.session_anchors,
+        ):
+            state()
+
     # --- timeline: part is train, test, or intersection (the intersection events of train) ----
 
     def timeline(self, part: str) -> DataFrame:

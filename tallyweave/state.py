@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 
@@ -27,12 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, schema: StructType | None = None) -> DataFrame:
     """Write ``df`` once under the shared folder and read it back: cuts lineage, keeps column pruning."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def save_state(df: DataFrame, path: str) -> None:
