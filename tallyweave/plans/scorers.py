@@ -107,7 +107,10 @@ def neutral_vectors(w: Workbench, part: str) -> DataFrame:
 
 def _steps(w: Workbench, part: str) -> DataFrame:
     """Steps under the vocabulary fitted on intersection events."""
-    return FE.encode_steps(w.actions(part), "action_tags", w.intersection_vocabulary(), ["session_id"])
+    return w.keep(
+        f"generator-steps-{part}",
+        lambda: FE.encode_steps(w.actions(part), "action_tags", w.intersection_vocabulary(), ["session_id"]),
+    )
 
 
 def _any_step(w: Workbench, part: str) -> DataFrame:
