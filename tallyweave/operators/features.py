@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.positions import hash_bucket, with_positions
 from tallyweave.schemas import EVENT
+from tallyweave.state import stage
 
 MIN_SHARE = 0.001
 
@@ -39,11 +40,12 @@ def frequent(shares: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
 def prune_long(rows: DataFrame, features: str, shares: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """Feature rows with a share of at least ``min_share``.
 
-    At most ``features per row / min_share`` features pass the cut, however large the data, so the
-    kept vocabulary may be broadcast. Without a cut there is no such bound and Spark chooses.
+    At most ``features per row / min_share`` features pass the cut, however large the data. Stored
+    vocabularies carry their size, so Spark broadcasts them while they are below its threshold and
+    joins by shuffle, splitting hot features, beyond it.
     """
     kept = frequent(shares, min_share).select("feature")
-    return explode_features(rows, features).join(F.broadcast(kept) if min_share > 0 else kept, "feature")
+    return explode_features(rows, features).join(kept, "feature")
 
 
 def prune(
@@ -81,7 +83,7 @@ def fit_vocabulary(
 
     ``''`` joins the classes (with null counts) when some fitted event lost all its features.
     """
-    shares = frequent(feature_share(rows, features, row_keys), min_share)
+    shares = stage(frequent(feature_share(rows, features, row_keys), min_share), "frequent")
     kept = prune_long(rows.select(EVENT, features), features, shares, min_share)
     emptied = _emptied_events(rows, kept).limit(1).select(F.lit("").alias("feature"))
     classes = (
@@ -109,9 +111,7 @@ def encode_steps(
     known = prune_long(rows.select(*keys, features), features, vocabulary, min_share).select(*keys, "feature")
     emptied = _emptied_events(rows, known).withColumn("feature", F.lit(""))
     places = vocabulary.select("feature", "position")
-    hits = known.unionByName(emptied, allowMissingColumns=True).join(
-        F.broadcast(places) if min_share > 0 else places, "feature", "left"
-    )
+    hits = known.unionByName(emptied, allowMissingColumns=True).join(places, "feature", "left")
     hit = F.when(F.col("position").isNotNull(), F.struct("position", "feature"))
     return (
         hits.groupBy(*keys)

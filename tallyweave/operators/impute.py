@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,8 +102,8 @@ def generator_moments(pairs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"row": np.arange(len(total)), "sums": list(total)})
 
     partials = pairs.select("x", "y").mapInPandas(partial, MOMENTS)
-    entries = partials.select("row", F.posexplode("sums").alias("column", "value"))
-    return entries.groupBy("row", "column").agg(F.sum("value").alias("value"))
+    total = vector_to_array(Summarizer.sum(array_to_vector("sums")))
+    return partials.groupBy("row").agg(total.alias("sums"))
 
 
 COEFFICIENTS = T.StructType([
@@ -117,10 +119,9 @@ def fit_generator(pairs: DataFrame, ridge: float = 1.0) -> DataFrame:
     not shrunk.
     """
 
-    def solve(entries: pd.DataFrame) -> pd.DataFrame:
-        height, width = entries["row"].max() + 1, entries["column"].max() + 1
-        moments = np.zeros((height, width))
-        moments[entries["row"], entries["column"]] = entries["value"]
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        moments = stacked(rows.sort_values("row")["sums"])
+        height = len(moments)
         penalty = ridge * np.eye(height)
         penalty[-1, -1] = 0.0
         solved = np.linalg.solve(moments[:, :height] + penalty, moments[:, height:])
@@ -184,7 +185,7 @@ def generated_steps(generated: DataFrame, vocabulary: DataFrame, width: int, ste
         (F.lit(steps) - F.floor(F.col("_at") / width)).cast("int").alias("_step"),
         (F.col("_at") % width).cast("int").alias("position"),
     )
-    rows = hits.join(F.broadcast(vocabulary.select("position", "feature")), "position")
+    rows = hits.join(vocabulary.select("position", "feature"), "position")
     packed = rows.groupBy(EVENT, "_step").agg(
         F.array_sort(F.collect_list(F.struct("position", "feature"))).alias("_f")
     )

@@ -81,6 +81,23 @@ def metrics_by_type(
     return grouped.withColumn("event", label).drop("_all")
 
 
+def evaluation_report(types: DataFrame, metrics: DataFrame, ks: Sequence[int], union: bool = True) -> DataFrame:
+    """Mean metrics of one run per cutoff and event type, types without scores showing as null."""
+    spine = types.select(EVENT, "event").withColumn("k", F.explode(F.lit(list(ks))))
+    joined = spine.join(metrics, [EVENT, "k"], "left")
+    means = [
+        F.avg("hit").alias("hit_rate"),
+        F.avg("average_precision").alias("mean_average_precision"),
+    ]
+    if not union:
+        return joined.groupBy("event", "k").agg(*means)
+    grouped = joined.groupingSets([["k", "event"], ["k"]], "k", "event").agg(
+        F.grouping("event").alias("_all"), *means
+    )
+    label = F.when(F.col("_all") == 1, UNION).otherwise(F.col("event"))
+    return grouped.withColumn("event", label).drop("_all")
+
+
 def metrics_over_runs(by_type: DataFrame) -> DataFrame:
     return by_type.groupBy("event").agg(
         F.avg("hit_rate").alias("hit_rate"),

@@ -275,16 +275,20 @@ def neutral_imputed(w: Workbench) -> DataFrame:
     )
 
 
+def long_moments(moments: DataFrame) -> DataFrame:
+    return moments.select("row", F.posexplode("sums").alias("column", "value"))
+
+
 @plan
 def generator_moments_conversation(w: Workbench) -> DataFrame:
     """Sums behind the generator of conversations from sessions."""
-    return I.generator_moments(scorers.conversation_pairs(w))
+    return long_moments(I.generator_moments(scorers.conversation_pairs(w)))
 
 
 @plan
 def generator_moments_session(w: Workbench) -> DataFrame:
     """Sums behind the generator of sessions from conversations."""
-    return I.generator_moments(scorers.session_pairs(w))
+    return long_moments(I.generator_moments(scorers.session_pairs(w)))
 
 
 @plan
@@ -330,6 +334,15 @@ def popularity_topk(w: Workbench) -> DataFrame:
     return ranking.topk_sparse(scores, w.events("test"), items, K)
 
 
+@plan
+def popularity_curve(w: Workbench) -> DataFrame:
+    """Mean average precision of the popularity recommender at k = 1..5, from one ranking."""
+    scores = labels.popularity_scores(w.available("test"), w.popularity())
+    top = ranking.topk_sparse(scores, w.events("test"), w.t.post_filter.select("item_id"), max(CURVE))
+    found = metrics.event_metrics(top, w.labels("test"), CURVE)
+    return metrics.evaluation_report(w.types("test"), found, CURVE)
+
+
 def popularity_report(w: Workbench) -> DataFrame:
     """Hit rate and mean average precision of the popularity recommender by event type."""
     found = metrics.event_metrics(popularity_topk(w), w.labels("test"), [K])

@@ -521,6 +521,23 @@ _BODIES: dict[str, tuple[str, str]] = {
                    {_mean('ap', 'mean_average_precision')}
             FROM test_types LEFT JOIN per_event USING (purchase_event_id) GROUP BY ROLLUP (event)""",
     ),
+    "popularity_curve": (
+        """, popular AS (SELECT item_id, count(*) AS n FROM train_labels GROUP BY item_id),
+        dense AS (SELECT t.purchase_event_id, i.item_id,
+                         CASE WHEN p.item_id IS NULL THEN 0.0 ELSE CAST(coalesce(n, 0) AS DOUBLE) END AS score
+                  FROM test_types t CROSS JOIN items i LEFT JOIN popular USING (item_id)
+                  LEFT JOIN post_filter p ON p.purchase_event_id = t.purchase_event_id AND p.item_id = i.item_id),
+        judged AS (SELECT r.purchase_event_id, r.rank, CASE WHEN l.item_id IS NULL THEN 0 ELSE 1 END AS rel
+                   FROM (SELECT *, row_number() OVER (PARTITION BY purchase_event_id ORDER BY score DESC, item_id) AS rank
+                         FROM dense) r LEFT JOIN test_labels l USING (purchase_event_id, item_id)),
+        gains AS (SELECT *, rel * sum(rel) OVER (PARTITION BY purchase_event_id ORDER BY rank) / CAST(rank AS DOUBLE) AS g
+                  FROM judged),
+        sizes AS (SELECT purchase_event_id, count(*) AS n FROM test_labels GROUP BY 1),
+        per_event AS (SELECT purchase_event_id, k, CAST(max(rel) AS DOUBLE) AS hit, sum(g) / least(k, any_value(n)) AS ap
+                      FROM gains JOIN range(1, 6) c(k) ON rank <= k LEFT JOIN sizes USING (purchase_event_id) GROUP BY 1, 2)""",
+        f"""SELECT k, coalesce(event, 'union') AS event, {_mean('hit', 'hit_rate')}, {_mean('ap', 'mean_average_precision')}
+            FROM test_types JOIN per_event USING (purchase_event_id) GROUP BY GROUPING SETS ((k, event), (k))""",
+    ),
     "masked_scores": (_SCORES, f"SELECT run, purchase_event_id, item_id, {_r('score', 'score')} FROM test_masked"),
     "ranked_items": (_SCORES, f"SELECT run, purchase_event_id, item_id, {_r('score', 'score')}, rank FROM ranked"),
     "topk_items": (

@@ -21,9 +21,11 @@ from tallyweave.operators import fusion, joint
 from tallyweave.operators import impute as I
 from tallyweave.operators import timeline as TL
 from tallyweave.operators.labels import masked_scores
+from tallyweave.operators.metrics import evaluation_report, event_metrics, macro_auc
 from tallyweave.operators.models import batch_score as score_batches
 from tallyweave.operators.models import distilled_targets, fit_scorer, score_items
 from tallyweave.operators.pooling import pooled_entries, pooled_sessions
+from tallyweave.operators.ranking import topk_items
 from tallyweave.operators.weights import distillation_weights, sample_weights
 from tallyweave.plans.workbench import Workbench
 from tallyweave.schemas import EVENT
@@ -184,51 +186,77 @@ def _model(w: Workbench, vectors, weights: DataFrame | None = None) -> PipelineM
     return w.models[label]
 
 
-def _scored(w: Workbench, vectors, weights: DataFrame | None = None) -> DataFrame:
-    model = _model(w, vectors, weights)
-    return masked_scores(score_items(model, vectors(w, "test")), w.available("test"))
+def _raw(w: Workbench, vectors, weights: DataFrame | None = None) -> DataFrame:
+    return w.keep(f"scores-{vectors.__name__}", lambda: score_items(_model(w, vectors, weights), vectors(w, "test")))
+
+
+def _masked(w: Workbench, scores: DataFrame) -> DataFrame:
+    return masked_scores(scores, w.available("test"))
 
 
 def score_conversation(w: Workbench) -> DataFrame:
-    return _scored(w, conversation_vectors)
+    return _masked(w, _raw(w, conversation_vectors))
 
 
 def score_session(w: Workbench) -> DataFrame:
-    return _scored(w, session_vectors)
+    return _masked(w, _raw(w, session_vectors))
 
 
 def score_keyword(w: Workbench) -> DataFrame:
-    return _scored(w, keyword_vectors)
+    return _masked(w, _raw(w, keyword_vectors))
 
 
 def score_joint(w: Workbench) -> DataFrame:
-    return _scored(w, joint_vectors, sample_weights(w.types("train")))
+    return _masked(w, _raw(w, joint_vectors, sample_weights(w.types("train"))))
 
 
 def score_relative(w: Workbench) -> DataFrame:
-    return _scored(w, relative_vectors)
+    return _masked(w, _raw(w, relative_vectors))
 
 
 def score_neutral_imputed(w: Workbench) -> DataFrame:
-    return _scored(w, neutral_vectors)
+    return _masked(w, _raw(w, neutral_vectors))
 
 
 def score_generated(w: Workbench) -> DataFrame:
-    return _scored(w, generated_vectors)
+    return _masked(w, _raw(w, generated_vectors))
+
+
+def _distilled(w: Workbench) -> DataFrame:
+    """Scores of the student on intersection events, taught by the conversation and session scorers."""
+
+    def make() -> DataFrame:
+        teachers = [
+            score_items(_model(w, vectors), TL.restrict(vectors(w, "train"), w.timeline("intersection")))
+            for vectors in (conversation_vectors, session_vectors)
+        ]
+        targets = fusion.distillation_targets(w.labels("intersection"), *teachers)
+        blended = distilled_targets(targets, distillation_weights(w.types("train")))
+        student = fit_scorer(joint_vectors(w, "intersection"), stage(blended, "student-targets"))
+        both = w.types("test").where(F.col("event") == "intersection")
+        return score_items(student, TL.restrict(joint_vectors(w, "test"), both))
+
+    return w.keep("scores-distilled", make)
 
 
 def score_distilled(w: Workbench) -> DataFrame:
-    """Student on intersection events, taught by the conversation and the session scorer."""
-    teachers = []
-    for vectors in (conversation_vectors, session_vectors):
-        both = TL.restrict(vectors(w, "train"), w.timeline("intersection"))
-        teachers.append(score_items(_model(w, vectors), both))
-    targets = fusion.distillation_targets(w.labels("intersection"), *teachers)
-    blended = distilled_targets(targets, distillation_weights(w.types("train")))
-    student = fit_scorer(joint_vectors(w, "intersection"), stage(blended, "student-targets"))
-    test = w.types("test").where(F.col("event") == "intersection")
-    scores = score_items(student, TL.restrict(joint_vectors(w, "test"), test))
-    return masked_scores(scores, w.available("test"))
+    return _masked(w, _distilled(w))
+
+
+def score_late_fusion(w: Workbench) -> DataFrame:
+    """Fitted conversation and session scores, averaged on intersections before the mask."""
+    fused = fusion.late_fusion(_raw(w, conversation_vectors), _raw(w, session_vectors), w.types("test"))
+    return _masked(w, fused)
+
+
+def score_routed(w: Workbench) -> DataFrame:
+    """Conversation, session and distilled scorers, each on the events of its type."""
+    by_type = {
+        "conversation": _raw(w, conversation_vectors),
+        "session": _raw(w, session_vectors),
+        "intersection": _distilled(w),
+    }
+    return _masked(w, fusion.routed_scores(by_type, w.types("test")))
 
 
 def _predict(matrix, batch: pd.DataFrame) -> pd.DataFrame:
@@ -242,10 +270,51 @@ def batch_score(w: Workbench) -> DataFrame:
     return score_batches(_any_step(w, "test"), matrix, _predict, f"{EVENT} bigint, length double")
 
 
+# --- evaluation ------------------------------------------------------------------------------
+
+
+def _evaluated(w: Workbench, scores: DataFrame, union: bool = True) -> DataFrame:
+    """Hit rate and mean average precision at k = 1..5 by event type, from one ranking."""
+    ks = (1, 2, 3, 4, 5)
+    found = event_metrics(topk_items(scores, max(ks)), w.labels("test"), ks)
+    return evaluation_report(w.types("test"), found.drop("run"), ks, union)
+
+
+def _evaluation(scorer, union: bool = True):
+    return lambda w: _evaluated(w, scorer(w), union)
+
+
+EVALUATIONS = {
+    "evaluate_conversation": _evaluation(score_conversation, union=False),
+    "evaluate_session": _evaluation(score_session, union=False),
+    "evaluate_late_fusion": _evaluation(score_late_fusion),
+    "evaluate_distilled": _evaluation(score_routed),
+    "evaluate_generated": _evaluation(score_generated),
+    "evaluate_neutral_imputed": _evaluation(score_neutral_imputed),
+    "evaluate_keyword": _evaluation(score_keyword),
+    "evaluate_joint": _evaluation(score_joint),
+    "evaluate_relative": _evaluation(score_relative),
+}
+
+
+def validation_auc(w: Workbench) -> DataFrame:
+    """Macro AUC of the single-modality scorers, fitted before the validation tail and scored on it."""
+    valid = w.validation_events()
+    reports = []
+    for vectors in (conversation_vectors, session_vectors):
+        rows = vectors(w, "train")
+        model = fit_scorer(rows.join(valid, EVENT, "left_anti"), w.labels("train"))
+        held = rows.join(valid, EVENT, "left_semi")
+        scores = masked_scores(score_items(model, held), w.available("train")).drop("run")
+        report = macro_auc(scores, w.labels("train"), held.select(EVENT))
+        reports.append(report.withColumn("model", F.lit(vectors.__name__.removesuffix("_vectors"))))
+    return reports[0].unionByName(reports[1])
+
+
 SCORERS = {
     f.__name__: f
     for f in (
-        score_conversation, score_session, score_keyword, score_joint, score_relative,
-        score_neutral_imputed, score_generated, score_distilled, batch_score,
+        score_conversation, score_session, score_keyword, score_joint, score_relative, score_neutral_imputed,
+        score_generated, score_distilled, score_late_fusion, score_routed, batch_score, validation_auc,
     )
-}
+} | EVALUATIONS

@@ -12,6 +12,7 @@ from tallyweave.operators.embeddings import event_embedding
 from tallyweave.operators.split import holdout
 from tallyweave.plans import catalog, oracles
 from tallyweave.plans.workbench import workbench
+from tallyweave.state import stage
 
 FOLDER = "/root/testdata/sf0.001"
 # the only queries with an oracle that multiply matrices in Python
@@ -42,13 +43,22 @@ def test_only_the_needed_columns_are_read(spark, tmp_path):
     assert "ReadSchema: struct<conversation_id:bigint,embedding:array<float>>" in plan
 
 
-def test_pruning_broadcasts_the_bounded_vocabulary(spark):
+def test_a_stored_vocabulary_is_broadcast_only_below_the_threshold(spark, rows):
     actions = spark.createDataFrame(
         [(1, 1, 1, 1, "a")], "purchase_event_id long, event_number int, session_id long, action_number int, action_tags string"
     )
-    shares = FE.feature_share(actions, "action_tags", ["purchase_event_id", "session_id", "action_number"])
-    plan = explained(FE.prune_long(actions, "action_tags", shares))
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    fitted = FE.fit_vocabulary(actions, "action_tags", ["purchase_event_id", "session_id", "action_number"])
+    vocabulary = stage(fitted, "plan-vocabulary")
+    small = FE.prune_long(actions, "action_tags", vocabulary)
+    assert "BroadcastHashJoin" in explained(small)
+    expected = rows(small)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = FE.prune_long(actions, "action_tags", vocabulary)
+        assert "BroadcastHashJoin" not in explained(large)
+        assert rows(large) == expected
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_top_k_limits_before_the_shuffle(spark):
