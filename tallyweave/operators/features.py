@@ -44,8 +44,12 @@ def prune_long(rows: DataFrame, features: str, shares: DataFrame, min_share: flo
     vocabularies carry their size, so Spark broadcasts them while they are below its threshold and
     joins by shuffle, splitting hot features, beyond it.
     """
-    kept = frequent(shares, min_share).select("feature")
-    return explode_features(rows, features).join(kept, "feature")
+    return explode_features(rows, features).join(_kept(shares, min_share), "feature")
+
+
+def _kept(shares: DataFrame, min_share: float) -> DataFrame:
+    kept = frequent(shares, min_share)
+    return kept.select(*[c for c in ("feature", "position") if c in kept.columns])
 
 
 def prune(
@@ -108,20 +112,24 @@ def encode_steps(
     ids, holding ``''`` only if that is a class.
     """
     keys = [EVENT, "event_number", *id_columns]
-    known = prune_long(rows.select(*keys, features), features, vocabulary, min_share).select(*keys, "feature")
-    emptied = _emptied_events(rows, known).withColumn("feature", F.lit(""))
-    places = vocabulary.select("feature", "position")
-    hits = known.unionByName(emptied, allowMissingColumns=True).join(places, "feature", "left")
-    hit = F.when(F.col("position").isNotNull(), F.struct("position", "feature"))
-    return (
-        hits.groupBy(*keys)
-        .agg(F.array_sort(F.collect_set(hit)).alias("_hits"))
+    classes = vocabulary.select("feature", "position", "share")
+    known = prune_long(rows.select(*keys, features), features, classes, min_share)
+    steps = (
+        known.groupBy(*keys)
+        .agg(F.array_sort(F.collect_set(F.struct("position", "feature"))).alias("_hits"))
         .select(
             *keys,
             F.col("_hits.feature").alias("features"),
             F.col("_hits.position").alias("positions"),
         )
     )
+    blank = classes.where(F.col("feature") == "").select("position").scalar()
+    emptied = _emptied_events(rows, known).select(
+        EVENT,
+        F.when(blank.isNotNull(), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")).alias("features"),
+        F.array_compact(F.array(blank)).alias("positions"),
+    )
+    return steps.unionByName(emptied, allowMissingColumns=True).select(*steps.columns)
 
 
 def event_bucket() -> Column:
@@ -130,6 +138,17 @@ def event_bucket() -> Column:
     return F.floor(F.coalesce("event_number", last) / F.lit(4096)).cast("long")
 
 
+def with_ages(steps: DataFrame, tie_breakers: Sequence[str] = ()) -> DataFrame:
+    """Steps of an event counted back from its last one, which has ``age`` 0; ``n_steps`` in all."""
+    order = [F.col("event_number").asc_nulls_last(), *tie_breakers]
+    return _aged(with_positions(steps, [EVENT], event_bucket(), order, "_position", total="n_steps"))
+
+
+def _aged(placed: DataFrame) -> DataFrame:
+    age = (F.col("n_steps") - F.col("_position")).cast("int")
+    return placed.withColumn("age", age).withColumn("n_steps", F.col("n_steps").cast("int")).drop("_position")
+
+
 def padded_slots(steps: DataFrame, tie_breakers: Sequence[str] = (), max_steps: int | None = None) -> DataFrame:
     """Slot of each step in its event's left-padded sequence, ``1..max_steps``.
 
@@ -137,33 +156,36 @@ def padded_slots(steps: DataFrame, tie_breakers: Sequence[str] = (), max_steps:
     first step are its padding: they are implied, not stored, so one very long event does not blow
     up all others. ``n_steps`` says how many slots are filled.
     """
-    order = [F.col("event_number").asc_nulls_last(), *tie_breakers]
-    placed = with_positions(steps, [EVENT], event_bucket(), order, "_position", total="n_steps")
-    return _right_align(placed, steps, max_steps)
+    return _right_align(with_ages(steps, tie_breakers), steps, max_steps)
 
 
-def shuffled_slots(steps: DataFrame, seed: int, tie_breakers: Sequence[str] = (), max_steps: int | None = None):
+def shuffled_slots(
+    steps: DataFrame, seed: int, tie_breakers: Sequence[str] = (), max_steps: int | None = None
+) -> DataFrame:
     """As ``padded_slots``, but the steps of an event in a seeded random order."""
     columns = [EVENT, "event_number", *tie_breakers]
     hashed = steps.withColumn("_hash", F.xxhash64(F.lit(seed), *columns))
     placed = with_positions(
         hashed, [EVENT], hash_bucket(F.col("_hash")), ["_hash", *columns], "_position", total="n_steps"
     )
-    return _right_align(placed.drop("_hash"), steps, max_steps)
+    return _right_align(_aged(placed).drop("_hash"), steps, max_steps)
 
 
-def _right_align(placed: DataFrame, steps: DataFrame, max_steps: int | None) -> DataFrame:
+def _right_align(aged: DataFrame, steps: DataFrame, max_steps: int | None) -> DataFrame:
     if max_steps is None:
         length = steps.groupBy(EVENT).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar()
     else:
         length = F.lit(max_steps)
-    slot = (length - F.col("n_steps") + F.col("_position")).cast("int")
-    return placed.withColumn("slot", slot).withColumn("n_steps", F.col("n_steps").cast("int")).drop("_position")
+    return aged.withColumn("slot", (length - F.col("age")).cast("int")).drop("age")
 
 
 def session_pipeline(rows: DataFrame, vocabulary: DataFrame, max_steps: int | None = None) -> DataFrame:
-    """Prune, encode and place the sessions of events with a fitted vocabulary."""
-    return padded_slots(encode_steps(rows, "action_tags", vocabulary, ["session_id"]), ["session_id"], max_steps)
+    """Prune, encode and place the sessions of events with a fitted vocabulary.
+
+    Placing reads the steps more than once, so they are written first.
+    """
+    steps = stage(encode_steps(rows, "action_tags", vocabulary, ["session_id"]), "pipeline-steps")
+    return padded_slots(steps, ["session_id"], max_steps)
 
 
 def keyword_features(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:

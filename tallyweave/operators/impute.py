@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tallyweave.functions.batches import scattered, stacked
 from tallyweave.operators.embeddings import long_vector
+from tallyweave.operators.features import with_ages
 from tallyweave.operators.timeline import event_spine
 from tallyweave.schemas import EVENT
 
@@ -151,16 +152,14 @@ def generate(rows: DataFrame, fitted: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "x").mapInPandas(predict, schema)
 
 
-def step_vectors(slots: DataFrame, width: int, steps: int) -> DataFrame:
-    """The last ``steps`` steps of each event as one 0/1 vector, latest first."""
-    last_slot = slots.agg(F.max("slot")).scalar()  # sequences are right-aligned
-    age = last_slot - F.col("slot")
-    recent = slots.withColumn("_age", age).where(F.col("_age") < steps)
-    offsets = F.transform("positions", lambda p: (F.col("_age") * width + p).cast("int"))
+def step_vectors(steps: DataFrame, width: int, n_steps: int) -> DataFrame:
+    """The last ``n_steps`` steps of each event as one 0/1 vector, latest first."""
+    recent = with_ages(steps, ["session_id"]).where(F.col("age") < n_steps)
+    offsets = F.transform("positions", lambda p: (F.col("age") * width + p).cast("int"))
     return (
         recent.groupBy(EVENT)
         .agg(F.flatten(F.collect_list(offsets)).alias("_on"))
-        .select(EVENT, dense_ones(F.col("_on"), width * steps).alias("y"))
+        .select(EVENT, dense_ones(F.col("_on"), width * n_steps).alias("y"))
     )
 
 

@@ -126,39 +126,43 @@ def item_auc(
 ) -> DataFrame:
     """ROC AUC of each item over ``events``, from masked scores.
 
-    Scores that are not stored count as 0, so masked-out pairs need no rows. Equal scores are first
-    collapsed to counts; those are cut into ranges by ``(item, score)``, so an item with any number
-    of distinct scores is shared by many tasks, and only one total per range meets in one place.
+    Scores that are not stored count as 0, so masked-out pairs need no rows: every item starts with
+    all events at score 0, and each stored score moves one event away from there. Equal scores are
+    collapsed to counts before they are cut into ranges by ``(item, score)``, so an item with any
+    number of distinct scores is shared by many tasks; only one total per range meets in one place.
     """
-    by_run = ["run"] if runs is not None else []
-    keys = [*by_run, "item_id"]
-    scores = scores.withColumn("score", nan_to_null(F.col("score")))
-    n_events = events.agg(F.count_distinct(EVENT)).scalar()
-    positives = labels.join(events.select(EVENT), EVENT, "left_semi").distinct()
-    scored = scores.join(events.select(EVENT), EVENT, "left_semi").where(F.col("score") != 0)
-    flagged = scored.join(positives.withColumn("_y", F.lit(1)), [EVENT, "item_id"], "left")
-    stored = flagged.groupBy(*keys, "score").agg(
-        F.count("_y").alias("pos"), (F.count(F.lit(1)) - F.count("_y")).alias("neg")
+    keys = [*(["run"] if runs is not None else []), "item_id"]
+    wanted = events.select(EVENT).distinct()
+    n_events = wanted.agg(F.count(F.lit(1))).scalar()
+    positives = labels.select(EVENT, "item_id").join(wanted, EVENT, "left_semi").distinct()
+    stored = (
+        scores.withColumn("score", nan_to_null(F.col("score")))
+        .where(F.col("score") != 0)
+        .join(wanted, EVENT, "left_semi")
+        .join(positives.withColumn("_y", F.lit(1)), [EVENT, "item_id"], "left")
     )
-    # the implied zeros: what is left of all events and of all positives of the item
-    bought = positives.groupBy("item_id").agg(F.count(F.lit(1)).alias("_bought"))
-    known = stored.groupBy(*keys).agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    y = F.coalesce("_y", F.lit(0)).cast("long")
+
+    def change(score, pos, neg):
+        return F.struct(
+            score.cast("double").alias("score"), pos.cast("long").alias("pos"), neg.cast("long").alias("neg")
+        )
+
+    moved = stored.select(
+        *keys, F.explode(F.array(change(F.col("score"), y, 1 - y), change(F.lit(0.0), -y, y - 1))).alias("_c")
+    )
+    bought = positives.select("item_id", change(F.lit(0.0), F.lit(1), F.lit(-1)).alias("_c"))
     items = positives.select("item_id").unionByName(scores.select("item_id")).distinct()
+    start = items.select("item_id", change(F.lit(0.0), F.lit(0), n_events).alias("_c"))
+    at_zero = bought.unionByName(start)
     if runs is not None:
-        items = items.withColumn("run", F.explode(F.lit(list(runs))))
-    universe = items.join(bought, "item_id", "left").join(known, keys, "left")
-    rest = F.coalesce("_bought", F.lit(0)) - F.coalesce("_pos", F.lit(0))
-    zeros = universe.select(
-        *keys,
-        F.lit(0.0).alias("score"),
-        rest.alias("pos"),
-        (n_events - F.coalesce("_bought", F.lit(0)) - F.coalesce("_neg", F.lit(0))).alias("neg"),
-    )
-    ranges = (
-        stored.unionByName(zeros)
-        .repartitionByRange(*keys, "score")
-        .withColumn("_range", F.spark_partition_id())
+        at_zero = at_zero.withColumn("run", F.explode(F.lit(list(runs))))
+    counts = (
+        moved.unionByName(at_zero)
+        .groupBy(*keys, F.col("_c.score").alias("score"))
+        .agg(F.sum("_c.pos").alias("pos"), F.sum("_c.neg").alias("neg"))
     )
+    ranges = counts.repartitionByRange(*keys, "score").withColumn("_range", F.spark_partition_id())
     lower = Window.partitionBy(*keys, "_range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     pairs = F.col("pos") * (F.coalesce(F.sum("neg").over(lower), F.lit(0)) + F.col("neg") / 2)
     per_range = (

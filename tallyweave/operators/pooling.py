@@ -7,19 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.functions.positions import with_positions
-from tallyweave.operators.features import event_bucket
+from tallyweave.operators.features import with_ages
 from tallyweave.schemas import EVENT
 
 
 def pooled_sessions(steps: DataFrame, tie_breakers: Sequence[str] = ("session_id",)) -> DataFrame:
     """Per event and feature: seen in any step, seen in the last step, and a sum that halves with
     every step back. Long form; features never seen are 0 and implied."""
-    order = [F.col("event_number").asc_nulls_last(), *tie_breakers]
-    placed = with_positions(steps, [EVENT], event_bucket(), order, "_position", total="_steps")
-    age = (F.col("_steps") - F.col("_position")).cast("double")
-    hits = placed.withColumn("_age", age).select(
-        EVENT, "_age", F.explode(F.arrays_zip("positions", "features")).alias("_f")
+    hits = with_ages(steps, tie_breakers).select(
+        EVENT,
+        F.col("age").cast("double").alias("_age"),
+        F.explode(F.arrays_zip("positions", "features")).alias("_f"),
     )
     return hits.groupBy(EVENT, F.col("_f.positions").alias("position"), F.col("_f.features").alias("feature")).agg(
         F.lit(1.0).alias("any_step"),

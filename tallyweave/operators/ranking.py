@@ -34,26 +34,21 @@ def topk_items(scores: DataFrame, k: int) -> DataFrame:
 def topk_sparse(scores: DataFrame, events: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """Top ``k`` where items without a stored score count as 0.
 
-    An event with fewer than ``k`` positive scores is filled with zero-score items in item order. It
-    needs at most ``k`` of them, and at most ``k - 1`` positive items can sit among the first ``k``
-    items of the catalogue, so those ``k`` rows are all that is ever matched with an event.
+    Zero-score items follow the positive ones in item order. An event with ``p < k`` positive scores
+    needs ``k - p`` of them, and at most ``p`` of the first ``k`` items of the catalogue are positive
+    already: those ``k`` items are all that is ever matched with an event, and the first ``2 k``
+    candidates of an event hold its answer. Everything after the first shuffle stays in place.
     """
     keys = _ranking_keys(scores)
-    positive = scores.where(F.col("score") > 0)
-    best = topk_items(positive, k).select(*keys, "item_id", "score")
     first = items.select("item_id").distinct().orderBy("item_id").limit(k)
     numbered = first.withColumn("_place", F.row_number().over(Window.orderBy("item_id")))
-    short = (
+    zeros = (
         events.select(*keys)
         .distinct()
-        .join(best.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, "left")
-        .where(F.coalesce("_n", F.lit(0)) < k)
         .select(*keys, F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_place"))
+        .join(F.broadcast(numbered), "_place")
+        .select(*keys, "item_id", F.lit(0.0).alias("score"))
     )
-    fill = (
-        short.join(F.broadcast(numbered), "_place")
-        .select(*keys, "item_id")
-        .join(best.select(*keys, "item_id"), [*keys, "item_id"], "left_anti")
-        .withColumn("score", F.lit(0.0))
-    )
-    return topk_items(best.unionByName(fill), k)
+    positive = scores.where(F.col("score") > 0).select(*keys, "item_id", "score")
+    candidates = topk_items(positive.unionByName(zeros), 2 * k)
+    return topk_items(candidates.groupBy(*keys, "item_id").agg(F.max("score").alias("score")), k)

@@ -135,8 +135,8 @@ def conversation_pairs(w: Workbench) -> DataFrame:
 
 
 def session_pairs(w: Workbench) -> DataFrame:
-    slots = FE.padded_slots(_steps(w, "intersection"), ["session_id"])
-    clicks = I.step_vectors(slots, w.width(w.intersection_vocabulary()), GENERATED_STEPS)
+    width = w.width(w.intersection_vocabulary())
+    clicks = I.step_vectors(_steps(w, "intersection"), width, GENERATED_STEPS)
     return _embedded(w, "intersection").join(clicks, EVENT)
 
 

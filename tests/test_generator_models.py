@@ -64,10 +64,11 @@ def test_generated_steps_threshold_drop_and_renumber(spark, rows):
 
 
 def test_step_vectors_hold_the_last_steps(spark, rows):
-    slots = spark.createDataFrame(
-        [(1, 1, [0]), (1, 2, [1]), (1, 3, [0, 1]), (2, 3, [])], "purchase_event_id long, slot int, positions array<int>"
+    steps = spark.createDataFrame(
+        [(1, 1, 7, [0]), (1, 2, 8, [1]), (1, 3, 9, [0, 1]), (2, 3, 9, [])],
+        "purchase_event_id long, event_number int, session_id long, positions array<int>",
     )
-    assert rows(I.step_vectors(slots, width=2, steps=2)) == [(1, [1.0, 1.0, 0.0, 1.0]), (2, [0.0] * 4)]
+    assert rows(I.step_vectors(steps, width=2, n_steps=2)) == [(1, [1.0, 1.0, 0.0, 1.0]), (2, [0.0] * 4)]
 
 
 def test_staged_entries_read_back_as_sparse_vectors(spark):
