@@ -179,12 +179,12 @@ def _right_align(aged: DataFrame, steps: DataFrame, max_steps: int | None) -> Da
     return aged.withColumn("slot", (length - F.col("age")).cast("int")).drop("age")
 
 
-def session_pipeline(rows: DataFrame, vocabulary: DataFrame, max_steps: int | None = None) -> DataFrame:
+def session_slots(rows: DataFrame, vocabulary: DataFrame, max_steps: int | None = None) -> DataFrame:
     """Prune, encode and place the sessions of events with a fitted vocabulary.
 
     Placing reads the steps more than once, so they are written first.
     """
-    steps = stage(encode_steps(rows, "action_tags", vocabulary, ["session_id"]), "pipeline-steps")
+    steps = stage(encode_steps(rows, "action_tags", vocabulary, ["session_id"]), "slot-steps")
     return padded_slots(steps, ["session_id"], max_steps)
 
 

@@ -49,6 +49,22 @@ def fit_scorer(
     return Pipeline(stages=[index, model]).fit(training)
 
 
+# cumulative shares of the Poisson distribution with mean 1 for counts 0, 1, 2, ... (fixed values)
+POISSON_ONE = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
+
+
+def bootstrap_weights(events: DataFrame, run: int, seed: int = 42) -> DataFrame:
+    """Weight of each event in a repeated run: 1 in run 1, later a Poisson count drawn from a hash of the id.
+
+    The draw depends on seed, run and event only, so it is the same on any partitioning.
+    """
+    if run == 1:
+        return events.select(EVENT, F.lit(1.0).alias("weight"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(run), EVENT), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    steps = [(draw >= F.lit(share)).cast("double") for share in POISSON_ONE]
+    return events.select(EVENT, sum(steps[1:], steps[0]).alias("weight"))
+
+
 def score_items(model: PipelineModel, features: DataFrame, run: int = 1) -> DataFrame:
     """Score of every known item for every event, in long form."""
     labels, classifier = model.stages[0].labels, model.stages[1]

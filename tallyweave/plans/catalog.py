@@ -35,7 +35,8 @@ CURVE = (1, 2, 3, 4, 5)
 
 
 def plan(function: Plan) -> Plan:
-    PLANS[function.__name__] = function
+    """Register a query under the name of its function; a trailing ``_`` avoids an imported name."""
+    PLANS[function.__name__.rstrip("_")] = function
     return function
 
 
@@ -97,13 +98,10 @@ def validation_tail(w: Workbench) -> DataFrame:
 
 
 @plan
-def validation_split_events(w: Workbench) -> DataFrame:
+def validation_split_(w: Workbench) -> DataFrame:
     return validation_split(w.events("train")).withColumn("is_validation", F.col("is_validation").cast("int"))
 
 
-PLANS["validation_split"] = PLANS.pop("validation_split_events")
-
-
 @plan
 def timeline_actions(w: Workbench) -> DataFrame:
     return TL.timeline_actions(w.timeline("train"), w.t.sessions)
@@ -191,8 +189,8 @@ def padded_sequences(w: Workbench) -> DataFrame:
 
 
 @plan
-def session_pipeline(w: Workbench) -> DataFrame:
-    return FE.long_features(FE.session_pipeline(w.actions("test"), w.session_vocabulary()), [EVENT, "slot", "n_steps"])
+def session_slots(w: Workbench) -> DataFrame:
+    return FE.long_features(FE.session_slots(w.actions("test"), w.session_vocabulary()), [EVENT, "slot", "n_steps"])
 
 
 @plan
@@ -343,15 +341,13 @@ def popularity_curve(w: Workbench) -> DataFrame:
     return metrics.evaluation_report(w.types("test"), found, CURVE)
 
 
+@plan
 def popularity_report(w: Workbench) -> DataFrame:
     """Hit rate and mean average precision of the popularity recommender by event type."""
     found = metrics.event_metrics(popularity_topk(w), w.labels("test"), [K])
     return metrics.metrics_by_type(w.types("test"), found)
 
 
-PLANS["popularity_report"] = popularity_report
-
-
 @plan
 def masked_scores(w: Workbench) -> DataFrame:
     return labels.masked_scores(w.scores("test"), w.available("test"))
@@ -496,11 +492,8 @@ def relative_sequences(w: Workbench) -> DataFrame:
 
 
 @plan
-def pooled_session_features(w: Workbench) -> DataFrame:
+def pooled_sessions_(w: Workbench) -> DataFrame:
     return pooled_sessions(w.session_steps("train")).drop("position")
 
 
-PLANS["pooled_sessions"] = PLANS.pop("pooled_session_features")
-
-for _name, _scorer in scorers.SCORERS.items():
-    PLANS[_name] = _scorer
+PLANS.update(scorers.SCORERS)

@@ -367,7 +367,7 @@ _BODIES: dict[str, tuple[str, str]] = {
         _ACTIONS,
         "SELECT purchase_event_id, slot, n_steps, feature FROM slot_features WHERE is_train",
     ),
-    "session_pipeline": (
+    "session_slots": (
         _ACTIONS,
         "SELECT purchase_event_id, slot, n_steps, feature FROM slot_features WHERE NOT is_train",
     ),

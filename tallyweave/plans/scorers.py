@@ -6,6 +6,8 @@ kept by pooling (any step, last step, halving sum), not by a recurrent net.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
@@ -21,15 +23,21 @@ from tallyweave.operators import fusion, joint
 from tallyweave.operators import impute as I
 from tallyweave.operators import timeline as TL
 from tallyweave.operators.labels import masked_scores
-from tallyweave.operators.metrics import evaluation_report, event_metrics, macro_auc
+from tallyweave.operators.metrics import (
+    evaluation_report,
+    event_metrics,
+    macro_auc,
+    metrics_by_type,
+    metrics_over_runs,
+)
 from tallyweave.operators.models import batch_score as score_batches
-from tallyweave.operators.models import distilled_targets, fit_scorer, score_items
+from tallyweave.operators.models import bootstrap_weights, distilled_targets, fit_scorer, score_items
 from tallyweave.operators.pooling import pooled_entries, pooled_sessions
 from tallyweave.operators.ranking import topk_items
 from tallyweave.operators.weights import distillation_weights, sample_weights
 from tallyweave.plans.workbench import Workbench
 from tallyweave.schemas import EVENT
-from tallyweave.sources.fixture import EMBEDDING_WIDTH
+from tallyweave.sources.fixture import EMBEDDING_WIDTH, RUNS
 from tallyweave.state import stage
 
 GENERATED_STEPS = 3
@@ -297,6 +305,18 @@ EVALUATIONS = {
 }
 
 
+def evaluate_conversation_runs(w: Workbench) -> DataFrame:
+    """Five bootstrap runs of the conversation scorer, reported per type at k = 3 and averaged."""
+    train, test = conversation_vectors(w, "train"), conversation_vectors(w, "test")
+    parts = [
+        score_items(fit_scorer(train, w.labels("train"), bootstrap_weights(w.events("train"), run)), test, run)
+        for run in RUNS
+    ]
+    scores = _masked(w, reduce(lambda a, b: a.unionByName(b), parts))
+    found = event_metrics(topk_items(scores, 3), w.labels("test"), [3])
+    return metrics_over_runs(metrics_by_type(w.types("test"), found, RUNS, union=False))
+
+
 def validation_auc(w: Workbench) -> DataFrame:
     """Macro AUC of the single-modality scorers, fitted before the validation tail and scored on it."""
     valid = w.validation_events()
@@ -316,5 +336,6 @@ SCORERS = {
     for f in (
         score_conversation, score_session, score_keyword, score_joint, score_relative, score_neutral_imputed,
         score_generated, score_distilled, score_late_fusion, score_routed, batch_score, validation_auc,
+        evaluate_conversation_runs,
     )
 } | EVALUATIONS

@@ -108,3 +108,13 @@ def test_batch_score_applies_any_object(spark, rows):
         spark.range(4), {"add": 10}, lambda model, batch: batch.assign(y=batch["id"] + model["add"]), "id long, y long"
     )
     assert rows(scored) == [(0, 10), (1, 11), (2, 12), (3, 13)]
+
+
+def test_bootstrap_weights_are_repeatable_counts_with_mean_one(spark, rows):
+    events = spark.range(5_000).withColumnRenamed("id", "purchase_event_id")
+    assert MO.bootstrap_weights(events, 1).where("weight <> 1").count() == 0
+    first = MO.bootstrap_weights(events, 2)
+    assert rows(first) == rows(MO.bootstrap_weights(events.repartition(9), 2))
+    assert rows(first) != rows(MO.bootstrap_weights(events, 3))
+    stats = first.agg(F.avg("weight").alias("m"), F.var_samp("weight").alias("v")).first()
+    assert stats["m"] == pytest.approx(1, abs=0.06) and stats["v"] == pytest.approx(1, abs=0.1)

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tallyweave.operators import anchors as A
 from tallyweave.operators import features as FE
 from tallyweave.operators import labels as L
 from tallyweave.operators import ranking as R
@@ -68,6 +69,21 @@ def test_top_k_limits_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") >= 2 and partial >= 0
 
 
+def test_anchor_quota_limits_before_the_shuffle(spark):
+    classes = spark.createDataFrame([(1, "a", 2)], "purchase_event_id long, class string, quota int")
+    assert explained(A.anchor_sample(classes, 10)).count("WindowGroupLimit") >= 2
+
+
+def test_sparse_top_k_shuffles_the_scores_once(spark, tmp_path):
+    schema = "purchase_event_id long, item_id string, score double"
+    spark.createDataFrame([(1, "a", 0.5)], schema).write.parquet(str(tmp_path / "scores"))
+    scores = spark.read.parquet(str(tmp_path / "scores"))
+    events = spark.range(3).withColumnRenamed("id", "purchase_event_id")
+    items = spark.createDataFrame([("a",), ("b",)], "item_id string")
+    plan = R.topk_sparse(scores, events, items, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("score") and plan.count("Exchange hashpartitioning(purchase_event_id") <= 2
+
+
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_no_cross_join_and_no_python_beside_matrices(spark, name):
     plan = explained(catalog.PLANS[name](workbench(spark, FOLDER)))
