@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import byte_bpe
+from tallyweave.llm import byte_bpe, packing
 from tallyweave.llm.common import table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
+WORD_BPE = "word_bpe_49k.json"
+WORD_BPE_END = 2
 
 
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,8 +20,19 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.round_trip(documents, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
 
+def word_bpe() -> str:
+    with open(public_tokenizers.path(WORD_BPE), encoding="utf-8") as file:
+        return file.read()
+
+
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    limits = packing.Limits()
+    cut = packing.pieces(table(spark, folder, "documents"), word_bpe(), ["doc_id"], WORD_BPE_END, limits)
+    return packing.pack(cut, limits)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_byte_bpe]
+    found = [op4_byte_bpe, op9_packing]
     return {query.__name__: query for query in found}
 
 
