@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import byte_bpe, packing
+from tallyweave.llm import byte_bpe, packing, simhash
 from tallyweave.llm.common import table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,11 @@ def word_bpe() -> str:
         return file.read()
 
 
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"), radius=2, words=3, seed=42)
+    return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     limits = packing.Limits()
     cut = packing.pieces(table(spark, folder, "documents"), word_bpe(), ["doc_id"], WORD_BPE_END, limits)
@@ -32,7 +37,7 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_byte_bpe, op9_packing]
+    found = [op4_byte_bpe, op7_simhash, op9_packing]
     return {query.__name__: query for query in found}
 
 
