@@ -6,15 +6,30 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyweave.llm import byte_bpe, packing, simhash
-from tallyweave.llm.common import table
+from tallyweave.llm import byte_bpe, packing, quality_classifier, simhash
+from tallyweave.llm.common import fold, table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
 WORD_BPE_END = 2
 
 
+GOOD = 0.7
+
+
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents, held_out = table(spark, folder, "documents"), fold("doc_id", 4) == 2
+    model = quality_classifier.fit(documents, table(spark, folder, "labels"), "quality", ~held_out)
+    return quality_classifier.scored(documents.select("doc_id", "text"), model).select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= GOOD).cast("int").alias("predicted"),
+    )
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return byte_bpe.round_trip(documents, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
@@ -37,7 +52,7 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_byte_bpe, op7_simhash, op9_packing]
+    found = [op1_quality, op4_byte_bpe, op7_simhash, op9_packing]
     return {query.__name__: query for query in found}
 
 
