@@ -186,7 +186,7 @@ def pack(examples: DataFrame, limits: Limits = Limits(), shard: int = SHARD) ->
         out = frame.iloc[rows].reset_index(drop=True)
         number = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
         before = out["length"].cumsum() - out["length"]
-        out["sequence_id"] = (out["_shard"] << 32) + number
+        out["sequence_id"] = out["_shard"] * (1 << 32) + number
         out["offset"] = before - before.groupby(number).transform("first")
         return out.drop(columns=["_row", "_shard"])
 
