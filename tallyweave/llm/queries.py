@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import byte_bpe, packing, quality_classifier, simhash
+from tallyweave.llm import byte_bpe, packing, quality_classifier, simhash, toxicity
 from tallyweave.llm.common import fold, table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -30,6 +30,17 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents, held_out = table(spark, folder, "documents"), fold("doc_id", 5) == 0
+    model = toxicity.fit(documents, table(spark, folder, "labels"), "toxic", ~held_out)
+    return toxicity.scored(documents, model).select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return byte_bpe.round_trip(documents, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
@@ -52,7 +63,7 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op4_byte_bpe, op7_simhash, op9_packing]
+    found = [op1_quality, op3_toxicity, op4_byte_bpe, op7_simhash, op9_packing]
     return {query.__name__: query for query in found}
 
 
