@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import byte_bpe, packing, quality_classifier, simhash, toxicity
+from tallyweave.llm import byte_bpe, packing, quality_classifier, quality_rules, simhash, toxicity
 from tallyweave.llm.common import fold, table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -62,8 +62,22 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(cut, limits)
 
 
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judged(table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "log_perplexity",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op3_toxicity, op4_byte_bpe, op7_simhash, op9_packing]
+    found = [op1_quality, op3_toxicity, op4_byte_bpe, op7_simhash, op9_packing, op10_quality_rules]
     return {query.__name__: query for query in found}
 
 
