@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import byte_bpe, packing, quality_classifier, quality_rules, simhash, toxicity
+from tallyweave.llm import byte_bpe, packing, quality_classifier, quality_rules, secret_scan, simhash, toxicity
 from tallyweave.llm.common import fold, table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -51,6 +51,11 @@ def word_bpe() -> str:
         return file.read()
 
 
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return secret_scan.scanned(documents, secret_scan.fit(documents))
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"), radius=2, words=3, seed=42)
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
@@ -77,7 +82,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op3_toxicity, op4_byte_bpe, op7_simhash, op9_packing, op10_quality_rules]
+    found = [op1_quality, op3_toxicity, op4_byte_bpe, op5_secrets, op7_simhash, op9_packing, op10_quality_rules]
     return {query.__name__: query for query in found}
 
 
