@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import byte_bpe, packing, quality_classifier, quality_rules, secret_scan, simhash, toxicity
+from tallyweave.llm import byte_bpe, packing, quality_classifier, quality_rules, secret_scan, simhash, toxicity, url_filter
 from tallyweave.llm.common import fold, table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -30,6 +30,19 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+RULES = [
+    url_filter.Rule("allow", "org/"),
+    url_filter.Rule("block", "example.org/es/"),
+    url_filter.Rule("block", "example.org/en/1"),
+    url_filter.Rule("allow", "com/fr/"),
+    url_filter.Rule("block", "com/de/"),
+]
+
+
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judged(table(spark, folder, "pages"), RULES)
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents, held_out = table(spark, folder, "documents"), fold("doc_id", 5) == 0
     model = toxicity.fit(documents, table(spark, folder, "labels"), "toxic", ~held_out)
@@ -82,7 +95,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op3_toxicity, op4_byte_bpe, op5_secrets, op7_simhash, op9_packing, op10_quality_rules]
+    found = [op1_quality, op2_url_filter, op3_toxicity, op4_byte_bpe, op5_secrets, op7_simhash, op9_packing, op10_quality_rules]
     return {query.__name__: query for query in found}
 
 
