@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import byte_bpe, packing, quality_classifier, quality_rules, secret_scan, simhash, toxicity, url_filter
+from tallyweave.llm import byte_bpe, embedding_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash, toxicity, url_filter
 from tallyweave.llm.common import fold, table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -74,6 +74,10 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op8_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"), threshold=0.98)
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     limits = packing.Limits()
     cut = packing.pieces(table(spark, folder, "documents"), word_bpe(), ["doc_id"], WORD_BPE_END, limits)
@@ -95,7 +99,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op2_url_filter, op3_toxicity, op4_byte_bpe, op5_secrets, op7_simhash, op9_packing, op10_quality_rules]
+    found = [op1_quality, op2_url_filter, op3_toxicity, op4_byte_bpe, op5_secrets, op7_simhash, op8_embedding_dedup, op9_packing, op10_quality_rules]
     return {query.__name__: query for query in found}
 
 
