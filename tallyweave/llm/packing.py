@@ -11,6 +11,7 @@ kept of a piece, never its ids.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from tallyweave.state import stage
 
 SHARD = 4096
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+#: Above it, letters may change with their surroundings in lower case or normal form.
+LATIN_END = "\u0250"
 
 
 @dataclass(frozen=True)
@@ -36,52 +39,61 @@ class Limits:
     loss: int = 4096
 
 
+#: Bytes as the characters that byte-level vocabularies write them with: printable ones as they are.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+AS_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
+
+
 class WordIds:
-    """Ids of texts by a tokenizer that drops white space, remembered by word.
+    """Ids of texts by a lower-casing byte-level tokenizer that drops white space, remembered by word.
 
     The tokenizer's pieces never cross white space, so a text's ids are those of its parts between
-    single spaces, one after another.
+    single spaces, one after another. A part that is a word of Latin letters, with or without a stop
+    after it, needs no normal form and no search for pieces: its lower case goes to the tokenizer's
+    model as it is. All other parts go through the whole tokenizer.
     """
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_str(tokenizer).encode_batch_fast
+        whole = Tokenizer.from_str(tokenizer)
+        self.encode, self.merge = whole.encode_batch_fast, whole.model.tokenize
         self.parts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    @staticmethod
-    def plain(part: str) -> list[str]:
-        """Letters with or without one stop after them, as the words the tokenizer makes of them.
-
-        A letter that normal form or lower case turns into a letter and a mark stays with its stop.
-        """
-        if part.isascii():
-            if part.isalpha():
-                return [part.lower()]
-            if part[-1:] in (",", ".") and part[:-1].isalpha():
-                return [part[:-1].lower(), part[-1]]
-        elif part[-1:] in (",", ".") and part[:-1].isalpha():
-            if is_normalized("NFC", part) and part[:-1].lower().isalpha():
-                return [part[:-1], part[-1]]
-        return [part]
+    def word(self, word: str) -> bytes:
+        """Ids of one lower-case word of Latin letters."""
+        ids = self.words.get(word)
+        if ids is None:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(AS_SHOWN)
+            found = self.merge(shown)
+            ids = self.words[word] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        return ids
 
     def learn(self, parts: set[str]) -> None:
+        """Encode the parts that are not remembered. The parts met first stay: the common ones are met early."""
         new = [p for p in parts if p not in self.parts]
         for memory in (self.parts, self.words):
             if len(memory) + len(new) > REMEMBERED:
                 for old in list(memory)[REMEMBERED // 2 :]:
                     del memory[old]
                 new = [p for p in parts if p not in self.parts]
-        cut = [self.plain(part) for part in new]
-        waiting = list({word for words in cut for word in words if word not in self.words})
-        for start in range(0, len(waiting), 4096):
-            group = waiting[start : start + 4096]
-            for word, found in zip(group, self.encode(group, add_special_tokens=False), strict=True):
-                self.words[word] = np.array(found.ids, "<u4").tobytes()
-        for part, words in zip(new, cut, strict=True):
-            self.parts[part] = self.words[words[0]] if len(words) == 1 else b"".join([self.words[w] for w in words])
+        stops = {stop: self.encode([stop], add_special_tokens=False)[0].ids[0].to_bytes(4, "little") for stop in ",."}
+        others = []
+        for part in new:
+            stop = stops.get(part[-1:], b"")
+            word = part[:-1] if stop else part
+            if word.isalpha() and max(word) < LATIN_END:
+                lowered = word.lower()
+                if lowered.isascii() or (lowered.isalpha() and is_normalized("NFC", lowered)):
+                    self.parts[part] = self.word(lowered) + stop
+                    continue
+            others.append(part)
+        for start in range(0, len(others), 4096):
+            group = others[start : start + 4096]
+            for part, found in zip(group, self.encode(group, add_special_tokens=False), strict=True):
+                self.parts[part] = struct.pack(f"<{len(found.ids)}I", *found.ids)
 
     def batch(self, texts: pd.Series) -> Iterator[bytes]:
         cut: list[list[str]] = []
