@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import byte_bpe, embedding_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash, toxicity, url_filter
+from tallyweave.llm import byte_bpe, embedding_dedup, line_dedup, oracles, packing, quality_classifier, quality_rules, secret_scan, simhash, toxicity, url_filter
 from tallyweave.llm.common import fold, table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -69,6 +69,20 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scanned(documents, secret_scan.fit(documents))
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranges of deleted lines, and a digest of what is left of each text."""
+    done = line_dedup.without_repeats(table(spark, folder, "documents"))
+    size = F.aggregate("deleted", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
+    ranges = F.array_join(F.transform("deleted", lambda r: F.concat_ws("-", r["first"], r["last"])), ",")
+    return done.select(
+        "doc_id",
+        F.col("n_lines").cast("long").alias("n_lines"),
+        size.cast("long").alias("n_deleted"),
+        ranges.alias("deleted"),
+        F.md5("text").alias("kept_md5"),
+    )
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"), radius=2, words=3, seed=42)
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
@@ -99,9 +113,9 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op2_url_filter, op3_toxicity, op4_byte_bpe, op5_secrets, op7_simhash, op8_embedding_dedup, op9_packing, op10_quality_rules]
+    found = [op1_quality, op2_url_filter, op3_toxicity, op4_byte_bpe, op5_secrets, op6_line_dedup, op7_simhash, op8_embedding_dedup, op9_packing, op10_quality_rules]
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
