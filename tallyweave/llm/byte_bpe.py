@@ -265,6 +265,8 @@ class Decoder:
         self.start = np.cumsum(self.length) - self.length
 
     def __call__(self, ids: np.ndarray) -> bytes:
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.length):
+            raise ValueError("an id that no token has")
         lengths = self.length[ids]
         if not lengths.all():
             raise ValueError("an id that no token has")

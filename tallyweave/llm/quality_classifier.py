@@ -91,6 +91,7 @@ class Model:
     shift: np.ndarray
     weights: np.ndarray
     calibrated: np.ndarray
+    fitted: bool = True
 
     def features(self, numbers: np.ndarray) -> np.ndarray:
         standard = np.clip((numbers - self.mean) / self.scale, -8, 8)
@@ -149,7 +150,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", usable:
     shift = draw.uniform(0, 2 * math.pi, settings.features)
     if not moments["n"]:
         nothing = np.zeros(settings.features + N_STATISTICS + 1)
-        return Model(np.zeros(N_STATISTICS), np.ones(N_STATISTICS), projection, shift, nothing, np.full(GRID, 0.5))
+        return Model(np.zeros(N_STATISTICS), np.ones(N_STATISTICS), projection, shift, nothing, np.full(GRID, 0.5), False)
     mean = np.array([moments[f"m{i}"] for i in range(N_STATISTICS)])
     scale = np.array([moments[f"s{i}"] for i in range(N_STATISTICS)])
     blank = Model(mean, np.where(scale > 1e-9, scale, 1.0), projection, shift, np.zeros(0), np.zeros(0))

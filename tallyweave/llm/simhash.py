@@ -6,10 +6,12 @@ differ in at most ``radius`` positions have some v that is orthogonal to the vec
 positions, so under that mask they are equal: every pair within the radius meets in some table.
 
 Fingerprints are made distinct first, so copies of a text weigh nothing. In a table's bucket of up
-to BUCKET fingerprints all pairs are compared. A larger bucket is handled exactly without pairs: its
-fingerprints differ only outside the mask, so each one is sent to every fingerprint within ``radius / 2``
-flips of it there, and those that meet at such a centre are linked to the least of them. Two
-fingerprints within the radius always share a centre, and those that share one are within the radius.
+to BUCKET fingerprints all pairs are compared as columns, in one of up to CROWD as an array in a task,
+which gives links to the least fingerprint reached instead of pairs. A larger bucket is handled
+exactly without pairs: its fingerprints differ only outside the mask, so each one is sent to every
+fingerprint within ``radius / 2`` flips of it there, and those that meet at such a centre are linked
+to the least of them. Two fingerprints within the radius always share a centre, and those that share
+one are within the radius.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from tallyweave.state import stage
 
 BITS = 64
 BUCKET = 32
+CROWD = 4096
 
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
@@ -54,8 +57,8 @@ def _of_raw(raw: bytes, width: int, seed: int) -> np.uint64:
     return np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]
 
 
-def fingerprints(documents: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """``doc_id`` and ``fp`` (64 bits as a signed long) of every whole text; one narrow pass.
+def fingerprints(documents: DataFrame, words: int = 3, seed: int = 42, *extra: str) -> DataFrame:
+    """``doc_id``, ``extra`` columns and ``fp`` (64 bits as a signed long) of every whole text; one narrow pass.
 
     Null, empty and blank texts have the fingerprint zero.
     """
@@ -63,10 +66,11 @@ def fingerprints(documents: DataFrame, words: int = 3, seed: int = 42) -> DataFr
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = np.array([_of_raw(t.encode(), words, seed) for t in frame["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": found.view(np.int64)})
+            yield frame[["doc_id", *extra]].assign(fp=found.view(np.int64))
 
-    chosen = texts_of(documents)
-    return chosen.mapInPandas(run, f"doc_id {dict(chosen.dtypes)['doc_id']}, fp long")
+    chosen = texts_of(documents, *extra)
+    kinds = ", ".join(f"`{k}` {kind}" for k, kind in chosen.dtypes if k != "text")
+    return chosen.mapInPandas(run, f"{kinds}, fp long")
 
 
 def masks(radius: int) -> list[int]:
@@ -83,15 +87,40 @@ def _signed(value: int) -> int:
     return value - (1 << BITS) if value >> (BITS - 1) else value
 
 
-def links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
+def _crowd_links(radius: int):
+    """A function on one bucket: each fingerprint with the least one it reaches within the bucket."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        fps = np.sort(frame["fp"].to_numpy())
+        root = np.arange(len(fps))
+        rows, columns = [], []
+        for at in range(0, len(fps), 256):
+            near = np.bitwise_count(fps[at : at + 256, None] ^ fps) <= radius
+            i, j = np.nonzero(near)
+            rows.append(i + at)
+            columns.append(j)
+        i, j = np.concatenate(rows), np.concatenate(columns)
+        while True:
+            before = root.copy()
+            np.minimum.at(root, i, root[j])
+            root = root[root]
+            if (root == before).all():
+                break
+        linked = root < np.arange(len(fps))
+        return pd.DataFrame({"u": fps[root[linked]], "v": fps[linked]})
+
+    return run
+
+
+def links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET, crowd: int = CROWD) -> DataFrame:
     """Links (``u`` < ``v``) that connect exactly what pairs within the radius connect.
 
-    ``distinct`` has ``fp``, each value once. Radius 0 to 3; the centres of large buckets take
+    ``distinct`` has ``fp``, each value once. Radius 0 to 4; the centres of large buckets take
     radius / 2 flips, rounded down, and for an odd radius pairs that differ by it are found from
     either side: a fingerprint is also sent to the centres one flip further.
     """
-    if not 0 <= radius <= 3:
-        raise ValueError("radius 0 to 3")
+    if not 0 <= radius <= 4:
+        raise ValueError("radius 0 to 4")
     tables = masks(radius)
     keyed = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(tables)]))
     dealt = distinct.select("fp", keyed.alias("b")).select("fp", "b.*")
@@ -106,8 +135,12 @@ def links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFra
         .where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
     )
 
+    # larger ones, still bounded: one task each
+    middle = crowded.where((F.col("n") > bucket) & (F.col("n") <= crowd)).select("t", "key", "fp")
+    reached = middle.groupBy("t", "key").applyInPandas(_crowd_links(radius), "u long, v long")
+
     # the others: what meets at a centre is linked to the least of it
-    large = crowded.where(F.col("n") > bucket)
+    large = crowded.where(F.col("n") > crowd)
     half, odd = radius // 2, radius % 2
     centres = None
     for k, m in enumerate(tables):
@@ -121,7 +154,7 @@ def links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFra
         centres = part if centres is None else centres.unionByName(part)
     least = centres.groupBy("c").agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("m"))
     met = centres.join(least, "c").where("m is not null and fp <> m").select(F.least("fp", "m").alias("u"), F.greatest("fp", "m").alias("v"))
-    return pairs.unionByName(met).distinct()
+    return pairs.unionByName(reached).unionByName(met).distinct()
 
 
 def near_duplicates(documents: DataFrame, radius: int = 2, words: int = 3, seed: int = 42) -> DataFrame:
@@ -133,16 +166,43 @@ def near_duplicates(documents: DataFrame, radius: int = 2, words: int = 3, seed:
     return grouped(stage(fingerprints(documents, words, seed), "simhash"), radius)
 
 
-def grouped(marked: DataFrame, radius: int = 2) -> DataFrame:
-    """``marked`` (``doc_id``, ``fp`` and any more) with ``component_id``."""
+def grouped(marked: DataFrame, radius: int = 2, group: str | None = None) -> DataFrame:
+    """``marked`` (``doc_id``, ``fp`` and any more) with ``component_id``, and in ``group`` the least fingerprint reached."""
     distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     reached = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     named = distinct.join(reached, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(ids, "component").select("fp", "component_id")
+    of_fp = named.join(ids, "component").select("fp", "component_id", *([F.col("component").alias(group)] if group else []))
     return marked.join(of_fp, "fp", "left")
 
 
+def one_of_each(documents: DataFrame, radius: int = 2, words: int = 3, seed: int = 42) -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns.
+
+    It is the row with the least id (null last), then with the least hash of its text; of rows that
+    agree in both any one stays, as they hold the same text. Columns that start with ``_near_`` go.
+    """
+    plain = documents.drop("_near_id", "_near_hash")
+    marked = stage(_marked(plain, words, seed), "simhash")
+    named = grouped(marked.select("doc_id", "fp", "_near_hash"), radius, "_near_group")
+    rank = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_near_hash")
+    least = named.groupBy("_near_group").agg(F.min(rank).alias("k"))
+    kept = least.select(F.col("k.doc_id").alias("_near_id"), F.col("k._near_hash").alias("_near_of"))
+    hashed = plain.withColumn("_near_hash", _text_hash())
+    same = F.col("doc_id").eqNullSafe(F.col("_near_id")) & (F.col("_near_hash") == F.col("_near_of"))
+    chosen = hashed.join(kept, same).drop("_near_id", "_near_of")
+    return chosen.dropDuplicates(["doc_id", "_near_hash"]).drop("_near_hash")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _marked(documents: DataFrame, words: int, seed: int) -> DataFrame:
+    hashed = documents.withColumn("_near_hash", _text_hash())
+    return fingerprints(hashed, words, seed, "_near_hash")
+
+
 def as_hex(fp: str) -> Column:
     """A signed long as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))

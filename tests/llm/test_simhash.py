@@ -47,7 +47,7 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text) == plain_fingerprint(text)
 
 
-@pytest.mark.parametrize("radius", [0, 1, 2, 3])
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 4])
 def test_every_pair_within_the_radius_shares_a_table(radius):
     draw = random.Random(radius)
     tables = simhash.masks(radius)
@@ -56,8 +56,8 @@ def test_every_pair_within_the_radius_shares_a_table(radius):
         assert any(all(not (m >> b) & 1 for b in bits) for m in tables)
 
 
-@pytest.mark.parametrize("radius,bucket", [(1, 4), (2, 32), (2, 2), (3, 2)])
-def test_links_connect_what_all_pairs_connect(spark, rows, radius, bucket):
+@pytest.mark.parametrize("radius,bucket,crowd", [(1, 4, 4), (2, 32, 64), (2, 2, 2), (2, 2, 99), (3, 2, 2), (4, 3, 99)])
+def test_links_connect_what_all_pairs_connect(spark, rows, radius, bucket, crowd):
     draw = random.Random(7)
     centres = [draw.getrandbits(64) for _ in range(6)]
     points = {0}
@@ -71,7 +71,7 @@ def test_links_connect_what_all_pairs_connect(spark, rows, radius, bucket):
     points = sorted(signed(p) for p in points)
     far = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= radius
     expected = plain_components(points, far)
-    found = simhash.links(spark.createDataFrame([(p,) for p in points], "fp long"), radius, bucket)
+    found = simhash.links(spark.createDataFrame([(p,) for p in points], "fp long"), radius, bucket, crowd)
     pairs = [tuple(r) for r in found.collect()]
     assert all(far(a, b) and a < b for a, b in pairs)
     got = dict(rows(components(found)))
@@ -103,3 +103,6 @@ def test_documents(spark, rows):
     expected = [(d, f"{texts[i]:016x}", least[i]) for i, (d, _) in enumerate(data)]
     assert result == sorted(expected, key=lambda r: tuple((v is not None, v) for v in r))
     assert simhash.near_duplicates(frame.limit(0)).count() == 0
+    kept = rows(simhash.one_of_each(frame), "doc_id", "text")
+    assert [d for d, _ in kept] == [None, 2, 4, 7]
+    assert simhash.one_of_each(frame.limit(0)).count() == 0
