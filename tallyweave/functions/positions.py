@@ -25,6 +25,14 @@ def hash_bucket(column: Column, bits: int = 16) -> Column:
     return F.shiftright(column, 64 - bits)
 
 
+def text_bucket(column: str, characters: int = 3) -> Column:
+    """Bucket of a text: the code points of its first characters, which keep the order of texts."""
+    bucket = F.lit(0).cast("long")
+    for i in range(characters):
+        bucket = F.shiftleft(bucket, 21).bitwiseOR(F.ascii(F.substring(column, i + 1, 1)).cast("long"))
+    return bucket
+
+
 def with_positions(
     df: DataFrame,
     keys: Sequence[str],

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tallyweave.functions.batches import scattered
 from tallyweave.functions.columns import seeded_order
+from tallyweave.functions.positions import id_bucket, with_positions
 from tallyweave.schemas import EVENT
 
 N_ANCHORS = 125
@@ -54,9 +55,8 @@ def anchor_sample(classes: DataFrame, n_anchors: int = N_ANCHORS, seed: int = 42
     ranked = classes.withColumn("_rank", F.row_number().over(order))
     # no quota exceeds max(n_anchors, 1): the constant lets each task drop rows before the shuffle
     chosen = ranked.where((F.col("_rank") <= max(n_anchors, 1)) & (F.col("_rank") <= F.col("quota")))
-    # n_anchors plus one per item at most, so one task can number them
-    place = F.row_number().over(Window.orderBy(EVENT)).alias("anchor_pos")
-    return chosen.select(place, EVENT, "class")
+    placed = with_positions(chosen, [], id_bucket(EVENT), [EVENT], "anchor_pos")
+    return placed.select(F.col("anchor_pos").cast("int").alias("anchor_pos"), EVENT, "class")
 
 
 def anchor_shortfall(classes: DataFrame, quotas: DataFrame) -> DataFrame:

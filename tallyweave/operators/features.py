@@ -154,7 +154,8 @@ def padded_slots(steps: DataFrame, tie_breakers: Sequence[str] = (), max_steps:
 
     The length is that of the longest event of the batch unless given. Slots before an event's
     first step are its padding: they are implied, not stored, so one very long event does not blow
-    up all others. ``n_steps`` says how many slots are filled.
+    up all others. ``n_steps`` says how many slots are filled. Where ``max_steps`` is given, an event that
+    is longer keeps its latest steps, and ``n_steps`` counts those.
     """
     return _right_align(with_ages(steps, tie_breakers), steps, max_steps)
 
@@ -176,6 +177,7 @@ def _right_align(aged: DataFrame, steps: DataFrame, max_steps: int | None) -> Da
         length = steps.groupBy(EVENT).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar()
     else:
         length = F.lit(max_steps)
+        aged = aged.where(F.col("age") < max_steps).withColumn("n_steps", F.least("n_steps", F.lit(max_steps)))
     return aged.withColumn("slot", (length - F.col("age")).cast("int")).drop("age")
 
 

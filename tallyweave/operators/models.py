@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
@@ -19,15 +22,17 @@ def fit_scorer(
     features: DataFrame,
     targets: DataFrame,
     weights: DataFrame | None = None,
-    iterations: int = 20,
+    iterations: int = 1000,
     penalty: float = 0.01,
+    tolerance: float = 1e-6,
 ) -> PipelineModel:
     """Fit item probabilities on ``features(event, vector)`` and ``targets(event, item[, weight])``,
     ``vector`` being an ML vector.
 
 
     An event with several items gives one row per item, so its scores sum to 1. ``weights`` holds an
-    extra weight per event.
+    extra weight per event. The fit ends when the objective moves by less than ``tolerance``; if it
+    takes ``iterations`` steps before that, a warning says so. ``fit_steps`` tells the number.
     """
     rows = features.join(targets, EVENT)
     weight = F.col("weight") if "weight" in targets.columns else F.lit(1.0)
@@ -44,24 +49,35 @@ def fit_scorer(
         weightCol="row_weight",
         family="multinomial",
         maxIter=iterations,
+        tol=tolerance,
         regParam=penalty,
     )
-    return Pipeline(stages=[index, model]).fit(training)
+    fitted = Pipeline(stages=[index, model]).fit(training)
+    if fit_steps(fitted) >= iterations:
+        warnings.warn(f"the scorer's fit was still moving after {iterations} steps", stacklevel=2)
+    return fitted
 
 
-# cumulative shares of the Poisson distribution with mean 1 for counts 0, 1, 2, ... (fixed values)
-POISSON_ONE = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
+def fit_steps(model: PipelineModel) -> int:
+    """How many steps the fit of a scorer took."""
+    return model.stages[1].summary.totalIterations
+
+
+DRAW_BITS = 52
 
 
 def bootstrap_weights(events: DataFrame, run: int, seed: int = 42) -> DataFrame:
     """Weight of each event in a repeated run: 1 in run 1, later a Poisson count drawn from a hash of the id.
 
-    The draw depends on seed, run and event only, so it is the same on any partitioning.
+    The draw depends on seed, run and event only, so it is the same on any partitioning. It is the number
+    of cumulative shares, 1/e (1/0! + ... + 1/n!), that a uniform number of DRAW_BITS bits reaches; beyond
+    18 events in a unit the shares differ from 1 by less than such a number can tell.
     """
     if run == 1:
         return events.select(EVENT, F.lit(1.0).alias("weight"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(run), EVENT), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    steps = [(draw >= F.lit(share)).cast("double") for share in POISSON_ONE]
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(run), EVENT), F.lit(1 << DRAW_BITS)) / F.lit(float(1 << DRAW_BITS))
+    shares = accumulate(math.exp(-1) / math.factorial(n) for n in range(19))
+    steps = [(draw >= F.lit(share)).cast("double") for share in shares if share < 1]
     return events.select(EVENT, sum(steps[1:], steps[0]).alias("weight"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.columns import nan_to_null
+from tallyweave.functions.positions import text_bucket, with_positions
 from tallyweave.schemas import EVENT
 
 
@@ -32,23 +33,27 @@ def topk_items(scores: DataFrame, k: int) -> DataFrame:
 
 
 def topk_sparse(scores: DataFrame, events: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """Top ``k`` where items without a stored score count as 0.
-
-    Zero-score items follow the positive ones in item order. An event with ``p < k`` positive scores
-    needs ``k - p`` of them, and at most ``p`` of the first ``k`` items of the catalogue are positive
-    already: those ``k`` items are all that is ever matched with an event, and the first ``2 k``
-    candidates of an event hold its answer. Everything after the first shuffle stays in place.
+    """Top ``k`` where items without a stored score count as 0; stored scores may be negative, zero or NaN.
+
+    Items that count as 0 follow the positive ones in item order, then come the negative ones. The
+    fillers of an event are the first of the catalogue that it has no stored score for. They are
+    found without matching events with the catalogue: of an event's ``s`` stored items that count
+    less than 0 or rank last, those that stand among the catalogue's first are numbered in item order,
+    and each of them moves the later fillers on by one place. An event needs as many fillers as it
+    lacks positive scores, ``k`` at most, so its fillers lie among the first ``k + s`` items.
     """
     keys = _ranking_keys(scores)
-    first = items.select("item_id").distinct().orderBy("item_id").limit(k)
-    numbered = first.withColumn("_place", F.row_number().over(Window.orderBy("item_id")))
-    zeros = (
-        events.select(*keys)
-        .distinct()
-        .select(*keys, F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_place"))
-        .join(F.broadcast(numbered), "_place")
-        .select(*keys, "item_id", F.lit(0.0).alias("score"))
-    )
-    positive = scores.where(F.col("score") > 0).select(*keys, "item_id", "score")
-    candidates = topk_items(positive.unionByName(zeros), 2 * k)
-    return topk_items(candidates.groupBy(*keys, "item_id").agg(F.max("score").alias("score")), k)
+    catalogue = with_positions(items.select("item_id").distinct(), [], text_bucket("item_id"), ["item_id"], "_place")
+    known = scores.select(*keys, "item_id", nan_to_null(F.col("score")).alias("score")).where("score is null or score <> 0")
+    stored = known.join(catalogue, "item_id", "left")
+    # the n-th filler stands at place n + (stored items before it): a stored item at place p with r
+    # stored ones up to it pushes on all fillers from number p - r + 1
+    nth = Window.partitionBy(*keys).orderBy("_place")
+    taken = stored.where("_place is not null").withColumn("_from", F.col("_place") - F.row_number().over(nth) + 1)
+    pushed = F.array(*[F.count_if(F.col("_from") <= n) for n in range(1, k + 1)])
+    pushes = taken.groupBy(*keys).agg(pushed.alias("_pushed"))
+    wanted = events.select(*keys).distinct().join(pushes, keys, "left")
+    number = F.posexplode(F.coalesce("_pushed", F.array_repeat(F.lit(0).cast("long"), k))).alias("_n", "_by")
+    fillers = wanted.select(*keys, number).select(*keys, (F.col("_n") + 1 + F.col("_by")).alias("_place"))
+    zeros = fillers.join(catalogue, "_place").select(*keys, "item_id", F.lit(0.0).alias("score"))
+    return topk_items(known.select(*keys, "item_id", "score").unionByName(zeros), k)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.columns import half_even_share
-from tallyweave.functions.positions import id_bucket, with_positions
+from tallyweave.functions.positions import id_bucket, with_positions, with_running_sum
 from tallyweave.schemas import EVENT
 
 
@@ -37,9 +37,21 @@ def validation_split(
     """Mark the last ``ceil(tail * n)`` rows in event order.
 
     ``order`` starts with the event id and must be unique over the rows; later columns order the
-    rows of one event. No row count, id or row passes through the driver.
+    rows of one event, the second being a whole number. A row's rank is the number of rows of earlier
+    events and its place in its own event, which is numbered in blocks of that second column, so no
+    task holds all rows of a hot event. No row count, id or row passes through the driver.
     """
-    ranked = with_positions(rows, [], id_bucket(order[0]), list(order), "_rank", total="_total")
+    if len(order) == 1:
+        ranked = with_positions(rows, [], id_bucket(order[0]), list(order), "_rank", total="_total")
+    else:
+        event, number = order[0], F.coalesce(F.col(order[1]), F.lit(-2_147_483_648))
+        counts = rows.groupBy(event).agg(F.count(F.lit(1)).alias("_n"))
+        before = with_running_sum(counts, [], id_bucket(event), [event], F.col("_n"), "_before").drop("_n")
+        inside = with_positions(rows, [event], F.floor(number / F.lit(4096)).cast("long"), list(order[1:]), "_inside")
+        total = rows.agg(F.count(F.lit(1))).scalar()
+        ranked = inside.join(before, event).select(
+            *rows.columns, (F.col("_before") + F.col("_inside")).alias("_rank"), total.alias("_total")
+        )
     # sizes are products of a count and a decimal share: take the ceiling of the same double product
     held = F.ceil(F.col("_total") * F.lit(float(tail)))
     return ranked.withColumn(name, F.col("_rank") > F.col("_total") - held).drop("_rank", "_total")

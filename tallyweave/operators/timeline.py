@@ -67,8 +67,15 @@ def missing_modality(timeline: DataFrame, modality: str) -> DataFrame:
 
 
 def event_spine(timeline: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every event of the timeline with its rows, or one row of nulls."""
-    return timeline.select(EVENT).distinct().join(rows, EVENT, "left")
+    """Every event of the timeline with its rows, or one row of nulls.
+
+    Matched and unmatched rows apart, as in ``attach``: the rows of a hot event stay where they are.
+    """
+    events = timeline.select(EVENT).distinct()
+    matched = rows.join(events, EVENT, "left_semi")
+    unmatched = events.join(rows.select(EVENT).distinct(), EVENT, "left_anti")
+    columns = [EVENT, *[c for c in rows.columns if c != EVENT]]
+    return matched.select(*columns).unionByName(unmatched, allowMissingColumns=True)
 
 
 def keyword_timeline(

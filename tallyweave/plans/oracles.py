@@ -195,7 +195,7 @@ word_empty AS (
 
 _ANCHORS = """,
 quota AS (
-  SELECT item_id, CAST(greatest(round_even(count(*) / CAST((SELECT count(*) FROM train_labels) AS DOUBLE) * 10, 0), 1)
+  SELECT item_id, CAST(greatest(round_even(count(*) / CAST((SELECT count(*) FROM train_labels) AS DOUBLE) * 125, 0), 1)
                        AS BIGINT) AS quota
   FROM train_labels GROUP BY item_id),
 candidates AS (

@@ -125,9 +125,8 @@ def _steps(w: Workbench, part: str) -> DataFrame:
 
 def _any_step(w: Workbench, part: str) -> DataFrame:
     """Features of an event in any of its steps, as one 0/1 vector."""
-    places = _steps(w, part).groupBy(EVENT).agg(
-        F.array_distinct(F.flatten(F.collect_set("positions"))).alias("_on")
-    )
+    single = _steps(w, part).select(EVENT, F.explode_outer("positions").alias("_at"))
+    places = single.groupBy(EVENT).agg(F.collect_set("_at").alias("_on"))
     width = w.width(w.intersection_vocabulary())
     return places.select(EVENT, I.dense_ones(F.col("_on"), width).alias("x"))
 

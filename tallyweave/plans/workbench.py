@@ -24,7 +24,7 @@ from tallyweave.schemas import EVENT
 from tallyweave.sources.fixture import RUNS, Tables, tables
 from tallyweave.state import stage
 
-N_ANCHORS = 10  # the test tables hold few candidates
+N_ANCHORS = A.N_ANCHORS
 ACTION_KEYS = [EVENT, "session_id", "action_number"]
 KEYWORD_KEYS = [EVENT, "conversation_id", "session_id", "number"]
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,20 +12,47 @@ from tallyweave import schemas
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """One CSV file, a folder of shards or a list of them, read as one table."""
-    return spark.read.schema(schema).csv(path, header=True)
+    """One CSV file, a folder of shards or a list of them, read as one table by the names in their headers.
 
+    Each file may hold the columns in an order of its own and further columns; a column that a file
+    lacks raises. Quotes inside a quoted value are doubled. Whole numbers may be written as floats
+    (``12.0``, ``1e3``); an empty value is null, and any other text in a number column raises. Headers
+    take one small job per file; files with the same header are read together.
+    """
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(spark.read.text(path).inputFiles()):
+        by_header.setdefault(tuple(_reader(spark).csv(file).columns), []).append(file)
+    parts = [_by_name(spark, header, files, schema) for header, files in by_header.items()]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+
+def _reader(spark: SparkSession) -> DataFrameReader:
+    return spark.read.options(header=True, quote='"', escape='"', mode="FAILFAST", enforceSchema=False)
 
-def read_users(spark: SparkSession, path: str) -> DataFrame:
-    """The timeline. Ids with gaps are often stored as floats (``12.0``), so they pass through DOUBLE-safe casts."""
-    raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schemas.USERS.fields])
-    text = read_csv(spark, path, raw)
-    return text.select(*[_integer_text(f.name, f.dataType) for f in schemas.USERS.fields])
 
+def _by_name(spark: SparkSession, header: tuple[str, ...], files: list[str], schema: T.StructType) -> DataFrame:
+    missing = [f.name for f in schema.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"{files[0]} has no column {', '.join(missing)}")
+    # fractions are left to the parser; ids and counts come as text, to be read exactly
+    kinds = {f.name: f.dataType for f in schema.fields if isinstance(f.dataType, T.FractionalType)}
+    raw = T.StructType([T.StructField(name, kinds.get(name, T.StringType())) for name in header])
+    rows = _reader(spark).schema(raw).csv(files)
+    return rows.select(*[_whole(f.name, f.dataType) if isinstance(f.dataType, T.IntegralType) else F.col(f.name) for f in schema.fields])
 
-def _integer_text(name: str, data_type: T.DataType):
-    whole = F.regexp_replace(F.trim(F.col(name)), r"\.0+$", "")
-    return F.when(whole.rlike(r"^-?\d+$"), whole).try_cast(data_type).alias(name)
+
+def _whole(name: str, kind: T.DataType) -> Column:
+    """The column's text as a whole number; a text that is none raises when the row is read."""
+    text = F.trim(F.col(name))
+    exact = text.try_cast("decimal(38,10)")
+    value = F.when(exact == F.floor(exact), F.floor(exact)).try_cast(kind)
+    wrong = F.raise_error(F.concat(F.lit(f"{name} is no {kind.simpleString()}: "), text)).cast(kind)
+    return F.when(text != "", F.coalesce(value, wrong)).alias(name)
+
+
+def read_users(spark: SparkSession, path: str) -> DataFrame:
+    """The timeline."""
+    return read_csv(spark, path, schemas.USERS)
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
