@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.state import stage
 
-SHARD = 4096
+SHARD = 2048
 REMEMBERED = 400_000
 #: Above it, letters may change with their surroundings in lower case or normal form.
 LATIN_END = "\u0250"

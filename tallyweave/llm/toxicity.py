@@ -196,7 +196,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", usable: C
     drawn = hash_share("doc_id", seed=settings.seed)
     chosen = known.where(drawn < F.when(F.col("y") == 1, share[1.0]).otherwise(share[0.0]))
     near = texts_of(documents).where(usable & (drawn < max(share.values())))
-    sample = near.join(chosen, "doc_id").select("text", "y").coalesce(1)
+    sample = near.join(chosen, "doc_id").select("text", "y").repartition(1)
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = pd.concat([*frames, pd.DataFrame({"text": pd.Series([], dtype=object), "y": pd.Series([], dtype=float)})])
