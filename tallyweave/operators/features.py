@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.functions.positions import hash_bucket, with_positions
+from tallyweave.functions.columns import seeded_order
+from tallyweave.functions.positions import with_positions
 from tallyweave.schemas import EVENT
 from tallyweave.state import stage
 
@@ -163,13 +164,16 @@ def padded_slots(steps: DataFrame, tie_breakers: Sequence[str] = (), max_steps:
 def shuffled_slots(
     steps: DataFrame, seed: int, tie_breakers: Sequence[str] = (), max_steps: int | None = None
 ) -> DataFrame:
-    """As ``padded_slots``, but the steps of an event in a seeded random order."""
-    columns = [EVENT, "event_number", *tie_breakers]
-    hashed = steps.withColumn("_hash", F.xxhash64(F.lit(seed), *columns))
-    placed = with_positions(
-        hashed, [EVENT], hash_bucket(F.col("_hash")), ["_hash", *columns], "_position", total="n_steps"
-    )
-    return _right_align(_aged(placed).drop("_hash"), steps, max_steps)
+    """As ``padded_slots``, but the steps of an event in a seeded pseudo-random order.
+
+    ``tie_breakers`` are whole numbers; they and the event number tell steps apart. The order is that of
+    the portable generator, applied twice so that small numbers part too; any engine can repeat it.
+    """
+    told = sum((F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in ("event_number", *tie_breakers)), F.lit(7_919 * seed))
+    drawn = steps.withColumn("_drawn", seeded_order(seeded_order(told, seed), seed))
+    order = ["_drawn", "event_number", *tie_breakers]
+    placed = with_positions(drawn, [EVENT], F.shiftright("_drawn", 15), order, "_position", total="n_steps")
+    return _right_align(_aged(placed).drop("_drawn"), steps, max_steps)
 
 
 def _right_align(aged: DataFrame, steps: DataFrame, max_steps: int | None) -> DataFrame:

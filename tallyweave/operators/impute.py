@@ -152,15 +152,23 @@ def generate(rows: DataFrame, fitted: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "x").mapInPandas(predict, schema)
 
 
-def step_vectors(steps: DataFrame, width: int, n_steps: int) -> DataFrame:
-    """The last ``n_steps`` steps of each event as one 0/1 vector, latest first."""
-    recent = with_ages(steps, ["session_id"]).where(F.col("age") < n_steps)
-    offsets = F.transform("positions", lambda p: (F.col("age") * width + p).cast("int"))
-    return (
-        recent.groupBy(EVENT)
-        .agg(F.flatten(F.collect_list(offsets)).alias("_on"))
-        .select(EVENT, dense_ones(F.col("_on"), width * n_steps).alias("y"))
-    )
+def step_place(age: Column) -> Column:
+    """Where a step stands, as one number: 1 for the last step, then 1/2, 1/3 and so on."""
+    return F.lit(1.0) / (age + F.lit(1))
+
+
+def step_pairs(events: DataFrame, steps: DataFrame, width: int) -> DataFrame:
+    """All steps of ``events(event, x)``, one row each: ``x`` with the step's place added, ``y`` its 0/1 features."""
+    aged = with_ages(steps, ["session_id"])
+    rows = events.join(aged, EVENT)
+    x = F.concat(F.col("x").cast("array<double>"), F.array(step_place(F.col("age"))))
+    return rows.select(EVENT, "age", x.alias("x"), dense_ones(F.col("positions"), width).alias("y"))
+
+
+def length_pairs(events: DataFrame, steps: DataFrame) -> DataFrame:
+    """Events with their number of steps as ``y``."""
+    counts = steps.groupBy(EVENT).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    return events.join(counts, EVENT).select(EVENT, "x", F.array("_n").alias("y"))
 
 
 def dense_ones(positions: Column, width: int) -> Column:
@@ -173,22 +181,66 @@ def dense_ones(positions: Column, width: int) -> Column:
     return scatter(positions)
 
 
-def generated_steps(generated: DataFrame, vocabulary: DataFrame, width: int, steps: int) -> DataFrame:
-    """Sessions read off generated scores: a feature is on from 0.5, steps without one are dropped and
-    the others renumbered from the earliest. An event whose steps are all empty keeps no step."""
+def fit_discriminant(pairs: DataFrame, ridge: float = 1.0) -> DataFrame:
+    """Log-odds of each 0/1 target: ``row, coefficients`` as in ``fit_generator``.
+
+    A linear discriminant from the same sums: the means of the rows with and without a feature, one
+    covariance within both, and the share of rows with it. A feature of all rows, or of none, gets
+    log-odds that don't depend on ``x``.
+    """
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        moments = stacked(rows.sort_values("row")["sums"])
+        inputs = len(moments) - 1
+        square, sums, n = moments[:inputs, :inputs], moments[:inputs, inputs], moments[inputs, inputs]
+        with_it, count = moments[:inputs, inputs + 1 :], moments[inputs, inputs + 1 :]
+        found = np.zeros((inputs + 1, len(count)))
+        for j, ones in enumerate(count):
+            zeros = n - ones
+            prior = np.log((ones + 0.5) / (zeros + 0.5))
+            if not ones or not zeros:
+                found[inputs, j] = prior
+                continue
+            mean_1, mean_0 = with_it[:, j] / ones, (sums - with_it[:, j]) / zeros
+            within = square - ones * np.outer(mean_1, mean_1) - zeros * np.outer(mean_0, mean_0)
+            slope = np.linalg.solve((within + ridge * np.eye(inputs)) / n, mean_1 - mean_0)
+            found[:inputs, j] = slope
+            found[inputs, j] = prior - slope @ (mean_1 + mean_0) / 2
+        return pd.DataFrame({"row": np.arange(inputs + 1), "coefficients": list(found)})
+
+    return generator_moments(pairs).groupBy().applyInPandas(solve, COEFFICIENTS)
+
+
+def generate_steps(
+    events: DataFrame, features: DataFrame, lengths: DataFrame, longest: int, vocabulary: DataFrame
+) -> DataFrame:
+    """Sessions of ``events(event, x)``: as many steps as the fitted length says, each with the features
+    whose fitted probability is at least one half.
+
+    ``features`` is fitted on step pairs, ``lengths`` on length pairs; a length is rounded and lies
+    between 1 and ``longest``, the longest event of the fit.
+    """
+    told = generate(events, lengths, [EVENT])
+    n = F.least(F.greatest(F.round(F.col("y")[0]).cast("int"), F.lit(1)), F.lit(longest))
+    ages = told.select(EVENT, F.explode(F.sequence(F.lit(0), n - 1)).alias("age"))
+    x = F.concat(F.col("x").cast("array<double>"), F.array(step_place(F.col("age"))))
+    odds = generate(events.join(ages, EVENT).select(EVENT, "age", x.alias("x")), features, [EVENT, "age"])
+    return generated_steps(odds.select(EVENT, "age", F.transform("y", lambda v: 1 / (1 + F.exp(-v))).alias("y")), vocabulary)
+
+
+def generated_steps(generated: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Sessions read off probabilities ``y`` by event and ``age``: a feature is on from 0.5, steps without
+    one are dropped and the others renumbered from the earliest. An event whose steps are all empty
+    keeps no step."""
     on = F.filter(
         F.transform("y", lambda v, i: F.when(v >= 0.5, i)), lambda i: i.isNotNull()
     )
-    hits = generated.select(EVENT, F.explode(on).alias("_at")).select(
-        EVENT,
-        (F.lit(steps) - F.floor(F.col("_at") / width)).cast("int").alias("_step"),
-        (F.col("_at") % width).cast("int").alias("position"),
-    )
+    hits = generated.select(EVENT, "age", F.explode(on).alias("position"))
     rows = hits.join(vocabulary.select("position", "feature"), "position")
-    packed = rows.groupBy(EVENT, "_step").agg(
+    packed = rows.groupBy(EVENT, "age").agg(
         F.array_sort(F.collect_list(F.struct("position", "feature"))).alias("_f")
     )
-    order = F.row_number().over(Window.partitionBy(EVENT).orderBy("_step"))
+    order = F.row_number().over(Window.partitionBy(EVENT).orderBy(F.col("age").desc()))
     return packed.select(
         EVENT,
         order.alias("event_number"),

@@ -210,8 +210,12 @@ def keyword_timeline(w: Workbench) -> DataFrame:
 
 @plan
 def keyword_features(w: Workbench) -> DataFrame:
-    steps = FE.keyword_features(w.keywords("test"), w.keyword_vocabulary())
-    return FE.long_features(steps, [EVENT, "event_number", "conversation_id", "session_id", "conversation_ind"])
+    def part(name: str) -> DataFrame:
+        steps = FE.keyword_features(w.keywords(name), w.keyword_vocabulary()).withColumn("part", F.lit(name))
+        keys = [EVENT, "event_number", "conversation_id", "session_id", "conversation_ind", "part"]
+        return FE.long_features(steps, keys)
+
+    return part("train").unionByName(part("test"))
 
 
 # --- embeddings and joint features -----------------------------------------------------------

@@ -367,6 +367,20 @@ _BODIES: dict[str, tuple[str, str]] = {
         _ACTIONS,
         "SELECT purchase_event_id, slot, n_steps, feature FROM slot_features WHERE is_train",
     ),
+    "shuffled_sequences": (
+        _ACTIONS
+        + """, drawn AS (
+          SELECT *, (((7919 * 42 + coalesce(event_number, 0) + coalesce(session_id, 0)) % 2147483647 * 48271 + 42) % 2147483647
+                     * 48271 + 42) % 2147483647 AS d
+          FROM steps WHERE is_train),
+        dealt AS (
+          SELECT *, count(*) OVER (PARTITION BY purchase_event_id) AS n_steps,
+                 row_number() OVER (PARTITION BY purchase_event_id ORDER BY d, event_number NULLS FIRST, session_id NULLS FIRST) AS p
+          FROM drawn)""",
+        """SELECT d.purchase_event_id, (SELECT max(n_steps) FROM dealt) - n_steps + p AS slot, n_steps, h.feature
+           FROM dealt d JOIN hot h ON h.purchase_event_id = d.purchase_event_id
+                AND h.session_id IS NOT DISTINCT FROM d.session_id AND h.event_number IS NOT DISTINCT FROM d.event_number""",
+    ),
     "session_slots": (
         _ACTIONS,
         "SELECT purchase_event_id, slot, n_steps, feature FROM slot_features WHERE NOT is_train",
@@ -384,12 +398,17 @@ _BODIES: dict[str, tuple[str, str]] = {
     "keyword_features": (
         _KEYWORDS,
         """SELECT purchase_event_id, event_number, conversation_id, session_id,
-                  CAST(session_id IS NULL AS BIGINT) AS conversation_ind, feature
-           FROM word_kept WHERE purchase_event_id >= (SELECT id FROM cut)
+                  CAST(session_id IS NULL AS BIGINT) AS conversation_ind, feature,
+                  CASE WHEN purchase_event_id < (SELECT id FROM cut) THEN 'train' ELSE 'test' END AS part
+           FROM word_kept
            UNION ALL
            SELECT DISTINCT purchase_event_id, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 1,
-                  CASE WHEN (SELECT yes FROM word_empty) THEN '' END
-           FROM test WHERE purchase_event_id NOT IN (SELECT purchase_event_id FROM word_kept)""",
+                  CASE WHEN (SELECT yes FROM word_empty) THEN '' END, 'test'
+           FROM test WHERE purchase_event_id NOT IN (SELECT purchase_event_id FROM word_kept)
+           UNION ALL
+           SELECT DISTINCT purchase_event_id, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 1, '', 'train'
+           FROM both_rows WHERE purchase_event_id < (SELECT id FROM cut)
+             AND purchase_event_id NOT IN (SELECT purchase_event_id FROM word_kept)""",
     ),
     "event_embedding": (
         _VECTORS,
@@ -472,17 +491,18 @@ _BODIES: dict[str, tuple[str, str]] = {
         _ACTIONS
         + _VECTORS
         + _GENERATOR
-        + """, xs AS (SELECT purchase_event_id, pos AS c, value AS v FROM event_pos
-                      UNION ALL SELECT purchase_event_id, 64, 1.0 FROM both_ids),
-        ys AS (SELECT purchase_event_id, c, v FROM xs
+        + """, xs AS (SELECT purchase_event_id, age, pos AS c, value AS v FROM event_pos JOIN recent USING (purchase_event_id)
+                      UNION ALL SELECT purchase_event_id, age, 64, 1.0 / (age + 1) FROM recent
+                      UNION ALL SELECT purchase_event_id, age, 65, 1.0 FROM recent),
+        ys AS (SELECT purchase_event_id, age, c, v FROM xs
                UNION ALL
-               SELECT p.purchase_event_id, 65 + r.age * (SELECT n FROM width) + k.position, 1.0
+               SELECT DISTINCT p.purchase_event_id, r.age, 66 + k.position, 1.0
                FROM recent r JOIN pair_all p ON p.purchase_event_id = r.purchase_event_id
-                    AND p.session_id IS NOT DISTINCT FROM r.session_id JOIN pair_class k USING (feature)
-               WHERE r.age < 3),
-        sums AS (SELECT x.c AS r, y.c AS c, sum(x.v * y.v) AS v FROM xs x JOIN ys y USING (purchase_event_id) GROUP BY 1, 2)""",
+                    AND p.session_id IS NOT DISTINCT FROM r.session_id
+                    AND p.event_number IS NOT DISTINCT FROM r.event_number JOIN pair_class k USING (feature)),
+        sums AS (SELECT x.c AS r, y.c AS c, sum(x.v * y.v) AS v FROM xs x JOIN ys y USING (purchase_event_id, age) GROUP BY 1, 2)""",
         f"""SELECT r.i AS row, c.i AS "column", {_r('coalesce(s.v, 0.0)', 'value')}
-            FROM range(65) r(i) CROSS JOIN (SELECT unnest(range((SELECT 65 + 3 * n FROM width))) AS i) c
+            FROM range(66) r(i) CROSS JOIN (SELECT unnest(range((SELECT 66 + n FROM width))) AS i) c
             LEFT JOIN sums s ON s.r = r.i AND s.c = c.i""",
     ),
     "item_labels": ("", "SELECT purchase_event_id, item_id FROM purchase_events"),

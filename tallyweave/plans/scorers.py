@@ -40,7 +40,6 @@ from tallyweave.schemas import EVENT
 from tallyweave.sources.fixture import EMBEDDING_WIDTH, RUNS
 from tallyweave.state import stage
 
-GENERATED_STEPS = 3
 GENERATOR_RIDGE = 1.0
 
 
@@ -91,6 +90,13 @@ def joint_vectors(w: Workbench, part: str) -> DataFrame:
     return _side_by_side(w, w.event_embeddings(part), clicks, vocabulary, f"joint-vectors-{part}")
 
 
+def student_vectors(w: Workbench, part: str) -> DataFrame:
+    """As ``joint_vectors``, with the vocabulary of the intersection events that the student learns from."""
+    vocabulary = w.intersection_vocabulary()
+    clicks = _pooled(w, _steps(w, part), vocabulary, ("session_id",))
+    return _side_by_side(w, w.event_embeddings(part), clicks, vocabulary, f"student-vectors-{part}")
+
+
 def relative_vectors(w: Workbench, part: str) -> DataFrame:
     steps = A.relative_timeline(w.relative_conversations(part), w.relative_sessions(part))
     step = F.concat("relative", F.array(F.col("conversation_ind").cast("double")))
@@ -142,9 +148,8 @@ def conversation_pairs(w: Workbench) -> DataFrame:
 
 
 def session_pairs(w: Workbench) -> DataFrame:
-    width = w.width(w.intersection_vocabulary())
-    clicks = I.step_vectors(_steps(w, "intersection"), width, GENERATED_STEPS)
-    return _embedded(w, "intersection").join(clicks, EVENT)
+    """All steps of the intersection events with their event's embedding."""
+    return I.step_pairs(_embedded(w, "intersection"), _steps(w, "intersection"), w.width(w.intersection_vocabulary()))
 
 
 def conversation_generator(w: Workbench) -> DataFrame:
@@ -152,7 +157,12 @@ def conversation_generator(w: Workbench) -> DataFrame:
 
 
 def session_generator(w: Workbench) -> DataFrame:
-    return w.keep("generator-session", lambda: I.fit_generator(session_pairs(w), GENERATOR_RIDGE))
+    return w.keep("generator-session", lambda: I.fit_discriminant(session_pairs(w), GENERATOR_RIDGE))
+
+
+def length_generator(w: Workbench) -> DataFrame:
+    pairs = I.length_pairs(_embedded(w, "intersection"), _steps(w, "intersection"))
+    return w.keep("generator-length", lambda: I.fit_generator(pairs, GENERATOR_RIDGE))
 
 
 def generated_conversations(w: Workbench, part: str) -> DataFrame:
@@ -168,9 +178,8 @@ def generated_sessions(w: Workbench, part: str) -> DataFrame:
     generator = session_generator(w)
     lacking = TL.missing_modality(w.timeline(part), "session")
     rows = _embedded(w, part).join(lacking, EVENT, "left_semi")
-    vocabulary = w.intersection_vocabulary()
-    generated = I.generate(rows, generator, [EVENT])
-    return I.generated_steps(generated, vocabulary, w.width(vocabulary), GENERATED_STEPS)
+    longest = _steps(w, "intersection").groupBy(EVENT).count().agg(F.max("count")).first()[0] or 1
+    return I.generate_steps(rows, generator, length_generator(w), longest, w.intersection_vocabulary())
 
 
 def generated_vectors(w: Workbench, part: str) -> DataFrame:
@@ -186,8 +195,8 @@ def generated_vectors(w: Workbench, part: str) -> DataFrame:
 
 
 def _model(w: Workbench, vectors, weights: DataFrame | None = None) -> PipelineModel:
-    """The scorer fitted on the train part, shared by the queries that use it."""
-    label = vectors.__name__
+    """The scorer fitted on the train part, shared by the queries that use it, weighted or not."""
+    label = vectors.__name__ + ("" if weights is None else "-weighted")
     if label not in w.models:
         w.models[label] = fit_scorer(vectors(w, "train"), w.labels("train"), weights)
     return w.models[label]
@@ -239,9 +248,9 @@ def _distilled(w: Workbench) -> DataFrame:
         ]
         targets = fusion.distillation_targets(w.labels("intersection"), *teachers)
         blended = distilled_targets(targets, distillation_weights(w.types("train")))
-        student = fit_scorer(joint_vectors(w, "intersection"), stage(blended, "student-targets"))
+        student = fit_scorer(student_vectors(w, "intersection"), stage(blended, "student-targets"))
         both = w.types("test").where(F.col("event") == "intersection")
-        return score_items(student, TL.restrict(joint_vectors(w, "test"), both))
+        return score_items(student, TL.restrict(student_vectors(w, "test"), both))
 
     return w.keep("scores-distilled", make)
 

@@ -57,18 +57,46 @@ def test_generated_steps_threshold_drop_and_renumber(spark, rows):
     vocabulary = spark.createDataFrame([("a", 0), ("b", 1)], "feature string, position int")
     # three steps, latest first: (a at exactly one half), (nothing), (a and b)
     generated = spark.createDataFrame(
-        [(1, [0.5, 0.49, 0.0, 0.1, 0.9, 0.7]), (2, [0.1] * 6)], "purchase_event_id long, y array<double>"
+        [(1, 0, [0.5, 0.49]), (1, 1, [0.0, 0.1]), (1, 2, [0.9, 0.7]), (2, 0, [0.1] * 2)],
+        "purchase_event_id long, age int, y array<double>",
     )
-    steps = I.generated_steps(generated, vocabulary, width=2, steps=3)
+    steps = I.generated_steps(generated, vocabulary)
     assert rows(steps) == [(1, 1, ["a", "b"], [0, 1]), (1, 2, ["a"], [0])]
 
 
-def test_step_vectors_hold_the_last_steps(spark, rows):
+def test_step_pairs_hold_every_step(spark, rows):
     steps = spark.createDataFrame(
         [(1, 1, 7, [0]), (1, 2, 8, [1]), (1, 3, 9, [0, 1]), (2, 3, 9, [])],
         "purchase_event_id long, event_number int, session_id long, positions array<int>",
     )
-    assert rows(I.step_vectors(steps, width=2, n_steps=2)) == [(1, [1.0, 1.0, 0.0, 1.0]), (2, [0.0] * 4)]
+    events = spark.createDataFrame([(1, [5.0]), (2, [6.0])], "purchase_event_id long, x array<double>")
+    assert rows(I.step_pairs(events, steps, width=2)) == [
+        (1, 0, [5.0, 1.0], [1.0, 1.0]),
+        (1, 1, [5.0, 0.5], [0.0, 1.0]),
+        (1, 2, [5.0, 1 / 3], [1.0, 0.0]),
+        (2, 0, [6.0, 1.0], [0.0, 0.0]),
+    ]
+    assert rows(I.length_pairs(events, steps)) == [(1, [5.0], [3.0]), (2, [6.0], [1.0])]
+
+
+def test_sessions_are_generated_where_the_data_can_be_learnt(spark, rows):
+    rng = np.random.default_rng(3)
+    vocabulary = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "feature string, position int")
+    events, steps = [], []
+    for event in range(200):
+        kind = event % 2
+        events.append((event, [float(kind) + rng.normal() * 0.1, rng.normal()]))
+        # kind 0: three steps of a, the last one with c; kind 1: one step of b
+        for number in range(1, 4 if kind == 0 else 2):
+            steps.append((event, number, number, [1] if kind else [0, 2] if number == 3 else [0]))
+    frame = spark.createDataFrame(events, "purchase_event_id long, x array<double>")
+    schema = "purchase_event_id long, event_number int, session_id long, positions array<int>"
+    told = spark.createDataFrame(steps, schema)
+    features = I.fit_discriminant(I.step_pairs(frame, told, 3))
+    lengths = I.fit_generator(I.length_pairs(frame, told))
+    fresh = spark.createDataFrame([(900, [0.0, 0.3]), (901, [1.0, -0.2])], "purchase_event_id long, x array<double>")
+    found = rows(I.generate_steps(fresh, features, lengths, 3, vocabulary), "purchase_event_id", "event_number", "features")
+    assert found == [(900, 1, ["a"]), (900, 2, ["a"]), (900, 3, ["a", "c"]), (901, 1, ["b"])]
 
 
 def test_staged_entries_read_back_as_sparse_vectors(spark):

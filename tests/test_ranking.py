@@ -174,3 +174,24 @@ def test_curve_has_a_column_per_type(spark):
     )
     row = M.map_by_k(types, found, [1], [1]).first()
     assert (row["session"], row["union"], row["conversation"]) == (0.5, 0.5, None)
+
+
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_sparse_top_k_equals_dense_with_any_scores(spark, rows, k):
+
+    draw = random.Random(k)
+    items = [f"i{n:02d}" for n in range(12)]
+    scores, dense = [], []
+    for event in range(60):
+        for item in items:
+            score = draw.choice([None, None, -2.0, -1.0, 0.0, 1.0, 2.0, float("nan")])
+            if score is not None:
+                scores.append((event, item, score))
+            dense.append((event, item, 0.0 if score is None else score))
+    schema = "purchase_event_id long, item_id string, score double"
+    events = spark.range(60).withColumnRenamed("id", "purchase_event_id")
+    catalogue = spark.createDataFrame([(i,) for i in items], "item_id string")
+    sparse = R.topk_sparse(spark.createDataFrame(scores, schema), events, catalogue, k)
+    expected = R.topk_items(spark.createDataFrame(dense, schema), k)
+    columns = ("purchase_event_id", "item_id", "score", "rank")
+    assert rows(sparse, *columns) == rows(expected, *columns)

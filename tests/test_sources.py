@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyweave import state
@@ -31,6 +32,47 @@ def test_comma_lists_and_missing_lists(spark, rows, tmp_path):
     assert rows(S.read_conversations_keyword(spark, path)) == [(5, 1, "user", "x,y")]
 
 
+HEADER = "user_id,purchase_event_id,conversation_id,session_id,event_number"
+
+
+def test_columns_are_read_by_name(spark, rows, tmp_path):
+    path = _write(tmp_path / "u.csv", "purchase_event_id,extra,user_id,event_number,session_id,conversation_id\n7,x,1,1,,5\n")
+    assert rows(S.read_users(spark, path)) == [(1, 7, 5, None, 1)]
+    lacking = _write(tmp_path / "l.csv", "user_id,purchase_event_id\n1,2\n")
+    with pytest.raises(ValueError, match="no column conversation_id"):
+        S.read_users(spark, lacking)
+
+
+def test_every_shard_has_its_own_order(spark, rows, tmp_path):
+    shards = tmp_path / "shards"
+    shards.mkdir()
+    _write(shards / "e_1.csv", "conversation_id,sentence_number,sentence_speaker,embedding_1,embedding_2\n1,1.0,user,0.5,2\n")
+    _write(shards / "e_2.csv", "embedding_2,embedding_1,sentence_speaker,sentence_number,conversation_id\n4,3,agent,1,2\n")
+    found = S.read_conversations_embedding(spark, str(shards), width=2)
+    assert rows(found) == [(1, 1, "user", [0.5, 2.0]), (2, 1, "agent", [3.0, 4.0])]
+    both = [str(shards / "e_1.csv"), str(shards / "e_2.csv")]
+    assert rows(S.read_conversations_embedding(spark, both, width=2)) == rows(found)
+
+
+def test_doubled_quotes(spark, rows, tmp_path):
+    path = _write(tmp_path / "s.csv", 'session_id,action_number,action_tags\n1,1,"x ""q"",y"\n')
+    assert rows(S.read_sessions(spark, path)) == [(1, 1, 'x "q",y')]
+
+
+@pytest.mark.parametrize("text", ["12.5", "x", "1e40", "12,3,4,5,6,7"])
+def test_a_bad_number_raises(spark, tmp_path, text):
+    path = _write(tmp_path / "u.csv", f"{HEADER}\n1,{text},,3,1\n")
+    with pytest.raises(Exception):  # noqa: B017 - Spark's own kinds, by the place that notices
+        S.read_users(spark, path).collect()
+
+
+def test_floats_that_are_whole(spark, rows, tmp_path):
+    path = _write(tmp_path / "u.csv", f"{HEADER}\n1.0,1e+3,1e16,,2\n")
+    assert rows(S.read_users(spark, path)) == [(1, 1000, 10**16, None, 2)]
+    sessions = _write(tmp_path / "s.csv", "session_id,action_number,action_tags\n1.0,2.0,a\n")
+    assert rows(S.read_sessions(spark, sessions)) == [(1, 2, "a")]
+
+
 def test_items_stay_text(spark, rows, tmp_path):
     path = _write(tmp_path / "p.csv", "purchase_event_id,item_id\n0,007\n0,10;2\n")
     assert rows(S.read_purchase_events(spark, path)) == [(0, "007"), (0, "10;2")]
