@@ -32,7 +32,7 @@ SPREAD = np.uint64(0x9E3779B97F4A7C15)
 class Settings:
     """``sample``: labelled documents of each label that the fit reads at most, about."""
 
-    sample: int = 2_000
+    sample: int = 1_500
     rows: int = 1 << 18
     width: int = 8
     span: int = 2
@@ -61,7 +61,7 @@ def grams_of(text: str, rows: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Row of each n-gram, the word it is from, and the number of words. A word is told apart by white space."""
     words = text.lower().split()
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), 0
     raw = np.frombuffer(" ".join(["", *words, ""]).encode(), np.uint8)
     blank = raw == MARK
     number = np.cumsum(blank) - 1  # of the word that a mark opens and its bytes
@@ -76,8 +76,8 @@ def grams_of(text: str, rows: int) -> tuple[np.ndarray, np.ndarray, int]:
             inner = blanks[n - 1 : len(raw)] - blanks[1 : len(raw) - n + 2]  # marks strictly inside
             at = np.flatnonzero((inner == 0) & ~((n == 2) & blank[: len(inner)]))
             value = hashed[at] * SPREAD + np.uint64(n)
-            found.append(((value ^ (value >> np.uint64(29))) % np.uint64(rows)).astype(np.int64))
-            owner.append(number[at])
+            found.append(((value ^ (value >> np.uint64(29))) % np.uint64(rows)).astype(np.int32))
+            owner.append(number[at].astype(np.int32))
     return np.concatenate(found), np.concatenate(owner), len(words)
 
 
@@ -109,25 +109,31 @@ class _Bags:
 
     def __init__(self, texts: list[str], settings: Settings):
         place: dict[str, int] = {}
-        words, weights, span_of, doc_of_span = [], [], [], []
+        words, span_of, doc_of_span = [], [], []
         width, half, n_spans = settings.span, max(1, settings.span // 2), 0
         for doc, text in enumerate(texts):
-            ids = np.array([place.setdefault(w, len(place)) for w in text.lower().split()], np.int64)
+            ids = np.array([place.setdefault(w, len(place)) for w in text.lower().split()], np.int32)
             if not len(ids):
                 continue
-            for start in range(0, max(1, len(ids) - half), half):
-                chunk = ids[start : start + width]
-                words.append(chunk)
-                span_of.append(np.full(len(chunk), n_spans))
-                doc_of_span.append(doc)
-                n_spans += 1
-        self.word = np.concatenate(words) if words else np.zeros(0, np.int64)
-        self.span = np.concatenate(span_of) if span_of else np.zeros(0, np.int64)
-        self.doc = np.array(doc_of_span, np.int64)
+            at = np.arange(0, max(1, len(ids) - half), half)[:, None] + np.arange(width)
+            row, column = np.nonzero(at < len(ids))
+            words.append(ids[at[row, column]])
+            span_of.append((row + n_spans).astype(np.int32))
+            doc_of_span.append(np.full(len(at), doc, np.int32))
+            n_spans += len(at)
+        nothing = np.zeros(0, np.int32)
+        self.word = np.concatenate([nothing, *words])
+        self.span = np.concatenate([nothing, *span_of])
+        self.doc = np.concatenate([nothing, *doc_of_span])
         self.n_words, self.n_spans, self.width = len(place), n_spans, width
-        found, owner, _ = grams_of(" ".join(place), settings.rows)
-        order = np.argsort(owner, kind="stable")
-        self.gram, self.owner = found[order], owner[order]
+        # a few words at a time: hashing needs many times the memory of what it gives
+        gram, owner, names = [], [], list(place)
+        for at in range(0, len(names), 1 << 15):
+            part, word, _ = grams_of(" ".join(names[at : at + (1 << 15)]), settings.rows)
+            gram.append(part)
+            owner.append(word + np.int32(at))
+        self.gram = np.concatenate(gram) if gram else np.zeros(0, np.int32)
+        self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int32)
         self.size = np.maximum(1, np.bincount(self.owner, minlength=self.n_words))
 
 
