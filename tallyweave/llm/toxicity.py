@@ -54,6 +54,9 @@ class Model:
     settings: Settings
 
     def lean(self) -> np.ndarray:
+        """Each row's vector on the difference of the softmax weights; empty for a model that learnt nothing."""
+        if not self.embedding.any():
+            return np.zeros(0, np.float32)
         return (self.embedding @ (self.softmax[:, 1] - self.softmax[:, 0])).astype(np.float32)
 
 
@@ -224,8 +227,11 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", usable: C
 
 
 def score_text(text: str, lean: np.ndarray, bias: float, settings: Settings) -> float:
-    """The softmax's share of label 1 at the smooth maximum over spans; of the bias alone without a word."""
-    means = word_means(text, lean)
+    """The softmax's share of label 1 at the smooth maximum over spans.
+
+    Of the bias alone for a text without a word, and for a model that never saw both labels.
+    """
+    means = word_means(text, lean) if len(lean) else lean
     logit = bias + (soft_max(spans(means, settings.span), settings.sharpness) if len(means) else 0.0)
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
 

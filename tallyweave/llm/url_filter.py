@@ -95,7 +95,7 @@ def _windows(urls: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
     context = np.zeros(len(line), np.uint64)
     for order in range(ORDERS):
         if order:  # one more character on the left
-            shifted = np.concatenate([np.zeros(order, np.uint64), line[:-order]])
+            shifted = np.concatenate([np.zeros(order, np.uint64), line])[: len(line)]
             context = (context + shifted + np.uint64(1)) * SPREAD
             context ^= context >> np.uint64(32)
         base = (context + np.uint64(order)) * SPREAD
