@@ -24,7 +24,7 @@ def fit_scorer(
     weights: DataFrame | None = None,
     iterations: int = 1000,
     penalty: float = 0.01,
-    tolerance: float = 1e-6,
+    tolerance: float = 1e-4,
 ) -> PipelineModel:
     """Fit item probabilities on ``features(event, vector)`` and ``targets(event, item[, weight])``,
     ``vector`` being an ML vector.
@@ -81,14 +81,25 @@ def bootstrap_weights(events: DataFrame, run: int, seed: int = 42) -> DataFrame:
     return events.select(EVENT, sum(steps[1:], steps[0]).alias("weight"))
 
 
-def score_items(model: PipelineModel, features: DataFrame, run: int = 1) -> DataFrame:
-    """Score of every known item for every event, in long form."""
+def score_items(
+    model: PipelineModel, features: DataFrame, run: int = 1, available: DataFrame | None = None
+) -> DataFrame:
+    """Scores in long form: of the available items of each event, or of every known item.
+
+    With ``available(event, item)`` an event meets its items before its scores are spread out, so no
+    row is made for an item that is not on sale; a missing pair counts as 0.
+    """
     labels, classifier = model.stages[0].labels, model.stages[1]
     scored = classifier.transform(features.select(EVENT, "vector"))
-    pairs = F.arrays_zip(F.lit(list(labels)).alias("item_id"), vector_to_array("probability").alias("score"))
-    return scored.select(EVENT, F.explode(pairs).alias("_s")).select(
-        F.lit(run).alias("run"), EVENT, F.col("_s.item_id").alias("item_id"), F.col("_s.score").alias("score")
-    )
+    scores = scored.select(EVENT, vector_to_array("probability").alias("_p"))
+    if available is None:
+        pairs = F.arrays_zip(F.lit(list(labels)).alias("item_id"), F.col("_p").alias("score"))
+        spread = scores.select(EVENT, F.explode(pairs).alias("_s")).select(EVENT, "_s.*")
+    else:
+        known = features.sparkSession.createDataFrame(list(enumerate(labels)), "_at int, item_id string")
+        wanted = available.select(EVENT, "item_id").distinct().join(known, "item_id")
+        spread = scores.join(wanted, EVENT).select(EVENT, "item_id", F.col("_p")[F.col("_at")].alias("score"))
+    return spread.select(F.lit(run).alias("run"), EVENT, "item_id", "score")
 
 
 def distilled_targets(targets: DataFrame, weights: DataFrame) -> DataFrame:

@@ -22,7 +22,6 @@ from tallyweave.operators import features as FE
 from tallyweave.operators import fusion, joint
 from tallyweave.operators import impute as I
 from tallyweave.operators import timeline as TL
-from tallyweave.operators.labels import masked_scores
 from tallyweave.operators.metrics import (
     evaluation_report,
     event_metrics,
@@ -33,7 +32,8 @@ from tallyweave.operators.metrics import (
 from tallyweave.operators.models import batch_score as score_batches
 from tallyweave.operators.models import bootstrap_weights, distilled_targets, fit_scorer, score_items
 from tallyweave.operators.pooling import pooled_entries, pooled_sessions
-from tallyweave.operators.ranking import topk_items
+from tallyweave.operators.ranking import topk_sparse
+from tallyweave.operators.split import validation_split
 from tallyweave.operators.weights import distillation_weights, sample_weights
 from tallyweave.plans.workbench import Workbench
 from tallyweave.schemas import EVENT
@@ -192,87 +192,105 @@ def generated_vectors(w: Workbench, part: str) -> DataFrame:
 
 
 # --- fits and scores -------------------------------------------------------------------------
+# Scores are sparse: of the items on sale alone, all others count as 0.
 
 
-def _model(w: Workbench, vectors, weights: DataFrame | None = None) -> PipelineModel:
-    """The scorer fitted on the train part, shared by the queries that use it, weighted or not."""
-    label = vectors.__name__ + ("" if weights is None else "-weighted")
+def _weights(w: Workbench, vectors) -> DataFrame | None:
+    """Extra weights of a family's training events."""
+    return sample_weights(w.types("train")) if vectors is joint_vectors else None
+
+
+def _model(w: Workbench, vectors, run: int = 1) -> PipelineModel:
+    """The scorer of a run, fitted on the train part and shared by the queries that use it."""
+    label = f"{vectors.__name__}-{run}"
     if label not in w.models:
+        weights = _weights(w, vectors)
+        if run > 1:
+            drawn = bootstrap_weights(w.events("train"), run)
+            extra = drawn if weights is None else weights.select(EVENT, F.col("weight").alias("_w"))
+            weights = drawn if weights is None else drawn.join(extra, EVENT).select(EVENT, (F.col("weight") * F.col("_w")).alias("weight"))
         w.models[label] = fit_scorer(vectors(w, "train"), w.labels("train"), weights)
     return w.models[label]
 
 
-def _raw(w: Workbench, vectors, weights: DataFrame | None = None) -> DataFrame:
-    return w.keep(f"scores-{vectors.__name__}", lambda: score_items(_model(w, vectors, weights), vectors(w, "test")))
+def _scores(w: Workbench, vectors, run: int = 1) -> DataFrame:
+    def make() -> DataFrame:
+        return score_items(_model(w, vectors, run), vectors(w, "test"), run, w.available("test"))
+
+    return w.keep(f"scores-{vectors.__name__}-{run}", make)
+
+
+def _distilled(w: Workbench, run: int = 1) -> DataFrame:
+    """Scores of the student on intersection events, taught by the conversation and session scorers of the run."""
+
+    def make() -> DataFrame:
+        teachers = [
+            score_items(_model(w, vectors, run), TL.restrict(vectors(w, "train"), w.timeline("intersection")))
+            for vectors in (conversation_vectors, session_vectors)
+        ]
+        targets = fusion.distillation_targets(w.labels("intersection"), *teachers)
+        blended = distilled_targets(targets, distillation_weights(w.types("train")))
+        weights = bootstrap_weights(w.events("train"), run) if run > 1 else None
+        student = fit_scorer(student_vectors(w, "intersection"), stage(blended, "student-targets"), weights)
+        both = w.types("test").where(F.col("event") == "intersection")
+        return score_items(student, TL.restrict(student_vectors(w, "test"), both), run, w.available("test"))
 
+    return w.keep(f"scores-distilled-{run}", make)
 
-def _masked(w: Workbench, scores: DataFrame) -> DataFrame:
-    return masked_scores(scores, w.available("test"))
+
+def _fused(w: Workbench, run: int = 1) -> DataFrame:
+    return fusion.late_fusion(_scores(w, conversation_vectors, run), _scores(w, session_vectors, run), w.types("test"))
+
+
+def _routed(w: Workbench, run: int = 1) -> DataFrame:
+    by_type = {
+        "conversation": _scores(w, conversation_vectors, run),
+        "session": _scores(w, session_vectors, run),
+        "intersection": _distilled(w, run),
+    }
+    return fusion.routed_scores(by_type, w.types("test"))
 
 
 def score_conversation(w: Workbench) -> DataFrame:
-    return _masked(w, _raw(w, conversation_vectors))
+    return _scores(w, conversation_vectors)
 
 
 def score_session(w: Workbench) -> DataFrame:
-    return _masked(w, _raw(w, session_vectors))
+    return _scores(w, session_vectors)
 
 
 def score_keyword(w: Workbench) -> DataFrame:
-    return _masked(w, _raw(w, keyword_vectors))
+    return _scores(w, keyword_vectors)
 
 
 def score_joint(w: Workbench) -> DataFrame:
-    return _masked(w, _raw(w, joint_vectors, sample_weights(w.types("train"))))
+    return _scores(w, joint_vectors)
 
 
 def score_relative(w: Workbench) -> DataFrame:
-    return _masked(w, _raw(w, relative_vectors))
+    return _scores(w, relative_vectors)
 
 
 def score_neutral_imputed(w: Workbench) -> DataFrame:
-    return _masked(w, _raw(w, neutral_vectors))
+    return _scores(w, neutral_vectors)
 
 
 def score_generated(w: Workbench) -> DataFrame:
-    return _masked(w, _raw(w, generated_vectors))
-
-
-def _distilled(w: Workbench) -> DataFrame:
-    """Scores of the student on intersection events, taught by the conversation and session scorers."""
-
-    def make() -> DataFrame:
-        teachers = [
-            score_items(_model(w, vectors), TL.restrict(vectors(w, "train"), w.timeline("intersection")))
-            for vectors in (conversation_vectors, session_vectors)
-        ]
-        targets = fusion.distillation_targets(w.labels("intersection"), *teachers)
-        blended = distilled_targets(targets, distillation_weights(w.types("train")))
-        student = fit_scorer(student_vectors(w, "intersection"), stage(blended, "student-targets"))
-        both = w.types("test").where(F.col("event") == "intersection")
-        return score_items(student, TL.restrict(student_vectors(w, "test"), both))
-
-    return w.keep("scores-distilled", make)
+    return _scores(w, generated_vectors)
 
 
 def score_distilled(w: Workbench) -> DataFrame:
-    return _masked(w, _distilled(w))
+    return _distilled(w)
 
 
 def score_late_fusion(w: Workbench) -> DataFrame:
-    """Fitted conversation and session scores, averaged on intersections before the mask."""
-    fused = fusion.late_fusion(_raw(w, conversation_vectors), _raw(w, session_vectors), w.types("test"))
-    return _masked(w, fused)
+    """Fitted conversation and session scores, averaged on intersections."""
+    return _fused(w)
 
 
 def score_routed(w: Workbench) -> DataFrame:
     """Conversation, session and distilled scorers, each on the events of its type."""
-    by_type = {
-        "conversation": _raw(w, conversation_vectors),
-        "session": _raw(w, session_vectors),
-        "intersection": _distilled(w),
-    }
-    return _masked(w, fusion.routed_scores(by_type, w.types("test")))
+    return _routed(w)
 
 
 def _predict(matrix, batch: pd.DataFrame) -> pd.DataFrame:
@@ -289,54 +307,109 @@ def batch_score(w: Workbench) -> DataFrame:
 # --- evaluation ------------------------------------------------------------------------------
 
 
-def _evaluated(w: Workbench, scores: DataFrame, union: bool = True) -> DataFrame:
-    """Hit rate and mean average precision at k = 1..5 by event type, from one ranking."""
-    ks = (1, 2, 3, 4, 5)
-    found = event_metrics(topk_items(scores, max(ks)), w.labels("test"), ks)
-    return evaluation_report(w.types("test"), found.drop("run"), ks, union)
+CURVE = (1, 2, 3, 4, 5)
+
 
+def _of_vectors(vectors):
+    return lambda w, run=1: _scores(w, vectors, run), lambda w: vectors(w, "test").select(EVENT)
 
-def _evaluation(scorer, union: bool = True):
-    return lambda w: _evaluated(w, scorer(w), union)
 
+def _by_type(**families):
+    """The events that the scorer of their type scores."""
 
-EVALUATIONS = {
-    "evaluate_conversation": _evaluation(score_conversation, union=False),
-    "evaluate_session": _evaluation(score_session, union=False),
-    "evaluate_late_fusion": _evaluation(score_late_fusion),
-    "evaluate_distilled": _evaluation(score_routed),
-    "evaluate_generated": _evaluation(score_generated),
-    "evaluate_neutral_imputed": _evaluation(score_neutral_imputed),
-    "evaluate_keyword": _evaluation(score_keyword),
-    "evaluate_joint": _evaluation(score_joint),
-    "evaluate_relative": _evaluation(score_relative),
+    def events(w: Workbench) -> DataFrame:
+        types = w.types("test")
+        parts = [TL.restrict(types.where(F.col("event") == t), v(w, "test")) for t, v in families.items()]
+        return reduce(lambda a, b: a.unionByName(b), parts).select(EVENT)
+
+    return events
+
+
+def _of_fusion(w: Workbench) -> DataFrame:
+    talk, clicks, types = conversation_vectors(w, "test"), session_vectors(w, "test"), w.types("test")
+    one = TL.restrict(types.where(F.col("event") != "session"), talk)
+    other = TL.restrict(types.where(F.col("event") != "conversation"), clicks)
+    return one.unionByName(other).select(EVENT).distinct()
+
+
+#: Of each family: its scores by run, the test events it scores, whether a report has a union row.
+FAMILIES = {
+    "conversation": (*_of_vectors(conversation_vectors), False),
+    "session": (*_of_vectors(session_vectors), False),
+    "keyword": (*_of_vectors(keyword_vectors), True),
+    "joint": (*_of_vectors(joint_vectors), True),
+    "relative": (*_of_vectors(relative_vectors), True),
+    "neutral_imputed": (*_of_vectors(neutral_vectors), True),
+    "generated": (*_of_vectors(generated_vectors), True),
+    "late_fusion": (_fused, _of_fusion, True),
+    "distilled": (
+        _routed,
+        _by_type(conversation=conversation_vectors, session=session_vectors, intersection=student_vectors),
+        True,
+    ),
 }
 
 
-def evaluate_conversation_runs(w: Workbench) -> DataFrame:
-    """Five bootstrap runs of the conversation scorer, reported per type at k = 3 and averaged."""
-    train, test = conversation_vectors(w, "train"), conversation_vectors(w, "test")
-    parts = [
-        score_items(fit_scorer(train, w.labels("train"), bootstrap_weights(w.events("train"), run)), test, run)
-        for run in RUNS
-    ]
-    scores = _masked(w, reduce(lambda a, b: a.unionByName(b), parts))
-    found = event_metrics(topk_items(scores, 3), w.labels("test"), [3])
-    return metrics_over_runs(metrics_by_type(w.types("test"), found, RUNS, union=False))
+def best_items(w: Workbench, scores: DataFrame, events: DataFrame, k: int, runs=(1,)) -> DataFrame:
+    """The first ``k`` items of each scored event and run; items without a score count as 0."""
+    items = w.labels("train").select("item_id").distinct()
+    each = events.distinct().withColumn("run", F.explode(F.lit(list(runs))))
+    return topk_sparse(scores, each, items, k)
+
+
+def _evaluation(family: str):
+    """Hit rate and mean average precision at k = 1..5 by event type, from one ranking."""
+    scores, events, union = FAMILIES[family]
+
+    def evaluate(w: Workbench) -> DataFrame:
+        found = event_metrics(best_items(w, scores(w), events(w), max(CURVE)), w.labels("test"), CURVE)
+        return evaluation_report(w.types("test"), found.drop("run"), CURVE, union)
+
+    return evaluate
+
+
+def run_evaluation(family: str):
+    """Five bootstrap runs, reported by type at k = 3 and averaged."""
+    scores, events, union = FAMILIES[family]
+
+    def evaluate(w: Workbench) -> DataFrame:
+        together = reduce(lambda a, b: a.unionByName(b), [scores(w, run) for run in RUNS])
+        found = event_metrics(best_items(w, together, events(w), 3, RUNS), w.labels("test"), [3])
+        return metrics_over_runs(metrics_by_type(w.types("test"), found, RUNS, union=union))
+
+    return evaluate
+
+
+EVALUATIONS = {f"evaluate_{family}": _evaluation(family) for family in FAMILIES}
+#: Families whose five runs are registered; ``run_evaluation`` takes any of FAMILIES.
+REPEATED = ("conversation", "session", "keyword", "joint", "late_fusion")
+EVALUATIONS |= {f"evaluate_{family}_runs": run_evaluation(family) for family in REPEATED}
 
 
 def validation_auc(w: Workbench) -> DataFrame:
-    """Macro AUC of the single-modality scorers, fitted before the validation tail and scored on it."""
+    """Macro AUC of every family with vectors of its own, fitted before the validation tail and scored on it.
+
+    The distilled student takes the last 11 % of the events as its tail, the others 10 %.
+    """
     valid = w.validation_events()
     reports = []
-    for vectors in (conversation_vectors, session_vectors):
-        rows = vectors(w, "train")
-        model = fit_scorer(rows.join(valid, EVENT, "left_anti"), w.labels("train"))
-        held = rows.join(valid, EVENT, "left_semi")
-        scores = masked_scores(score_items(model, held), w.available("train")).drop("run")
-        report = macro_auc(scores, w.labels("train"), held.select(EVENT))
-        reports.append(report.withColumn("model", F.lit(vectors.__name__.removesuffix("_vectors"))))
-    return reports[0].unionByName(reports[1])
+    for vectors in (
+        conversation_vectors, session_vectors, keyword_vectors, joint_vectors, relative_vectors, neutral_vectors,
+        generated_vectors,
+    ):
+        reports.append(_tail_auc(w, vectors, "train", valid, _weights(w, vectors)))
+    tail = validation_split(w.types("train").where(F.col("event") == "intersection").select(EVENT), 0.11)
+    reports.append(_tail_auc(w, student_vectors, "intersection", tail.where("is_validation").select(EVENT)))
+    return reduce(lambda a, b: a.unionByName(b), reports)
+
+
+def _tail_auc(w: Workbench, vectors, part: str, valid: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    rows = vectors(w, part)
+    model = fit_scorer(rows.join(valid, EVENT, "left_anti"), w.labels("train"), weights)
+    held = rows.join(valid, EVENT, "left_semi")
+    scores = score_items(model, held, available=w.available("train")).drop("run")
+    report = macro_auc(scores, w.labels("train"), held.select(EVENT))
+    return report.withColumn("model", F.lit(vectors.__name__.removesuffix("_vectors")))
 
 
 SCORERS = {
@@ -344,6 +417,5 @@ SCORERS = {
     for f in (
         score_conversation, score_session, score_keyword, score_joint, score_relative, score_neutral_imputed,
         score_generated, score_distilled, score_late_fusion, score_routed, batch_score, validation_auc,
-        evaluate_conversation_runs,
     )
 } | EVALUATIONS
