@@ -83,19 +83,16 @@ def masks(radius: int) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in unsigned]
 
 
-def _signed(value: int) -> int:
-    return value - (1 << BITS) if value >> (BITS - 1) else value
-
-
 def _crowd_links(radius: int):
     """A function on one bucket: each fingerprint with the least one it reaches within the bucket."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         fps = np.sort(frame["fp"].to_numpy())
+        bits = fps.view(np.uint64)  # of signed numbers, the bits of the absolute value are counted
         root = np.arange(len(fps))
         rows, columns = [], []
         for at in range(0, len(fps), 256):
-            near = np.bitwise_count(fps[at : at + 256, None] ^ fps) <= radius
+            near = np.bitwise_count(bits[at : at + 256, None] ^ bits) <= radius
             i, j = np.nonzero(near)
             rows.append(i + at)
             columns.append(j)
@@ -112,6 +109,32 @@ def _crowd_links(radius: int):
     return run
 
 
+def _centres(tables: list[int], radius: int):
+    """A function on ``t`` and ``fp``: every centre within reach of a fingerprint outside its table's mask."""
+    half, odd = radius // 2, radius % 2
+    flips = []
+    for mask in tables:
+        free = [i for i in range(BITS) if not (mask >> i) & 1]
+        near = [sum(1 << i for i in c) for size in range(half + odd + 1) for c in combinations(free, size)]
+        flips.append(np.array(near, np.uint64).view(np.int64))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for t, fps in frame["fp"].groupby(frame["t"]):
+                inner = np.bitwise_count(flips[t].view(np.uint64)) <= half
+                for at in range(0, len(fps), 256):
+                    part = fps.to_numpy()[at : at + 256]
+                    yield pd.DataFrame(
+                        {
+                            "c": (part[:, None] ^ flips[t]).ravel(),
+                            "inner": np.tile(inner, len(part)),
+                            "fp": np.repeat(part, len(flips[t])),
+                        }
+                    )
+
+    return run
+
+
 def links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET, crowd: int = CROWD) -> DataFrame:
     """Links (``u`` < ``v``) that connect exactly what pairs within the radius connect.
 
@@ -141,17 +164,7 @@ def links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET, crowd: int
 
     # the others: what meets at a centre is linked to the least of it
     large = crowded.where(F.col("n") > crowd)
-    half, odd = radius // 2, radius % 2
-    centres = None
-    for k, m in enumerate(tables):
-        free = [i for i in range(BITS) if not (m >> i) & 1]
-        flips = [sum(1 << i for i in c) for size in range(half + odd + 1) for c in combinations(free, size)]
-        near = F.transform(
-            F.array(*[F.lit(_signed(f)) for f in flips]),
-            lambda f: F.struct(F.col("fp").bitwiseXOR(f).alias("c"), (F.bit_count(f) <= half).alias("inner")),
-        )
-        part = large.where(F.col("t") == k).select("fp", F.explode(near).alias("x")).select("fp", "x.*")
-        centres = part if centres is None else centres.unionByName(part)
+    centres = large.select("t", "fp").mapInPandas(_centres(tables, radius), "c long, inner boolean, fp long")
     least = centres.groupBy("c").agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("m"))
     met = centres.join(least, "c").where("m is not null and fp <> m").select(F.least("fp", "m").alias("u"), F.greatest("fp", "m").alias("v"))
     return pairs.unionByName(reached).unionByName(met).distinct()
