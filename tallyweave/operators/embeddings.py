@@ -32,8 +32,14 @@ def _mean(parts):
     )
 
 
-def conversation_sums(sentences: DataFrame) -> DataFrame:
-    """Per conversation: sums and counts of all its sentence vectors, in one array."""
+def conversation_sums(sentences: DataFrame, timeline: DataFrame | None = None) -> DataFrame:
+    """Per conversation: sums and counts of all its sentence vectors, in one array.
+
+    With a ``timeline`` only its conversations are summed; the others go before the wide rows move.
+    """
+    if timeline is not None:
+        wanted = timeline.where(F.col("conversation_id").isNotNull()).select("conversation_id").distinct()
+        sentences = sentences.join(wanted, "conversation_id", "left_semi")
     return (
         sentences.where(F.col("embedding").isNotNull())
         .groupBy("conversation_id")
@@ -41,19 +47,27 @@ def conversation_sums(sentences: DataFrame) -> DataFrame:
     )
 
 
-def conversation_embedding(timeline: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Mean sentence vector of each conversation of each event; null where it has no sentence."""
+def conversation_embedding(timeline: DataFrame, sentences: DataFrame, sums: DataFrame | None = None) -> DataFrame:
+    """Mean sentence vector of each conversation of each event; null where it has no sentence.
+
+    ``sums`` are the conversations' sums if they are at hand; then ``sentences`` isn't read.
+    """
+    sums = conversation_sums(sentences, timeline) if sums is None else sums
     rows = timeline.where(F.col("conversation_id").isNotNull()).select(EVENT, "event_number", "conversation_id")
-    return rows.join(conversation_sums(sentences), "conversation_id", "left").select(
+    return rows.join(sums, "conversation_id", "left").select(
         EVENT, "event_number", "conversation_id", _mean(F.col("_parts")).alias("embedding")
     )
 
 
-def event_embedding(timeline: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Mean over all sentences of all conversations of an event (long conversations weigh more)."""
+def event_embedding(timeline: DataFrame, sentences: DataFrame, sums: DataFrame | None = None) -> DataFrame:
+    """Mean over all sentences of all conversations of an event (long conversations weigh more).
+
+    ``sums`` are the conversations' sums if they are at hand; then ``sentences`` isn't read.
+    """
+    sums = conversation_sums(sentences, timeline) if sums is None else sums
     rows = timeline.where(F.col("conversation_id").isNotNull()).select(EVENT, "conversation_id")
     summed = (
-        rows.join(conversation_sums(sentences), "conversation_id")
+        rows.join(sums, "conversation_id")
         .groupBy(EVENT)
         .agg(_vector_sum(F.col("_parts")).alias("_parts"))
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators import anchors as A
 from tallyweave.operators import features as FE
-from tallyweave.operators.embeddings import conversation_embedding, event_embedding
+from tallyweave.operators.embeddings import conversation_embedding, conversation_sums, event_embedding
 from tallyweave.operators.impute import fit_mean, fit_mode
 from tallyweave.operators.labels import item_labels, item_popularity, masked_scores
 from tallyweave.operators.split import holdout, validation_split
@@ -138,17 +138,22 @@ class Workbench:
 
     # --- conversations ---------------------------------------------------------------------
 
+    def sentence_sums(self) -> DataFrame:
+        """Sums of all conversations of the timeline: the wide sentence table is read once, here."""
+        return self.keep("sentence-sums", lambda: conversation_sums(self.t.conversations_embedding, self.t.users))
+
     def conversations(self, part: str) -> DataFrame:
         return self.keep(
             f"conversations-{part}",
-            lambda: conversation_embedding(self.timeline(part), self.t.conversations_embedding),
+            lambda: conversation_embedding(self.timeline(part), self.t.conversations_embedding, self.sentence_sums()),
         )
 
     def event_embeddings(self, part: str) -> DataFrame:
         if part == "intersection":
             return restrict(self.event_embeddings("train"), self.timeline(part))
         return self.keep(
-            f"embeddings-{part}", lambda: event_embedding(self.timeline(part), self.t.conversations_embedding)
+            f"embeddings-{part}",
+            lambda: event_embedding(self.timeline(part), self.t.conversations_embedding, self.sentence_sums()),
         )
 
     # --- imputers --------------------------------------------------------------------------
