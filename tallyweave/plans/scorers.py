@@ -33,7 +33,6 @@ from tallyweave.operators.models import batch_score as score_batches
 from tallyweave.operators.models import bootstrap_weights, distilled_targets, fit_scorer, score_items
 from tallyweave.operators.pooling import pooled_entries, pooled_sessions
 from tallyweave.operators.ranking import topk_sparse
-from tallyweave.operators.split import validation_split
 from tallyweave.operators.weights import distillation_weights, sample_weights
 from tallyweave.plans.workbench import Workbench
 from tallyweave.schemas import EVENT
@@ -387,23 +386,16 @@ EVALUATIONS |= {f"evaluate_{family}_runs": run_evaluation(family) for family in
 
 
 def validation_auc(w: Workbench) -> DataFrame:
-    """Macro AUC of every family with vectors of its own, fitted before the validation tail and scored on it.
+    """Macro AUC of the single-modality scorers, fitted before the validation tail and scored on it.
 
-    The distilled student takes the last 11 % of the events as its tail, the others 10 %.
+    ``tail_auc`` takes any family's vectors.
     """
     valid = w.validation_events()
-    reports = []
-    for vectors in (
-        conversation_vectors, session_vectors, keyword_vectors, joint_vectors, relative_vectors, neutral_vectors,
-        generated_vectors,
-    ):
-        reports.append(_tail_auc(w, vectors, "train", valid, _weights(w, vectors)))
-    tail = validation_split(w.types("train").where(F.col("event") == "intersection").select(EVENT), 0.11)
-    reports.append(_tail_auc(w, student_vectors, "intersection", tail.where("is_validation").select(EVENT)))
+    reports = [tail_auc(w, v, "train", valid, _weights(w, v)) for v in (conversation_vectors, session_vectors)]
     return reduce(lambda a, b: a.unionByName(b), reports)
 
 
-def _tail_auc(w: Workbench, vectors, part: str, valid: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+def tail_auc(w: Workbench, vectors, part: str, valid: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     rows = vectors(w, part)
     model = fit_scorer(rows.join(valid, EVENT, "left_anti"), w.labels("train"), weights)
     held = rows.join(valid, EVENT, "left_semi")
