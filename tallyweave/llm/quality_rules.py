@@ -2,12 +2,13 @@
 
 The language model is a modified Kneser-Ney model of the characters of words, order 5, one for each
 language. Every task counts the n-grams of all words of its texts, Spark adds the counts, and the
-smoothed probabilities are kept in arrays sorted by the n-gram's hash: CODE_BITS bits of each
-character, side by side. A word's log-probability is found once per task and remembered.
+smoothed probabilities stay a table with a key for each n-gram: CODE_BITS bits of each character, side
+by side. Texts are cut into blocks; the distinct n-grams of a block's words meet the table in a join and
+come back to the block, which adds them up for each text. Nothing of it passes through the driver or a
+broadcast, and n-grams keep their width whatever their number.
 
-The model is broadcast, so its size has a bound: ``max_grams`` n-grams of the highest order over all
-languages. If the corpus has more, all of them are counted together at fewer bits a character; no
-n-gram is dropped.
+``smooth`` and ``fit`` make the same model in one process's memory; ``fit`` has a bound, beyond which it
+counts at fewer bits a character. The query does not use it.
 
 The bands come from all texts: for each language the quartiles of the log-perplexity, and REACH times
 their distance beyond them on either side.
@@ -20,10 +21,12 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.common import texts_of
@@ -33,14 +36,15 @@ ORDER = 5
 CODE_BITS = 12
 START, END = 1, 2
 SLOTS = 256
-REMEMBERED = 200_000
+#: Texts, and about as many characters, whose words are listed together.
+BLOCK, BLOCK_CHARS = 8192, 1 << 25
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``reach``: quartile distances beyond the quartiles; ``least``: the least such distance that counts."""
+    """``max_grams`` bounds ``fit`` alone. ``reach``: quartile distances beyond the quartiles; ``least``: the least such distance that counts."""
 
     max_grams: int = 4_000_000
     reach: float = 4.0
@@ -193,7 +197,10 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def discounts(n: np.ndarray) -> np.ndarray:
     """Modified Kneser-Ney discounts for counts of 1, 2 and more, from the counts of counts."""
-    n1, n2, n3, n4 = (float((n == k).sum()) for k in (1, 2, 3, 4))
+    return discounts_of(*(float((n == k).sum()) for k in (1, 2, 3, 4)))
+
+
+def discounts_of(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
     usual = np.array([0.5, 1.0, 1.5])
     if not (n1 and n2 and n3 and n4):
         return usual
@@ -239,7 +246,7 @@ def smooth(keys: np.ndarray, n: np.ndarray, bits: int = CODE_BITS) -> Smoothed:
 
 
 def fit(documents: DataFrame, settings: Settings = Settings()) -> dict[int, Smoothed]:
-    """A model for each language (``lang``, null is one of its own) from all words of all texts."""
+    """A model for each language in memory, of at most ``max_grams`` n-grams; ``measured`` has no such bound."""
     count, bits = stage(counted(documents), "ngrams"), CODE_BITS
     while count.count() > settings.max_grams and bits > 2:
         count, bits = stage(coarser(count, bits, bits - 2), "ngrams"), bits - 2
@@ -248,61 +255,162 @@ def fit(documents: DataFrame, settings: Settings = Settings()) -> dict[int, Smoo
     return {int(slot): smooth(keys[slots == slot], n[slots == slot], bits) for slot in np.unique(slots)}
 
 
-class WordScores:
-    """Log-probabilities of words, remembered by language."""
-
-    def __init__(self, models: dict[int, Smoothed]):
-        self.models = models
-        self.known: dict[int, dict[bytes, float]] = {slot: {} for slot in models}
+# ---- the model as a table
 
-    def learn(self, slot: int, words: set[bytes]) -> None:
-        known = self.known[slot]
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            for old in list(known)[REMEMBERED // 2 :]:
-                del known[old]
-            new = [w for w in words if w not in known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            keys, word = grams(part)
-            known.update(zip(part, np.bincount(word, self.models[slot].log_probabilities(keys), len(part)).tolist()))
 
-    def total(self, slot: int, words: list[bytes]) -> float:
-        return math.fsum(map(self.known[slot].__getitem__, words))
+def smoothed(count: DataFrame) -> DataFrame:
+    """``slot``, ``gram``, ``logp``: what ``smooth`` gives for every n-gram of the highest order, as a table.
 
-
-def measured(documents: DataFrame, models: dict[int, Smoothed]) -> DataFrame:
-    """``doc_id``, ``lang``, the five counts and ``log_perplexity`` (null without a word) of every whole text."""
-    shared = documents.sparkSession.sparkContext.broadcast(models)
+    ``count`` is a staged table of ``slot``, ``gram``, ``n``. A context has at most 2 ** CODE_BITS
+    n-grams, so no group of a window grows with the corpus. What is collected are counts of counts, a
+    row for each order and slot.
+    """
+    tables = {ORDER: count.select("slot", "gram", F.col("n").alias("raw"), F.col("n").alias("c"))}
+    for k in range(ORDER - 1, 0, -1):
+        key = F.col("gram").bitwiseAND(F.lit((1 << (k * CODE_BITS)) - 1)).alias("gram")
+        found = tables[k + 1].groupBy("slot", key).agg(F.sum("raw").alias("raw"), F.count("*").alias("before"))
+        opens = F.shiftright("gram", (k - 1) * CODE_BITS) == START
+        tables[k] = stage(found.select("slot", "gram", "raw", F.when(opens, F.col("raw")).otherwise(F.col("before")).alias("c")), "ngrams")
+    sums = [F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    sizes = [t.groupBy("slot").agg(F.count("*").alias("size"), *sums).withColumn("k", F.lit(k)) for k, t in tables.items()]
+    seen = reduce(DataFrame.unionByName, sizes).collect()
+    cuts = {(r["k"], r["slot"]): discounts_of(*(float(r[f"n{i}"]) for i in (1, 2, 3, 4))).tolist() for r in seen}
+    first = {r["slot"]: 1 / (r["size"] + 1) for r in seen if r["k"] == 1}
+    lower = None
+    for k in range(1, ORDER + 1):
+        rows = [(slot, *cut, first[slot]) for (order, slot), cut in cuts.items() if order == k]
+        by_slot = count.sparkSession.createDataFrame(rows, "slot int, d1 double, d2 double, d3 double, first double")
+        context = Window.partitionBy("slot", F.shiftright("gram", CODE_BITS))
+        kinds = [F.sum(wanted.cast("long")).over(context) for wanted in (F.col("c") == 1, F.col("c") == 2, F.col("c") > 2)]
+        left = F.col("d1") * kinds[0] + F.col("d2") * kinds[1] + F.col("d3") * kinds[2]
+        cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        total = F.sum("c").over(context)
+        known = tables[k].join(F.broadcast(by_slot), "slot")
+        known = known.select("slot", "gram", "first", ((F.col("c") - cut) / total).alias("own"), (left / total).alias("left"))
+        if k == 1:
+            lower = known.select("slot", "gram", (F.col("own") + F.col("left") * F.col("first")).alias("p"))
+        else:
+            suffix = F.col("gram").bitwiseAND(F.lit((1 << ((k - 1) * CODE_BITS)) - 1))
+            below = lower.select("slot", F.col("gram").alias("suffix"), F.col("p").alias("below"))
+            joined = known.withColumn("suffix", suffix).join(below, ["slot", "suffix"])
+            lower = joined.select("slot", "gram", (F.col("own") + F.col("left") * F.col("below")).alias("p"))
+    return lower.select("slot", "gram", F.log("p").cast("float").alias("logp"))
+
+
+# ---- scores by a join
+
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _blocks(documents: DataFrame) -> DataFrame:
+    """Every whole text with its counts and its words as places in its block's list of distinct words.
+
+    A block has up to BLOCK texts of one task, up to about BLOCK_CHARS characters. Its first row
+    has the list: ``words``, one a line, and ``slots``, the language of each.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scores = WordScores(shared.value)
+        block = TaskContext.get().partitionId() << 32
         for frame in frames:
-            slots = frame["lang"].map(slot_of, na_action=None).tolist()
-            texts = frame["text"].tolist()
-            rows = []
-            for at in range(0, len(texts), 256):
-                cut = [(t, t.encode(), s) for t, s in zip(texts[at : at + 256], slots[at : at + 256], strict=True)]
-                cut = [(t, raw, raw.split(), s) for t, raw, s in cut]
-                waiting: dict[int, set[bytes]] = {}
-                for _, _, words, slot in cut:
-                    if words:
-                        waiting.setdefault(slot, set()).update(words)
-                for slot, words in waiting.items():
-                    scores.learn(slot, words)
-                for text, raw, words, slot in cut:
-                    counts = base_counts(text, raw, words)
-                    perplexity = -scores.total(slot, words) / (counts[1] + counts[0]) if words else None
-                    rows.append((*counts, perplexity))
-            names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"]
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "lang", frame["lang"].to_numpy())
-            out.insert(0, "doc_id", frame["doc_id"].to_numpy())
-            yield out
+            langs, texts = frame["lang"].tolist(), frame["text"].tolist()
+            slots, at = [slot_of(lang) for lang in langs], 0
+            while at < len(texts):
+                end, chars = at, 0
+                while end < len(texts) and end - at < BLOCK and chars < BLOCK_CHARS:
+                    chars += len(texts[end])
+                    end += 1
+                place: dict[tuple[int, bytes], int] = {}
+                rows, used = [], []
+                for text, slot in zip(texts[at:end], slots[at:end], strict=True):
+                    raw = text.encode()
+                    words = raw.split()
+                    rows.append(base_counts(text, raw, words))
+                    used.append(np.array([place.setdefault((slot, w), len(place)) for w in words], np.int64))
+                out = pd.DataFrame(rows, columns=COUNTS)
+                out.insert(0, "lang", langs[at:end])
+                out.insert(0, "doc_id", frame["doc_id"].to_numpy()[at:end])
+                often = np.zeros(len(place), np.int64)
+                for u in used:
+                    np.add.at(often, u, 1)
+                order = np.argsort(-often, kind="stable")  # common words first: small places
+                rank = np.empty(len(place), np.int64)
+                rank[order] = np.arange(len(place))
+                out["places"] = pd.Series([_written(rank[u]) for u in used], dtype=object)
+                listed, none = list(place), [None] * (end - at - 1)
+                listed = [listed[i] for i in order.tolist()]
+                out["words"] = pd.Series([zlib.compress(b"\n".join(w for _, w in listed), 1), *none], dtype=object)
+                out["slots"] = pd.Series([np.array([s for s, _ in listed], np.int16).tobytes(), *none], dtype=object)
+                out["block"] = block
+                yield out
+                at, block = end, block + 1
 
     chosen = texts_of(documents, F.col("lang").cast("string").alias("lang"))
-    counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-    return chosen.mapInPandas(run, f"doc_id {dict(chosen.dtypes)['doc_id']}, lang string, {counts}, log_perplexity double")
+    counts = ", ".join(f"{c} long" for c in COUNTS)
+    columns = f"lang string, {counts}, places binary, words binary, slots binary, block long"
+    return chosen.mapInPandas(run, f"doc_id {dict(chosen.dtypes)['doc_id']}, {columns}")
+
+
+def _written(places: np.ndarray) -> bytes:
+    """Places in any order, as compressed steps from one to the next larger."""
+    steps = np.diff(np.sort(places), prepend=0).astype("<u4")
+    return zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _read(written: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(written), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
+
+
+def _words_of(words: bytes, slots: bytes) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
+    """Each language of a block: its slot, the places of its words, the words."""
+    slot_of_word = np.frombuffer(slots, np.int16)
+    listed = zlib.decompress(words).split(b"\n") if len(slot_of_word) else []
+    for slot in np.unique(slot_of_word).tolist():
+        places = np.flatnonzero(slot_of_word == slot)
+        yield slot, places, [listed[i] for i in places.tolist()]
+
+
+def _wanted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct n-grams of every block."""
+    for frame in frames:
+        for block, words, slots in zip(frame["block"], frame["words"], frame["slots"], strict=True):
+            for slot, _, found in _words_of(words, slots):
+                yield pd.DataFrame({"block": block, "slot": slot, "gram": np.unique(grams(found)[0])})
+
+
+def _totals(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """The texts of one block with their perplexities, from the block's n-grams with theirs."""
+    first = texts.loc[texts["words"].notna()].iloc[0]
+    size = len(first["slots"]) // 2
+    scores = np.zeros(size)
+    for slot, places, words in _words_of(first["words"], first["slots"]):
+        mine = known[known["slot"] == slot].sort_values("gram")
+        keys, word = grams(words)
+        at, hit = _find(mine["gram"].to_numpy(), keys)
+        if not hit.all():
+            raise ValueError("a text has n-grams that were not counted")
+        scores[places] = np.bincount(word, mine["logp"].to_numpy(float)[at], len(words))
+    totals = [scores[_read(p)].sum() for p in texts["places"]]
+    characters = (texts["word_chars"] + texts["n_words"]).to_numpy()
+    out = texts[["doc_id", "lang", *COUNTS]].copy()
+    out["log_perplexity"] = [-t / n if n else None for t, n in zip(totals, characters, strict=True)]
+    return out
+
+
+def measured(documents: DataFrame) -> DataFrame:
+    """``doc_id``, ``lang``, the five counts and ``log_perplexity`` (null without a word) of every whole text.
+
+    The model is that of all these texts (``lang``, null is a language of its own). It stays a table:
+    each block's distinct n-grams meet it in a join, whatever its size.
+    """
+    model = smoothed(stage(counted(documents), "ngrams"))
+    blocks = stage(_blocks(documents), "quality-blocks")
+    lists = blocks.where("words is not null").select("block", "words", "slots")
+    known = lists.mapInPandas(_wanted, "block long, slot int, gram long").join(model, ["slot", "gram"])
+    kind = dict(blocks.dtypes)["doc_id"]
+    counts = ", ".join(f"{c} long" for c in COUNTS)
+    pairs = blocks.groupBy("block").cogroup(known.select("block", "slot", "gram", "logp").groupBy("block"))
+    return pairs.applyInPandas(_totals, f"doc_id {kind}, lang string, {counts}, log_perplexity double")
 
 
 def bands(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -319,7 +427,7 @@ def judged(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Null text counts as empty. A text without a word fails the base rules; its perplexity is null and
     it is out of every band. Repeated rows and null ids are rows like others.
     """
-    rows = stage(measured(documents, fit(documents, settings)), "quality-rules")
+    rows = stage(measured(documents), "quality-rules")
     limits = bands(rows, settings).withColumnRenamed("lang", "band_lang")
     joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang")
     failed = (F.col("n_words") < settings.min_words) | (

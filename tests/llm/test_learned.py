@@ -212,6 +212,24 @@ def test_quality_rules_reject_odd_languages_and_keep_prose(spark):
     assert sum(len(m.grams[quality_rules.ORDER]) for m in few.values()) <= 1000
 
 
+def test_perplexities_do_not_depend_on_a_bound_of_ngrams(spark):
+    draw = random.Random(12)
+    data = [(i, prose(draw, 60), "en" if i % 4 else None) for i in range(40)] + [(40, "17 !! A4 2025-01 #é", "en"), (41, "", "en"), (None, "de AB ra", "en")]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["log_perplexity"] for r in quality_rules.judged(frame, quality_rules.Settings(max_grams=30)).collect()}
+    assert len(found) == len(data) and found[41] is None
+    by_lang = {"en": [], None: []}
+    for _, text, lang in data:
+        by_lang[lang] += text.encode().split()
+    for lang, words in by_lang.items():
+        keys, _ = quality_rules.grams(words)
+        model = quality_rules.smooth(*np.unique(keys, return_counts=True))
+        for d, text, of in data:
+            if of == lang and text:
+                keys, _ = quality_rules.grams(text.encode().split())
+                assert found[d] == pytest.approx(-model.log_probabilities(keys).mean(), abs=1e-5), text
+
+
 URLS = [
     (1, "http://Example.ORG/en/1x", "example.org", "/en/1x", "example.org/en/1", "block"),
     (2, "https://sub.example.org/es/5?q", "sub.example.org", "/es/5", "example.org/es/", "block"),
