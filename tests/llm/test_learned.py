@@ -136,6 +136,21 @@ def test_secret_spans_and_masks(spark, rows):
     assert secret_scan.model_spans("x kX9vQ2mZ7tB4wL8sR1yN5cD3", nothing, []) == []
 
 
+def test_values_after_equals_signs_are_scored():
+    every = secret_scan.Network.fresh(secret_scan.Settings())
+    every.threshold = 0.0  # a network that takes every candidate for a secret
+    cases = {
+        "AUTH_KEY=Ab12Cd34Ef56Gh78Ij90": ["Ab12Cd34Ef56Gh78Ij90"],
+        "see http://a.io/x?sig=Ab12Cd34Ef56Gh78&z": ["Ab12Cd34Ef56Gh78"],
+        "aws_secret_access_key=wJalrXUtnFEMIK7MDENG": ["aws_secret_access_key", "wJalrXUtnFEMIK7MDENG"],
+        "key kJhGfDsAqWeRtYuI== end": ["kJhGfDsAqWeRtYuI=="],
+        "deadbeef" * 4 + "ZQWXZQWXZQWX12": ["ZQWXZQWXZQWX12"],
+    }
+    for text, expected in cases.items():
+        found = secret_scan.model_spans(text, every, secret_scan.fixed_spans(text))
+        assert [text[a:b] for a, b, _ in found] == expected, text
+
+
 def plain_counts(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
     lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
