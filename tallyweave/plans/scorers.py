@@ -33,6 +33,7 @@ from tallyweave.operators.models import batch_score as score_batches
 from tallyweave.operators.models import bootstrap_weights, distilled_targets, fit_scorer, score_items
 from tallyweave.operators.pooling import pooled_entries, pooled_sessions
 from tallyweave.operators.ranking import topk_sparse
+from tallyweave.operators.split import validation_split
 from tallyweave.operators.weights import distillation_weights, sample_weights
 from tallyweave.plans.workbench import Workbench
 from tallyweave.schemas import EVENT
@@ -380,18 +381,24 @@ def run_evaluation(family: str):
 
 
 EVALUATIONS = {f"evaluate_{family}": _evaluation(family) for family in FAMILIES}
-#: Families whose five runs are registered; ``run_evaluation`` takes any of FAMILIES.
-REPEATED = ("conversation", "session", "keyword", "joint", "late_fusion")
+#: Families whose five runs are registered.
+REPEATED = tuple(FAMILIES)
 EVALUATIONS |= {f"evaluate_{family}_runs": run_evaluation(family) for family in REPEATED}
 
 
 def validation_auc(w: Workbench) -> DataFrame:
-    """Macro AUC of the single-modality scorers, fitted before the validation tail and scored on it.
+    """Macro AUC of every family with vectors of its own, fitted before the validation tail and scored on it.
 
-    ``tail_auc`` takes any family's vectors.
+    The distilled student takes the last 11 % of the events as its tail, the others 10 %.
     """
     valid = w.validation_events()
-    reports = [tail_auc(w, v, "train", valid, _weights(w, v)) for v in (conversation_vectors, session_vectors)]
+    families = (
+        conversation_vectors, session_vectors, keyword_vectors, joint_vectors, relative_vectors, neutral_vectors,
+        generated_vectors,
+    )
+    reports = [tail_auc(w, v, "train", valid, _weights(w, v)) for v in families]
+    tail = validation_split(w.types("train").where(F.col("event") == "intersection").select(EVENT), 0.11)
+    reports.append(tail_auc(w, student_vectors, "intersection", tail.where("is_validation").select(EVENT)))
     return reduce(lambda a, b: a.unionByName(b), reports)
 
 
