@@ -88,6 +88,77 @@ WHERE NOT coalesce(label IS NOT NULL AND embedding IS NOT NULL AND len(list_filt
       AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding), false)
 """
 
+# crc32 byte by byte from its table: no built-in gives it
+PREFIX_TRIE = """
+WITH RECURSIVE crc_table AS (
+    SELECT list(c ORDER BY i) AS t
+    FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+          FROM (SELECT unnest(range(256)) AS i))
+),
+own AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+ids AS (
+    SELECT c.conv_id, c.conv_id - c.conv_id % 100 AS base,
+           xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c.conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                           lambda a, b: xor(a // 256, t.t[xor(a % 256, b) + 1])), 4294967295) % 6 AS h
+    FROM (SELECT DISTINCT conv_id FROM own) c, crc_table t
+),
+rebuilt AS (
+    SELECT i.conv_id, o.role, o.text, 0 AS part, o.place FROM ids i JOIN own o ON o.conv_id = i.base AND o.place <= i.h
+    UNION ALL
+    SELECT i.conv_id, o.role, o.text, 1, o.place FROM ids i JOIN own o ON o.conv_id = i.conv_id AND o.place > i.h
+),
+turns AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth FROM rebuilt
+),
+sizes AS (SELECT i.conv_id, count(t.depth) AS n FROM ids i LEFT JOIN turns t USING (conv_id) GROUP BY i.conv_id),
+begun AS (
+    SELECT conv_id, depth, length(text) AS size, list(length(role) || ':' || role || text) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM turns
+    UNION ALL
+    SELECT conv_id, 0, 0, []::VARCHAR[] FROM ids
+),
+nodes AS (
+    SELECT path, min(b.conv_id) AS conv_id, any_value(depth) AS depth, any_value(size) AS size, count(*) AS n_convs,
+           sha256(coalesce(string_agg(b.conv_id::VARCHAR, ',' ORDER BY b.conv_id) FILTER (s.n = b.depth), '')) AS ends_sha256
+    FROM begun b JOIN sizes s ON s.conv_id = b.conv_id GROUP BY path
+),
+known AS (SELECT b.conv_id AS member, n.* FROM begun b JOIN nodes n ON b.path = n.path),
+kin AS (
+    SELECT k.conv_id, k.depth, count(*) AS n_children
+    FROM nodes n JOIN known k ON k.member = n.conv_id AND k.depth = n.depth - 1 GROUP BY k.conv_id, k.depth
+),
+below AS (
+    SELECT k.conv_id, k.depth, sum((n.n_convs - 1) * n.size) AS saved_tokens, count(*) FILTER (c.n_children IS NULL) AS n_leaves
+    FROM nodes n JOIN known k ON k.member = n.conv_id AND k.depth <= n.depth
+    LEFT JOIN kin c ON c.conv_id = n.conv_id AND c.depth = n.depth
+    GROUP BY k.conv_id, k.depth
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children,
+       b.n_leaves, b.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.conv_id = n.conv_id AND b.depth = n.depth
+LEFT JOIN kin c ON c.conv_id = n.conv_id AND c.depth = n.depth
+LEFT JOIN known p ON p.member = n.conv_id AND p.depth = n.depth - 1
+"""
+
+NEAREST = """
+WITH good AS (
+    SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+      AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+),
+met AS (
+    SELECT q.vec_id AS query_id, q.v AS asked, c.vec_id,
+           sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))),
+                            lambda a, b: a + b)) AS score
+    FROM good q JOIN good c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 100 = 0
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, asked ORDER BY score, vec_id) AS rank FROM met)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM placed WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": LINE_DEDUP, "op8_embedding_dedup": EMBEDDING_DEDUP}
+    return {"op6_line_dedup": LINE_DEDUP, "op8_embedding_dedup": EMBEDDING_DEDUP, "op11_prefix_trie": PREFIX_TRIE, "op13_nearest": NEAREST}

@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import byte_bpe, embedding_dedup, line_dedup, oracles, packing, quality_classifier, quality_rules, secret_scan, simhash, toxicity, url_filter
+from tallyweave.llm import (
+    byte_bpe,
+    embedding_dedup,
+    line_dedup,
+    oracles,
+    packing,
+    periodic_runs,
+    prefix_trie,
+    quality_classifier,
+    quality_rules,
+    rotated_codes,
+    secret_scan,
+    simhash,
+    toxicity,
+    url_filter,
+)
 from tallyweave.llm.common import fold, table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -112,8 +127,23 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.branched(prefix_trie.turns(table(spark, folder, "conversations"))))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.scanned(table(spark, folder, "documents"), periodic_runs.looped)
+    exponent = F.expr("(1000 * length) div period").alias("exponent_milli")
+    return found.select("doc_id", "n_runs", "start", "length", "period", exponent, "runs_sha256", "collapsed_sha256")
+
+
+def op13_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return rotated_codes.nearest(table(spark, folder, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0, 10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_quality, op2_url_filter, op3_toxicity, op4_byte_bpe, op5_secrets, op6_line_dedup, op7_simhash, op8_embedding_dedup, op9_packing, op10_quality_rules]
+    found += [op11_prefix_trie, op12_periodic_runs, op13_nearest]
     return {query.__name__: query for query in found}
 
 
