@@ -313,10 +313,12 @@ def nearest(vectors: DataFrame, asking: Column, k: int = 10, fit: Fit = Fit(), s
     tried = _met(_visits(first, known, cells, 20 * (k + 1)), codes, known, k + 1, spread)
     by_score = Window.partitionBy("query").orderBy("score", "least")
     # k + 1 different vectors hold k ids besides the query's own
-    reach = tried.withColumn("_n", F.row_number().over(by_score)).where(F.col("_n") == k + 1)
-    second = wanted.join(reach.select("query", F.col("score").alias("reach")), "query", "left")
-    second = second.withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
-    pairs = stage(_met(_visits(second, known, cells, 0), codes, known, k + 1, spread), "ann-pairs")
+    surely = stage(tried.withColumn("_n", F.row_number().over(by_score)).where(F.col("_n") <= k + 1), "ann-first")
+    reach = surely.where(F.col("_n") == k + 1).select("query", F.col("score").alias("reach"))
+    second = wanted.join(reach, "query", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+    within = _met(_visits(second, known, cells, 0), codes, known, k + 1, spread).select("query", "rid")
+    # the first round's neighbours stay, should a bound have missed one of them
+    pairs = stage(within.union(surely.select("query", "rid")).distinct(), "ann-pairs")
     exact = _exact(pairs, classes).withColumn("least", F.col("ids")[0])
     ranked = exact.withColumn("_n", F.row_number().over(by_score)).where(F.col("_n") <= k + 1)
     with_ids = F.transform("ids", lambda i: F.struct(F.col("score"), i.alias("vec_id")))
