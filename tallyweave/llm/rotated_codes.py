@@ -226,7 +226,9 @@ def _visits(queries: DataFrame, known, cells, enough: int) -> DataFrame:
 def _met(visits: DataFrame, codes: DataFrame, known, k: int, spread: float) -> DataFrame:
     """``query``, ``rid``, ``least`` and ``score`` (the true distance) of pairs in the visited blocks.
 
-    For visits without a ``reach`` the k nearest among the best estimates of each block; else all within it.
+    For visits without a ``reach`` the k nearest among the best estimates of each block; else what lies within
+    it. Of a block the 2 k nearest go on at most: the k nearest of all are among them, with room for numbers
+    that the last digits of a sum would set in another order.
     """
     block = ["size", "cell", "part"]
     asked = stage(visits, "ann-visits")
@@ -241,6 +243,7 @@ def _met(visits: DataFrame, codes: DataFrame, known, k: int, spread: float) -> D
         middle = _centres_of(known.value, int(key[0]))[int(key[1])]
         code = np.frombuffer(b"".join(held["code"]), "<u8").reshape(len(held), -1)
         length, f, there = held["length"].to_numpy(), held["f"].to_numpy(), np.stack(held["embedding"].to_numpy()).astype(float)
+        least = held["least"].to_numpy()
         here, reach, out = np.stack(asking["embedding"].to_numpy()).astype(float), asking["reach"].to_numpy(), []
         for at in range(0, len(here), 128):
             rows, limit = here[at : at + 128], reach[at : at + 128, None]
@@ -254,10 +257,10 @@ def _met(visits: DataFrame, codes: DataFrame, known, k: int, spread: float) -> D
             score = np.concatenate([
                 np.sqrt(np.square(rows[i[x : x + BLOCK]] - there[j[x : x + BLOCK]]).sum(axis=1)) for x in range(0, len(i), BLOCK)
             ] or [np.empty(0)])
-            order = np.lexsort((score, i))
+            order = np.lexsort((least[j], score, i))
             i, j, score = i[order], j[order], score[order]
             nth = np.arange(len(i)) - np.searchsorted(i, i)
-            keep = np.where(first[i], nth < k, score <= limit[i, 0] * (1 + 1e-9) + 1e-12)
+            keep = np.where(first[i], nth < k, (nth < 2 * k) & (score <= limit[i, 0] * (1 + 1e-9) + 1e-12))
             found = held[["rid", "least"]].iloc[j[keep]]
             out.append(found.assign(query=asking["query"].to_numpy()[at + i[keep]], score=score[keep]))
         return pd.concat(out)[["query", "rid", "least", "score"]]
