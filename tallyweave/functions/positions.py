@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.state import stage
+
 BUCKET_WIDTH = 65_536
 
 
@@ -25,14 +27,6 @@ def hash_bucket(column: Column, bits: int = 16) -> Column:
     return F.shiftright(column, 64 - bits)
 
 
-def text_bucket(column: str, characters: int = 3) -> Column:
-    """Bucket of a text: the code points of its first characters, which keep the order of texts."""
-    bucket = F.lit(0).cast("long")
-    for i in range(characters):
-        bucket = F.shiftleft(bucket, 21).bitwiseOR(F.ascii(F.substring(column, i + 1, 1)).cast("long"))
-    return bucket
-
-
 def with_positions(
     df: DataFrame,
     keys: Sequence[str],
@@ -76,3 +70,13 @@ def with_running_sum(
         .withColumn(name, F.coalesce(F.sum("_value").over(inside), F.lit(0)) + F.col("_shift"))
         .drop("_bucket", "_value", "_shift")
     )
+
+
+def range_positions(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows with the 1-based position of ``column`` (not null, each value once), for values of any kind.
+
+    Spark cuts the rows into ranges of about equal size; rows and ranges are written once, so that the
+    counts of the ranges and the numbers inside them see the same cut.
+    """
+    ranges = stage(df.repartitionByRange(column).withColumn("_bucket", F.spark_partition_id()), f"ranges-{name}")
+    return stage(with_positions(ranges.withColumnRenamed("_bucket", "_range"), [], F.col("_range"), [column], name).drop("_range"), name)

@@ -1,68 +1,18 @@
-"""Item scorers: one distributed multinomial fit per feature set, and batch scoring of any model."""
+"""Weights of repeated runs, and batch scoring of any model."""
 
 from __future__ import annotations
 
 import math
-import warnings
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.schemas import EVENT
 
 
-def fit_scorer(
-    features: DataFrame,
-    targets: DataFrame,
-    weights: DataFrame | None = None,
-    iterations: int = 1000,
-    penalty: float = 0.01,
-    tolerance: float = 1e-4,
-) -> PipelineModel:
-    """Fit item probabilities on ``features(event, vector)`` and ``targets(event, item[, weight])``,
-    ``vector`` being an ML vector.
-
-
-    An event with several items gives one row per item, so its scores sum to 1. ``weights`` holds an
-    extra weight per event. The fit ends when the objective moves by less than ``tolerance``; if it
-    takes ``iterations`` steps before that, a warning says so. ``fit_steps`` tells the number.
-    """
-    rows = features.join(targets, EVENT)
-    weight = F.col("weight") if "weight" in targets.columns else F.lit(1.0)
-    if weights is not None:
-        rows = rows.join(weights.select(EVENT, F.col("weight").alias("_event_weight")), EVENT)
-        weight = weight * F.col("_event_weight")
-    training = rows.select("item_id", "vector", weight.cast("double").alias("row_weight")).where(
-        F.col("row_weight") > 0
-    )
-    index = StringIndexer(inputCol="item_id", outputCol="label", stringOrderType="alphabetAsc")
-    model = LogisticRegression(
-        featuresCol="vector",
-        labelCol="label",
-        weightCol="row_weight",
-        family="multinomial",
-        maxIter=iterations,
-        tol=tolerance,
-        regParam=penalty,
-    )
-    fitted = Pipeline(stages=[index, model]).fit(training)
-    if fit_steps(fitted) >= iterations:
-        warnings.warn(f"the scorer's fit was still moving after {iterations} steps", stacklevel=2)
-    return fitted
-
-
-def fit_steps(model: PipelineModel) -> int:
-    """How many steps the fit of a scorer took."""
-    return model.stages[1].summary.totalIterations
-
-
 DRAW_BITS = 52
 
 
@@ -81,34 +31,6 @@ def bootstrap_weights(events: DataFrame, run: int, seed: int = 42) -> DataFrame:
     return events.select(EVENT, sum(steps[1:], steps[0]).alias("weight"))
 
 
-def score_items(
-    model: PipelineModel, features: DataFrame, run: int = 1, available: DataFrame | None = None
-) -> DataFrame:
-    """Scores in long form: of the available items of each event, or of every known item.
-
-    With ``available(event, item)`` an event meets its items before its scores are spread out, so no
-    row is made for an item that is not on sale; a missing pair counts as 0.
-    """
-    labels, classifier = model.stages[0].labels, model.stages[1]
-    scored = classifier.transform(features.select(EVENT, "vector"))
-    scores = scored.select(EVENT, vector_to_array("probability").alias("_p"))
-    if available is None:
-        pairs = F.arrays_zip(F.lit(list(labels)).alias("item_id"), F.col("_p").alias("score"))
-        spread = scores.select(EVENT, F.explode(pairs).alias("_s")).select(EVENT, "_s.*")
-    else:
-        known = features.sparkSession.createDataFrame(list(enumerate(labels)), "_at int, item_id string")
-        wanted = available.select(EVENT, "item_id").distinct().join(known, "item_id")
-        spread = scores.join(wanted, EVENT).select(EVENT, "item_id", F.col("_p")[F.col("_at")].alias("score"))
-    return spread.select(F.lit(run).alias("run"), EVENT, "item_id", "score")
-
-
-def distilled_targets(targets: DataFrame, weights: DataFrame) -> DataFrame:
-    """Training rows of a distilled scorer: each (event, item) weighs ``y + alpha z1 + beta z2``."""
-    alpha, beta = weights.select("alpha").scalar(), weights.select("beta").scalar()
-    blend = F.col("y") + alpha * F.col("z1") + beta * F.col("z2")
-    return targets.select(EVENT, "item_id", blend.alias("weight"))
-
-
 def batch_score(
     rows: DataFrame, model: object, predict: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str
 ) -> DataFrame:

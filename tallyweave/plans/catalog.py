@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tallyweave.operators import anchors as A
 from tallyweave.operators import features as FE
-from tallyweave.operators import fusion, joint, labels, metrics, ranking, weights
+from tallyweave.operators import fusion, joint, labels, metrics, ranking, ridge, weights
 from tallyweave.operators import impute as I
 from tallyweave.operators import timeline as TL
 from tallyweave.operators.embeddings import conversation_embedding as conversation_means
@@ -332,15 +332,14 @@ def popularity_scores(w: Workbench) -> DataFrame:
 @plan
 def popularity_topk(w: Workbench) -> DataFrame:
     scores = labels.popularity_scores(w.available("test"), w.popularity())
-    items = w.t.post_filter.select("item_id")
-    return ranking.topk_sparse(scores, w.events("test"), items, K)
+    return ranking.topk_sparse(scores, w.events("test"), w.on_sale(), K)
 
 
 @plan
 def popularity_curve(w: Workbench) -> DataFrame:
     """Mean average precision of the popularity recommender at k = 1..5, from one ranking."""
     scores = labels.popularity_scores(w.available("test"), w.popularity())
-    top = ranking.topk_sparse(scores, w.events("test"), w.t.post_filter.select("item_id"), max(CURVE))
+    top = ranking.topk_sparse(scores, w.events("test"), w.on_sale(), max(CURVE))
     found = metrics.event_metrics(top, w.labels("test"), CURVE)
     return metrics.evaluation_report(w.types("test"), found, CURVE)
 
@@ -500,4 +499,101 @@ def pooled_sessions_(w: Workbench) -> DataFrame:
     return pooled_sessions(w.session_steps("train")).drop("position")
 
 
+@plan
+def context_counts(w: Workbench) -> DataFrame:
+    """How often each item was bought after the last 0 to 3 steps of a session."""
+    counts = scorers.context_tree(w).counts
+    return counts.select("depth", F.translate("context", "\x1f", ">").alias("context"), "item_id", "n")
+
+
+@plan
+def context_shares(w: Workbench) -> DataFrame:
+    return scorers.context_shares(w)
+
+
+def _once(w: Workbench) -> DataFrame:
+    """Every training event with the weight 1."""
+    return ridge.weighted(w.events("train"), [None])
+
+
+@plan
+def scorer_squares_conversation(w: Workbench) -> DataFrame:
+    """X'X behind the conversation scorer, the constant last."""
+    return long_moments(ridge.square_moments(scorers.conversation_vectors(w, "train"), _once(w), 1))
+
+
+def _bought_sums(w: Workbench, vectors) -> DataFrame:
+    """X'y of every item as rows of ``item_id``, ``row`` and ``value``."""
+    moments = ridge.label_moments(vectors(w, "train"), w.labels("train"), _once(w), 1)
+    return moments.select("item_id", F.posexplode("sums").alias("row", "value"))
+
+
+@plan
+def scorer_labels_conversation(w: Workbench) -> DataFrame:
+    """X'y of every item behind the conversation scorer, the constant last."""
+    return _bought_sums(w, scorers.conversation_vectors)
+
+
+@plan
+def scorer_labels_session(w: Workbench) -> DataFrame:
+    """X'y of every item behind the session scorer, by feature and way of pooling; sums of 0 are left out."""
+    vocabulary = w.session_vocabulary()
+    width = w.width(vocabulary)
+    sums = _bought_sums(w, scorers.session_vectors).withColumn("value", F.round("value", 9)).where((F.col("value") != 0) & (F.col("row") < 3 * width))
+    kind = F.element_at(F.array(F.lit("any_step"), F.lit("last_step"), F.lit("recency")), F.floor(F.col("row") / width).cast("int") + 1)
+    placed = sums.select("item_id", kind.alias("pooling"), (F.col("row") % width).alias("position"), "value")
+    return placed.join(vocabulary.select("feature", "position"), "position").drop("position")
+
+
+@plan
+def scorer_residuals_conversation(w: Workbench) -> DataFrame:
+    """What the normal equations of the fitted conversation scorer leave over, item by item: nothing."""
+    squares = long_moments(ridge.square_moments(scorers.conversation_vectors(w, "train"), _once(w), 1))
+    fitted = scorers._model(w, scorers.conversation_vectors).coefficients
+    weights_ = fitted.select("item_id", F.posexplode("coefficients").alias("column", "c"))
+    shrunk = F.when((F.col("row") == F.col("column")) & (F.col("row") < EMBEDDING_WIDTH), F.lit(ridge.RIDGE)).otherwise(F.lit(0.0))
+    left = squares.join(weights_, "column").groupBy("item_id", "row").agg(F.sum((F.col("value") + shrunk) * F.col("c")).alias("told"))
+    both = left.join(_bought_sums(w, scorers.conversation_vectors), ["item_id", "row"])
+    return both.select("item_id", "row", (F.round(F.col("told") - F.col("value"), 6) + F.lit(0.0)).alias("residual"))
+
+
+@plan
+def encoder_squares_conversation(w: Workbench) -> DataFrame:
+    """X'X of the conversations, each once for every item of its event, behind the encoder."""
+    steps = w.encoder_steps("conversation", "train")
+    n = w.labels("train").groupBy(EVENT).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return long_moments(ridge.square_moments(steps, ridge.weighted(w.labels("train"), [n]), 1))
+
+
+@plan
+def encoder_conversation(w: Workbench) -> DataFrame:
+    """Canonical correlations of conversation embeddings with bought items."""
+    return w.encoder("conversation").select("direction", "correlation")
+
+
+@plan
+def encoder_session(w: Workbench) -> DataFrame:
+    """Canonical correlations of session features with bought items."""
+    return w.encoder("session").select("direction", "correlation")
+
+
+@plan
+def generated_steps(w: Workbench) -> DataFrame:
+    """Observed and generated steps together, the generated ones read off stand-in probabilities.
+
+    Probability (31 event + 17 age + 7 position) % 101 / 100 of the first 50 classes at ages 0 to 3, for the
+    test events without a session.
+    """
+    vocabulary = w.session_vocabulary().where(F.col("position") < 50)
+    lacking = TL.missing_modality(w.timeline("test"), "session")
+    ages = lacking.select(EVENT, F.explode(F.sequence(F.lit(0), F.lit(3))).alias("age"))
+    told = F.transform(
+        F.sequence(F.lit(0), F.lit(49)), lambda p: ((F.col(EVENT) * 31 + F.col("age") * 17 + p * 7) % 101) / F.lit(100.0)
+    )
+    made = I.generated_steps(ages.withColumn("y", told), vocabulary)
+    both = w.session_steps("test").unionByName(made, allowMissingColumns=True)
+    return FE.long_features(both, [EVENT, "event_number", "session_id"])
+
+
+
 PLANS.update(scorers.SCORERS)

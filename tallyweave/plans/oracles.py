@@ -257,6 +257,30 @@ recent AS (
          row_number() OVER (PARTITION BY purchase_event_id ORDER BY event_number DESC NULLS FIRST, session_id DESC) - 1 AS age
   FROM (SELECT DISTINCT purchase_event_id, event_number, session_id FROM pair_all))"""
 
+_SQUARES = (
+    _VECTORS
+    + """, xs AS (SELECT purchase_event_id, pos AS c, value AS v FROM event_vec WHERE purchase_event_id < (SELECT id FROM cut)
+           UNION ALL SELECT DISTINCT purchase_event_id, 64, 1.0 FROM event_vec WHERE purchase_event_id < (SELECT id FROM cut))"""
+)
+
+_CONTEXTS = (
+    _ACTIONS
+    + """,
+symbols AS (
+  SELECT s.purchase_event_id, s.is_train, l.m - s.slot AS age,
+         min(struct_pack(n := coalesce(f.n, 0), name := coalesce(s.feature, ''))).name AS symbol
+  FROM slot_features s JOIN longest l USING (is_train) LEFT JOIN fit f USING (feature)
+  GROUP BY s.purchase_event_id, s.is_train, l.m, s.slot),
+context AS (
+  SELECT purchase_event_id, is_train, d AS depth, string_agg(symbol, '>' ORDER BY age) AS context
+  FROM symbols, range(1, 4) t(d) WHERE age < d GROUP BY purchase_event_id, is_train, d HAVING count(*) = d
+  UNION ALL SELECT DISTINCT purchase_event_id, is_train, 0, '' FROM symbols),
+context_n AS (SELECT depth, context, count(*) AS n FROM context WHERE is_train GROUP BY depth, context),
+context_k AS (
+  SELECT depth, context, item_id, count(*) AS n
+  FROM context JOIN train_labels USING (purchase_event_id) WHERE is_train GROUP BY depth, context, item_id)"""
+)
+
 _WIDE = ", ".join(f"CAST(max(CASE WHEN item_id = '{i}' THEN 1 ELSE 0 END) AS BIGINT) AS item_{i}" for i in _ITEMS)
 
 
@@ -696,6 +720,78 @@ _BODIES: dict[str, tuple[str, str]] = {
                  AND r.conversation_id IS NOT DISTINCT FROM s.conversation_id
                  AND r.session_id IS NOT DISTINCT FROM s.session_id""",
     ),
+    "scorer_squares_conversation": (
+        _SQUARES,
+        f"""SELECT x.c AS row, y.c AS "column", {_r('sum(x.v * y.v)', 'value')}
+            FROM xs x JOIN xs y USING (purchase_event_id) GROUP BY x.c, y.c""",
+    ),
+    "scorer_labels_conversation": (
+        _SQUARES,
+        f"""SELECT item_id, c AS row, {_r('sum(v)', 'value')} FROM xs JOIN train_labels USING (purchase_event_id) GROUP BY item_id, c""",
+    ),
+    "scorer_labels_session": (
+        _ACTIONS
+        + """, pooled AS (
+          SELECT f.purchase_event_id, f.feature, max(CAST(f.slot = l.m AS DOUBLE)) AS last_step, sum(pow(0.5, l.m - f.slot)) AS recency
+          FROM slot_features f JOIN longest l USING (is_train) WHERE f.is_train AND f.feature IS NOT NULL
+          GROUP BY f.purchase_event_id, f.feature),
+        each AS (
+          SELECT purchase_event_id, feature, 'any_step' AS pooling, 1.0 AS v FROM pooled
+          UNION ALL SELECT purchase_event_id, feature, 'last_step', last_step FROM pooled WHERE last_step > 0
+          UNION ALL SELECT purchase_event_id, feature, 'recency', recency FROM pooled)""",
+        f"""SELECT item_id, feature, pooling, {_r('sum(v)', 'value')} FROM each JOIN train_labels USING (purchase_event_id)
+            GROUP BY item_id, feature, pooling""",
+    ),
+    "scorer_residuals_conversation": (
+        _SQUARES,
+        """SELECT item_id, c AS row, CAST(0 AS DOUBLE) AS residual
+           FROM xs JOIN train_labels USING (purchase_event_id) GROUP BY item_id, c""",
+    ),
+    "encoder_squares_conversation": (
+        _VECTORS
+        + """, n AS (SELECT purchase_event_id, count(*) AS n FROM train_labels GROUP BY 1),
+        talks AS (SELECT purchase_event_id, event_number, conversation_id FROM train WHERE conversation_id IS NOT NULL),
+        xs AS (SELECT purchase_event_id, event_number, conversation_id, pos AS c, value AS v FROM conv_vec
+               UNION ALL SELECT purchase_event_id, event_number, conversation_id, 64, 1.0 FROM talks),
+        told AS (SELECT * FROM xs SEMI JOIN talks USING (purchase_event_id, event_number, conversation_id) JOIN n USING (purchase_event_id))""",
+        f"""SELECT x.c AS row, y.c AS "column", {_r('sum(x.n * x.v * y.v)', 'value')}
+            FROM told x JOIN told y USING (purchase_event_id, event_number, conversation_id) GROUP BY x.c, y.c""",
+    ),
+    "generated_steps": (
+        _ACTIONS
+        + """, class AS (
+          SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS position
+          FROM (SELECT DISTINCT feature FROM hot WHERE is_train AND feature IS NOT NULL)),
+        lacking AS (SELECT purchase_event_id FROM test_types WHERE event = 'conversation'),
+        told AS (
+          SELECT purchase_event_id, age, feature FROM lacking, (SELECT unnest(range(4)) AS age) a, class
+          WHERE position < 50 AND (purchase_event_id * 31 + age * 17 + position * 7) % 101 >= 50),
+        numbered AS (
+          SELECT purchase_event_id, age, row_number() OVER (PARTITION BY purchase_event_id ORDER BY age DESC) AS event_number
+          FROM (SELECT DISTINCT purchase_event_id, age FROM told))""",
+        """SELECT purchase_event_id, event_number, session_id, feature FROM hot WHERE NOT is_train
+           UNION ALL
+           SELECT t.purchase_event_id, n.event_number, NULL, t.feature FROM told t JOIN numbered n USING (purchase_event_id, age)""",
+    ),
+    "context_counts": (_CONTEXTS, "SELECT depth, context, item_id, n FROM context_k"),
+    "context_shares": (
+        _CONTEXTS
+        + """, p0 AS (
+          SELECT c.purchase_event_id, f.item_id, (coalesce(k.n, 0) + 0.5) / CAST(t.n + 1 AS DOUBLE) AS prior,
+                 (coalesce(k.n, 0) + 0.5) / CAST(t.n + 1 AS DOUBLE) AS share
+          FROM context c JOIN post_filter f USING (purchase_event_id) JOIN context_n t ON t.depth = 0
+          LEFT JOIN context_k k ON k.depth = 0 AND k.item_id = f.item_id WHERE c.depth = 0 AND NOT c.is_train)"""
+        + "".join(
+            f""", p{d} AS (
+          SELECT p.purchase_event_id, p.item_id, p.prior,
+                 CASE WHEN t.n IS NULL THEN p.share ELSE (coalesce(k.n, 0) + 5 * p.share) / CAST(t.n + 5 AS DOUBLE) END AS share
+          FROM p{d - 1} p LEFT JOIN context c ON c.purchase_event_id = p.purchase_event_id AND c.depth = {d}
+          LEFT JOIN context_n t ON t.depth = {d} AND t.context = c.context
+          LEFT JOIN context_k k ON k.depth = {d} AND k.context = c.context AND k.item_id = p.item_id)"""
+            for d in (1, 2, 3)
+        ),
+        f"SELECT purchase_event_id, item_id, {_r('share', 'share')}, {_r('prior', 'prior')} FROM p3",
+    ),
     "pooled_sessions": (
         _ACTIONS,
         f"""SELECT f.purchase_event_id, f.feature, CAST(1 AS DOUBLE) AS any_step,

@@ -1,15 +1,15 @@
 """Inputs, fits and scores of the model families.
 
-Each family is one multinomial fit over all items on a fixed-size event vector; sequence order is
-kept by pooling (any step, last step, halving sum), not by a recurrent net.
+Each family is one multi-label ridge fit on a fixed-size event vector, with independent scores of the items;
+sequence order is kept by pooling (any step, last step, halving sum), not by a recurrent net.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
+from functools import reduce, wraps
 
 import pandas as pd
-from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from tallyweave.functions.batches import stacked
 from tallyweave.functions.vectors import dense_entries, entry, shifted, stage_vectors
 from tallyweave.operators import anchors as A
+from tallyweave.operators import context_tree as CT
 from tallyweave.operators import features as FE
-from tallyweave.operators import fusion, joint
+from tallyweave.operators import fusion, joint, ridge
 from tallyweave.operators import impute as I
 from tallyweave.operators import timeline as TL
 from tallyweave.operators.metrics import (
@@ -30,7 +31,7 @@ from tallyweave.operators.metrics import (
     metrics_over_runs,
 )
 from tallyweave.operators.models import batch_score as score_batches
-from tallyweave.operators.models import bootstrap_weights, distilled_targets, fit_scorer, score_items
+from tallyweave.operators.models import bootstrap_weights
 from tallyweave.operators.pooling import pooled_entries, pooled_sessions
 from tallyweave.operators.ranking import topk_sparse
 from tallyweave.operators.split import validation_split
@@ -44,23 +45,37 @@ GENERATOR_RIDGE = 1.0
 
 
 # --- event vectors ---------------------------------------------------------------------------
+# The vectors of a family and part are written once, whoever asks for them.
 
 
+def _once(make):
+    """``make(w, part)`` as a table that is stored on first use."""
+
+    @wraps(make)
+    def vectors(w: Workbench, part: str) -> DataFrame:
+        return w.state(f"{make.__name__}-{part}", lambda: make(w, part))
+
+    return vectors
+
+
+@_once
 def conversation_vectors(w: Workbench, part: str) -> DataFrame:
     rows = w.event_embeddings(part).where(F.col("embedding").isNotNull())
-    return rows.select(EVENT, array_to_vector("embedding").alias("vector"))
+    return stage(rows.select(EVENT, array_to_vector("embedding").alias("vector")), f"conversation-vectors-{part}")
 
 
 def _pooled(w: Workbench, steps: DataFrame, vocabulary: DataFrame, ties: tuple[str, ...]) -> DataFrame:
     return pooled_entries(steps, pooled_sessions(steps, ties), w.width(vocabulary))
 
 
+@_once
 def session_vectors(w: Workbench, part: str) -> DataFrame:
     vocabulary = w.session_vocabulary()
     pooled = _pooled(w, w.session_steps(part), vocabulary, ("session_id",))
     return stage_vectors(pooled, 3 * w.width(vocabulary), f"session-vectors-{part}")
 
 
+@_once
 def keyword_vectors(w: Workbench, part: str) -> DataFrame:
     vocabulary = w.keyword_vocabulary()
     steps = w.keep(f"keyword-steps-{part}", lambda: FE.keyword_features(w.keywords(part), vocabulary))
@@ -84,12 +99,14 @@ def _side_by_side(w: Workbench, talk: DataFrame, clicks: DataFrame, vocabulary:
     return stage_vectors(both, size, label)
 
 
+@_once
 def joint_vectors(w: Workbench, part: str) -> DataFrame:
     vocabulary = w.session_vocabulary()
     clicks = _pooled(w, w.session_steps(part), vocabulary, ("session_id",))
     return _side_by_side(w, w.event_embeddings(part), clicks, vocabulary, f"joint-vectors-{part}")
 
 
+@_once
 def student_vectors(w: Workbench, part: str) -> DataFrame:
     """As ``joint_vectors``, with the vocabulary of the intersection events that the student learns from."""
     vocabulary = w.intersection_vocabulary()
@@ -97,10 +114,20 @@ def student_vectors(w: Workbench, part: str) -> DataFrame:
     return _side_by_side(w, w.event_embeddings(part), clicks, vocabulary, f"student-vectors-{part}")
 
 
+@_once
 def relative_vectors(w: Workbench, part: str) -> DataFrame:
     steps = A.relative_timeline(w.relative_conversations(part), w.relative_sessions(part))
     step = F.concat("relative", F.array(F.col("conversation_ind").cast("double")))
-    return steps.groupBy(EVENT).agg(Summarizer.mean(array_to_vector(step)).alias("vector"))
+    return stage(steps.groupBy(EVENT).agg(Summarizer.mean(array_to_vector(step)).alias("vector")), f"relative-vectors-{part}")
+
+
+@_once
+def relative_encoded_vectors(w: Workbench, part: str) -> DataFrame:
+    """As ``relative_vectors``, with the learned projections in front of the cosines."""
+    steps = A.relative_timeline(w.encoded_relative("conversation", part), w.encoded_relative("session", part))
+    step = F.concat("relative", F.array(F.col("conversation_ind").cast("double")))
+    mean = steps.groupBy(EVENT).agg(Summarizer.mean(array_to_vector(step)).alias("vector"))
+    return stage(mean, f"relative-encoded-vectors-{part}")
 
 
 def neutral_inputs(w: Workbench, part: str) -> DataFrame:
@@ -110,6 +137,7 @@ def neutral_inputs(w: Workbench, part: str) -> DataFrame:
     return joint.neutral_imputed(talk, FE.padded_slots(steps, ["session_id"]))
 
 
+@_once
 def neutral_vectors(w: Workbench, part: str) -> DataFrame:
     timeline, vocabulary = w.timeline(part), w.session_vocabulary()
     talk = I.impute_conversations(timeline, w.event_embeddings(part), w.embedding_means())
@@ -178,10 +206,11 @@ def generated_sessions(w: Workbench, part: str) -> DataFrame:
     generator = session_generator(w)
     lacking = TL.missing_modality(w.timeline(part), "session")
     rows = _embedded(w, part).join(lacking, EVENT, "left_semi")
-    longest = _steps(w, "intersection").groupBy(EVENT).count().agg(F.max("count")).first()[0] or 1
+    longest = w.state("longest", lambda: _steps(w, "intersection").groupBy(EVENT).count().agg(F.max("count")).first()[0] or 1)
     return I.generate_steps(rows, generator, length_generator(w), longest, w.intersection_vocabulary())
 
 
+@_once
 def generated_vectors(w: Workbench, part: str) -> DataFrame:
     """Both modalities of every event, the missing one generated."""
     vocabulary = w.intersection_vocabulary()
@@ -200,53 +229,94 @@ def _weights(w: Workbench, vectors) -> DataFrame | None:
     return sample_weights(w.types("train")) if vectors is joint_vectors else None
 
 
-def _model(w: Workbench, vectors, run: int = 1) -> PipelineModel:
-    """The scorer of a run, fitted on the train part and shared by the queries that use it."""
-    label = f"{vectors.__name__}-{run}"
-    if label not in w.models:
-        weights = _weights(w, vectors)
-        if run > 1:
-            drawn = bootstrap_weights(w.events("train"), run)
-            extra = drawn if weights is None else weights.select(EVENT, F.col("weight").alias("_w"))
-            weights = drawn if weights is None else drawn.join(extra, EVENT).select(EVENT, (F.col("weight") * F.col("_w")).alias("weight"))
-        w.models[label] = fit_scorer(vectors(w, "train"), w.labels("train"), weights)
-    return w.models[label]
+def _run_weights(w: Workbench, extra: DataFrame | None, runs: Sequence[int]) -> list[DataFrame | None]:
+    """Weights of the training events in each run: the family's, times the draws of the run."""
 
+    def of(run: int) -> DataFrame | None:
+        if run == 1:
+            return extra
+        drawn = bootstrap_weights(w.events("train"), run)
+        if extra is None:
+            return drawn
+        both = drawn.join(extra.select(EVENT, F.col("weight").alias("_w")), EVENT)
+        return both.select(EVENT, (F.col("weight") * F.col("_w")).alias("weight"))
 
-def _scores(w: Workbench, vectors, run: int = 1) -> DataFrame:
-    def make() -> DataFrame:
-        return score_items(_model(w, vectors, run), vectors(w, "test"), run, w.available("test"))
+    return [of(run) for run in runs]
 
-    return w.keep(f"scores-{vectors.__name__}-{run}", make)
 
+def _model(w: Workbench, vectors, runs: Sequence[int] = (1,)) -> ridge.Scorer:
+    """The scorers of all runs, fitted on the train part together and shared by the queries that use them."""
 
-def _distilled(w: Workbench, run: int = 1) -> DataFrame:
-    """Scores of the student on intersection events, taught by the conversation and session scorers of the run."""
+    def make() -> ridge.Scorer:
+        return ridge.fit(vectors(w, "train"), w.labels("train"), _run_weights(w, _weights(w, vectors), runs))
 
+    return w.state(f"model-{vectors.__name__}-{tuple(runs)}", make)
+
+
+def _scores(w: Workbench, vectors, runs: Sequence[int] = (1,)) -> DataFrame:
     def make() -> DataFrame:
-        teachers = [
-            score_items(_model(w, vectors, run), TL.restrict(vectors(w, "train"), w.timeline("intersection")))
-            for vectors in (conversation_vectors, session_vectors)
+        return ridge.score(_model(w, vectors, runs), vectors(w, "test"), w.available("test"), runs)
+
+    return w.keep(f"scores-{vectors.__name__}-{len(runs)}", make)
+
+
+def _student(w: Workbench, runs: Sequence[int] = (1,)) -> ridge.Scorer:
+    """The student on intersection events, taught by the linear scores of the conversation and session scorers."""
+
+    def make() -> ridge.Scorer:
+        teachers = [(conversation_vectors, "alpha"), (session_vectors, "beta")]
+        shares = distillation_weights(w.types("train")).first()
+        own = student_vectors(w, "intersection")
+        for vectors, _ in teachers:
+            own = TL.restrict(own, vectors(w, "train"))
+        weights = ridge.weighted(own, _run_weights(w, None, runs))
+        weights, n = stage(weights, "run-weights"), len(runs)
+        told = [
+            (ridge.cross_moments(own, vectors(w, "train"), weights, n), _model(w, vectors, runs), shares[share])
+            for vectors, share in teachers
         ]
-        targets = fusion.distillation_targets(w.labels("intersection"), *teachers)
-        blended = distilled_targets(targets, distillation_weights(w.types("train")))
-        weights = bootstrap_weights(w.events("train"), run) if run > 1 else None
-        student = fit_scorer(student_vectors(w, "intersection"), stage(blended, "student-targets"), weights)
+        bought = ridge.label_moments(own, w.labels("intersection"), weights, n)
+        return ridge.solve(ridge.square_moments(own, weights, n), bought, n, teachers=told)
+
+    return w.state(f"student-{tuple(runs)}", make)
+
+
+def _distilled(w: Workbench, runs: Sequence[int] = (1,)) -> DataFrame:
+    def make() -> DataFrame:
         both = w.types("test").where(F.col("event") == "intersection")
-        return score_items(student, TL.restrict(student_vectors(w, "test"), both), run, w.available("test"))
+        return ridge.score(_student(w, runs), TL.restrict(student_vectors(w, "test"), both), w.available("test"), runs)
+
+    return w.keep(f"scores-distilled-{len(runs)}", make)
+
+
+def _fused(w: Workbench, runs: Sequence[int] = (1,)) -> DataFrame:
+    return fusion.late_fusion(_scores(w, conversation_vectors, runs), _scores(w, session_vectors, runs), w.types("test"))
+
+
+def session_contexts(w: Workbench, part: str) -> DataFrame:
+    return w.keep(f"contexts-{part}", lambda: CT.contexts(CT.symbols(w.session_steps(part), w.session_vocabulary())))
 
-    return w.keep(f"scores-distilled-{run}", make)
 
+def context_tree(w: Workbench) -> CT.ContextTree:
+    return w.state("context-tree", lambda: CT.fit(session_contexts(w, "train"), w.labels("train")))
 
-def _fused(w: Workbench, run: int = 1) -> DataFrame:
-    return fusion.late_fusion(_scores(w, conversation_vectors, run), _scores(w, session_vectors, run), w.types("test"))
 
+def context_shares(w: Workbench) -> DataFrame:
+    """Shares of the items on sale after the last steps of each test event, and without them."""
+    return CT.shares(context_tree(w), session_contexts(w, "test"), w.available("test"))
 
-def _routed(w: Workbench, run: int = 1) -> DataFrame:
+
+def _ordered(w: Workbench, runs: Sequence[int] = (1,)) -> DataFrame:
+    """Session scores with the odds of what follows the last steps; the runs share one context tree."""
+    told = w.keep("context-shares", lambda: context_shares(w))
+    return CT.joined(_scores(w, session_vectors, runs), told)
+
+
+def _routed(w: Workbench, runs: Sequence[int] = (1,)) -> DataFrame:
     by_type = {
-        "conversation": _scores(w, conversation_vectors, run),
-        "session": _scores(w, session_vectors, run),
-        "intersection": _distilled(w, run),
+        "conversation": _scores(w, conversation_vectors, runs),
+        "session": _scores(w, session_vectors, runs),
+        "intersection": _distilled(w, runs),
     }
     return fusion.routed_scores(by_type, w.types("test"))
 
@@ -259,6 +329,10 @@ def score_session(w: Workbench) -> DataFrame:
     return _scores(w, session_vectors)
 
 
+def score_session_ordered(w: Workbench) -> DataFrame:
+    return _ordered(w)
+
+
 def score_keyword(w: Workbench) -> DataFrame:
     return _scores(w, keyword_vectors)
 
@@ -271,6 +345,10 @@ def score_relative(w: Workbench) -> DataFrame:
     return _scores(w, relative_vectors)
 
 
+def score_relative_encoded(w: Workbench) -> DataFrame:
+    return _scores(w, relative_encoded_vectors)
+
+
 def score_neutral_imputed(w: Workbench) -> DataFrame:
     return _scores(w, neutral_vectors)
 
@@ -311,7 +389,7 @@ CURVE = (1, 2, 3, 4, 5)
 
 
 def _of_vectors(vectors):
-    return lambda w, run=1: _scores(w, vectors, run), lambda w: vectors(w, "test").select(EVENT)
+    return lambda w, runs=(1,): _scores(w, vectors, runs), lambda w: vectors(w, "test").select(EVENT)
 
 
 def _by_type(**families):
@@ -336,9 +414,11 @@ def _of_fusion(w: Workbench) -> DataFrame:
 FAMILIES = {
     "conversation": (*_of_vectors(conversation_vectors), False),
     "session": (*_of_vectors(session_vectors), False),
+    "session_ordered": (_ordered, lambda w: session_vectors(w, "test").select(EVENT), False),
     "keyword": (*_of_vectors(keyword_vectors), True),
     "joint": (*_of_vectors(joint_vectors), True),
     "relative": (*_of_vectors(relative_vectors), True),
+    "relative_encoded": (*_of_vectors(relative_encoded_vectors), True),
     "neutral_imputed": (*_of_vectors(neutral_vectors), True),
     "generated": (*_of_vectors(generated_vectors), True),
     "late_fusion": (_fused, _of_fusion, True),
@@ -352,9 +432,8 @@ FAMILIES = {
 
 def best_items(w: Workbench, scores: DataFrame, events: DataFrame, k: int, runs=(1,)) -> DataFrame:
     """The first ``k`` items of each scored event and run; items without a score count as 0."""
-    items = w.labels("train").select("item_id").distinct()
-    each = events.distinct().withColumn("run", F.explode(F.lit(list(runs))))
-    return topk_sparse(scores, each, items, k)
+    each = events.withColumn("run", F.explode(F.lit(list(runs))))
+    return topk_sparse(scores, each, w.catalogue(), k)
 
 
 def _evaluation(family: str):
@@ -369,12 +448,11 @@ def _evaluation(family: str):
 
 
 def run_evaluation(family: str):
-    """Five bootstrap runs, reported by type at k = 3 and averaged."""
+    """Five bootstrap runs from one reading of the vectors, reported by type at k = 3 and averaged."""
     scores, events, union = FAMILIES[family]
 
     def evaluate(w: Workbench) -> DataFrame:
-        together = reduce(lambda a, b: a.unionByName(b), [scores(w, run) for run in RUNS])
-        found = event_metrics(best_items(w, together, events(w), 3, RUNS), w.labels("test"), [3])
+        found = event_metrics(best_items(w, scores(w, RUNS), events(w), 3, RUNS), w.labels("test"), [3])
         return metrics_over_runs(metrics_by_type(w.types("test"), found, RUNS, union=union))
 
     return evaluate
@@ -393,8 +471,8 @@ def validation_auc(w: Workbench) -> DataFrame:
     """
     valid = w.validation_events()
     families = (
-        conversation_vectors, session_vectors, keyword_vectors, joint_vectors, relative_vectors, neutral_vectors,
-        generated_vectors,
+        conversation_vectors, session_vectors, keyword_vectors, joint_vectors, relative_vectors, relative_encoded_vectors,
+        neutral_vectors, generated_vectors,
     )
     reports = [tail_auc(w, v, "train", valid, _weights(w, v)) for v in families]
     tail = validation_split(w.types("train").where(F.col("event") == "intersection").select(EVENT), 0.11)
@@ -404,9 +482,9 @@ def validation_auc(w: Workbench) -> DataFrame:
 
 def tail_auc(w: Workbench, vectors, part: str, valid: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     rows = vectors(w, part)
-    model = fit_scorer(rows.join(valid, EVENT, "left_anti"), w.labels("train"), weights)
+    model = ridge.fit(rows.join(valid, EVENT, "left_anti"), w.labels("train"), [weights])
     held = rows.join(valid, EVENT, "left_semi")
-    scores = score_items(model, held, available=w.available("train")).drop("run")
+    scores = ridge.score(model, held, w.available("train"), (1,)).drop("run")
     report = macro_auc(scores, w.labels("train"), held.select(EVENT))
     return report.withColumn("model", F.lit(vectors.__name__.removesuffix("_vectors")))
 
@@ -414,7 +492,7 @@ def tail_auc(w: Workbench, vectors, part: str, valid: DataFrame, weights: DataFr
 SCORERS = {
     f.__name__: f
     for f in (
-        score_conversation, score_session, score_keyword, score_joint, score_relative, score_neutral_imputed,
-        score_generated, score_distilled, score_late_fusion, score_routed, batch_score, validation_auc,
+        score_conversation, score_session, score_session_ordered, score_keyword, score_joint, score_relative, score_relative_encoded,
+        score_neutral_imputed, score_generated, score_distilled, score_late_fusion, score_routed, batch_score, validation_auc,
     )
 } | EVALUATIONS

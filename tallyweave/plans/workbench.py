@@ -9,19 +9,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.functions.vectors import stage_vectors
 from tallyweave.operators import anchors as A
+from tallyweave.operators import encoder as E
 from tallyweave.operators import features as FE
 from tallyweave.operators.embeddings import conversation_embedding, conversation_sums, event_embedding
 from tallyweave.operators.impute import fit_mean, fit_mode
 from tallyweave.operators.labels import item_labels, item_popularity, masked_scores
+from tallyweave.operators.ranking import catalogue
 from tallyweave.operators.split import holdout, validation_split
 from tallyweave.operators.timeline import event_type, keyword_timeline, restrict, timeline_actions
 from tallyweave.schemas import EVENT
-from tallyweave.sources.fixture import RUNS, Tables, tables
+from tallyweave.sources.fixture import EMBEDDING_WIDTH, RUNS, Tables, tables
 from tallyweave.state import stage
 
 N_ANCHORS = A.N_ANCHORS
@@ -34,13 +37,19 @@ class Workbench:
         self.spark = spark
         self.t: Tables = tables(spark, folder)
         self._kept: dict[str, DataFrame] = {}
-        self.models: dict[str, PipelineModel] = {}
+        self._state: dict[str, object] = {}
 
     def keep(self, label: str, make: Callable[[], DataFrame]) -> DataFrame:
         if label not in self._kept:
             self._kept[label] = stage(make(), label)
         return self._kept[label]
 
+    def state(self, label: str, make: Callable[[], object]):
+        """Fitted state, or a table that ``make`` stores by itself, made once."""
+        if label not in self._state:
+            self._state[label] = make()
+        return self._state[label]
+
     def prepare(self) -> None:
         """Build every shared table now instead of on first use."""
         for part in ("train", "test"):
@@ -90,6 +99,14 @@ class Workbench:
     def popularity(self) -> DataFrame:
         return self.keep("popularity", lambda: item_popularity(self.labels("train")))
 
+    def catalogue(self) -> DataFrame:
+        """Items of the train part, numbered in item order."""
+        return self.state("catalogue", lambda: catalogue(self.labels("train").select("item_id")))
+
+    def on_sale(self) -> DataFrame:
+        """Items that are ever on sale, numbered in item order."""
+        return self.state("on-sale", lambda: catalogue(self.t.post_filter.select("item_id")))
+
     def scores(self, part: str, model: int = 0, runs: tuple[int, ...] = RUNS) -> DataFrame:
         return restrict(self.t.scores(model, runs), self.timeline(part))
 
@@ -134,7 +151,7 @@ class Workbench:
         )
 
     def width(self, vocabulary: DataFrame) -> int:
-        return int(vocabulary.agg(F.max("position")).first()[0]) + 1
+        return self.state(f"width-{id(vocabulary)}", lambda: int(vocabulary.agg(F.max("position")).first()[0]) + 1)
 
     # --- conversations ---------------------------------------------------------------------
 
@@ -192,6 +209,33 @@ class Workbench:
             "anchors-session", lambda: A.anchor_vectors(self.anchors(), self.session_steps("train"), "positions")
         )
 
+    def encoder(self, modality: str) -> DataFrame:
+        """The learned projection of a modality's steps, fitted on the train part."""
+        return self.keep(f"encoder-{modality}", lambda: E.fit(self.encoder_steps(modality, "train"), self.labels("train")))
+
+    def encoder_steps(self, modality: str, part: str) -> DataFrame:
+        """Steps of one modality with their ``vector``; a conversation without sentences has a zero vector."""
+        if modality == "session":
+            width = self.width(self.session_vocabulary())
+            on = F.transform("positions", lambda p: F.struct(p.cast("int").alias("at"), F.lit(1.0).alias("x")))
+            rows = self.session_steps(part).select(EVENT, "event_number", "session_id", on.alias("entries"))
+            return self.state(f"encoder-steps-session-{part}", lambda: stage_vectors(rows, width, f"encoder-steps-session-{part}"))
+        zero = F.array_repeat(F.lit(0.0), EMBEDDING_WIDTH)
+        whole = F.when(F.col("embedding").isNull(), zero).otherwise(F.transform("embedding", lambda x: F.coalesce(x, F.lit(0.0))))
+        rows = self.conversations(part)
+        return rows.select(EVENT, "event_number", "conversation_id", array_to_vector(whole).alias("vector"))
+
+    def encoded(self, modality: str, part: str) -> DataFrame:
+        """Steps of one modality with their projections, ``encoded``."""
+        return self.keep(f"encoded-{modality}-{part}", lambda: E.encode(self.encoder_steps(modality, part), self.encoder(modality)))
+
+    def encoded_relative(self, modality: str, part: str) -> DataFrame:
+        """Cosines of the projected steps with the projected anchors."""
+        anchors = self.keep(
+            f"anchors-encoded-{modality}", lambda: A.anchor_vectors(self.anchors(), self.encoded(modality, "train"), "encoded")
+        )
+        return A.relative_representation(self.encoded(modality, part), anchors, "encoded")
+
     def relative_conversations(self, part: str) -> DataFrame:
         return A.relative_representation(self.conversations(part), self.conversation_anchors(), "embedding")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.vectors import entry, shifted, stage_vectors
 from tallyweave.operators import impute as I
 from tallyweave.operators import models as MO
+from tallyweave.operators import ridge
 
 PAIRS = "purchase_event_id long, x array<double>, y array<double>"
 
@@ -108,27 +109,19 @@ def test_staged_entries_read_back_as_sparse_vectors(spark):
     assert found == {1: SparseVector(6, {1: 2.0, 5: 7.0}), 2: SparseVector(6, {5: 7.0})}
 
 
-def test_scorer_learns_and_sums_to_one(spark):
+def test_scorer_learns(spark):
     entries = spark.range(60).select(
         F.col("id").alias("purchase_event_id"),
         F.expr("array(struct(cast(id % 3 as int) as at, 1.0D as x))").alias("entries"),
     )
     vectors = stage_vectors(entries, 3, "scorer-vectors")
     targets = entries.select("purchase_event_id", F.concat(F.lit("i"), F.col("purchase_event_id") % 3).alias("item_id"))
-    model = MO.fit_scorer(vectors, targets)
-    scores = MO.score_items(model, vectors)
+    pairs = vectors.select("purchase_event_id").join(targets.select("item_id").distinct(), how="cross")
+    scores = ridge.score(ridge.fit(vectors, targets), vectors, pairs, (1,))
     assert scores.count() == 180
-    total = scores.groupBy("purchase_event_id").agg(F.sum("score").alias("t"), F.max_by("item_id", "score").alias("best"))
-    for row in total.collect():
-        assert row["t"] == pytest.approx(1.0) and row["best"] == f"i{row['purchase_event_id'] % 3}"
-
-
-def test_distilled_targets_blend_label_and_teachers(spark, rows):
-    targets = spark.createDataFrame(
-        [(1, "a", 1.0, 0.5, 0.25)], "purchase_event_id long, item_id string, y double, z1 double, z2 double"
-    )
-    weights = spark.createDataFrame([(0.5, 2.0)], "alpha double, beta double")
-    assert rows(MO.distilled_targets(targets, weights)) == [(1, "a", 1.75)]
+    best = scores.groupBy("purchase_event_id").agg(F.max_by("item_id", "score").alias("best"))
+    for row in best.collect():
+        assert row["best"] == f"i{row['purchase_event_id'] % 3}"
 
 
 def test_batch_score_applies_any_object(spark, rows):

@@ -64,14 +64,16 @@ def test_scores_cover_what_is_on_sale(spark, name):
 
 def test_sparse_scores_rank_like_dense_ones(spark, rows):
     from tallyweave.operators.labels import masked_scores
-    from tallyweave.operators.models import score_items
+    from tallyweave.operators import ridge
     from tallyweave.operators.ranking import topk_items
     from tallyweave.plans import scorers
     from tallyweave.plans.workbench import workbench
 
     w = workbench(spark, FOLDER)
     vectors = scorers.session_vectors(w, "test")
-    dense = masked_scores(score_items(scorers._model(w, scorers.session_vectors), vectors), w.available("test"))
+    known = w.labels("train").select("item_id").distinct()
+    pairs = vectors.select("purchase_event_id").crossJoin(known)
+    dense = masked_scores(ridge.score(scorers._model(w, scorers.session_vectors), vectors, pairs, (1,)), w.available("test"))
     sparse = scorers.best_items(w, scorers.score_session(w), vectors.select("purchase_event_id"), 5)
     columns = ("run", "purchase_event_id", "item_id", "rank")
     assert rows(sparse, *columns) == rows(topk_items(dense, 5), *columns)
