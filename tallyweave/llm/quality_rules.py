@@ -1,27 +1,26 @@
 """Quality rules: counts of a text's words, symbols and repeats, and bands of n-gram perplexity by language.
 
-The language model is a modified Kneser-Ney model of the characters of words, order 5, one for each
+The language model is a modified Kneser-Ney model of the UTF-8 bytes of words, order 5, one for each
 language. Every task counts the n-grams of all words of its texts, Spark adds the counts, and the
-smoothed probabilities stay a table with a key for each n-gram: CODE_BITS bits of each character, side
-by side. Texts are cut into blocks; the distinct n-grams of a block's words meet the table in a join and
-come back to the block, which adds them up for each text. Nothing of it passes through the driver or a
-broadcast, and n-grams keep their width whatever their number.
-
-``smooth`` and ``fit`` make the same model in one process's memory; ``fit`` has a bound, beyond which it
-counts at fewer bits a character. The query does not use it.
-
-The bands come from all texts: for each language the quartiles of the log-perplexity, and REACH times
-their distance beyond them on either side.
+smoothed probabilities stay a table with a key for each n-gram: its bytes side by side, so no two n-grams
+share a key whatever the script. START and END are bytes that UTF-8 never uses. Texts are cut into blocks;
+the distinct n-grams of a block's words meet the table in a join and come back to the block, which adds
+them up for each text from sorted arrays. Nothing of it passes through the driver or a broadcast.
+
+The bands come from the different texts that pass the base rules. Their centre is the median, over a
+language's sources, of each source's median log-perplexity, and their width REACH times the median, over
+the sources, of each source's median distance from that centre. A source counts once, however large it is,
+and either median holds while less than half of what it is taken of is junk.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -33,9 +32,9 @@ from tallyweave.llm.common import texts_of
 from tallyweave.state import stage
 
 ORDER = 5
-CODE_BITS = 12
-START, END = 1, 2
-SLOTS = 256
+CODE_BITS = 8
+#: Marks around a word: bytes that no UTF-8 text holds.
+START, END = 0xFF, 0xFE
 #: Texts, and about as many characters, whose words are listed together.
 BLOCK, BLOCK_CHARS = 8192, 1 << 25
 SYMBOLS = "#*$%&|<>"
@@ -44,11 +43,10 @@ BLANKS = " \t\n\v\f\r"
 
 @dataclass(frozen=True)
 class Settings:
-    """``max_grams`` bounds ``fit`` alone. ``reach``: quartile distances beyond the quartiles; ``least``: the least such distance that counts."""
+    """``reach``: median distances that a band holds on either side; ``least``: the least such distance that counts."""
 
-    max_grams: int = 4_000_000
-    reach: float = 4.0
-    least: float = 0.02
+    reach: float = 9.0
+    least: float = 0.01
     min_words: int = 50
     max_repeat_percent: int = 50
 
@@ -93,16 +91,17 @@ def base_counts(text: str, raw: bytes, words: list[bytes]) -> tuple[int, int, in
 
 
 def slot_of(lang: str | None) -> int:
-    """Languages share SLOTS models; few enough languages never share one by more than chance."""
-    return -1 if lang is None else zlib.crc32(lang.encode()) % SLOTS
+    """The key of a language: 64 bits of a hash of its name. Null is a language of its own."""
+    if lang is None:
+        return 0
+    return int.from_bytes(blake2b(lang.encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the n-gram that ends at each character and at the end of each word; the word's number."""
-    opening = "\x01" * (ORDER - 1)
-    line = opening + ("\x02" + opening).join([w.decode() for w in words]) + "\x02"
-    points = np.frombuffer(line.encode("utf-32-le"), "<u4").astype(np.int64)
-    codes = (points ^ (points >> CODE_BITS)) & ((1 << CODE_BITS) - 1)
+    """Key of the n-gram that ends at each byte and at the end of each word; the word's number."""
+    opening, end = bytes([START]) * (ORDER - 1), bytes([END])
+    line = opening + (end + opening).join(words) + end
+    codes = np.frombuffer(line, np.uint8).astype(np.int64)
     keys = np.zeros(len(codes) - ORDER + 1, np.int64)
     for i in range(ORDER):
         keys = keys << CODE_BITS | codes[i : i + len(keys)]
@@ -131,7 +130,7 @@ def counted(documents: DataFrame) -> DataFrame:
             yield pd.DataFrame({"slot": slot, "gram": keys, "n": n})
 
     chosen = texts_of(documents, F.col("lang").cast("string").alias("lang")).select("text", "lang")
-    partial = chosen.mapInPandas(run, "slot int, gram long, n long")
+    partial = chosen.mapInPandas(run, "slot long, gram long, n long")
     return partial.groupBy("slot", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -142,52 +141,6 @@ def _added(old: tuple[np.ndarray, np.ndarray] | None, keys: np.ndarray, n: np.nd
     return found, np.bincount(place, n, len(found)).astype(np.int64)
 
 
-def coarser(count: DataFrame, bits: int, to: int) -> DataFrame:
-    """The same counts with ``to`` instead of ``bits`` bits a character."""
-    new = F.lit(0).cast("long")
-    for i in range(ORDER - 1, -1, -1):
-        code = F.shiftright("gram", i * bits).bitwiseAND((1 << to) - 1)
-        new = F.shiftleft(new, to).bitwiseOR(code)
-    return count.select("slot", new.alias("gram"), "n").groupBy("slot", "gram").agg(F.sum("n").alias("n"))
-
-
-# ---- the model
-
-
-@dataclass(frozen=True)
-class Smoothed:
-    """One language: of each order the sorted n-grams with log-probabilities and contexts with log-weights."""
-
-    bits: int
-    grams: list[np.ndarray]
-    logp: list[np.ndarray]
-    contexts: list[np.ndarray]
-    backoff: list[np.ndarray]
-    floor: float
-
-    def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
-        """Natural log-probability of the last character of each n-gram (hashed with CODE_BITS) given the others."""
-        if self.bits < CODE_BITS:
-            keys = _narrow(keys, self.bits)
-        total, open_ = np.zeros(len(keys)), np.arange(len(keys))
-        for k in range(ORDER, 0, -1):
-            key = keys[open_] & ((1 << (k * self.bits)) - 1)
-            at, hit = _find(self.grams[k], key)
-            total[open_[hit]] += self.logp[k][at[hit]]
-            open_, key = open_[~hit], key[~hit]
-            at, known = _find(self.contexts[k], key >> self.bits)
-            total[open_[known]] += self.backoff[k][at[known]]
-        total[open_] += self.floor
-        return total
-
-
-def _narrow(keys: np.ndarray, bits: int) -> np.ndarray:
-    new = np.zeros(len(keys), np.int64)
-    for i in range(ORDER - 1, -1, -1):
-        new = new << bits | (keys >> (i * CODE_BITS)) & ((1 << bits) - 1)
-    return new
-
-
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(table):
         return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
@@ -195,75 +148,30 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-def discounts(n: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and more, from the counts of counts."""
-    return discounts_of(*(float((n == k).sum()) for k in (1, 2, 3, 4)))
-
-
-def discounts_of(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
-    usual = np.array([0.5, 1.0, 1.5])
-    if not (n1 and n2 and n3 and n4):
-        return usual
-    y = n1 / (n1 + 2 * n2)
-    found = np.array([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-    return np.where((found > 0) & (found < [1, 2, 3]), found, usual)
+# ---- the model as a table
 
 
-def smooth(keys: np.ndarray, n: np.ndarray, bits: int = CODE_BITS) -> Smoothed:
-    """Interpolated modified Kneser-Ney from the counts of the highest order.
+def discounts(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with modified Kneser-Ney discounts ``d1``, ``d2``, ``d3`` from the counts of counts ``n1`` to ``n4``.
 
-    A lower order counts the characters seen before an n-gram; n-grams at a word's start, before
-    which there is none, keep their plain counts.
+    Where these give none that lies between 0 and the count, the discount is 0.5, 1 or 1.5.
     """
-    order = np.argsort(keys)
-    tables = {ORDER: (keys[order], n[order], n[order])}
-    for k in range(ORDER - 1, 0, -1):
-        longer, plain, _ = tables[k + 1]
-        found, place = np.unique(longer & ((1 << (k * bits)) - 1), return_inverse=True)
-        raw = np.bincount(place, plain, len(found)).astype(np.int64)
-        before = np.bincount(place, minlength=len(found))
-        tables[k] = (found, raw, np.where(found >> ((k - 1) * bits) == START, raw, before))
-    empty = np.zeros(0, np.int64)
-    grams_, logp, contexts, backoff = [empty], [empty], [empty], [empty]
-    floor = -math.log(len(tables[1][0]) + 1)
-    lower_keys, lower_p = empty, np.zeros(0)
-    for k in range(1, ORDER + 1):
-        found, _, c = tables[k]
-        cut = discounts(c)[np.minimum(c, 3) - 1]
-        context, place = np.unique(found >> bits, return_inverse=True)
-        total = np.bincount(place, c, len(context))
-        left = np.bincount(place, cut, len(context)) / total
-        below = np.full(len(found), math.exp(floor))
-        if k > 1:
-            below = lower_p[np.searchsorted(lower_keys, found & ((1 << ((k - 1) * bits)) - 1))]
-        p = (c - cut) / total[place] + left[place] * below
-        grams_.append(found)
-        logp.append(np.log(p).astype(np.float32))
-        contexts.append(context)
-        backoff.append(np.log(left).astype(np.float32))
-        lower_keys, lower_p = found, p
-    return Smoothed(bits, grams_, logp, contexts, backoff, floor)
-
-
-def fit(documents: DataFrame, settings: Settings = Settings()) -> dict[int, Smoothed]:
-    """A model for each language in memory, of at most ``max_grams`` n-grams; ``measured`` has no such bound."""
-    count, bits = stage(counted(documents), "ngrams"), CODE_BITS
-    while count.count() > settings.max_grams and bits > 2:
-        count, bits = stage(coarser(count, bits, bits - 2), "ngrams"), bits - 2
-    whole = count.toArrow()
-    slots, keys, n = (whole[c].to_numpy() for c in ("slot", "gram", "n"))
-    return {int(slot): smooth(keys[slots == slot], n[slots == slot], bits) for slot in np.unique(slots)}
-
-
-# ---- the model as a table
+    n1, n2, n3, n4 = (F.col(f"n{i}").cast("double") for i in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    whole = (n1 > 0) & (n2 > 0) & (n3 > 0) & (n4 > 0)
+    for i, (found, usual) in enumerate(((1 - 2 * y * n2 / n1, 0.5), (2 - 3 * y * n3 / n2, 1.0), (3 - 4 * y * n4 / n3, 1.5)), 1):
+        told = F.when(whole, F.when((found > 0) & (found < i), found))
+        sizes = sizes.withColumn(f"d{i}", F.coalesce(told, F.lit(usual)))
+    return sizes
 
 
 def smoothed(count: DataFrame) -> DataFrame:
-    """``slot``, ``gram``, ``logp``: what ``smooth`` gives for every n-gram of the highest order, as a table.
+    """``slot``, ``gram``, ``logp``: interpolated modified Kneser-Ney for every n-gram of the highest order.
 
-    ``count`` is a staged table of ``slot``, ``gram``, ``n``. A context has at most 2 ** CODE_BITS
-    n-grams, so no group of a window grows with the corpus. What is collected are counts of counts, a
-    row for each order and slot.
+    ``count`` is a staged table of ``slot``, ``gram``, ``n``. A lower order counts the bytes seen before an
+    n-gram; n-grams at a word's start, before which there is none, keep their plain counts. A context has
+    at most 256 n-grams, so no group of a window grows with the corpus. Discounts are a row for each order
+    and language, in a table.
     """
     tables = {ORDER: count.select("slot", "gram", F.col("n").alias("raw"), F.col("n").alias("c"))}
     for k in range(ORDER - 1, 0, -1):
@@ -273,22 +181,19 @@ def smoothed(count: DataFrame) -> DataFrame:
         tables[k] = stage(found.select("slot", "gram", "raw", F.when(opens, F.col("raw")).otherwise(F.col("before")).alias("c")), "ngrams")
     sums = [F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]
     sizes = [t.groupBy("slot").agg(F.count("*").alias("size"), *sums).withColumn("k", F.lit(k)) for k, t in tables.items()]
-    seen = reduce(DataFrame.unionByName, sizes).collect()
-    cuts = {(r["k"], r["slot"]): discounts_of(*(float(r[f"n{i}"]) for i in (1, 2, 3, 4))).tolist() for r in seen}
-    first = {r["slot"]: 1 / (r["size"] + 1) for r in seen if r["k"] == 1}
+    cuts = stage(discounts(reduce(DataFrame.unionByName, sizes)), "discounts").drop("n1", "n2", "n3", "n4")
+    first = cuts.where("k = 1").select("slot", (1 / (F.col("size") + 1)).alias("first"))
     lower = None
     for k in range(1, ORDER + 1):
-        rows = [(slot, *cut, first[slot]) for (order, slot), cut in cuts.items() if order == k]
-        by_slot = count.sparkSession.createDataFrame(rows, "slot int, d1 double, d2 double, d3 double, first double")
+        by_slot = cuts.where(F.col("k") == k).drop("k", "size")
         context = Window.partitionBy("slot", F.shiftright("gram", CODE_BITS))
         kinds = [F.sum(wanted.cast("long")).over(context) for wanted in (F.col("c") == 1, F.col("c") == 2, F.col("c") > 2)]
         left = F.col("d1") * kinds[0] + F.col("d2") * kinds[1] + F.col("d3") * kinds[2]
         cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         total = F.sum("c").over(context)
-        known = tables[k].join(F.broadcast(by_slot), "slot")
-        known = known.select("slot", "gram", "first", ((F.col("c") - cut) / total).alias("own"), (left / total).alias("left"))
+        known = tables[k].join(by_slot, "slot").select("slot", "gram", ((F.col("c") - cut) / total).alias("own"), (left / total).alias("left"))
         if k == 1:
-            lower = known.select("slot", "gram", (F.col("own") + F.col("left") * F.col("first")).alias("p"))
+            lower = known.join(first, "slot").select("slot", "gram", (F.col("own") + F.col("left") * F.col("first")).alias("p"))
         else:
             suffix = F.col("gram").bitwiseAND(F.lit((1 << ((k - 1) * CODE_BITS)) - 1))
             below = lower.select("slot", F.col("gram").alias("suffix"), F.col("p").alias("below"))
@@ -320,13 +225,17 @@ def _blocks(documents: DataFrame) -> DataFrame:
                     chars += len(texts[end])
                     end += 1
                 place: dict[tuple[int, bytes], int] = {}
-                rows, used = [], []
+                rows, used, sizes = [], [], []
                 for text, slot in zip(texts[at:end], slots[at:end], strict=True):
                     raw = text.encode()
                     words = raw.split()
                     rows.append(base_counts(text, raw, words))
+                    sizes.append(sum(map(len, words)) + len(words))
                     used.append(np.array([place.setdefault((slot, w), len(place)) for w in words], np.int64))
                 out = pd.DataFrame(rows, columns=COUNTS)
+                out["n_bytes"] = sizes
+                out.insert(0, "text_key", frame["text_key"].to_numpy()[at:end])
+                out.insert(0, "source", frame["source"].tolist()[at:end])
                 out.insert(0, "lang", langs[at:end])
                 out.insert(0, "doc_id", frame["doc_id"].to_numpy()[at:end])
                 often = np.zeros(len(place), np.int64)
@@ -339,14 +248,15 @@ def _blocks(documents: DataFrame) -> DataFrame:
                 listed, none = list(place), [None] * (end - at - 1)
                 listed = [listed[i] for i in order.tolist()]
                 out["words"] = pd.Series([zlib.compress(b"\n".join(w for _, w in listed), 1), *none], dtype=object)
-                out["slots"] = pd.Series([np.array([s for s, _ in listed], np.int16).tobytes(), *none], dtype=object)
+                out["slots"] = pd.Series([zlib.compress(np.array([s for s, _ in listed], np.int64).tobytes(), 1), *none], dtype=object)
                 out["block"] = block
                 yield out
                 at, block = end, block + 1
 
-    chosen = texts_of(documents, F.col("lang").cast("string").alias("lang"))
+    source = F.col("source").cast("string") if "source" in documents.columns else F.lit(None).cast("string")
+    chosen = texts_of(documents, F.col("lang").cast("string").alias("lang"), source.alias("source")).withColumn("text_key", F.xxhash64("text"))
     counts = ", ".join(f"{c} long" for c in COUNTS)
-    columns = f"lang string, {counts}, places binary, words binary, slots binary, block long"
+    columns = f"lang string, source string, text_key long, {counts}, n_bytes long, places binary, words binary, slots binary, block long"
     return chosen.mapInPandas(run, f"doc_id {dict(chosen.dtypes)['doc_id']}, {columns}")
 
 
@@ -363,7 +273,7 @@ def _read(written: bytes) -> np.ndarray:
 
 def _words_of(words: bytes, slots: bytes) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
     """Each language of a block: its slot, the places of its words, the words."""
-    slot_of_word = np.frombuffer(slots, np.int16)
+    slot_of_word = np.frombuffer(zlib.decompress(slots), np.int64)
     listed = zlib.decompress(words).split(b"\n") if len(slot_of_word) else []
     for slot in np.unique(slot_of_word).tolist():
         places = np.flatnonzero(slot_of_word == slot)
@@ -381,7 +291,7 @@ def _wanted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _totals(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     """The texts of one block with their perplexities, from the block's n-grams with theirs."""
     first = texts.loc[texts["words"].notna()].iloc[0]
-    size = len(first["slots"]) // 2
+    size = len(zlib.decompress(first["slots"])) // 8
     scores = np.zeros(size)
     for slot, places, words in _words_of(first["words"], first["slots"]):
         mine = known[known["slot"] == slot].sort_values("gram")
@@ -391,14 +301,15 @@ def _totals(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
             raise ValueError("a text has n-grams that were not counted")
         scores[places] = np.bincount(word, mine["logp"].to_numpy(float)[at], len(words))
     totals = [scores[_read(p)].sum() for p in texts["places"]]
-    characters = (texts["word_chars"] + texts["n_words"]).to_numpy()
-    out = texts[["doc_id", "lang", *COUNTS]].copy()
-    out["log_perplexity"] = [-t / n if n else None for t, n in zip(totals, characters, strict=True)]
+    out = texts[["doc_id", "lang", "source", "text_key", *COUNTS]].copy()
+    out["log_perplexity"] = [-t / n if n else None for t, n in zip(totals, texts["n_bytes"], strict=True)]
     return out
 
 
 def measured(documents: DataFrame) -> DataFrame:
-    """``doc_id``, ``lang``, the five counts and ``log_perplexity`` (null without a word) of every whole text.
+    """``doc_id``, ``lang``, ``source``, ``text_key``, the five counts and ``log_perplexity`` of every whole text.
+
+    The log-perplexity is per byte, ends of words included, and null without a word.
 
     The model is that of all these texts (``lang``, null is a language of its own). It stays a table:
     each block's distinct n-grams meet it in a join, whatever its size.
@@ -406,32 +317,43 @@ def measured(documents: DataFrame) -> DataFrame:
     model = smoothed(stage(counted(documents), "ngrams"))
     blocks = stage(_blocks(documents), "quality-blocks")
     lists = blocks.where("words is not null").select("block", "words", "slots")
-    known = lists.mapInPandas(_wanted, "block long, slot int, gram long").join(model, ["slot", "gram"])
+    known = lists.mapInPandas(_wanted, "block long, slot long, gram long").join(model, ["slot", "gram"])
     kind = dict(blocks.dtypes)["doc_id"]
     counts = ", ".join(f"{c} long" for c in COUNTS)
     pairs = blocks.groupBy("block").cogroup(known.select("block", "slot", "gram", "logp").groupBy("block"))
-    return pairs.applyInPandas(_totals, f"doc_id {kind}, lang string, {counts}, log_perplexity double")
+    return pairs.applyInPandas(_totals, f"doc_id {kind}, lang string, source string, text_key long, {counts}, log_perplexity double")
 
 
 def bands(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``lang``, ``lowest``, ``highest``: the log-perplexities that a language's texts may have."""
-    quartiles = F.percentile_approx("log_perplexity", [0.25, 0.75], 1000)
-    reach = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(settings.least)) * settings.reach
-    found = rows.where("log_perplexity is not null").groupBy("lang").agg(quartiles.alias("q"))
-    return found.select("lang", (F.col("q")[0] - reach).alias("lowest"), (F.col("q")[1] + reach).alias("highest"))
+    """``lang``, ``lowest``, ``highest``: the log-perplexities that a language's texts may have.
+
+    From the rows that passed the base rules, equal texts of a source counting once.
+    """
+    median = lambda c: F.percentile_approx(c, 0.5, 1000)
+    known = rows.where("log_perplexity is not null and not base_failed")
+    single = stage(known.groupBy("lang", "source", "text_key").agg(F.min("log_perplexity").alias("x")), "perplexities")
+    centres = single.groupBy("lang", "source").agg(median("x").alias("x")).groupBy("lang").agg(median("x").alias("centre"))
+    met = single.join(centres.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")))
+    away = met.groupBy("lang", "source").agg(median(F.abs(F.col("x") - F.col("centre"))).alias("away"), F.first("centre").alias("centre"))
+    wide = away.groupBy("lang").agg(median("away").alias("away"), F.first("centre").alias("centre"))
+    reach = F.greatest(F.col("away"), F.lit(settings.least)) * settings.reach
+    return wide.select("lang", (F.col("centre") - reach).alias("lowest"), (F.col("centre") + reach).alias("highest"))
 
 
 def judged(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per document: the counts, ``log_perplexity``, ``base_failed``, ``in_band`` and ``kept``.
 
     Null text counts as empty. A text without a word fails the base rules; its perplexity is null and
-    it is out of every band. Repeated rows and null ids are rows like others.
+    it is out of every band, as are all texts of a language none of which passes the base rules. Any
+    character of any script is taken as its bytes. Texts of any length are counted whole; a perplexity on
+    the edge of a band is inside. Repeated rows and null ids are rows like others; ``source`` may be
+    missing or null, which is a source of its own, and other columns go. An empty table gives none.
     """
-    rows = stage(measured(documents), "quality-rules")
-    limits = bands(rows, settings).withColumnRenamed("lang", "band_lang")
-    joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang")
     failed = (F.col("n_words") < settings.min_words) | (
         100 * F.col("n_repeat_words") > settings.max_repeat_percent * F.col("n_words")
     )
+    rows = stage(measured(documents).withColumn("base_failed", failed), "quality-rules")
+    limits = bands(rows, settings).withColumnRenamed("lang", "band_lang")
+    joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang", "text_key")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lowest"), F.col("highest")), F.lit(False))
-    return joined.withColumns({"base_failed": failed, "in_band": inside}).withColumn("kept", ~F.col("base_failed") & F.col("in_band"))
+    return joined.withColumn("in_band", inside).withColumn("kept", ~F.col("base_failed") & F.col("in_band"))

@@ -167,45 +167,82 @@ def test_base_counts():
         assert quality_rules.base_counts(text, raw, raw.split()) == plain_counts(text), repr(text)
 
 
-def plain_kneser_ney(counts, bits):
-    """Interpolated modified Kneser-Ney by dictionaries, from (n-gram of codes) -> count."""
-    order = quality_rules.ORDER
+def plain_discounts(counts):
+    """The discounts of Chen and Goodman for counts of 1, 2 and more."""
+    n1, n2, n3, n4 = (sum(c == k for c in counts) for k in (1, 2, 3, 4))
+    usual = [0.5, 1.0, 1.5]
+    if not (n1 and n2 and n3 and n4):
+        return usual
+    y = n1 / (n1 + 2 * n2)
+    found = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+    return [f if 0 < f < i else u for i, (f, u) in enumerate(zip(found, usual, strict=True), 1)]
+
+
+def plain_kneser_ney(words):
+    """Interpolated modified Kneser-Ney over bytes by dictionaries: log-probability of a word."""
+    order, start, end = quality_rules.ORDER, "S", "E"
+    counts = {}
+
+    def grams_of(word):
+        symbols = [start] * (order - 1) + list(word) + [end]
+        return [tuple(symbols[i : i + order]) for i in range(len(word) + 1)]
+
+    for word in words:
+        for g in grams_of(word):
+            counts[g] = counts.get(g, 0) + 1
     tables = {order: {g: (n, n) for g, n in counts.items()}}
     for k in range(order - 1, 0, -1):
         lower = {}
         for g, (raw, _) in tables[k + 1].items():
             total, kinds = lower.get(g[1:], (0, 0))
             lower[g[1:]] = (total + raw, kinds + 1)
-        tables[k] = {g: (raw, raw if g[0] == quality_rules.START else kinds) for g, (raw, kinds) in lower.items()}
+        tables[k] = {g: (raw, raw if g[0] == start else kinds) for g, (raw, kinds) in lower.items()}
+    cuts = {k: plain_discounts([c for _, c in t.values()]) for k, t in tables.items()}
+    contexts = {}
+    for k, t in tables.items():
+        for g, (_, c) in t.items():
+            contexts.setdefault((k, g[:-1]), []).append(c)
+    memo = {(): 1 / (len(tables[1]) + 1)}
 
     def probability(gram):
-        if not gram:
-            return 1 / (len(tables[1]) + 1)
-        table = tables[len(gram)]
-        cut = quality_rules.discounts(np.array([c for _, c in table.values()]))
-        near = [c for g, (_, c) in table.items() if g[:-1] == gram[:-1]]
-        below = probability(gram[1:])
-        if not near:
-            return below
-        c = table.get(gram, (0, 0))[1]
-        left = sum(cut[min(x, 3) - 1] for x in near) / sum(near)
-        return max(c - cut[min(c, 3) - 1], 0) / sum(near) + left * below if c else left * below
-
-    return probability
-
-
-def test_kneser_ney_equals_the_textbook():
-    draw = random.Random(5)
-    words = ["".join(draw.choices("abcé", k=draw.randint(1, 6))).encode() for _ in range(60)]
-    keys, _ = quality_rules.grams(words)
-    unique, n = np.unique(keys, return_counts=True)
-    bits = quality_rules.CODE_BITS
-    split = lambda key: tuple(int(key) >> (bits * i) & ((1 << bits) - 1) for i in range(quality_rules.ORDER - 1, -1, -1))
-    model = quality_rules.smooth(unique, n)
-    probability = plain_kneser_ney({split(k): int(c) for k, c in zip(unique, n, strict=True)}, bits)
-    asked, _ = quality_rules.grams(words[:10] + [b"abzz", b"zc", "cé".encode()])
-    expected = [math.log(probability(split(k))) for k in asked]
-    assert model.log_probabilities(asked).tolist() == pytest.approx(expected, abs=1e-5)
+        if gram not in memo:
+            k = len(gram)
+            near, c, cut = contexts[k, gram[:-1]], tables[k][gram][1], cuts[k]
+            left = sum(cut[min(x, 3) - 1] for x in near) / sum(near)
+            memo[gram] = (c - cut[min(c, 3) - 1]) / sum(near) + left * probability(gram[1:])
+        return memo[gram]
+
+    return lambda word: sum(math.log(probability(g)) for g in grams_of(word))
+
+
+#: Text that once met the marks of the model, and scripts of several bytes a character.
+SCRIPTS = [
+    "\u6771\u4eac\u3001\u5927\u962a\u3002 \u540d\u53e4\u5c4b\u3001\u4eac\u90fd", "hello wor\x02ld text \x01\x01 \x02", "\u1019\u103c\u1014\u103a\u1019\u102c \u1000\u1003 \u1015\u100a\u103a",
+    "\u2000 \u2003 \u3000 \u2028", "\u0434\u043e\u0431\u0440\u043e \u043f\u043e\u0436\u0430\u043b\u043e\u0432\u0430\u0442\u044c", "\U0001f600 \U0001f680\ufffd", "\x00 \x7f a\x00b",
+]
+
+
+def test_perplexities_equal_the_textbook(spark):
+    draw = random.Random(12)
+    data = [(i, prose(draw, 60), "en" if i % 4 else None) for i in range(40)] + [(40, "17 !! A4 2025-01 #é", "en"), (41, "", "en"), (None, "de AB ra", "en")]
+    data += [(50 + i, t, "zz" if i % 2 else "en") for i, t in enumerate(SCRIPTS)] + [(60 + i, t, "zz") for i, t in enumerate(SCRIPTS)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["log_perplexity"] for r in quality_rules.judged(frame).collect()}
+    assert len(found) == len(data) and found[41] is None
+    by_lang = {}
+    for _, text, lang in data:
+        by_lang.setdefault(lang, []).extend(text.encode().split())
+    for lang, words in by_lang.items():
+        score = plain_kneser_ney(words)
+        for d, text, of in data:
+            own = text.encode().split()
+            if of == lang and own:
+                assert found[d] == pytest.approx(-sum(map(score, own)) / sum(len(w) + 1 for w in own), abs=1e-5), text
+
+
+def test_languages_have_keys_of_their_own():
+    names = [a + b + c for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz" for c in ["", "-A", "-B"]]
+    assert len({quality_rules.slot_of(n) for n in [*names, None, ""]}) == len(names) + 2
 
 
 def test_quality_rules_reject_odd_languages_and_keep_prose(spark):
@@ -213,8 +250,8 @@ def test_quality_rules_reject_odd_languages_and_keep_prose(spark):
     data = [(i, prose(draw, 120), "en" if i % 2 else "xx") for i in range(150)]
     data += [(1000 + i, " ".join("".join(draw.choices("qxzjw#%&", k=7)) for _ in range(80)), "en") for i in range(4)]
     data += [(2000, "same words here " * 60, "en"), (2001, "short", "en"), (2002, prose(draw, 90), None)]
-    data += [(d, t, "en") for d, t in ODD]
-    frame = spark.createDataFrame([(*r, True) for r in data], "doc_id long, text string, lang string, kept boolean")
+    data += [(d, t, "en") for d, t in ODD] + [(3000 + i, t * 30, "zz") for i, t in enumerate(SCRIPTS)]
+    frame = spark.createDataFrame([(*r, True, 1) for r in data], "doc_id long, text string, lang string, kept boolean, slot int")
     rows = quality_rules.judged(frame).collect()
     assert len(rows) == len(data)
     by_id = {r["doc_id"]: r for r in rows}
@@ -223,26 +260,22 @@ def test_quality_rules_reject_odd_languages_and_keep_prose(spark):
     assert by_id[2000]["base_failed"] and by_id[2001]["base_failed"] and by_id[900]["base_failed"]
     assert by_id[901]["log_perplexity"] is None and not by_id[901]["kept"]
     assert quality_rules.judged(frame.limit(0)).count() == 0
-    few = quality_rules.fit(frame, quality_rules.Settings(max_grams=1000))
-    assert sum(len(m.grams[quality_rules.ORDER]) for m in few.values()) <= 1000
 
 
-def test_perplexities_do_not_depend_on_a_bound_of_ngrams(spark):
-    draw = random.Random(12)
-    data = [(i, prose(draw, 60), "en" if i % 4 else None) for i in range(40)] + [(40, "17 !! A4 2025-01 #é", "en"), (41, "", "en"), (None, "de AB ra", "en")]
-    frame = spark.createDataFrame(data, "doc_id long, text string, lang string")
-    found = {r["doc_id"]: r["log_perplexity"] for r in quality_rules.judged(frame, quality_rules.Settings(max_grams=30)).collect()}
-    assert len(found) == len(data) and found[41] is None
-    by_lang = {"en": [], None: []}
-    for _, text, lang in data:
-        by_lang[lang] += text.encode().split()
-    for lang, words in by_lang.items():
-        keys, _ = quality_rules.grams(words)
-        model = quality_rules.smooth(*np.unique(keys, return_counts=True))
-        for d, text, of in data:
-            if of == lang and text:
-                keys, _ = quality_rules.grams(text.encode().split())
-                assert found[d] == pytest.approx(-model.log_probabilities(keys).mean(), abs=1e-5), text
+@pytest.mark.parametrize("spread", [False, True])
+def test_junk_that_fills_a_third_sets_no_band(spark, spread):
+    """Junk of one hot source, or strewn over all sources, and copies that fill the middle of a language."""
+    draw = random.Random(21)
+    junk = [" ".join("".join(draw.choices("qxz#%&", k=draw.randint(4, 8))) for _ in range(80)) for _ in range(100)]
+    clean = [prose(draw, 120) for _ in range(200)]
+    copy = prose(draw, 100)
+    data = [(i, t, "en", f"s{i % 5}") for i, t in enumerate(clean)]
+    data += [(1000 + i, t, "en", f"s{i % 5}" if spread else "hot") for i, t in enumerate(junk)]
+    data += [(2000 + i, copy, "en", f"s{i % 5}") for i in range(250)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in quality_rules.judged(frame).collect() if r["kept"]}
+    assert sum(i < 200 for i in kept) >= 198 and sum(2000 <= i for i in kept) == 250
+    assert not any(1000 <= i < 2000 for i in kept)
 
 
 URLS = [
