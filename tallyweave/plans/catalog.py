@@ -306,6 +306,18 @@ def impute_ses_generated(w: Workbench) -> DataFrame:
     return lacking.join(steps, EVENT, "left")
 
 
+@plan
+def impute_conv_knn(w: Workbench) -> DataFrame:
+    """Mean embeddings of the nearest intersection events."""
+    return long_vector(scorers.neighbour_embeddings(w, "test"), [EVENT])
+
+
+@plan
+def impute_ses_knn(w: Workbench) -> DataFrame:
+    """Steps that the nearest intersection events share."""
+    return FE.long_features(scorers.neighbour_steps(w, "test"), [EVENT, "event_number"])
+
+
 # --- labels, popularity, masks, ranking ------------------------------------------------------
 
 

@@ -773,6 +773,53 @@ _BODIES: dict[str, tuple[str, str]] = {
            UNION ALL
            SELECT t.purchase_event_id, n.event_number, NULL, t.feature FROM told t JOIN numbered n USING (purchase_event_id, age)""",
     ),
+    "impute_conv_knn": (
+        _ACTIONS
+        + _VECTORS
+        + _GENERATOR
+        + """, lacking AS (SELECT purchase_event_id FROM test_types WHERE event = 'session'),
+        test_hot AS (
+          SELECT DISTINCT purchase_event_id, feature FROM tags SEMI JOIN lacking USING (purchase_event_id)
+          JOIN pair_fit USING (feature) WHERE share >= 0.001),
+        asked AS (
+          SELECT l.purchase_event_id AS question,
+                 CASE WHEN count(h.feature) > 0 THEN list(h.feature)
+                      WHEN (SELECT count(*) FROM pair_empty) > 0 THEN [''] ELSE [] END AS a
+          FROM lacking l LEFT JOIN test_hot h USING (purchase_event_id) GROUP BY 1),
+        told AS (SELECT purchase_event_id, list(DISTINCT feature) AS b FROM pair_all
+                 SEMI JOIN event_pos USING (purchase_event_id) GROUP BY 1),
+        near AS (
+          SELECT question, purchase_event_id, row_number() OVER (
+                   PARTITION BY question
+                   ORDER BY round(coalesce(len(list_intersect(a, b)) / sqrt(CAST(nullif(len(a) * len(b), 0) AS DOUBLE)), 0.0), 9) DESC,
+                            purchase_event_id) AS r
+          FROM asked, told)""",
+        f"""SELECT question AS purchase_event_id, pos, {_r('avg(value)', 'value')}
+            FROM near JOIN event_pos USING (purchase_event_id) WHERE r <= 5 GROUP BY question, pos""",
+    ),
+    "impute_ses_knn": (
+        _ACTIONS
+        + _VECTORS
+        + _GENERATOR
+        + """, lists AS (SELECT purchase_event_id, list(value ORDER BY pos) AS v FROM event_vec GROUP BY 1),
+        near AS (
+          SELECT q.purchase_event_id AS question, b.purchase_event_id, row_number() OVER (
+                   PARTITION BY q.purchase_event_id ORDER BY round(list_cosine_similarity(q.v, b.v), 9) DESC, b.purchase_event_id) AS r
+          FROM lists q SEMI JOIN (SELECT purchase_event_id FROM test_types WHERE event = 'conversation') t
+               ON t.purchase_event_id = q.purchase_event_id, lists b
+          WHERE b.purchase_event_id IN (SELECT purchase_event_id FROM both_ids)),
+        two AS (SELECT *, count(*) OVER (PARTITION BY question) AS k FROM near WHERE r <= 2),
+        shared AS (
+          SELECT n.question, r.age, p.feature
+          FROM two n JOIN recent r USING (purchase_event_id)
+          JOIN pair_all p ON p.purchase_event_id = r.purchase_event_id AND p.session_id IS NOT DISTINCT FROM r.session_id
+               AND p.event_number IS NOT DISTINCT FROM r.event_number
+          GROUP BY n.question, r.age, p.feature, n.k HAVING 2 * count(*) >= n.k),
+        numbered AS (
+          SELECT question, age, row_number() OVER (PARTITION BY question ORDER BY age DESC) AS event_number
+          FROM (SELECT DISTINCT question, age FROM shared))""",
+        """SELECT question AS purchase_event_id, event_number, feature FROM shared JOIN numbered USING (question, age)""",
+    ),
     "context_counts": (_CONTEXTS, "SELECT depth, context, item_id, n FROM context_k"),
     "context_shares": (
         _CONTEXTS

@@ -22,6 +22,7 @@ from tallyweave.operators import context_tree as CT
 from tallyweave.operators import features as FE
 from tallyweave.operators import fusion, joint, ridge
 from tallyweave.operators import impute as I
+from tallyweave.operators import neighbours as NB
 from tallyweave.operators import timeline as TL
 from tallyweave.operators.metrics import (
     evaluation_report,
@@ -42,6 +43,8 @@ from tallyweave.sources.fixture import EMBEDDING_WIDTH, RUNS
 from tallyweave.state import stage
 
 GENERATOR_RIDGE = 1.0
+#: Intersection events that an imputed embedding, or session, is read off.
+EMBEDDING_NEIGHBOURS, SESSION_NEIGHBOURS = 5, 2
 
 
 # --- event vectors ---------------------------------------------------------------------------
@@ -220,6 +223,54 @@ def generated_vectors(w: Workbench, part: str) -> DataFrame:
     return _side_by_side(w, talk, clicks, vocabulary, f"generated-vectors-{part}")
 
 
+# --- missing modality from the nearest intersection events ------------------------------------
+
+
+def _lacking(w: Workbench, part: str, modality: str) -> DataFrame:
+    return TL.missing_modality(w.timeline(part), modality)
+
+
+def conversation_neighbours(w: Workbench, part: str) -> DataFrame:
+    """For events without a conversation the intersection events with the most similar sessions."""
+
+    def make() -> DataFrame:
+        told = _embedded(w, "intersection").select(EVENT)
+        questions = _any_step(w, part).join(_lacking(w, part, "conversation"), EVENT, "left_semi")
+        return NB.nearest(questions, _any_step(w, "intersection").join(told, EVENT, "left_semi"), EMBEDDING_NEIGHBOURS)
+
+    return w.keep(f"neighbours-conversation-{part}", make)
+
+
+def session_neighbours(w: Workbench, part: str) -> DataFrame:
+    """For events without a session the intersection events with the most similar conversations."""
+
+    def make() -> DataFrame:
+        questions = _embedded(w, part).join(_lacking(w, part, "session"), EVENT, "left_semi")
+        return NB.nearest(questions, _embedded(w, "intersection"), SESSION_NEIGHBOURS)
+
+    return w.keep(f"neighbours-session-{part}", make)
+
+
+def neighbour_embeddings(w: Workbench, part: str) -> DataFrame:
+    references = _embedded(w, "intersection").withColumnRenamed("x", "embedding")
+    return NB.imputed_embeddings(conversation_neighbours(w, part), references)
+
+
+def neighbour_steps(w: Workbench, part: str) -> DataFrame:
+    aged = w.keep("aged-intersection", lambda: FE.with_ages(_steps(w, "intersection"), ["session_id"]).select(EVENT, "age", "features", "positions"))
+    return NB.imputed_steps(session_neighbours(w, part), aged)
+
+
+@_once
+def neighbour_vectors(w: Workbench, part: str) -> DataFrame:
+    """Both modalities of every event, the missing one from its nearest intersection events."""
+    talk = _embedded(w, part).withColumnRenamed("x", "embedding").unionByName(neighbour_embeddings(w, part))
+    steps = _steps(w, part).unionByName(neighbour_steps(w, part), allowMissingColumns=True)
+    vocabulary = w.intersection_vocabulary()
+    clicks = _pooled(w, steps, vocabulary, ("session_id",))
+    return _side_by_side(w, talk, clicks, vocabulary, f"neighbour-vectors-{part}")
+
+
 # --- fits and scores -------------------------------------------------------------------------
 # Scores are sparse: of the items on sale alone, all others count as 0.
 
@@ -357,6 +408,10 @@ def score_generated(w: Workbench) -> DataFrame:
     return _scores(w, generated_vectors)
 
 
+def score_knn_imputed(w: Workbench) -> DataFrame:
+    return _scores(w, neighbour_vectors)
+
+
 def score_distilled(w: Workbench) -> DataFrame:
     return _distilled(w)
 
@@ -421,6 +476,7 @@ FAMILIES = {
     "relative_encoded": (*_of_vectors(relative_encoded_vectors), True),
     "neutral_imputed": (*_of_vectors(neutral_vectors), True),
     "generated": (*_of_vectors(generated_vectors), True),
+    "knn_imputed": (*_of_vectors(neighbour_vectors), True),
     "late_fusion": (_fused, _of_fusion, True),
     "distilled": (
         _routed,
@@ -472,7 +528,7 @@ def validation_auc(w: Workbench) -> DataFrame:
     valid = w.validation_events()
     families = (
         conversation_vectors, session_vectors, keyword_vectors, joint_vectors, relative_vectors, relative_encoded_vectors,
-        neutral_vectors, generated_vectors,
+        neutral_vectors, generated_vectors, neighbour_vectors,
     )
     reports = [tail_auc(w, v, "train", valid, _weights(w, v)) for v in families]
     tail = validation_split(w.types("train").where(F.col("event") == "intersection").select(EVENT), 0.11)
@@ -493,6 +549,6 @@ SCORERS = {
     f.__name__: f
     for f in (
         score_conversation, score_session, score_session_ordered, score_keyword, score_joint, score_relative, score_relative_encoded,
-        score_neutral_imputed, score_generated, score_distilled, score_late_fusion, score_routed, batch_score, validation_auc,
+        score_neutral_imputed, score_generated, score_knn_imputed, score_distilled, score_late_fusion, score_routed, batch_score, validation_auc,
     )
 } | EVALUATIONS

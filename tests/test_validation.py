@@ -16,5 +16,5 @@ def test_five_runs_of_every_family_are_registered():
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not present")
 def test_validation_auc_covers_every_family(spark):
     found = catalog.queries()["validation_auc"](spark, FOLDER).collect()
-    families = {"conversation", "session", "keyword", "joint", "relative", "relative_encoded", "neutral", "generated", "student"}
+    families = {"conversation", "session", "keyword", "joint", "relative", "relative_encoded", "neutral", "generated", "neighbour", "student"}
     assert {r["model"] for r in found} == families
