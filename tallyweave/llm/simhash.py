@@ -17,6 +17,7 @@ one are within the radius.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -135,9 +136,31 @@ def _centres(tables: list[int], radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET, crowd: int = CROWD) -> DataFrame:
+def _crowd_pairs(radius: int):
+    """A function on one bucket: each fingerprint with the least and with the nearest other one within the radius."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        fps = np.sort(frame["fp"].to_numpy())
+        bits, out = fps.view(np.uint64), []
+        for at in range(0, len(fps), 256):
+            apart = np.bitwise_count(bits[at : at + 256, None] ^ bits).astype(np.int16)
+            rows = np.arange(len(apart))
+            apart[rows, rows + at] = BITS + 1
+            for other in ((apart <= radius).argmax(axis=1), apart.argmin(axis=1)):
+                near = apart[rows, other] <= radius
+                out.append(np.stack([fps[rows[near] + at], fps[other[near]]], axis=1))
+        pairs = np.sort(np.concatenate(out), axis=1)
+        return pd.DataFrame(np.unique(pairs, axis=0), columns=["u", "v"])
+
+    return run
+
+
+def links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET, crowd: int = CROWD, near_only: bool = False) -> DataFrame:
     """Links (``u`` < ``v``) that connect exactly what pairs within the radius connect.
 
+    With ``near_only`` every link is itself a pair within the radius: in a bucket of more than ``bucket``
+    fingerprints each is then linked to the least and to the nearest within the radius.
+
     ``distinct`` has ``fp``, each value once. Radius 0 to 4; the centres of large buckets take
     radius / 2 flips, rounded down, and for an odd radius pairs that differ by it are found from
     either side: a fingerprint is also sent to the centres one flip further.
@@ -160,7 +183,7 @@ def links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET, crowd: int
 
     # larger ones, still bounded: one task each
     middle = crowded.where((F.col("n") > bucket) & (F.col("n") <= crowd)).select("t", "key", "fp")
-    reached = middle.groupBy("t", "key").applyInPandas(_crowd_links(radius), "u long, v long")
+    reached = middle.groupBy("t", "key").applyInPandas((_crowd_pairs if near_only else _crowd_links)(radius), "u long, v long")
 
     # the others: what meets at a centre is linked to the least of it
     large = crowded.where(F.col("n") > crowd)
@@ -207,6 +230,111 @@ def one_of_each(documents: DataFrame, radius: int = 2, words: int = 3, seed: int
     return chosen.dropDuplicates(["doc_id", "_near_hash"]).drop("_near_hash")
 
 
+# ---- groups of texts with similar shingles
+
+
+def word_set_fingerprints(raw: bytes, seeds: int) -> np.ndarray:
+    """``seeds`` SimHashes of the set of a text's different words, each with hashes of its own."""
+    words = set(raw.lower().split())
+    if not words:
+        return np.zeros(seeds, np.uint64)
+    first = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+    out = np.zeros(seeds, np.uint64)
+    for seed in range(seeds):
+        mixed = first ^ np.uint64((seed * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+        mixed ^= mixed >> np.uint64(31)
+        ones = np.zeros(BITS, np.int64)
+        for at in range(0, len(mixed), 1 << 16):
+            part = mixed[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[seed] = np.packbits(2 * ones > len(mixed), bitorder="little").view("<u8")[0]
+    return out
+
+
+def shingles(text: str, width: int) -> set[bytes]:
+    """Different shingles of a text's words, A-Z lower-cased; of fewer words the whole sequence."""
+    words = text.encode().lower().split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def jaccard(a: set, b: set) -> float:
+    """Shared part of two sets; two empty ones are equal."""
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def candidate_pairs(classes: DataFrame, seeds: int, radius: int) -> DataFrame:
+    """``u`` < ``v``: pairs of ``classes(tid, fps)`` within ``radius`` under any of the seeds.
+
+    Texts of one fingerprint meet the least of them. Of near-equal fingerprints those with the least tid stand
+    for the others.
+    """
+    found = []
+    for seed in range(seeds):
+        own = classes.select("tid", F.col("fps")[seed].alias("fp"))
+        least = stage(own.groupBy("fp").agg(F.min("tid").alias("least")), "similar-fingerprints")
+        equal = own.join(least, "fp").where("tid <> least").select(F.col("least").alias("u"), F.col("tid").alias("v"))
+        near = links(least.select("fp"), radius, near_only=True)
+        one, two = (least.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}")) for c in ("u", "v"))
+        met = near.join(one, "u").join(two, "v").select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v"))
+        found += [equal, met]
+    return stage(reduce(DataFrame.unionByName, found).distinct(), "similar-candidates")
+
+
+def similar_pairs(candidates: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The ``candidates`` whose whole texts (``tid``, ``text``) have shingle sets of that Jaccard similarity."""
+    both = candidates.join(texts.select(F.col("tid").alias("u"), F.col("text").alias("a")), "u")
+    both = both.join(texts.select(F.col("tid").alias("v"), F.col("text").alias("b")), "v")
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            kept = [jaccard(shingles(a, width), shingles(b, width)) >= similarity for a, b in zip(frame["a"], frame["b"], strict=True)]
+            yield frame.loc[kept, ["u", "v"]]
+
+    return both.select("u", "v", "a", "b").mapInPandas(compare, "u long, v long")
+
+
+def one_of_similar(documents: DataFrame, similarity: float = 0.8, width: int = 5, seeds: int = 3, radius: int = 4) -> DataFrame:
+    """One row of each group of texts linked by a shingle similarity of ``similarity`` or more, with all its columns.
+
+    An edit of one word changes ``width`` shingles, so texts that are similar by shingles are far closer by
+    their sets of words: candidates are pairs within ``radius`` bits under any of ``seeds`` fingerprints of
+    these sets, and each candidate is then compared whole.
+
+    The row kept is that with the least id (null last), then with the least hashes of its text; of rows that
+    agree in all any one stays, as they hold the same text. Null texts are empty and, like texts without a
+    word, equal. Columns that start with ``_near_`` go.
+    """
+    plain = documents.drop("_near_id", "_near_h1", "_near_h2")
+    h1, h2 = _text_hash(), F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))
+    keyed = texts_of(plain).withColumns({"h1": h1, "h2": h2})
+
+    def marks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            fps = [word_set_fingerprints(t.encode(), seeds).view(np.int64) for t in frame["text"]]
+            yield frame[["doc_id", "h1", "h2"]].assign(fps=fps)
+
+    kind = dict(keyed.dtypes)["doc_id"]
+    marked = stage(keyed.mapInPandas(marks, f"doc_id {kind}, h1 long, h2 long, fps array<long>"), "similar-marks")
+    rank = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "h1", "h2")
+    found = marked.groupBy("h1", "h2").agg(F.first("fps").alias("fps"), F.min(rank).alias("best"))
+    classes = stage(found.withColumn("tid", F.monotonically_increasing_id()), "similar-classes")
+    candidates = candidate_pairs(classes, seeds, radius)
+    sides = candidates.select(F.col("u").alias("tid")).union(candidates.select("v")).distinct()
+    wanted = classes.join(sides, "tid", "left_semi").select("tid", "h1", "h2", F.col("best.doc_id").alias("_first"))
+    met = keyed.join(wanted, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("_first")))
+    texts = stage(met.select("tid", "text").dropDuplicates(["tid"]), "similar-texts")
+    linked = components(stage(similar_pairs(candidates, texts, similarity, width), "similar-pairs"))
+    grouped_ = classes.select("tid", "best").join(linked.withColumnRenamed("node", "tid"), "tid", "left")
+    kept = grouped_.groupBy(F.coalesce("component", "tid").alias("_group")).agg(F.min("best").alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("_near_id"), F.col("k.h1").alias("_near_h1"), F.col("k.h2").alias("_near_h2"))
+    hashed = plain.withColumns({"_near_one": h1, "_near_two": h2})
+    same = F.col("doc_id").eqNullSafe(F.col("_near_id")) & (F.col("_near_one") == F.col("_near_h1")) & (F.col("_near_two") == F.col("_near_h2"))
+    chosen = hashed.join(kept, same).drop("_near_id", "_near_h1", "_near_h2")
+    return chosen.dropDuplicates(["doc_id", "_near_one", "_near_two"]).drop("_near_one", "_near_two")
+
+
 def _text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -106,3 +107,83 @@ def test_documents(spark, rows):
     kept = rows(simhash.one_of_each(frame), "doc_id", "text")
     assert {d for d, _ in kept} == {e[2] for e in expected} and len(kept) == len({e[2] for e in expected})
     assert simhash.one_of_each(frame.limit(0)).count() == 0
+
+
+# ---- groups of similar texts
+
+
+def edited(draw, words, edits):
+    out = list(words)
+    for _ in range(edits):
+        at = draw.randrange(len(out))
+        kind = draw.randrange(3)
+        if kind == 0:
+            out[at] = f"new{draw.randrange(10**6)}"
+        elif kind == 1:
+            out.insert(at, f"more{draw.randrange(10**6)}")
+        elif len(out) > 1:
+            del out[at]
+    return out
+
+
+def plain_groups(texts, similarity=0.8, width=5):
+    """Least index of each text's group over all pairs, and the similar pairs."""
+    sets = [simhash.shingles(t or "", width) for t in texts]
+    root, pairs = list(range(len(texts))), set()
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if simhash.jaccard(sets[i], sets[j]) >= similarity:
+                pairs.add((j, i))
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))], pairs
+
+
+def test_similar_texts_are_found_and_others_stay(spark):
+    import random
+
+    draw = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(900)]
+    texts = []
+    for _ in range(60):
+        base = [draw.choice(vocabulary) for _ in range(draw.choice([90, 200, 400]))]
+        texts.append(" ".join(base))
+        for _ in range(draw.randint(0, 5)):
+            texts.append(" ".join(edited(draw, base, max(1, int(len(base) * draw.choice([0.005, 0.015, 0.02, 0.06]))))))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.one_of_similar(frame).collect()}
+    groups, pairs = plain_groups(texts)
+    want = set(groups)
+    assert want <= kept  # nothing goes that is not similar to another text
+    assert len(pairs) > 60 and len(kept - want) <= 0.05 * (len(texts) - len(want))
+
+
+def test_similar_texts_with_odd_rows(spark):
+    long = " ".join(f"w{i}" for i in range(3000))
+    data = [
+        (5, None), (3, ""), (None, " \n"), (9, "one two"), (2, "One two"), (7, "two one"), (8, long), (1, long + " end"), (1, long + " end"),
+        (None, "only here and without id"), (None, "only here and without id"), (4, "、 東京"),
+    ]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in data], "doc_id long, text string, fp string, h1 int")
+    kept = simhash.one_of_similar(frame).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept if r["doc_id"] is not None) == [(1, long + " end"), (2, "One two"), (3, ""), (4, "、 東京"), (7, "two one")]
+    assert [r["text"] for r in kept if r["doc_id"] is None] == ["only here and without id"]
+    assert all(r["fp"] == "x" and r["h1"] == 1 for r in kept)
+    assert simhash.one_of_similar(frame.limit(0)).count() == 0
+
+
+def test_links_of_crowds_are_pairs_within_the_radius(spark):
+    draw = np.random.default_rng(3)
+    base = int(draw.integers(1 << 62))
+    fps = {base ^ sum(1 << int(b) for b in draw.choice(63, draw.integers(0, 7), replace=False)) for _ in range(400)}
+    frame = spark.createDataFrame([(f,) for f in fps], "fp long")
+    pairs = {(r["u"], r["v"]) for r in simhash.links(frame, 4, bucket=8, near_only=True).collect()}
+    assert pairs and all((u ^ v).bit_count() <= 4 for u, v in pairs)
+    near = {f for f in fps if any((f ^ g).bit_count() <= 4 for g in fps if g != f)}
+    assert {x for p in pairs for x in p} == near
