@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import texts_of
+from tallyweave.llm.common import Shared, texts_of
 
 NONE = np.int64(1 << 62)
 PLACE_BITS = 24
@@ -275,7 +275,7 @@ class Decoder:
 
 
 def _shared(documents: DataFrame, path: str, pattern: str):
-    return documents.sparkSession.sparkContext.broadcast(Vocabulary.read(path, pattern))
+    return Shared(documents.sparkSession, Vocabulary.read(path, pattern))
 
 
 def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,22 @@ def hash_share(*columns: str, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+class Shared:
+    """A value on every executor, by ``value``. Its classes travel with it: nothing needs to be installed there."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def __getstate__(self) -> dict:
+        return {"sent": self.sent}
+
+    @property
+    def value(self):
+        if "held" not in self.__dict__:
+            self.held = cloudpickle.loads(self.sent.value)
+        return self.held
+
+
 def per_batch(work: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """A function on one frame as a function for ``mapInPandas``."""
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import hash_share, pool_adjacent, texts_of
+from tallyweave.llm.common import Shared, hash_share, pool_adjacent, texts_of
 from tallyweave.state import stage
 
 #: What the bytes of a text are counted as.
@@ -192,7 +192,7 @@ def scored(documents: DataFrame, model: Model, column: str = "score") -> DataFra
 
     The score depends on the text alone. A column of that name is replaced.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(documents.sparkSession, model)
     chosen = documents.drop(column)
     place = len(chosen.columns)
 

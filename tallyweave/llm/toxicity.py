@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import hash_share, texts_of
+from tallyweave.llm.common import Shared, hash_share, texts_of
 
 GRAMS = (3, 4, 5, 6)
 MARK = 0x20
@@ -238,7 +238,7 @@ def score_text(text: str, lean: np.ndarray, bias: float, settings: Settings) ->
 
 def scored(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """``doc_id`` and the score of every whole text (null counts as empty), one narrow pass."""
-    shared = documents.sparkSession.sparkContext.broadcast((model.lean(), float(model.bias[1] - model.bias[0]), model.settings))
+    shared = Shared(documents.sparkSession, (model.lean(), float(model.bias[1] - model.bias[0]), model.settings))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lean, bias, settings = shared.value

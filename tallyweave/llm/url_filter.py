@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import hash_share
+from tallyweave.llm.common import Shared, hash_share
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLOTS = 1 << 20
@@ -166,7 +166,7 @@ def fit(urls: DataFrame, settings: Settings = Settings()) -> Ratio:
     accepted, joint, slot, n = (whole[c].to_numpy(zero_copy_only=False) for c in ("accepted", "joint", "slot", "n"))
     counts[accepted.astype(int), joint.astype(int), slot] = n
     ratio = Ratio(counts.astype(np.int32 if not n.size or n.max() < 2**31 else np.int64), settings.strength)
-    shared = urls.sparkSession.sparkContext.broadcast(ratio)
+    shared = Shared(urls.sparkSession, ratio)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -207,7 +207,7 @@ def judged(pages: DataFrame, rules: list[Rule], settings: Settings = Settings())
     by_rule = F.coalesce(*[F.when(F.col("rule") == t, F.lit(v)) for t, v in verdicts.items()], F.lit(None).cast("string"))
     known = placed.withColumn("verdict", by_rule)
     ratio = fit(known.where("verdict is not null").select("url", (F.col("verdict") == "allow").alias("accepted")), settings)
-    shared = pages.sparkSession.sparkContext.broadcast(ratio)
+    shared = Shared(pages.sparkSession, ratio)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
