@@ -1,5 +1,6 @@
 """Fitted operators: held-out accuracy on made documents, exact parts by brute force, odd rows."""
 
+import dataclasses
 import hashlib
 import math
 import random
@@ -138,7 +139,7 @@ def test_secret_spans_and_masks(spark, rows):
 
 def test_values_after_equals_signs_are_scored():
     every = secret_scan.Network.fresh(secret_scan.Settings())
-    every.threshold = 0.0  # a network that takes every candidate for a secret
+    every.threshold = -math.inf  # a network that takes every candidate for a secret
     cases = {
         "AUTH_KEY=Ab12Cd34Ef56Gh78Ij90": ["Ab12Cd34Ef56Gh78Ij90"],
         "see http://a.io/x?sig=Ab12Cd34Ef56Gh78&z": ["Ab12Cd34Ef56Gh78"],
@@ -328,3 +329,76 @@ def test_markov_mixture_is_a_distribution():
 def test_rows_without_labels_share_no_fold(spark):
     assert spark.createDataFrame([(None,)], "doc_id long").select(fold("doc_id", 4) == 2).first()[0] is None
     assert spark.range(1).select(F.crc32(F.lit("5")) % 4).first()[0] == __import__("zlib").crc32(b"5") % 4
+
+
+def test_the_network_s_slopes_equal_differences():
+    """One step of the hand-written gradient against finite differences of the loss."""
+    settings = secret_scan.Settings(epochs=1, batch=64, copies=0, filters=5, width=3, rate=1e-3)
+    draw = np.random.default_rng(2)
+    net = secret_scan.Network.fresh(settings)
+    codes, labels = draw.integers(1, secret_scan.CLASSES, (12, secret_scan.WINDOW)), np.arange(12) % 2
+
+    def loss():
+        z = net.forward(codes)[3]
+        return float(np.mean(np.log1p(np.exp(z)) - labels * z))
+
+    # the first step of Adam moves every weight by the rate against the sign of its slope
+    trained = secret_scan.train(codes, labels, dataclasses.replace(settings, seed=settings.seed))
+    start = secret_scan.Network.fresh(settings)
+    shown = codes.copy()
+    blank = _blanks(settings, len(codes))
+    shown[blank, : secret_scan.BEFORE] = 0
+    shown[blank, secret_scan.BEFORE + secret_scan.INSIDE :] = 0
+    codes = shown
+    for name in ("embedding", "kernel", "shift", "output", "bias"):
+        before, after, mine = getattr(start, name), getattr(trained, name), getattr(net, name)
+        for at in [tuple(draw.integers(0, s) for s in before.shape) for _ in range(12)]:
+            kept = mine[at]
+            mine[at] = kept + 1e-5
+            up = loss()
+            mine[at] = kept - 1e-5
+            down = loss()
+            mine[at] = kept
+            slope = (up - down) / 2e-5
+            if abs(slope) > 1e-6:
+                assert np.sign(before[at] - after[at]) == np.sign(slope), (name, at)
+                assert abs(before[at] - after[at]) == pytest.approx(settings.rate, rel=0.05)
+
+
+def _blanks(settings, n):
+    """Which rows the only batch of a first epoch shows without their surroundings, in the rows' own order."""
+    draw = np.random.default_rng(settings.seed)
+    order = draw.permutation(n)
+    blank = draw.random(n) < 0.5
+    out = np.zeros(n, bool)
+    out[order] = blank
+    return out
+
+
+def test_a_secret_beyond_the_first_window_counts():
+    net = secret_scan.Network.fresh(secret_scan.Settings())
+    text = "see " + "a" * 90 + "k9X" * 20 + " end"
+    (at,) = secret_scan.candidates(text)
+    each = secret_scan.windows(text, *at)
+    assert len(each) == -(-(150 - secret_scan.INSIDE) // secret_scan.STRIDE) + 1
+    inside = [w[secret_scan.BEFORE : secret_scan.BEFORE + secret_scan.INSIDE] for w in each]
+    assert any(b"k9X" in bytes(c - 1 for c in w if c) for w in inside) and inside[-1].rstrip(b"\x00")
+    logits = net.logits(np.frombuffer(b"".join(each), np.uint8).reshape(len(each), -1).astype(int))
+    assert net.scores(text, [at]).tolist() == [logits.max()]
+
+
+def test_secrets_of_unseen_formats(spark):
+    draw = random.Random(8)
+    frame = spark.createDataFrame(secret_documents(), "doc_id long, text string")
+    net = secret_scan.fit(frame)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = {
+        "prefixed": lambda: "ghp_" + "".join(draw.choices(alnum, k=36)),
+        "capitals": lambda: "".join(draw.choices(alnum[:26] + "234567", k=32)),
+        "mixed": lambda: "".join(draw.choices(alnum + "+/", k=40)),
+    }
+    for name, form in forms.items():
+        found = sum(bool(secret_scan.model_spans(text, net, [])) for text in (f"use {form()} here" for _ in range(60)))
+        assert found >= 48, (name, found)
+    plain = [f"the {w} is" for w in ("internationalization", "getElementsByClassName", "state-of-the-art-things", "20250102030405060708", "some_long_variable_name")]
+    assert sum(bool(secret_scan.model_spans(t, net, [])) for t in plain) <= 1
