@@ -389,7 +389,10 @@ def test_a_secret_beyond_the_first_window_counts():
 
 def test_secrets_of_unseen_formats(spark):
     draw = random.Random(8)
-    frame = spark.createDataFrame(secret_documents(), "doc_id long, text string")
+    parts = ["respons", "ibil", "ities", "Http", "Client", "name", "Value", "under", "stand", "ing", "configur", "ation", "Index", "counter"]
+    names = ["".join(draw.choices(parts, k=4)) if i % 2 else "_".join(draw.choices(parts, k=3)).lower() for i in range(120)]
+    data = secret_documents() + [(1000 + i, f"{prose(draw, 10)} {name} {prose(draw, 10)}") for i, name in enumerate(names)]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
     net = secret_scan.fit(frame)
     alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     forms = {
