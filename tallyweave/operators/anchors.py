@@ -12,9 +12,11 @@ from tallyweave.functions.batches import scattered
 from tallyweave.functions.columns import seeded_order
 from tallyweave.functions.positions import id_bucket, with_positions
 from tallyweave.schemas import EVENT
+from tallyweave.state import stage
 
 N_ANCHORS = 125
-ANCHOR_BLOCK = 2048  # anchors held in one broadcast matrix; more of them go in several
+ANCHOR_BLOCK = 2048  # anchors of one matrix, the most that is ever broadcast
+STEP_GROUP = 4096  # steps that meet a block of anchors in one task
 
 
 def anchor_candidates(timeline: DataFrame) -> DataFrame:
@@ -92,20 +94,51 @@ def relative_representation(
 ) -> DataFrame:
     """Replace ``vector`` by ``relative``: the cosines with all anchors in ``anchor_pos`` order.
 
-    ``width`` marks vectors given as places of ones. Steps are never multiplied with anchors as
-    rows: each task multiplies its batch with a broadcast matrix of at most ``block`` anchors, and a
-    larger anchor set takes several such matrices. A zero vector has cosine 0 with everything.
+    ``width`` marks vectors given as places of ones. Steps are never multiplied with anchors as rows. Up to
+    ``block`` anchors travel to each executor as one matrix and the batches of steps are multiplied where
+    they are; more anchors meet the steps by ``relative_blocks``. A zero vector has cosine 0 with everything.
     """
     spark = steps.sparkSession
     last = anchors.agg(F.max("anchor_pos")).first()[0] or 0
-    parts = []
-    for start in range(1, last + 1, block):
-        chosen = anchors.where(F.col("anchor_pos").between(start, start + block - 1))
-        values = chosen.orderBy("anchor_pos").toPandas()["vector"]
+    others = [c for c in steps.columns if c != vector]
+    if not last:
+        return steps.select(*others, F.array().cast("array<double>").alias("relative"))
+    if last <= block:
+        values = anchors.orderBy("anchor_pos").toPandas()["vector"]
         matrix = spark.sparkContext.broadcast(_unit(_dense(values, width)).T)
-        parts.append(_cosines(matrix, width)(F.col(vector)))
-    relative = F.concat(*parts) if parts else F.array().cast("array<double>")
-    return steps.select(*[c for c in steps.columns if c != vector], relative.alias("relative"))
+        return steps.select(*others, _cosines(matrix, width)(F.col(vector)).alias("relative"))
+    rows = stage(steps.withColumn("_step", F.monotonically_increasing_id()), "relative-steps")
+    found = relative_blocks(rows.select("_step", F.col(vector).alias("vector")), anchors, last, width, block)
+    whole = found.groupBy("_step").agg(F.array_sort(F.collect_list(F.struct("block", "cosines"))).alias("_c"))
+    return rows.join(whole, "_step").select(*others, F.flatten("_c.cosines").alias("relative"))
+
+
+def relative_blocks(
+    steps: DataFrame, anchors: DataFrame, last: int, width: int | None = None, block: int = ANCHOR_BLOCK, group: int = STEP_GROUP
+) -> DataFrame:
+    """``_step``, ``block`` (from 0) and ``cosines`` with the anchors of the block, for any number of anchors.
+
+    A matrix product by blocks: groups of about ``group`` steps, told by a hash, meet blocks of anchors as
+    keyed tables. Nothing is collected or broadcast, and a task holds one block and one group.
+    """
+    blocks = -(-last // block)
+    groups = max(1, -(-steps.count() // group))
+    left = steps.select("_step", "vector", F.pmod(F.xxhash64("_step"), F.lit(groups)).cast("int").alias("group"))
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = anchors.select("anchor_pos", F.col("vector").alias("anchor"), F.floor((F.col("anchor_pos") - 1) / block).cast("int").alias("block"))
+    right = right.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+
+    def work(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(theirs):
+            return pd.DataFrame(columns=["_step", "block", "cosines"])
+        fixed = _unit(_dense(theirs.sort_values("anchor_pos")["anchor"], width))
+        rows = _dense(mine["vector"], width)
+        if rows.shape[1] != fixed.shape[1]:  # a group of missing vectors only
+            rows = np.zeros((len(rows), fixed.shape[1]))
+        return pd.DataFrame({"_step": mine["_step"], "block": mine["block"], "cosines": list(_unit(rows) @ fixed.T)})
+
+    keys = ["group", "block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(work, "_step long, block int, cosines array<double>")
 
 
 def _cosines(matrix, width: int | None):

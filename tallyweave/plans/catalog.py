@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tallyweave.operators import anchors as A
 from tallyweave.operators import features as FE
-from tallyweave.operators import fusion, joint, labels, metrics, ranking, ridge, weights
+from tallyweave.operators import fusion, joint, labels, metrics, ranking, ridge, sequences, weights
 from tallyweave.operators import impute as I
 from tallyweave.operators import timeline as TL
 from tallyweave.operators.embeddings import conversation_embedding as conversation_means
@@ -318,6 +318,15 @@ def impute_ses_knn(w: Workbench) -> DataFrame:
     return FE.long_features(scorers.neighbour_steps(w, "test"), [EVENT, "event_number"])
 
 
+@plan
+def sequences_from_chunks(w: Workbench) -> DataFrame:
+    """Padded sequences rebuilt from stored chunks of steps."""
+    chunks = w.keep("sequence-chunks", lambda: sequences.chunked(w.session_steps("train"), ["session_id"], 2))
+    rows = sequences.slots(chunks, 2).withColumn("position", F.explode_outer("positions")).drop("positions")
+    names = w.session_vocabulary().select("position", "feature")
+    return rows.join(names, "position", "left").select(EVENT, "slot", "n_steps", "feature")
+
+
 # --- labels, popularity, masks, ranking ------------------------------------------------------
 
 

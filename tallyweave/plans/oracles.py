@@ -391,6 +391,10 @@ _BODIES: dict[str, tuple[str, str]] = {
         _ACTIONS,
         "SELECT purchase_event_id, slot, n_steps, feature FROM slot_features WHERE is_train",
     ),
+    "sequences_from_chunks": (
+        _ACTIONS,
+        "SELECT purchase_event_id, slot, n_steps, feature FROM slot_features WHERE is_train",
+    ),
     "shuffled_sequences": (
         _ACTIONS
         + """, drawn AS (

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
@@ -16,16 +18,23 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -
 
     Each file may hold the columns in an order of its own and further columns; a column that a file
     lacks raises. Quotes inside a quoted value are doubled. Whole numbers may be written as floats
-    (``12.0``, ``1e3``); an empty value is null, and any other text in a number column raises. Headers
-    take one small job per file; files with the same header are read together.
+    (``12.0``, ``1e3``); an empty value is null, and any other text in a number column raises. The headers
+    of all files are found by one job; files with the same header are read together.
     """
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for file in sorted(spark.read.text(path).inputFiles()):
-        by_header.setdefault(tuple(_reader(spark).csv(file).columns), []).append(file)
-    parts = [_by_name(spark, header, files, schema) for header, files in by_header.items()]
+    parts = [_by_name(spark, header, files, schema) for header, files in headers(spark, path)]
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
+def headers(spark: SparkSession, path: str | list[str]) -> list[tuple[tuple[str, ...], list[str]]]:
+    """Each different header with its files. Tasks look for the first line of each file; a row for each
+    different header, with the names of its files, comes to the driver, whatever the number of files."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("start"))
+    placed = lines.where("start = 0 and trim(value) <> ''").withColumn("place", F.monotonically_increasing_id())
+    first = placed.groupBy("file_path").agg(F.min_by("value", "place").alias("header"))
+    found = first.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("files")).collect()
+    return [(tuple(next(csv.reader([row["header"]]))), [unquote(f) for f in row["files"]]) for row in sorted(found, key=lambda row: row["header"])]
+
+
 def _reader(spark: SparkSession) -> DataFrameReader:
     return spark.read.options(header=True, quote='"', escape='"', mode="FAILFAST", enforceSchema=False)
 

@@ -54,6 +54,25 @@ def test_every_shard_has_its_own_order(spark, rows, tmp_path):
     assert rows(S.read_conversations_embedding(spark, both, width=2)) == rows(found)
 
 
+def test_a_thousand_shards_take_one_job(spark, rows, tmp_path):
+    shards = tmp_path / "many shards"
+    shards.mkdir()
+    for i in range(1000):
+        names = ["purchase_event_id", "item_id"] if i % 3 else ["item_id", '"more, of it"', "purchase_event_id"]
+        values = {"purchase_event_id": str(i), "item_id": f"x{i}", '"more, of it"': '"a,b"'}
+        _write(shards / f"p_{i}.csv", "\n" * (i % 2) + ",".join(names) + "\n" + ",".join(values[n] for n in names) + "\n")
+    _write(shards / "p_empty.csv", "")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "")
+    try:
+        found = S.headers(spark, str(shards))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert len(tracker.getJobIdsForGroup("headers")) <= 4  # the stages of one adaptive plan, and the listing of the files
+    assert sorted((h, len(files)) for h, files in found) == [(("item_id", "more, of it", "purchase_event_id"), 334), (("purchase_event_id", "item_id"), 666)]
+    assert rows(S.read_purchase_events(spark, str(shards))) == [(i, f"x{i}") for i in range(1000)]
+
+
 def test_doubled_quotes(spark, rows, tmp_path):
     path = _write(tmp_path / "s.csv", 'session_id,action_number,action_tags\n1,1,"x ""q"",y"\n')
     assert rows(S.read_sessions(spark, path)) == [(1, 1, 'x "q",y')]
