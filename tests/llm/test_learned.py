@@ -315,15 +315,66 @@ def test_url_rules_and_verdicts(spark):
     assert {r["verdict"] for r in url_filter.judged(frame.where("page_id >= 500"), RULES).collect()} == {"allow"}
 
 
-def test_markov_mixture_is_a_distribution():
-    ratio = url_filter.Ratio(np.zeros((2, 2, url_filter.SLOTS), np.int32), 4.0)
-    for kind, urls in ((1, ["abcabc", "abd"]), (0, ["zzz"])):
-        for base, joint, _, _ in url_filter._windows(urls):
-            np.add.at(ratio.counts[kind, 0], base, 1)
-            np.add.at(ratio.counts[kind, 1], joint, 1)
-    good, bad = ratio.scores(["abcab", "zz"])
-    assert good > 0 > bad
-    assert pd.Series(ratio.scores([""])).notna().all()
+def plain_markov(urls, strength=4.0):
+    """Byte probabilities by dictionaries: p(symbol | all symbols before it)."""
+    counts, totals = {}, {}
+    for url in urls:
+        symbols = ["^"] * (url_filter.ORDERS - 1) + list(url.encode()) + ["$"]
+        for i in range(url_filter.ORDERS - 1, len(symbols)):
+            for k in range(url_filter.ORDERS):
+                context = tuple(symbols[i - k : i])
+                counts[context, symbols[i]] = counts.get((context, symbols[i]), 0) + 1
+                totals[context] = totals.get(context, 0) + 1
+
+    def p(before, symbol):
+        found = 1 / url_filter.FOLLOWERS
+        before = (["^"] * (url_filter.ORDERS - 1) + list(before))[-(url_filter.ORDERS - 1) :]
+        for k in range(url_filter.ORDERS):
+            context = tuple(before[len(before) - k :])
+            found = (counts.get((context, symbol), 0) + strength * found) / (totals.get(context, 0) + strength)
+        return found
+
+    return p
+
+
+def markov_urls(n, seed):
+    draw = random.Random(seed)
+    return [f"http://{draw.choice(['a', 'bé', 'c.d'])}{draw.randint(0, 30)}/{''.join(draw.choices('xyz/ü', k=draw.randint(0, 9)))}" for _ in range(n)]
+
+
+def test_likelihoods_equal_dictionaries(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "BLOCK", 7)
+    good, bad, asked = markov_urls(60, 1), markov_urls(40, 2), [*markov_urls(50, 3), "", "東京、\x02\x01", "q" * 300, "a\nb"]
+    told = spark.createDataFrame([(u, True) for u in good] + [(u, False) for u in bad], "url string, accepted boolean")
+    frame = spark.createDataFrame(list(enumerate(asked)), "place long, url string")
+    found = {r["place"]: r["score"] for r in url_filter.scored(frame, told, url_filter.Settings()).collect()}
+    one, two = plain_markov(good), plain_markov(bad)
+    for i, url in enumerate(asked):
+        symbols = [*url.encode(), "$"]
+        want = sum(math.log(one(symbols[:j], s)) - math.log(two(symbols[:j], s)) for j, s in enumerate(symbols)) / len(symbols)
+        assert found[i] == pytest.approx(want, abs=1e-9), url
+    for before in ([], [104], [104, 116, 116, 112, 58, 47], list("zü".encode())):
+        assert sum(one(before, s) for s in [*range(254), "$"]) == pytest.approx(1)
+
+
+def test_verdicts_hold_with_more_urls_of_the_same_kind(spark):
+    from tallyweave.llm.queries import RULES
+
+    draw = random.Random(4)
+
+    def ruled(n):
+        return [(f"http://h{draw.randint(1, 10**6):x}.com/{'fr' if i % 2 else 'de'}/{'good' if i % 2 else 'spam'}{draw.randint(1, 10**6):x}") for i in range(n)]
+
+    asked = [(i, f"http://w{draw.randint(1, 10**6):x}.net/x/{'good' if i % 2 else 'spam'}{i:x}") for i in range(60)]
+
+    def verdicts(urls):
+        frame = spark.createDataFrame(asked + [(1000 + i, u) for i, u in enumerate(urls)], "page_id long, url string")
+        return {r["page_id"]: r["verdict"] for r in url_filter.judged(frame, RULES).collect() if r["page_id"] < 1000}
+
+    few = ruled(400)
+    small, large = verdicts(few), verdicts(few + ruled(3600))
+    right = {i: "allow" if i % 2 else "block" for i, _ in asked}
+    assert sum(large[i] == right[i] for i in right) >= sum(small[i] == right[i] for i in right) >= 54
 
 
 def test_rows_without_labels_share_no_fold(spark):
