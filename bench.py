@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -16,6 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from tallyweave.plans import catalog  # noqa: E402
 from tallyweave.plans.workbench import workbench  # noqa: E402
 from tallyweave.session import build_session  # noqa: E402
+from tallyweave.state import discard  # noqa: E402
 
 
 def drain(df) -> None:
@@ -28,7 +30,9 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     chosen = set(sys.argv[1:])
     spark = build_session(
-        f"local[{cpus}]", int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)), **{"spark.driver.memory": "8g"}
+        f"local[{cpus}]",
+        int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)),
+        **{"spark.driver.memory": "8g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-")},
     )
     spark.sparkContext.setLogLevel("ERROR")
 
@@ -48,6 +52,7 @@ def main() -> None:
             failed[name] = str(error).splitlines()[0][:200]
             continue
         seconds[name] = round(time.perf_counter() - started, 3)
+    discard(spark)
     spark.stop()
     print(
         json.dumps(

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tallyweave.functions.batches import scattered, stacked
 from tallyweave.operators.embeddings import long_vector
 from tallyweave.operators.features import with_ages
+from tallyweave.operators.ridge import SUMMERS
 from tallyweave.operators.timeline import event_spine
 from tallyweave.schemas import EVENT
 
@@ -87,7 +88,8 @@ MOMENTS = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("su
 def generator_moments(pairs: DataFrame) -> DataFrame:
     """Rows of ``[X'X | X'Y]`` for ``pairs(x, y)``, the last column of X being the constant 1.
 
-    Each task adds up its own batches and sends one small matrix on.
+    Each of at most SUMMERS tasks adds up its own batches and sends one matrix on, so what is shuffled does
+    not grow with the input.
     """
 
     def partial(batches):
@@ -102,7 +104,7 @@ def generator_moments(pairs: DataFrame) -> DataFrame:
         if total is not None:
             yield pd.DataFrame({"row": np.arange(len(total)), "sums": list(total)})
 
-    partials = pairs.select("x", "y").mapInPandas(partial, MOMENTS)
+    partials = pairs.select("x", "y").coalesce(SUMMERS).mapInPandas(partial, MOMENTS)
     total = vector_to_array(Summarizer.sum(array_to_vector("sums")))
     return partials.groupBy("row").agg(total.alias("sums"))
 

@@ -9,10 +9,11 @@ from tallyweave.operators.timeline import modality_union
 from tallyweave.schemas import EVENT
 
 
-def joint_features(conversations: DataFrame, sessions: DataFrame, width: int) -> DataFrame:
+def joint_features(conversations: DataFrame, sessions: DataFrame) -> DataFrame:
     """Conversation embeddings and session features side by side.
 
-    The block of the other modality is zero: a zero embedding of ``width`` values or no features.
+    The block of the other modality is zero, and so is a gap in an embedding: both are implied. A session
+    step has a null ``embedding``, a conversation no features.
     """
     talk = conversations.select(EVENT, "event_number", "conversation_id", "embedding").withColumn(
         "conversation_ind", F.lit(1)
@@ -20,19 +21,9 @@ def joint_features(conversations: DataFrame, sessions: DataFrame, width: int) ->
     clicks = sessions.select(EVENT, "event_number", "session_id", "features", "positions").withColumn(
         "conversation_ind", F.lit(0)
     )
-    zero = F.array_repeat(F.lit(0.0), width)
-    embedding = F.when(F.col("embedding").isNull(), zero).otherwise(
-        F.transform("embedding", lambda x: F.coalesce(x, F.lit(0.0)))
-    )
     return (
         modality_union(talk, clicks)
-        .withColumn("embedding", embedding)
         .withColumn("features", F.coalesce("features", F.array().cast("array<string>")))
         .withColumn("positions", F.coalesce("positions", F.array().cast("array<int>")))
         .withColumn("event_number", F.coalesce("event_number", F.lit(0)))
     )
-
-
-def neutral_imputed(conversations: DataFrame, slots: DataFrame) -> DataFrame:
-    """Imputed session slots of each event next to its imputed embedding."""
-    return slots.join(conversations.select(EVENT, "embedding"), EVENT)

@@ -240,12 +240,13 @@ def modality_union(w: Workbench) -> DataFrame:
 
 @plan
 def joint_features(w: Workbench) -> DataFrame:
-    steps = joint.joint_features(w.conversations("train"), w.session_steps("train"), EMBEDDING_WIDTH)
+    steps = joint.joint_features(w.conversations("train"), w.session_steps("train"))
     keys = [EVENT, "event_number", "conversation_id", "session_id", "conversation_ind"]
     values = F.filter(
         F.transform("embedding", lambda x, i: F.struct(F.concat(F.lit("e"), i).alias("name"), x.alias("value"))),
-        lambda e: e["value"] != 0,
+        lambda e: F.coalesce(e["value"] != 0, F.lit(False)),
     )
+    values = F.coalesce(values, F.array().cast("array<struct<name:string,value:double>>"))
     tags = F.transform("features", lambda f: F.struct(F.concat(F.lit("t:"), f).alias("name"), F.lit(1.0).alias("value")))
     return steps.select(*keys, F.explode_outer(F.concat(values, tags)).alias("_x")).select(*keys, "_x.name", "_x.value")
 
@@ -268,13 +269,12 @@ def impute_sessions(w: Workbench) -> DataFrame:
 @plan
 def neutral_imputed(w: Workbench) -> DataFrame:
     """Per event: filled slots and features, and the imputed embedding summed up by its moments."""
-    both = scorers.neutral_inputs(w, "test")
+    talk, slots = scorers.neutral_inputs(w, "test")
     folded = F.aggregate(
         F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda acc, x: acc + x
     )
-    return both.select(
-        EVENT, "slot", "n_steps", F.size("features").alias("n_features"), folded.alias("embedding_moment")
-    )
+    moments = talk.select(EVENT, folded.alias("embedding_moment"))
+    return slots.join(moments, EVENT).select(EVENT, "slot", "n_steps", F.size("features").alias("n_features"), "embedding_moment")
 
 
 def long_moments(moments: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from tallyweave.functions.vectors import dense_entries, entry, shifted, stage_ve
 from tallyweave.operators import anchors as A
 from tallyweave.operators import context_tree as CT
 from tallyweave.operators import features as FE
-from tallyweave.operators import fusion, joint, ridge
+from tallyweave.operators import fusion, ridge
 from tallyweave.operators import impute as I
 from tallyweave.operators import neighbours as NB
 from tallyweave.operators import timeline as TL
@@ -133,11 +133,12 @@ def relative_encoded_vectors(w: Workbench, part: str) -> DataFrame:
     return stage(mean, f"relative-encoded-vectors-{part}")
 
 
-def neutral_inputs(w: Workbench, part: str) -> DataFrame:
+def neutral_inputs(w: Workbench, part: str) -> tuple[DataFrame, DataFrame]:
+    """Imputed embeddings by event, and imputed session slots: two tables keyed by event."""
     timeline = w.timeline(part)
     talk = I.impute_conversations(timeline, w.event_embeddings(part), w.embedding_means())
     steps = I.impute_sessions(timeline, w.session_steps(part), w.session_modes())
-    return joint.neutral_imputed(talk, FE.padded_slots(steps, ["session_id"]))
+    return talk, FE.padded_slots(steps, ["session_id"])
 
 
 @_once

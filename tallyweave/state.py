@@ -36,6 +36,13 @@ def stage(df: DataFrame, label: str, schema: StructType | None = None) -> DataFr
     return spark.read.schema(schema or df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Remove what this application has staged. Tables read from there are gone; call it at the end."""
+    folder = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def save_state(df: DataFrame, path: str) -> None:
     """Store fitted state (vocabulary, imputer statistics, popularity, anchors) as a table."""
     df.write.mode("overwrite").parquet(path)
