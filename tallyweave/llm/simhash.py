@@ -33,6 +33,8 @@ from tallyweave.state import stage
 BITS = 64
 BUCKET = 32
 CROWD = 4096
+#: Texts of a bucket that are all compared with each other; in a larger one each meets the least and the nearest.
+FEW = 4
 
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
@@ -267,15 +269,16 @@ def jaccard(a: set, b: set) -> float:
 def candidate_pairs(classes: DataFrame, seeds: int, radius: int) -> DataFrame:
     """``u`` < ``v``: pairs of ``classes(tid, fps)`` within ``radius`` under any of the seeds.
 
-    Texts of one fingerprint meet the least of them. Of near-equal fingerprints those with the least tid stand
-    for the others.
+    Texts of one fingerprint meet the least of them, which also stands for them before other fingerprints. In a
+    bucket of more than FEW fingerprints each meets the least and the nearest within the radius, so candidates
+    grow with the texts of a group, not with its pairs. A pair that fits neither in any table isn't compared.
     """
     found = []
     for seed in range(seeds):
         own = classes.select("tid", F.col("fps")[seed].alias("fp"))
         least = stage(own.groupBy("fp").agg(F.min("tid").alias("least")), "similar-fingerprints")
         equal = own.join(least, "fp").where("tid <> least").select(F.col("least").alias("u"), F.col("tid").alias("v"))
-        near = links(least.select("fp"), radius, near_only=True)
+        near = links(least.select("fp"), radius, bucket=FEW, near_only=True)
         one, two = (least.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}")) for c in ("u", "v"))
         met = near.join(one, "u").join(two, "v").select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v"))
         found += [equal, met]
