@@ -19,6 +19,7 @@ FOLDER = "/root/testdata/sf0.001"
 # the only queries with an oracle that multiply matrices in Python
 MATRIX = {
     "relative_representation", "relative_sequences", "generator_moments_conversation", "generator_moments_session",
+    "scorer_squares_conversation", "scorer_residuals_conversation", "encoder_squares_conversation", "impute_conv_knn", "impute_ses_knn",
 }
 
 
