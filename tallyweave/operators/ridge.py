@@ -23,12 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.batches import stacked
+from tallyweave.functions.products import add_products, listed, slices
+from tallyweave.functions.products import vectors as read_vectors
 from tallyweave.schemas import EVENT
 from tallyweave.state import stage
 
@@ -54,45 +57,53 @@ def weighted(events: DataFrame, weights: Sequence[DataFrame | None]) -> DataFram
     return rows.select(EVENT, F.array(*each).alias("w"))
 
 
-def _with_one(vector: Column) -> Column:
-    """An ML vector as an array with the constant added."""
-    return F.concat(vector_to_array(vector), F.array(F.lit(1.0)))
+SUMS = pa.schema([("run", pa.int32()), ("row", pa.int32()), ("sums", pa.list_(pa.float64()))])
 
 
 def _matrix_sum(pairs: DataFrame, runs: int) -> DataFrame:
-    """``run``, ``row`` and ``sums``: the rows of the sum of w x y' over ``pairs(x, y, w)``; ``y`` may be absent."""
+    """``run``, ``row`` and ``sums``: the rows of the sum of w x y' over ``pairs(x, y, w)``; ``y`` may be absent.
+
+    ``x`` and ``y`` are ML vectors, which get the constant added, or arrays.
+    """
     own = "y" not in pairs.columns
 
     def partial(batches):
-        total = None
+        totals = None
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            x, w = stacked(batch["x"]), stacked(batch["w"])
-            y = x if own else stacked(batch["y"])
-            if total is None:
-                total = np.zeros((runs, x.shape[1], y.shape[1]))
-            for r in range(runs):
-                on = w[:, r] != 0
-                total[r] += (x[on] * w[on, r, None]).T @ y[on]
-        if total is not None:
-            for r in range(runs):
-                yield pd.DataFrame({"run": r, "row": np.arange(total.shape[1]), "sums": list(total[r])})
-
-    partials = pairs.coalesce(SUMMERS).mapInPandas(partial, "run int, row int, sums array<double>")
+            x = read_vectors(batch.column("x"))
+            y = None if own else read_vectors(batch.column("y"))
+            if totals is None:
+                totals = np.zeros((runs, x.width, x.width if own else y.width))
+            add_products(totals, x, y, listed(batch.column("w")))
+        if totals is not None:
+            for r, total in enumerate(totals):
+                ends = np.arange(len(total) + 1, dtype=np.int32) * total.shape[1]
+                sums = pa.ListArray.from_arrays(pa.array(ends), pa.array(total.ravel()))
+                row = np.arange(len(total), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), r, np.int32)), pa.array(row), sums], schema=SUMS)
+
+    partials = pairs.coalesce(SUMMERS).mapInArrow(partial, "run int, row int, sums array<double>")
     return partials.groupBy("run", "row").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
 
 
+def by_event(vectors: DataFrame) -> DataFrame:
+    """Vectors that meet another table of events by shuffle, never by broadcast: stored vectors take a small
+    share of their size in memory, and Spark would judge them by their files."""
+    return vectors.hint("merge")
+
+
 def square_moments(vectors: DataFrame, weights: DataFrame, runs: int) -> DataFrame:
     """X'WX of every run, the constant last."""
-    rows = vectors.join(weights, EVENT)
-    return _matrix_sum(rows.select(_with_one(F.col("vector")).alias("x"), "w"), runs)
+    rows = by_event(vectors).join(weights, EVENT)
+    return _matrix_sum(rows.select(F.col("vector").alias("x"), "w"), runs)
 
 
 def cross_moments(vectors: DataFrame, others: DataFrame, weights: DataFrame, runs: int) -> DataFrame:
     """X'W X1 of every run for the events that both tables hold, the constants last."""
-    rows = vectors.join(others.select(EVENT, F.col("vector").alias("_other")), EVENT).join(weights, EVENT)
-    return _matrix_sum(rows.select(_with_one(F.col("vector")).alias("x"), _with_one(F.col("_other")).alias("y"), "w"), runs)
+    rows = by_event(by_event(vectors).join(others.select(EVENT, F.col("vector").alias("y")), EVENT)).join(weights, EVENT)
+    return _matrix_sum(rows.select(F.col("vector").alias("x"), "y", "w"), runs)
 
 
 def label_moments(vectors: DataFrame, labels: DataFrame, weights: DataFrame, runs: int) -> DataFrame:
@@ -101,7 +112,7 @@ def label_moments(vectors: DataFrame, labels: DataFrame, weights: DataFrame, run
     Sums combine before the shuffle, so an item that everyone buys is no hot key. A run may give all buyers
     of an item the weight 0, which the summarizer would refuse; it gets a weight that changes no sum.
     """
-    rows = labels.select(EVENT, "item_id").distinct().join(vectors, EVENT).join(weights, EVENT)
+    rows = by_event(labels.select(EVENT, "item_id").distinct().join(by_event(vectors), EVENT)).join(weights, EVENT)
     sums = [
         F.concat(
             vector_to_array(Summarizer.sum(F.col("vector"), F.greatest(F.col("w")[r], F.lit(1e-300)))), F.array(F.sum(F.col("w")[r]))
@@ -226,6 +237,9 @@ def rising(score: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-4 * (np.clip(score, -20, 20) - 0.5)))
 
 
+SCORES = pa.schema([("run", pa.int32()), (EVENT, pa.int64()), ("item_id", pa.string()), ("score", pa.float64())])
+
+
 def score(
     scorer: Scorer, features: DataFrame, wanted: DataFrame, runs: Sequence[int], link=rising, events_per_task: int = EVENTS
 ) -> DataFrame:
@@ -239,24 +253,29 @@ def score(
     asked = pairs.groupBy(EVENT, item_block(scorer.blocks).alias("block")).agg(F.collect_set("item_id").alias("items"))
     groups = max(1, -(-features.count() // events_per_task))
     group = F.pmod(F.xxhash64(F.lit(7), EVENT), F.lit(groups)).cast("int").alias("group")
-    left = asked.join(features.select(EVENT, _with_one(F.col("vector")).alias("x")), EVENT).withColumn("group", group)
+    left = asked.join(by_event(features.select(EVENT, F.col("vector").alias("x"))), EVENT).withColumn("group", group)
     spread = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
     right = scorer.coefficients.select("run", "item_id", "block", "coefficients", spread)
     names = list(runs)
 
-    def work(events: pd.DataFrame, coefficients: pd.DataFrame) -> pd.DataFrame:
+    def work(events: pa.Table, coefficients: pa.Table) -> pa.Table:
         out = []
-        if len(events) and len(coefficients):
-            x = stacked(events["x"])
-            place = np.repeat(np.arange(len(events)), events["items"].map(len))
-            item = np.concatenate(events["items"].to_numpy())
-            ids = events[EVENT].to_numpy()
-            for run, rows in coefficients.groupby("run"):
-                found = x @ stacked(rows["coefficients"]).T
-                at = pd.Index(rows["item_id"]).get_indexer(item)
-                got = at >= 0
-                out.append(pd.DataFrame({"run": names[run], EVENT: ids[place[got]], "item_id": item[got], "score": link(found[place[got], at[got]])}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["run", EVENT, "item_id", "score"])
+        if events.num_rows and coefficients.num_rows:
+            x, ids = read_vectors(events["x"]), events[EVENT].to_numpy()
+            factors, run = listed(coefficients["coefficients"]), coefficients["run"].to_numpy()
+            items = pd.Index(coefficients["item_id"].to_pandas())
+            lists = events["items"].combine_chunks()
+            wanted, ends = lists.flatten().to_pandas().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            of = [(names[r], items[run == r], factors[run == r]) for r in np.unique(run)]
+            for start, stop in slices(len(x)):
+                place = np.repeat(np.arange(stop - start), np.diff(ends[start : stop + 1]))
+                dense, asking = x.part(start, stop).matrix(), wanted[ends[start] : ends[stop]]
+                for name, known, factor in of:
+                    at = known.get_indexer(asking)
+                    got = at >= 0
+                    found = link((dense @ factor.T)[place[got], at[got]])
+                    out.append(pa.table([np.full(len(found), name, np.int32), ids[start:stop][place[got]], pa.array(asking[got], pa.string()), found], schema=SCORES))
+        return pa.concat_tables(out) if out else SCORES.empty_table()
 
     schema = f"run int, {EVENT} long, item_id string, score double"
-    return left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(work, schema)
+    return left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInArrow(work, schema)
