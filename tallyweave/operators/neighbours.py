@@ -10,16 +10,20 @@ hands on its k best. The result is exact.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyweave.functions.batches import stacked
+from tallyweave.functions.products import slices
+from tallyweave.functions.products import vectors as read_vectors
 from tallyweave.schemas import EVENT
 from tallyweave.state import stage
 
 #: References of a cell and of a block, and questions that meet a block in one task, on average.
-CELL, GROUP = 2048, 1024
+CELL, GROUP = 8192, 8192
+#: Questions of a task that are compared with its block at once.
+AT_ONCE = 128
 #: At most so many centres, fitted on so many references each.
 CENTRES, SAMPLE = 1024, 64
 ROUNDS = 8
@@ -56,80 +60,114 @@ def centres(references: DataFrame) -> np.ndarray | None:
     wanted = max(1, min(CENTRES, n // CELL))
     share = min(1.0, wanted * SAMPLE / n)
     drawn = references.where(F.pmod(F.xxhash64(F.lit(5), EVENT), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    rows = drawn.orderBy(F.xxhash64(F.lit(6), EVENT)).toPandas()
-    return _means(_unit(stacked(rows["x"])), wanted) if len(rows) else None
+    rows = drawn.select("x").orderBy(F.xxhash64(F.lit(6), EVENT)).toArrow()
+    return _means(_unit(read_vectors(rows["x"], constant=False).matrix()), wanted) if rows.num_rows else None
+
+
+def _units(column):
+    """Unit vectors of an Arrow column, a slice at a time."""
+    held = read_vectors(column, constant=False)
+    for start, stop in slices(len(held)):
+        yield _unit(held.part(start, stop).matrix())
 
 
 def _placed(references: DataFrame, middle) -> DataFrame:
-    """References with unit vectors, their ``cell`` and their distance from its centre."""
+    """References with their ``cell`` and their distance from its centre."""
 
-    def work(frames):
-        for frame in frames:
-            if len(frame):
-                x = _unit(stacked(frame["x"]))
-                far = _squares(x, middle.value)
-                cell = far.argmin(axis=1)
-                yield pd.DataFrame({EVENT: frame[EVENT], "x": list(x), "cell": cell, "away": np.sqrt(far.min(axis=1))})
+    def work(batches):
+        for batch in batches:
+            if batch.num_rows:
+                far = [_squares(x, middle.value) for x in _units(batch.column("x"))]
+                cell, away = [np.concatenate([f(one) for one in far]) for f in (lambda one: one.argmin(axis=1), lambda one: np.sqrt(one.min(axis=1)))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(away)], [EVENT, "x", "cell", "away"])
 
-    return references.select(EVENT, "x").mapInPandas(work, f"{EVENT} long, x array<double>, cell int, away double")
+    schema = T.StructType([*references.select(EVENT, "x").schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())])
+    return references.select(EVENT, "x").mapInArrow(work, schema)
 
 
 def _visits(questions: DataFrame, middle, cells) -> DataFrame:
-    """The cells that a question visits: its nearest, or those that may hold a reference within ``reach``."""
+    """The blocks that a question visits: those of its nearest cell, or of each that may hold a reference within ``reach``.
+
+    Python lists the blocks of a question; its row is repeated for each of them by Spark alone.
+    """
 
-    def work(frames):
-        for frame in frames:
-            if not len(frame):
+    def work(batches):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            held, least, most, parts = cells.value
-            x = _unit(stacked(frame["x"]))
-            far = np.sqrt(_squares(x, middle.value))
-            far[:, held == 0] = np.inf
-            reach = frame["reach"].to_numpy()[:, None]
-            with np.errstate(invalid="ignore"):
-                wanted = np.maximum(far - most, least - far) <= reach + SLACK
-            first = np.flatnonzero(np.isnan(reach[:, 0]))
-            wanted[first, far[first].argmin(axis=1)] = True
-            i, cell = np.nonzero(wanted & (held > 0))
-            yield pd.DataFrame({
-                "question": frame["question"].to_numpy()[i], "x": [x[j] for j in i], "reach": reach[i, 0], "cell": cell, "parts": parts[cell].astype(int),
-            })
-
-    schema = "question long, x array<double>, reach double, cell int, parts int"
-    found = questions.select("question", "x", "reach").mapInPandas(work, schema)
-    return found.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+            held, least, most, first = cells.value
+            reaches, start = batch.column("reach").to_numpy(), 0
+            counts, found = [], []
+            for x in _units(batch.column("x")):
+                far = np.sqrt(_squares(x, middle.value))
+                far[:, held == 0] = np.inf
+                reach = reaches[start : start + len(x), None]
+                start += len(x)
+                with np.errstate(invalid="ignore"):
+                    wanted = np.maximum(far - most, least - far) <= reach + SLACK
+                new = np.flatnonzero(np.isnan(reach[:, 0]))
+                wanted[new, far[new].argmin(axis=1)] = True
+                blocks = np.repeat(wanted & (held > 0), np.diff(first).astype(int), axis=1)
+                counts.append(blocks.sum(axis=1))
+                found.append(np.nonzero(blocks)[1])
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("question"), batch.column("x"), lists], ["question", "x", "blocks"])
+
+    rows = questions.select("question", "x", "reach")
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("blocks", T.ArrayType(T.IntegerType()))])
+    return rows.mapInArrow(work, schema)
+
+
+def _best(near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest numbers of each row, of equal ones the first."""
+    if near.shape[1] <= k:
+        return tuple(i.ravel() for i in np.indices(near.shape))
+    least = np.partition(near, -k, axis=1)[:, -k, None]
+    above, even = near > least, near == least
+    spare = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (even & (even.cumsum(axis=1) <= spare)))
+
+
+FOUND = pa.schema([("question", pa.int64()), (EVENT, pa.int64()), ("cosine", pa.float64())])
 
 
 def _met(visits: DataFrame, placed: DataFrame, k: int) -> DataFrame:
     """``question``, event and ``cosine``: of each visited block the k nearest to each question."""
     asked = stage(visits, "neighbour-visits")
-    demand = asked.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
-    keys = ["cell", "part", "group"]
-    left = asked.join(demand, ["cell", "part"]).withColumn("group", F.pmod(F.xxhash64("question"), F.col("groups")).cast("int")).drop("groups")
-    right = placed.join(demand, ["cell", "part"]).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
-
-    def work(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(asking) or not len(held):
-            return pd.DataFrame(columns=["question", EVENT, "cosine"])
-        here, there, ids = stacked(asking["x"]), stacked(held["x"]), held[EVENT].to_numpy()
+    each = asked.select("question", "x", F.explode("blocks").alias("block"))
+    demand = each.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
+    # a number for each block, whatever the questions
+    demand = F.broadcast(stage(demand, "neighbour-demand"))
+    keys = ["block", "group"]
+    left = each.join(demand, "block").withColumn("group", F.pmod(F.xxhash64("question"), F.col("groups")).cast("int")).drop("groups")
+    right = placed.join(demand, "block").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+
+    def work(asking: pa.Table, held: pa.Table) -> pa.Table:
+        if not asking.num_rows or not held.num_rows:
+            return FOUND.empty_table()
+        held = held.sort_by(EVENT)
+        there, ids = _unit(read_vectors(held["x"], constant=False).matrix()), held[EVENT].to_numpy()
+        here, names = read_vectors(asking["x"], constant=False), asking["question"].to_numpy()
         out = []
-        for question, row in zip(asking["question"], here, strict=True):
+        for start in range(0, len(here), AT_ONCE):
+            part = _unit(here.part(start, min(len(here), start + AT_ONCE)).matrix())
             # rounded, so that equal angles tie however their last digits came about
-            near = np.round(there @ row, DIGITS)
-            best = np.lexsort((ids, -near))[:k]
-            out.append(pd.DataFrame({"question": question, EVENT: ids[best], "cosine": near[best]}))
-        return pd.concat(out)
+            near = np.round(part @ there.T, DIGITS) + 0.0
+            row, column = _best(near, k)
+            out.append(pa.table([names[start + row], ids[column], near[row, column]], schema=FOUND))
+        return pa.concat_tables(out)
 
     schema = f"question long, {EVENT} long, cosine double"
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(work, schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, schema)
 
 
 def nearest(questions: DataFrame, references: DataFrame, k: int) -> DataFrame:
     """``question``, ``rank`` (from 1), event and ``cosine`` of the k references with the largest cosine.
 
-    Both tables hold an event and ``x``, arrays of one length; a question's event becomes ``question``.
-    Cosines are rounded to DIGITS places, ties go to the smaller event. A zero vector has cosine 0 with
-    everything. With fewer references all are returned.
+    Both tables hold an event and ``x``, arrays or ML vectors of one length; a question's event becomes
+    ``question``. Cosines are rounded to DIGITS places, ties go to the smaller event. A zero vector has
+    cosine 0 with everything. With fewer references all are returned.
     """
     spark = questions.sparkSession
     schema = f"question long, rank int, {EVENT} long, cosine double"
@@ -139,27 +177,36 @@ def nearest(questions: DataFrame, references: DataFrame, k: int) -> DataFrame:
     middle = spark.sparkContext.broadcast(found)
     placed = stage(_placed(references, middle), "neighbour-cells")
     counted = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("held"), F.min("away").alias("least"), F.max("away").alias("most"))
-    tables = np.zeros((4, len(found)))
+    held, least, most = np.zeros((3, len(found)))
     for row in counted.collect():  # a row for each centre, CENTRES at most
-        tables[:, row["cell"]] = row["held"], row["least"], row["most"], -(-row["held"] // CELL)
-    cells = spark.sparkContext.broadcast(tables)
-    parts = counted.select("cell", F.ceil(F.col("held") / CELL).alias("_parts"))
-    blocks = placed.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64(EVENT), F.col("_parts")).cast("int")).drop("_parts")
+        held[row["cell"]], least[row["cell"]], most[row["cell"]] = row["held"], row["least"], row["most"]
+    # blocks are numbered through all cells
+    parts = -(-held // CELL)
+    first = np.concatenate([[0], np.cumsum(parts)]).astype(int)
+    cells = spark.sparkContext.broadcast((held, least, most, first))
+    numbers, sizes = F.array(*[F.lit(int(n)) for n in first]), F.array(*[F.lit(int(n)) for n in parts])
+    block = F.get(numbers, F.col("cell")) + F.pmod(F.xxhash64(EVENT), F.get(sizes, F.col("cell"))).cast("int")
+    blocks = placed.select(EVENT, "x", block.alias("block"))
     asked = questions.select(F.col(EVENT).alias("question"), "x")
     order = Window.partitionBy("question").orderBy(F.col("cosine").desc(), EVENT)
-    first = _met(_visits(asked.withColumn("reach", F.lit(float("nan"))), middle, cells), blocks, k)
-    best = first.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == k).select("question", F.sqrt(2 - 2 * F.col("cosine")).alias("reach"))
+    near = _met(_visits(asked.withColumn("reach", F.lit(float("nan"))), middle, cells), blocks, k)
+    best = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == k).select("question", F.sqrt(2 - 2 * F.col("cosine")).alias("reach"))
     second = asked.join(best, "question", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
     ranked = _met(_visits(second, middle, cells), blocks, k).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("question", "rank", EVENT, "cosine")
 
 
 def imputed_embeddings(neighbours: DataFrame, references: DataFrame) -> DataFrame:
-    """Event and ``embedding``: the mean of the ``embedding`` of the neighbours of each question."""
-    met = neighbours.join(references.select(EVENT, "embedding"), EVENT).select("question", F.posexplode("embedding").alias("pos", "value"))
-    means = met.groupBy("question", "pos").agg(F.avg("value").alias("value"))
-    listed = means.groupBy("question").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_e"))
-    return listed.select(F.col("question").alias(EVENT), F.col("_e.value").alias("embedding"))
+    """Event and ``embedding``: the mean of the ``embedding`` of the neighbours of each question, position by
+    position without nulls. A question has the rows of its k neighbours alone."""
+    met = neighbours.join(references.select(EVENT, "embedding"), EVENT)
+    gathered = met.groupBy("question").agg(F.array_sort(F.collect_list(F.struct("rank", "embedding"))).alias("_e"))
+
+    def mean(_, i):
+        there = F.filter(F.transform("_e", lambda e: F.get(e["embedding"], i).cast("double")), lambda x: x.isNotNull())
+        return F.try_divide(F.aggregate(there, F.lit(0.0), lambda a, x: a + x), F.size(there))
+
+    return gathered.select(F.col("question").alias(EVENT), F.transform(F.get("_e", F.lit(0))["embedding"], mean).alias("embedding"))
 
 
 def imputed_steps(neighbours: DataFrame, aged: DataFrame) -> DataFrame:

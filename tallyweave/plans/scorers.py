@@ -231,13 +231,39 @@ def _lacking(w: Workbench, part: str, modality: str) -> DataFrame:
     return TL.missing_modality(w.timeline(part), modality)
 
 
+def _step_sets(w: Workbench, part: str) -> DataFrame:
+    """The places that an event fills in any of its steps, in order."""
+    single = _steps(w, part).select(EVENT, F.explode_outer("positions").alias("_at"))
+    return single.groupBy(EVENT).agg(F.array_sort(F.collect_set("_at")).alias("on"))
+
+
+def _set_vectors(w: Workbench, sets: DataFrame, label: str) -> DataFrame:
+    """Step sets as 0/1 vectors ``x``, stored by their places."""
+    ones = F.transform("on", lambda p: F.struct(p.cast("int").alias("at"), F.lit(1.0).alias("x")))
+    return stage_vectors(sets.select(EVENT, ones.alias("entries")), w.width(w.intersection_vocabulary()), label).withColumnRenamed("vector", "x")
+
+
+def conversation_questions(w: Workbench, part: str) -> DataFrame:
+    """Events without a conversation with their step set, and ``question``, the smallest event that has the same."""
+
+    def make() -> DataFrame:
+        sets = stage(_step_sets(w, part).join(_lacking(w, part, "conversation"), EVENT, "left_semi"), f"step-sets-{part}")
+        named = sets.groupBy("on").agg(F.min(EVENT).alias("question"))
+        return sets.hint("merge").join(named, "on").select(EVENT, "question", "on")
+
+    return w.keep(f"questions-conversation-{part}", make)
+
+
 def conversation_neighbours(w: Workbench, part: str) -> DataFrame:
-    """For events without a conversation the intersection events with the most similar sessions."""
+    """For each ``question`` of the events without a conversation the intersection events with the most similar sessions."""
 
     def make() -> DataFrame:
         told = _embedded(w, "intersection").select(EVENT)
-        questions = _any_step(w, part).join(_lacking(w, part, "conversation"), EVENT, "left_semi")
-        return NB.nearest(questions, _any_step(w, "intersection").join(told, EVENT, "left_semi"), EMBEDDING_NEIGHBOURS)
+        asking = conversation_questions(w, part).where(F.col("question") == F.col(EVENT))
+        references = _step_sets(w, "intersection").join(told, EVENT, "left_semi")
+        return NB.nearest(
+            _set_vectors(w, asking, f"question-sets-{part}"), _set_vectors(w, references, "reference-sets"), EMBEDDING_NEIGHBOURS
+        )
 
     return w.keep(f"neighbours-conversation-{part}", make)
 
@@ -254,7 +280,8 @@ def session_neighbours(w: Workbench, part: str) -> DataFrame:
 
 def neighbour_embeddings(w: Workbench, part: str) -> DataFrame:
     references = _embedded(w, "intersection").withColumnRenamed("x", "embedding")
-    return NB.imputed_embeddings(conversation_neighbours(w, part), references)
+    of = NB.imputed_embeddings(conversation_neighbours(w, part), references).withColumnRenamed(EVENT, "question")
+    return conversation_questions(w, part).join(of.hint("merge"), "question").select(EVENT, "embedding")
 
 
 def neighbour_steps(w: Workbench, part: str) -> DataFrame:
