@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Rows of a slice, and pairs of places that are added at once, on average.
 SLICE, PAIRS = 1024, 1 << 20
+#: Pairs are sorted by their place, not counted over the whole matrix, where it has so many times their places.
+SPARE = 32
 #: A column is multiplied as a matrix where at least one row in so many fills it.
 FILLED = 4
 
@@ -116,7 +118,7 @@ def _add_pairs(total: np.ndarray, left: Rows, right: Rows, w: np.ndarray) -> Non
         other = first + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         place = np.repeat(a.at, each) * total.shape[1] + b.at[other]
         made = np.repeat(a.x * row[a.row()], each) * b.x[other]
-        places, inverse = np.unique(place, return_inverse=True) if total.size > 4 * len(place) else (None, place)
+        places, inverse = np.unique(place, return_inverse=True) if total.size > SPARE * len(place) else (None, place)
         if places is None:
             total += np.bincount(place, made, total.size).reshape(total.shape)
         else:
