@@ -33,7 +33,7 @@ from tallyweave.state import stage
 BITS = 64
 BUCKET = 32
 CROWD = 4096
-#: Texts of a bucket that are all compared with each other; in a larger one each meets the least and the nearest.
+#: Texts of a bucket that all meet at first; in a larger one each meets the least and the nearest before the others.
 FEW = 4
 
 
@@ -267,11 +267,11 @@ def jaccard(a: set, b: set) -> float:
 
 
 def candidate_pairs(classes: DataFrame, seeds: int, radius: int) -> DataFrame:
-    """``u`` < ``v``: pairs of ``classes(tid, fps)`` within ``radius`` under any of the seeds.
+    """``u`` < ``v``: those pairs of ``classes(tid, fps)`` within ``radius`` under any of the seeds that meet first.
 
     Texts of one fingerprint meet the least of them, which also stands for them before other fingerprints. In a
-    bucket of more than FEW fingerprints each meets the least and the nearest within the radius, so candidates
-    grow with the texts of a group, not with its pairs. A pair that fits neither in any table isn't compared.
+    bucket of more than FEW fingerprints each meets the least and the nearest within the radius, so these pairs
+    grow with the texts of a group, not with its pairs. ``remaining_pairs`` has what they leave open.
     """
     found = []
     for seed in range(seeds):
@@ -285,6 +285,77 @@ def candidate_pairs(classes: DataFrame, seeds: int, radius: int) -> DataFrame:
     return stage(reduce(DataFrame.unionByName, found).distinct(), "similar-candidates")
 
 
+def _crowd_apart(radius: int):
+    """A function on one bucket of ``fp``, ``low``, ``high``: all pairs within the radius that are not of one group."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("fp")
+        fps, low, high = (frame[c].to_numpy() for c in ("fp", "low", "high"))
+        bits, out = fps.view(np.uint64), []
+        for at in range(0, len(fps), 256):
+            part = slice(at, at + 256)
+            near = np.bitwise_count(bits[part, None] ^ bits) <= radius
+            near &= (np.minimum(low[part, None], low) < np.maximum(high[part, None], high)) & (fps[part, None] < fps)
+            i, j = np.nonzero(near)
+            out.append(np.stack([fps[i + at], fps[j]], axis=1))
+        return pd.DataFrame(np.concatenate(out), columns=["u", "v"])
+
+    return run
+
+
+def links_apart(named: DataFrame, radius: int, bucket: int = BUCKET, crowd: int = CROWD) -> DataFrame:
+    """All pairs ``u`` < ``v`` within the radius of ``named(fp, low, high)`` that span more than one group.
+
+    ``low`` and ``high`` are the least and the greatest group of the texts of a fingerprint. A bucket, or a
+    centre of a larger one, that holds a single group has no such pair and is left before any are made.
+    """
+    tables = masks(radius)
+    keyed = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(tables)]))
+    dealt = named.select("fp", "low", "high", keyed.alias("b")).select("fp", "low", "high", "b.*")
+    mixed = F.min("low") < F.max("high")
+    sizes = dealt.groupBy("t", "key").agg(F.count("*").alias("n"), mixed.alias("mixed")).where("n > 1 and mixed").drop("mixed")
+    crowded = stage(dealt.join(sizes, ["t", "key"]), "simhash-mixed-buckets")
+    near = F.bit_count(F.col("u.fp").bitwiseXOR(F.col("v.fp"))) <= radius
+    apart = F.least("u.low", "v.low") < F.greatest("u.high", "v.high")
+
+    members = F.sort_array(F.collect_list(F.struct("fp", "low", "high"))).alias("all")
+    small = crowded.where(F.col("n") <= bucket).groupBy("t", "key").agg(members)
+    pairs = small.select("all", F.posexplode("all").alias("i", "u")).select("u", F.explode(F.slice("all", F.col("i") + 2, bucket)).alias("v"))
+    middle = crowded.where((F.col("n") > bucket) & (F.col("n") <= crowd)).select("t", "key", "fp", "low", "high")
+    reached = middle.groupBy("t", "key").applyInPandas(_crowd_apart(radius), "u long, v long")
+
+    large = crowded.where(F.col("n") > crowd).select("t", "fp")
+    centres = large.mapInPandas(_centres(tables, radius), "c long, inner boolean, fp long").select("c", "fp").distinct().join(named, "fp")
+    held = centres.groupBy("c").agg(mixed.alias("mixed")).where("mixed").select("c")
+    at = stage(centres.join(held, "c").select("c", F.struct("fp", "low", "high").alias("u")), "simhash-mixed-centres")
+    met = at.join(at.withColumnRenamed("u", "v"), "c").where("u.fp < v.fp")
+
+    both = [p.where(near & apart).select(F.col("u.fp").alias("u"), F.col("v.fp").alias("v")) for p in (pairs, met)]
+    return both[0].unionByName(reached).unionByName(both[1]).distinct()
+
+
+def remaining_pairs(classes: DataFrame, compared: DataFrame, linked: DataFrame, seeds: int, radius: int) -> DataFrame:
+    """``u`` < ``v``: the pairs within ``radius`` under any seed that are neither ``compared`` nor of one group.
+
+    ``linked(node, component)`` are the groups found so far. A pair of one group needs no comparison, so the
+    groups that these pairs complete are those of all pairs within the radius; of texts that stay apart
+    their number is that of the pairs.
+    """
+    named = classes.select("tid", "fps").join(linked.withColumnRenamed("node", "tid"), "tid", "left")
+    named = stage(named.select("tid", "fps", F.coalesce("component", "tid").alias("of")), "similar-named")
+    found = []
+    for seed in range(seeds):
+        own = named.select("tid", "of", F.col("fps")[seed].alias("fp"))
+        spans = stage(own.groupBy("fp").agg(F.min("of").alias("low"), F.max("of").alias("high")), "similar-spans")
+        equal = spans.where("low < high").select(F.col("fp").alias("u"), F.col("fp").alias("v"))
+        near = equal.unionByName(links_apart(spans, radius))
+        one, two = (own.select(F.col("fp").alias(c), F.col("tid").alias(f"_{c}"), F.col("of").alias(f"_of_{c}")) for c in ("u", "v"))
+        met = near.join(one, "u").join(two, "v").where("_of_u <> _of_v")
+        found.append(met.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")))
+    every = reduce(DataFrame.unionByName, found).distinct()
+    return stage(every.join(compared, ["u", "v"], "left_anti"), "similar-remaining")
+
+
 def similar_pairs(candidates: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
     """The ``candidates`` whose whole texts (``tid``, ``text``) have shingle sets of that Jaccard similarity."""
     both = candidates.join(texts.select(F.col("tid").alias("u"), F.col("text").alias("a")), "u")
@@ -303,7 +374,7 @@ def one_of_similar(documents: DataFrame, similarity: float = 0.8, width: int = 5
 
     An edit of one word changes ``width`` shingles, so texts that are similar by shingles are far closer by
     their sets of words: candidates are pairs within ``radius`` bits under any of ``seeds`` fingerprints of
-    these sets, and each candidate is then compared whole.
+    these sets, and each candidate is compared whole, unless earlier comparisons have linked it.
 
     The row kept is that with the least id (null last), then with the least hashes of its text; of rows that
     agree in all any one stays, as they hold the same text. Null texts are empty and, like texts without a
@@ -323,12 +394,19 @@ def one_of_similar(documents: DataFrame, similarity: float = 0.8, width: int = 5
     rank = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "h1", "h2")
     found = marked.groupBy("h1", "h2").agg(F.first("fps").alias("fps"), F.min(rank).alias("best"))
     classes = stage(found.withColumn("tid", F.monotonically_increasing_id()), "similar-classes")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        sides = pairs.select(F.col("u").alias("tid")).union(pairs.select("v")).distinct()
+        wanted = classes.join(sides, "tid", "left_semi").select("tid", "h1", "h2", F.col("best.doc_id").alias("_first"))
+        met = keyed.join(wanted, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("_first")))
+        texts = stage(met.select("tid", "text").dropDuplicates(["tid"]), "similar-texts")
+        return stage(similar_pairs(pairs, texts, similarity, width), "similar-pairs")
+
     candidates = candidate_pairs(classes, seeds, radius)
-    sides = candidates.select(F.col("u").alias("tid")).union(candidates.select("v")).distinct()
-    wanted = classes.join(sides, "tid", "left_semi").select("tid", "h1", "h2", F.col("best.doc_id").alias("_first"))
-    met = keyed.join(wanted, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("_first")))
-    texts = stage(met.select("tid", "text").dropDuplicates(["tid"]), "similar-texts")
-    linked = components(stage(similar_pairs(candidates, texts, similarity, width), "similar-pairs"))
+    first = similar(candidates)
+    linked = components(first)
+    rest = remaining_pairs(classes, candidates, linked, seeds, radius)
+    linked = components(first.unionByName(similar(rest)))
     grouped_ = classes.select("tid", "best").join(linked.withColumnRenamed("node", "tid"), "tid", "left")
     kept = grouped_.groupBy(F.coalesce("component", "tid").alias("_group")).agg(F.min("best").alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("_near_id"), F.col("k.h1").alias("_near_h1"), F.col("k.h2").alias("_near_h2"))

@@ -187,3 +187,32 @@ def test_links_of_crowds_are_pairs_within_the_radius(spark):
     assert pairs and all((u ^ v).bit_count() <= 4 for u, v in pairs)
     near = {f for f in fps if any((f ^ g).bit_count() <= 4 for g in fps if g != f)}
     assert {x for p in pairs for x in p} == near
+
+
+def test_crowds_link_what_all_pairs_within_the_radius_link(spark):
+    """Texts of one bucket, similar to neither the least nor the nearest of it but to a third one."""
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base[k:] + base[:k]) for k in (0, 57, 114, 171, 228, 285)]  # one set of words, so one fingerprint
+    shuffled = [" ".join(base[(i * step) % 400] for i in range(400)) for step in (3, 7, 9, 11, 13, 17)]
+    late = [s + " tail end" for s in shuffled]
+    frame = spark.createDataFrame(list(enumerate(texts[:2] + shuffled + late)), "doc_id long, text string")
+    groups, _ = plain_groups(texts[:2] + shuffled + late)
+    assert len(set(groups)) == 7
+    assert {r["doc_id"] for r in simhash.one_of_similar(frame).collect()} == set(groups)
+
+
+def test_pairs_apart_are_all_pairs_of_different_groups(spark):
+    draw = np.random.default_rng(5)
+    base = int(draw.integers(1 << 62))
+    fps = sorted({base ^ sum(1 << int(b) for b in draw.choice(63, draw.integers(0, 5), replace=False)) for _ in range(40)})
+    data = [(f, int(i % 3), int(i % 3 + (i % 7 == 0))) for i, f in enumerate(fps)]
+    frame = spark.createDataFrame(data, "fp long, low long, high long")
+    want = {
+        (a[0], b[0])
+        for i, a in enumerate(data)
+        for b in data[i + 1 :]
+        if (a[0] ^ b[0]).bit_count() <= 4 and min(a[1], b[1]) < max(a[2], b[2])
+    }
+    for bucket, crowd in ((200, 300), (2, 300), (2, 2)):
+        found = [(r["u"], r["v"]) for r in simhash.links_apart(frame, 4, bucket, crowd).collect()]
+        assert want and len(found) == len(set(found)) and set(found) == want
