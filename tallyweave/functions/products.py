@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Rows of a slice, and pairs of places that are added at once, on average.
 SLICE, PAIRS = 1024, 1 << 20
+#: Filled places that meet a matrix at once.
+PLACES = 1 << 14
 #: Pairs are sorted by their place, not counted over the whole matrix, where it has so many times their places.
 SPARE = 32
 #: A column is multiplied as a matrix where at least one row in so many fills it.
@@ -92,6 +94,22 @@ def slices(n: int) -> Iterator[tuple[int, int]]:
         yield start, min(n, start + SLICE)
 
 
+def products(rows: Rows, matrix: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Rows times a matrix from their filled places alone: ``start``, ``stop`` and the products of a slice of rows."""
+    ends = np.cumsum(rows.counts)
+    start = 0
+    while start < len(rows):
+        first = ends[start] - rows.counts[start]
+        stop = max(start + 1, int(np.searchsorted(ends, first + PLACES, side="right")))
+        part = rows.at[first : ends[stop - 1]], rows.x[first : ends[stop - 1]]
+        filled = start + np.flatnonzero(rows.counts[start:stop])
+        out = np.zeros((stop - start, matrix.shape[1]))
+        if len(filled):
+            out[filled - start] = np.add.reduceat(matrix[part[0]] * part[1][:, None], ends[filled] - rows.counts[filled] - first, axis=0)
+        yield start, stop, out
+        start = stop
+
+
 def _by_columns(sparse: Rows, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The filled columns of ``sparse`` and, for each, the sum of its value times the row of ``full``."""
     order = np.argsort(sparse.at, kind="stable")

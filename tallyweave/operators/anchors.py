@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +16,7 @@ from pyspark.sql import types as T
 from tallyweave.functions.batches import scattered
 from tallyweave.functions.columns import seeded_order
 from tallyweave.functions.positions import id_bucket, with_positions
+from tallyweave.functions.products import Rows, products
 from tallyweave.schemas import EVENT
 from tallyweave.state import stage
 
@@ -158,3 +164,60 @@ def relative_timeline(conversations: DataFrame, sessions: DataFrame) -> DataFram
     talk = conversations.withColumn("conversation_ind", F.lit(1)).select(*keep, "conversation_id")
     clicks = sessions.withColumn("conversation_ind", F.lit(0)).select(*keep, "session_id")
     return talk.unionByName(clicks, allowMissingColumns=True)
+
+
+# ---- means of the cosines of an event's steps
+
+
+def unit_anchors(anchors: DataFrame, width: int | None = None) -> np.ndarray:
+    """Anchors (``anchor_pos``, ``vector``) as the rows of one matrix, each of length 1 or zero."""
+    return _unit(_dense(anchors.orderBy("anchor_pos").toPandas()["vector"], width))
+
+
+@dataclass(frozen=True)
+class Modality:
+    """Steps of one modality as filled places: ``steps(event, entries, scale)``, ``scale`` being one over a step's
+    length, 0 for a zero step. A row of ``weights`` is what a place adds to the products with the anchors,
+    ``shift`` what every step adds."""
+
+    steps: DataFrame
+    weights: np.ndarray
+    shift: np.ndarray
+    indicator: int
+
+
+def mean_cosines(modalities: Sequence[Modality]) -> DataFrame:
+    """Of each event ``mean``: the mean over its steps of their cosines with the anchors, the indicator last.
+
+    A cosine is linear in the step once that is divided by its length. So the steps are summed by event and
+    place, with a combine before the shuffle, and meet the anchors once for each event; no step is
+    written with its cosines. An event holds at most one sum for each place, whatever its number of steps.
+    """
+    tables, rows, at = [], [], 0
+    for m in modalities:
+        n = len(m.weights)
+        scaled = F.transform("entries", lambda e: F.struct((e["at"] + at).alias("at"), (e["x"] * F.col("scale")).alias("x")))  # noqa: B023
+        whole = [F.struct(F.lit(at + n).alias("at"), F.col("scale").alias("x")), F.struct(F.lit(at + n + 1).alias("at"), F.lit(1.0).alias("x"))]
+        filled = F.when(F.col("scale") > 0, scaled).otherwise(F.array().cast("array<struct<at:int,x:double>>"))
+        tables.append(m.steps.select(EVENT, F.explode(F.concat(filled, F.array(*whole))).alias("_e")))
+        own = np.zeros((n + 2, m.weights.shape[1] + 2))  # the last two columns: the indicator, the number of steps
+        own[:n, :-2], own[n, :-2], own[n + 1, -2:] = m.weights, m.shift, (m.indicator, 1)
+        rows.append(own)
+        at += n + 2
+    placed = reduce(DataFrame.unionByName, tables).select(EVENT, "_e.at", "_e.x").groupBy(EVENT, "at").agg(F.sum("x").alias("x"))
+    sums = placed.groupBy(EVENT).agg(F.collect_list(F.struct("at", "x")).alias("_e")).select(EVENT, F.col("_e.at").alias("at"), F.col("_e.x").alias("x"))
+    matrix = sums.sparkSession.sparkContext.broadcast(np.concatenate(rows))
+    schema = pa.schema([(EVENT, pa.int64()), ("mean", pa.list_(pa.float64()))])
+
+    def multiply(batches):
+        for batch in batches:
+            ids, places = batch.column(EVENT), batch.column("at")
+            counts = np.asarray(places.value_lengths(), dtype=np.int64)
+            held = Rows(counts, np.asarray(places.flatten()), np.asarray(batch.column("x").flatten()), len(matrix.value))
+            for start, stop, found in products(held, matrix.value):
+                found = found[:, :-1] / found[:, -1:]
+                ends = np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]
+                means = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), means], schema=schema)
+
+    return sums.mapInArrow(multiply, f"{EVENT} long, mean array<double>")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.batches import stacked
+from tallyweave.functions.products import Rows, products
 from tallyweave.operators import ridge
 from tallyweave.schemas import EVENT
 from tallyweave.state import stage
@@ -109,3 +110,19 @@ def encode(steps: DataFrame, fitted: DataFrame, vector: str = "vector") -> DataF
         return pd.Series(out, index=values.index, dtype=object)
 
     return steps.withColumn("encoded", project(vector_to_array(F.col(vector)))).drop(vector)
+
+
+def scaled(steps: DataFrame, found: Projection) -> DataFrame:
+    """``steps(..., entries)`` with ``scale``: one over the length of a step's projection, 0 where that is zero."""
+    shared = steps.sparkSession.sparkContext.broadcast((found.weights, found.shift))
+
+    @F.pandas_udf("double")
+    def scale(at: pd.Series, x: pd.Series) -> pd.Series:
+        weights, shift = shared.value
+        if not len(at):
+            return pd.Series(dtype=float)
+        rows = Rows(at.map(len).to_numpy(), np.concatenate(at.to_list()).astype(int), np.concatenate(x.to_list()).astype(float), len(weights))
+        lengths = np.concatenate([np.linalg.norm(made - shift, axis=1) for _, _, made in products(rows, weights)])
+        return pd.Series(np.divide(1, lengths, out=np.zeros_like(lengths), where=lengths > 0), index=at.index)
+
+    return steps.withColumn("scale", scale(F.col("entries.at"), F.col("entries.x")))

@@ -117,20 +117,27 @@ def student_vectors(w: Workbench, part: str) -> DataFrame:
     return _side_by_side(w, w.event_embeddings(part), clicks, vocabulary, f"student-vectors-{part}")
 
 
+def _mean_relative(w: Workbench, part: str, modality, steps, label: str) -> DataFrame:
+    """Mean relative representation of an event's steps, with the share of conversations last."""
+    if w.n_anchors() <= A.ANCHOR_BLOCK:
+        means = A.mean_cosines([modality(kind, part) for kind in ("conversation", "session")])
+        return stage(means.select(EVENT, array_to_vector("mean").alias("vector")), label)
+    each = A.relative_timeline(*steps())
+    step = F.concat("relative", F.array(F.col("conversation_ind").cast("double")))
+    return stage(each.groupBy(EVENT).agg(Summarizer.mean(array_to_vector(step)).alias("vector")), label)
+
+
 @_once
 def relative_vectors(w: Workbench, part: str) -> DataFrame:
-    steps = A.relative_timeline(w.relative_conversations(part), w.relative_sessions(part))
-    step = F.concat("relative", F.array(F.col("conversation_ind").cast("double")))
-    return stage(steps.groupBy(EVENT).agg(Summarizer.mean(array_to_vector(step)).alias("vector")), f"relative-vectors-{part}")
+    steps = lambda: (w.relative_conversations(part), w.relative_sessions(part))
+    return _mean_relative(w, part, w.plain_modality, steps, f"relative-vectors-{part}")
 
 
 @_once
 def relative_encoded_vectors(w: Workbench, part: str) -> DataFrame:
     """As ``relative_vectors``, with the learned projections in front of the cosines."""
-    steps = A.relative_timeline(w.encoded_relative("conversation", part), w.encoded_relative("session", part))
-    step = F.concat("relative", F.array(F.col("conversation_ind").cast("double")))
-    mean = steps.groupBy(EVENT).agg(Summarizer.mean(array_to_vector(step)).alias("vector"))
-    return stage(mean, f"relative-encoded-vectors-{part}")
+    steps = lambda: (w.encoded_relative("conversation", part), w.encoded_relative("session", part))
+    return _mean_relative(w, part, w.encoded_modality, steps, f"relative-encoded-vectors-{part}")
 
 
 def neutral_inputs(w: Workbench, part: str) -> tuple[DataFrame, DataFrame]:

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.functions.vectors import stage_vectors
+from tallyweave.functions.vectors import dense_entries, shifted, stage_vectors
 from tallyweave.operators import anchors as A
 from tallyweave.operators import encoder as E
 from tallyweave.operators import features as FE
@@ -198,6 +199,9 @@ class Workbench:
     def anchors(self) -> DataFrame:
         return self.keep("anchors", lambda: A.anchor_sample(self.anchor_classes(), N_ANCHORS))
 
+    def n_anchors(self) -> int:
+        return self.state("n-anchors", lambda: self.anchors().count())
+
     def conversation_anchors(self) -> DataFrame:
         return self.keep(
             "anchors-conversation",
@@ -213,13 +217,20 @@ class Workbench:
         """The learned projection of a modality's steps, fitted on the train part."""
         return self.keep(f"encoder-{modality}", lambda: E.fit(self.encoder_steps(modality, "train"), self.labels("train")))
 
+    def encoder_entries(self, modality: str, part: str) -> DataFrame:
+        """Steps of one modality by their filled places; a conversation without sentences has none."""
+        if modality == "session":
+            on = F.transform("positions", lambda p: F.struct(p.cast("int").alias("at"), F.lit(1.0).alias("x")))
+            return self.session_steps(part).select(EVENT, "event_number", "session_id", on.alias("entries"))
+        return self.conversations(part).select(
+            EVENT, "event_number", "conversation_id", shifted(dense_entries(F.transform("embedding", lambda x: F.nanvl(F.coalesce(x, F.lit(0.0)), F.lit(0.0)))), 0).alias("entries")
+        )
+
     def encoder_steps(self, modality: str, part: str) -> DataFrame:
         """Steps of one modality with their ``vector``; a conversation without sentences has a zero vector."""
         if modality == "session":
-            width = self.width(self.session_vocabulary())
-            on = F.transform("positions", lambda p: F.struct(p.cast("int").alias("at"), F.lit(1.0).alias("x")))
-            rows = self.session_steps(part).select(EVENT, "event_number", "session_id", on.alias("entries"))
-            return self.state(f"encoder-steps-session-{part}", lambda: stage_vectors(rows, width, f"encoder-steps-session-{part}"))
+            width, label = self.width(self.session_vocabulary()), f"encoder-steps-session-{part}"
+            return self.state(label, lambda: stage_vectors(self.encoder_entries(modality, part), width, label))
         zero = F.array_repeat(F.lit(0.0), EMBEDDING_WIDTH)
         whole = F.when(F.col("embedding").isNull(), zero).otherwise(F.transform("embedding", lambda x: F.coalesce(x, F.lit(0.0))))
         rows = self.conversations(part)
@@ -229,12 +240,34 @@ class Workbench:
         """Steps of one modality with their projections, ``encoded``."""
         return self.keep(f"encoded-{modality}-{part}", lambda: E.encode(self.encoder_steps(modality, part), self.encoder(modality)))
 
+    def encoded_anchors(self, modality: str) -> DataFrame:
+        def make() -> DataFrame:
+            own = restrict(self.encoder_steps(modality, "train"), self.anchors())
+            return A.anchor_vectors(self.anchors(), E.encode(own, self.encoder(modality)), "encoded")
+
+        return self.keep(f"anchors-encoded-{modality}", make)
+
     def encoded_relative(self, modality: str, part: str) -> DataFrame:
         """Cosines of the projected steps with the projected anchors."""
-        anchors = self.keep(
-            f"anchors-encoded-{modality}", lambda: A.anchor_vectors(self.anchors(), self.encoded(modality, "train"), "encoded")
-        )
-        return A.relative_representation(self.encoded(modality, part), anchors, "encoded")
+        return A.relative_representation(self.encoded(modality, part), self.encoded_anchors(modality), "encoded")
+
+    def encoded_modality(self, modality: str, part: str) -> A.Modality:
+        """Projected steps and anchors for the means of their cosines; no projection of a step is stored."""
+        found = E.projection(self.encoder(modality))
+        anchors = A.unit_anchors(self.encoded_anchors(modality)).T
+        steps = E.scaled(self.encoder_entries(modality, part), found)
+        return A.Modality(steps, found.weights @ anchors, -found.shift @ anchors, int(modality == "conversation"))
+
+    def plain_modality(self, modality: str, part: str) -> A.Modality:
+        """Steps and anchors as they are, for the means of their cosines."""
+        if modality == "session":
+            anchors = A.unit_anchors(self.session_anchors(), self.width(self.session_vocabulary()))
+        else:
+            anchors = A.unit_anchors(self.conversation_anchors())
+        length = F.sqrt(F.aggregate("entries", F.lit(0.0), lambda total, e: total + e["x"] * e["x"]))
+        scale = F.when(length > 0, 1 / length).otherwise(0.0)
+        steps = self.encoder_entries(modality, part).withColumn("scale", scale)
+        return A.Modality(steps, anchors.T, np.zeros(len(anchors)), int(modality == "conversation"))
 
     def relative_conversations(self, part: str) -> DataFrame:
         return A.relative_representation(self.conversations(part), self.conversation_anchors(), "embedding")

@@ -140,3 +140,29 @@ def test_cosines_of_places(spark):
     found = A.relative_representation(frame, fitted, "positions", width=3).orderBy("purchase_event_id").collect()
     assert found[0]["relative"] == pytest.approx([1 / math.sqrt(2), 0.0])
     assert found[1]["relative"] == [0.0, 0.0]
+
+
+def test_mean_cosines_are_the_means_of_each_steps_cosines(spark):
+    """Steps sum by event before they meet the anchors: one row goes on for each place of an event, none for each step."""
+    draw = np.random.default_rng(2)
+    clicks = [(e, sorted(set(draw.integers(0, 6, 3).tolist()))) for e in draw.integers(0, 5, 200).tolist()] + [(7, []), (8, [1])]
+    talk = [(e, draw.normal(size=4).tolist()) for e in draw.integers(0, 6, 30).tolist()] + [(8, [0.0] * 4)]
+    places = draw.integers(0, 2, (3, 6)).astype(float)
+    places[0, 0], vectors = 1.0, draw.normal(size=(3, 4))
+    fixed = [A._unit(places), A._unit(vectors)]
+    steps = [
+        [(e, [(p, 1.0) for p in at], 1 / math.sqrt(len(at)) if at else 0.0) for e, at in clicks],
+        [(e, list(enumerate(x)), 1 / float(np.linalg.norm(x)) if any(x) else 0.0) for e, x in talk],
+    ]
+    kind = "purchase_event_id long, entries array<struct<at:int,x:double>>, scale double"
+    parts = [A.Modality(spark.createDataFrame(s, kind), f.T, np.zeros(3), i) for i, (s, f) in enumerate(zip(steps, fixed, strict=True))]
+    found = {r["purchase_event_id"]: r["mean"] for r in A.mean_cosines(parts).collect()}
+    want: dict[int, list] = {}
+    for e, at in clicks:
+        row = np.zeros((1, 6))
+        row[0, at] = 1
+        want.setdefault(e, []).append(np.append(A._unit(row) @ fixed[0].T, 0))
+    for e, x in talk:
+        want.setdefault(e, []).append(np.append(A._unit(np.array([x])) @ fixed[1].T, 1))
+    assert set(found) == set(want)
+    assert all(np.allclose(found[e], np.mean(want[e], axis=0), atol=1e-12) for e in want)
