@@ -11,10 +11,11 @@ kept of a piece, never its ids.
 from __future__ import annotations
 
 import os
-import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from string import punctuation
 from unicodedata import is_normalized
 
 import numpy as np
@@ -48,9 +49,9 @@ class WordIds:
     """Ids of texts by a lower-casing byte-level tokenizer that drops white space, remembered by word.
 
     The tokenizer's pieces never cross white space, so a text's ids are those of its parts between
-    single spaces, one after another. A part that is a word of Latin letters, with or without a stop
-    after it, needs no normal form and no search for pieces: its lower case goes to the tokenizer's
-    model as it is. All other parts go through the whole tokenizer.
+    single spaces and line ends, one after another. A part that is a word of Latin letters, with or
+    without ASCII signs after it, needs no normal form and no search for pieces: its lower case goes to
+    the tokenizer's model as it is, and the signs are one piece. All other parts go through the whole tokenizer.
     """
 
     def __init__(self, tokenizer: str):
@@ -63,43 +64,42 @@ class WordIds:
         self.words: dict[str, bytes] = {}
 
     def word(self, word: str) -> bytes:
-        """Ids of one lower-case word of Latin letters."""
-        ids = self.words.get(word)
-        if ids is None:
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(AS_SHOWN)
-            found = self.merge(shown)
-            ids = self.words[word] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        """Ids of one lower-case word of Latin letters, or of a run of ASCII signs."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(AS_SHOWN)
+        ids = self.words[word] = array("I", [t.id for t in self.merge(shown)]).tobytes()
         return ids
 
     def learn(self, parts: set[str]) -> None:
         """Encode the parts that are not remembered. The parts met first stay: the common ones are met early."""
-        new = [p for p in parts if p not in self.parts]
+        new = parts.difference(self.parts)
         for memory in (self.parts, self.words):
             if len(memory) + len(new) > REMEMBERED:
                 for old in list(memory)[REMEMBERED // 2 :]:
                     del memory[old]
-                new = [p for p in parts if p not in self.parts]
-        stops = {stop: self.encode([stop], add_special_tokens=False)[0].ids[0].to_bytes(4, "little") for stop in ",."}
-        others = []
+                new = parts.difference(self.parts)
+        others, known, words = [], self.parts, self.words
         for part in new:
-            stop = stops.get(part[-1:], b"")
-            word = part[:-1] if stop else part
-            if word.isalpha() and max(word) < LATIN_END:
+            word = part.rstrip(punctuation)
+            if word.isalpha() and (word.isascii() or max(word) < LATIN_END):
                 lowered = word.lower()
                 if lowered.isascii() or (lowered.isalpha() and is_normalized("NFC", lowered)):
-                    self.parts[part] = self.word(lowered) + stop
+                    ids = words.get(lowered) or self.word(lowered)
+                    if len(word) < len(part):
+                        signs = part[len(word) :]
+                        ids += words.get(signs) or self.word(signs)
+                    known[part] = ids
                     continue
             others.append(part)
         for start in range(0, len(others), 4096):
             group = others[start : start + 4096]
             for part, found in zip(group, self.encode(group, add_special_tokens=False), strict=True):
-                self.parts[part] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+                known[part] = array("I", found.ids).tobytes()
 
     def batch(self, texts: pd.Series) -> Iterator[bytes]:
         cut: list[list[str]] = []
         waiting: set[str] = set()
         for text in texts:
-            cut.append(text.split(" "))
+            cut.append(text.replace("\n", " ").split(" "))
             waiting.update(cut[-1])
             if len(waiting) > REMEMBERED // 4:
                 yield from self._known(cut, waiting)

@@ -85,3 +85,13 @@ def test_instruction_turns_bear_loss_by_role(spark):
     assert all(r["loss_tokens"] == (r["length"] - 1 if r["role"] == "assistant" else 0) for r in found)
     with pytest.raises(Exception, match="larger than a sequence"):
         packing.pack(cut, packing.Limits(tokens=50, segments=4, loss=3)).collect()
+
+
+def test_words_with_signs_and_line_ends_are_remembered_by_word(library):
+    encoder = packing.WordIds(word_bpe())
+    whole = []
+    encode, encoder.encode = encoder.encode, lambda group, **more: whole.extend(group) or encode(group, **more)
+    text = "Alpha*** alpha\nbeta%%% (beta) ément;\n\nalpha!? gamma_ don't a1"
+    (ids,) = encoder.batch([text])
+    assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sorted(whole) == ["", "(beta)", "a1", "don't"]
