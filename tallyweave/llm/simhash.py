@@ -17,7 +17,6 @@ one are within the radius.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -112,7 +111,12 @@ def _crowd_links(radius: int):
     return run
 
 
-def _centres(tables: list[int], radius: int):
+def _per_seed(run, own: list[str]):
+    """``run`` on one bucket, its result with the bucket's seed where there are several."""
+    return (lambda frame: run(frame).assign(seed=frame["seed"].iloc[0])) if own else run
+
+
+def _centres(tables: list[int], radius: int, own: list[str]):
     """A function on ``t`` and ``fp``: every centre within reach of a fingerprint outside its table's mask."""
     half, odd = radius // 2, radius % 2
     flips = []
@@ -123,12 +127,13 @@ def _centres(tables: list[int], radius: int):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for t, fps in frame["fp"].groupby(frame["t"]):
+            for (t, *seed), fps in frame.groupby(["t", *own])["fp"]:
                 inner = np.bitwise_count(flips[t].view(np.uint64)) <= half
                 for at in range(0, len(fps), 256):
                     part = fps.to_numpy()[at : at + 256]
                     yield pd.DataFrame(
                         {
+                            **dict(zip(own, seed, strict=True)),
                             "c": (part[:, None] ^ flips[t]).ravel(),
                             "inner": np.tile(inner, len(part)),
                             "fp": np.repeat(part, len(flips[t])),
@@ -163,35 +168,38 @@ def links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET, crowd: int
     With ``near_only`` every link is itself a pair within the radius: in a bucket of more than ``bucket``
     fingerprints each is then linked to the least and to the nearest within the radius.
 
-    ``distinct`` has ``fp``, each value once. Radius 0 to 4; the centres of large buckets take
+    ``distinct`` has ``fp``, each value once, or each once for a ``seed`` (int) that its links then carry:
+    fingerprints of several seeds need no passes of their own. Radius 0 to 4; the centres of large buckets take
     radius / 2 flips, rounded down, and for an odd radius pairs that differ by it are found from
     either side: a fingerprint is also sent to the centres one flip further.
     """
     if not 0 <= radius <= 4:
         raise ValueError("radius 0 to 4")
-    tables = masks(radius)
+    tables, own = masks(radius), [c for c in distinct.columns if c == "seed"]
+    bucketed, kind = [*own, "t", "key"], "seed int, " if own else ""
     keyed = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(tables)]))
-    dealt = distinct.select("fp", keyed.alias("b")).select("fp", "b.*")
-    sizes = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = stage(dealt.join(sizes, ["t", "key"]), "simhash-buckets")
+    dealt = distinct.select(*own, "fp", keyed.alias("b")).select(*own, "fp", "b.*")
+    sizes = dealt.groupBy(*bucketed).agg(F.count("*").alias("n")).where("n > 1")
+    crowded = stage(dealt.join(sizes, bucketed), "simhash-buckets")
 
     # buckets of bounded size: all pairs, the arrays hold at most `bucket` values
-    small = crowded.where(F.col("n") <= bucket).groupBy("t", "key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+    small = crowded.where(F.col("n") <= bucket).groupBy(*bucketed).agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     pairs = (
-        small.select("fps", F.posexplode("fps").alias("i", "u"))
-        .select("u", F.explode(F.slice("fps", F.col("i") + 2, bucket)).alias("v"))
+        small.select(*own, "fps", F.posexplode("fps").alias("i", "u"))
+        .select(*own, "u", F.explode(F.slice("fps", F.col("i") + 2, bucket)).alias("v"))
         .where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
     )
 
     # larger ones, still bounded: one task each
-    middle = crowded.where((F.col("n") > bucket) & (F.col("n") <= crowd)).select("t", "key", "fp")
-    reached = middle.groupBy("t", "key").applyInPandas((_crowd_pairs if near_only else _crowd_links)(radius), "u long, v long")
+    middle = crowded.where((F.col("n") > bucket) & (F.col("n") <= crowd)).select(*bucketed, "fp")
+    found = (_crowd_pairs if near_only else _crowd_links)(radius)
+    reached = middle.groupBy(*bucketed).applyInPandas(_per_seed(found, own), f"{kind}u long, v long")
 
     # the others: what meets at a centre is linked to the least of it
     large = crowded.where(F.col("n") > crowd)
-    centres = large.select("t", "fp").mapInPandas(_centres(tables, radius), "c long, inner boolean, fp long")
-    least = centres.groupBy("c").agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("m"))
-    met = centres.join(least, "c").where("m is not null and fp <> m").select(F.least("fp", "m").alias("u"), F.greatest("fp", "m").alias("v"))
+    centres = large.select(*own, "t", "fp").mapInPandas(_centres(tables, radius, own), f"{kind}c long, inner boolean, fp long")
+    least = centres.groupBy(*own, "c").agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("m"))
+    met = centres.join(least, [*own, "c"]).where("m is not null and fp <> m").select(*own, F.least("fp", "m").alias("u"), F.greatest("fp", "m").alias("v"))
     return pairs.unionByName(reached).unionByName(met).distinct()
 
 
@@ -273,16 +281,13 @@ def candidate_pairs(classes: DataFrame, seeds: int, radius: int) -> DataFrame:
     bucket of more than FEW fingerprints each meets the least and the nearest within the radius, so these pairs
     grow with the texts of a group, not with its pairs. ``remaining_pairs`` has what they leave open.
     """
-    found = []
-    for seed in range(seeds):
-        own = classes.select("tid", F.col("fps")[seed].alias("fp"))
-        least = stage(own.groupBy("fp").agg(F.min("tid").alias("least")), "similar-fingerprints")
-        equal = own.join(least, "fp").where("tid <> least").select(F.col("least").alias("u"), F.col("tid").alias("v"))
-        near = links(least.select("fp"), radius, bucket=FEW, near_only=True)
-        one, two = (least.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}")) for c in ("u", "v"))
-        met = near.join(one, "u").join(two, "v").select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v"))
-        found += [equal, met]
-    return stage(reduce(DataFrame.unionByName, found).distinct(), "similar-candidates")
+    own = classes.select("tid", F.posexplode(F.slice("fps", 1, seeds)).alias("seed", "fp"))
+    least = stage(own.groupBy("seed", "fp").agg(F.min("tid").alias("least")), "similar-fingerprints")
+    equal = own.join(least, ["seed", "fp"]).where("tid <> least").select(F.col("least").alias("u"), F.col("tid").alias("v"))
+    near = links(least.select("seed", "fp"), radius, bucket=FEW, near_only=True)
+    one, two = (least.select("seed", F.col("fp").alias(c), F.col("least").alias(f"_{c}")) for c in ("u", "v"))
+    met = near.join(one, ["seed", "u"]).join(two, ["seed", "v"]).select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v"))
+    return stage(equal.unionByName(met).distinct(), "similar-candidates")
 
 
 def _crowd_apart(radius: int):
@@ -304,33 +309,35 @@ def _crowd_apart(radius: int):
 
 
 def links_apart(named: DataFrame, radius: int, bucket: int = BUCKET, crowd: int = CROWD) -> DataFrame:
-    """All pairs ``u`` < ``v`` within the radius of ``named(fp, low, high)`` that span more than one group.
+    """All pairs ``u`` < ``v`` within the radius of ``named(fp, low, high)``, or of each ``seed``, that span more than one group.
 
     ``low`` and ``high`` are the least and the greatest group of the texts of a fingerprint. A bucket, or a
     centre of a larger one, that holds a single group has no such pair and is left before any are made.
     """
-    tables = masks(radius)
+    tables, own = masks(radius), [c for c in named.columns if c == "seed"]
+    bucketed, kind = [*own, "t", "key"], "seed int, " if own else ""
     keyed = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(tables)]))
-    dealt = named.select("fp", "low", "high", keyed.alias("b")).select("fp", "low", "high", "b.*")
+    dealt = named.select(*own, "fp", "low", "high", keyed.alias("b")).select(*own, "fp", "low", "high", "b.*")
     mixed = F.min("low") < F.max("high")
-    sizes = dealt.groupBy("t", "key").agg(F.count("*").alias("n"), mixed.alias("mixed")).where("n > 1 and mixed").drop("mixed")
-    crowded = stage(dealt.join(sizes, ["t", "key"]), "simhash-mixed-buckets")
+    sizes = dealt.groupBy(*bucketed).agg(F.count("*").alias("n"), mixed.alias("mixed")).where("n > 1 and mixed").drop("mixed")
+    crowded = stage(dealt.join(sizes, bucketed), "simhash-mixed-buckets")
     near = F.bit_count(F.col("u.fp").bitwiseXOR(F.col("v.fp"))) <= radius
     apart = F.least("u.low", "v.low") < F.greatest("u.high", "v.high")
 
     members = F.sort_array(F.collect_list(F.struct("fp", "low", "high"))).alias("all")
-    small = crowded.where(F.col("n") <= bucket).groupBy("t", "key").agg(members)
-    pairs = small.select("all", F.posexplode("all").alias("i", "u")).select("u", F.explode(F.slice("all", F.col("i") + 2, bucket)).alias("v"))
-    middle = crowded.where((F.col("n") > bucket) & (F.col("n") <= crowd)).select("t", "key", "fp", "low", "high")
-    reached = middle.groupBy("t", "key").applyInPandas(_crowd_apart(radius), "u long, v long")
-
-    large = crowded.where(F.col("n") > crowd).select("t", "fp")
-    centres = large.mapInPandas(_centres(tables, radius), "c long, inner boolean, fp long").select("c", "fp").distinct().join(named, "fp")
-    held = centres.groupBy("c").agg(mixed.alias("mixed")).where("mixed").select("c")
-    at = stage(centres.join(held, "c").select("c", F.struct("fp", "low", "high").alias("u")), "simhash-mixed-centres")
-    met = at.join(at.withColumnRenamed("u", "v"), "c").where("u.fp < v.fp")
-
-    both = [p.where(near & apart).select(F.col("u.fp").alias("u"), F.col("v.fp").alias("v")) for p in (pairs, met)]
+    small = crowded.where(F.col("n") <= bucket).groupBy(*bucketed).agg(members)
+    pairs = small.select(*own, "all", F.posexplode("all").alias("i", "u")).select(*own, "u", F.explode(F.slice("all", F.col("i") + 2, bucket)).alias("v"))
+    middle = crowded.where((F.col("n") > bucket) & (F.col("n") <= crowd)).select(*bucketed, "fp", "low", "high")
+    reached = middle.groupBy(*bucketed).applyInPandas(_per_seed(_crowd_apart(radius), own), f"{kind}u long, v long")
+
+    large = crowded.where(F.col("n") > crowd).select(*own, "t", "fp")
+    centres = large.mapInPandas(_centres(tables, radius, own), f"{kind}c long, inner boolean, fp long")
+    centres = centres.select(*own, "c", "fp").distinct().join(named, [*own, "fp"])
+    held = centres.groupBy(*own, "c").agg(mixed.alias("mixed")).where("mixed").select(*own, "c")
+    at = stage(centres.join(held, [*own, "c"]).select(*own, "c", F.struct("fp", "low", "high").alias("u")), "simhash-mixed-centres")
+    met = at.join(at.withColumnRenamed("u", "v"), [*own, "c"]).where("u.fp < v.fp")
+
+    both = [p.where(near & apart).select(*own, F.col("u.fp").alias("u"), F.col("v.fp").alias("v")) for p in (pairs, met)]
     return both[0].unionByName(reached).unionByName(both[1]).distinct()
 
 
@@ -343,16 +350,13 @@ def remaining_pairs(classes: DataFrame, compared: DataFrame, linked: DataFrame,
     """
     named = classes.select("tid", "fps").join(linked.withColumnRenamed("node", "tid"), "tid", "left")
     named = stage(named.select("tid", "fps", F.coalesce("component", "tid").alias("of")), "similar-named")
-    found = []
-    for seed in range(seeds):
-        own = named.select("tid", "of", F.col("fps")[seed].alias("fp"))
-        spans = stage(own.groupBy("fp").agg(F.min("of").alias("low"), F.max("of").alias("high")), "similar-spans")
-        equal = spans.where("low < high").select(F.col("fp").alias("u"), F.col("fp").alias("v"))
-        near = equal.unionByName(links_apart(spans, radius))
-        one, two = (own.select(F.col("fp").alias(c), F.col("tid").alias(f"_{c}"), F.col("of").alias(f"_of_{c}")) for c in ("u", "v"))
-        met = near.join(one, "u").join(two, "v").where("_of_u <> _of_v")
-        found.append(met.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")))
-    every = reduce(DataFrame.unionByName, found).distinct()
+    own = named.select("tid", "of", F.posexplode(F.slice("fps", 1, seeds)).alias("seed", "fp"))
+    spans = stage(own.groupBy("seed", "fp").agg(F.min("of").alias("low"), F.max("of").alias("high")), "similar-spans")
+    equal = spans.where("low < high").select("seed", F.col("fp").alias("u"), F.col("fp").alias("v"))
+    near = equal.unionByName(links_apart(spans, radius))
+    one, two = (own.select("seed", F.col("fp").alias(c), F.col("tid").alias(f"_{c}"), F.col("of").alias(f"_of_{c}")) for c in ("u", "v"))
+    met = near.join(one, ["seed", "u"]).join(two, ["seed", "v"]).where("_of_u <> _of_v")
+    every = met.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")).distinct()
     return stage(every.join(compared, ["u", "v"], "left_anti"), "similar-remaining")
 
 

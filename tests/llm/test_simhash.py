@@ -216,3 +216,17 @@ def test_pairs_apart_are_all_pairs_of_different_groups(spark):
     for bucket, crowd in ((200, 300), (2, 300), (2, 2)):
         found = [(r["u"], r["v"]) for r in simhash.links_apart(frame, 4, bucket, crowd).collect()]
         assert want and len(found) == len(set(found)) and set(found) == want
+
+
+def test_links_of_several_seeds_are_those_of_each(spark):
+    """One pass serves all seeds, in buckets of every size, and no link joins fingerprints of two seeds."""
+    draw = np.random.default_rng(6)
+    base = int(draw.integers(1 << 62))
+    by_seed = [sorted({base ^ sum(1 << int(b) for b in draw.choice(63, draw.integers(0, 5), replace=False)) for _ in range(40)}) for _ in range(2)]
+    data = [(seed, f, i % 3, i % 3 + (i % 7 == 0)) for seed, fps in enumerate(by_seed) for i, f in enumerate(fps)]
+    frame = spark.createDataFrame(data, "seed int, fp long, low long, high long")
+    for bucket, crowd in ((200, 300), (2, 300), (2, 2)):
+        for find, chosen in ((lambda d: simhash.links(d, 4, bucket, crowd), ["fp"]), (lambda d: simhash.links_apart(d, 4, bucket, crowd), ["fp", "low", "high"])):  # noqa: B023
+            found = {tuple(r) for r in find(frame.select("seed", *chosen)).select("seed", "u", "v").collect()}
+            alone = [find(frame.where(f"seed = {n}").select(*chosen)).collect() for n in (0, 1)]
+            assert found and found == {(n, r["u"], r["v"]) for n in (0, 1) for r in alone[n]}
