@@ -16,13 +16,13 @@ one are within the radius.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.common import texts_of
@@ -34,6 +34,8 @@ BUCKET = 32
 CROWD = 4096
 #: Texts of a bucket that all meet at first; in a larger one each meets the least and the nearest before the others.
 FEW = 4
+#: Texts of a bucket whose pairs are made by their fingerprints; those of a larger one of several groups meet by their shingles.
+MIXED = 16
 
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
@@ -162,6 +164,16 @@ def _crowd_pairs(radius: int):
     return run
 
 
+def _dealt(named: DataFrame, radius: int) -> DataFrame:
+    """Every row of ``named`` once for each table ``t``, with its fingerprint's ``key`` there.
+
+    Buckets are told by windows over the key: each row is shuffled once, where counts that are joined back
+    would shuffle it twice.
+    """
+    at = [F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks(radius))]
+    return named.select(*named.columns, F.explode(F.array(*at)).alias("b")).select(*named.columns, "b.*")
+
+
 def links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET, crowd: int = CROWD, near_only: bool = False) -> DataFrame:
     """Links (``u`` < ``v``) that connect exactly what pairs within the radius connect.
 
@@ -177,10 +189,8 @@ def links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET, crowd: int
         raise ValueError("radius 0 to 4")
     tables, own = masks(radius), [c for c in distinct.columns if c == "seed"]
     bucketed, kind = [*own, "t", "key"], "seed int, " if own else ""
-    keyed = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(tables)]))
-    dealt = distinct.select(*own, "fp", keyed.alias("b")).select(*own, "fp", "b.*")
-    sizes = dealt.groupBy(*bucketed).agg(F.count("*").alias("n")).where("n > 1")
-    crowded = stage(dealt.join(sizes, bucketed), "simhash-buckets")
+    dealt = _dealt(distinct, radius)
+    crowded = stage(dealt.withColumn("n", F.count("*").over(Window.partitionBy(*bucketed))).where("n > 1"), "simhash-buckets")
 
     # buckets of bounded size: all pairs, the arrays hold at most `bucket` values
     small = crowded.where(F.col("n") <= bucket).groupBy(*bucketed).agg(F.sort_array(F.collect_list("fp")).alias("fps"))
@@ -308,6 +318,33 @@ def _crowd_apart(radius: int):
     return run
 
 
+def mixed_buckets(named: DataFrame, radius: int) -> DataFrame:
+    """The rows of ``named`` in each bucket that holds more than one group, with the bucket's size ``n``.
+
+    The size is the number of fingerprints, or of ``texts`` where ``named`` counts them. A bucket that holds a
+    single group is left before any pairs are made.
+    """
+    bucket = Window.partitionBy(*(c for c in ("seed", "t", "key") if c != "seed" or c in named.columns))
+    size = F.sum("texts") if "texts" in named.columns else F.count("*")
+    told = _dealt(named, radius).withColumns({"n": size.over(bucket), "_low": F.min("low").over(bucket), "_high": F.max("high").over(bucket)})
+    return stage(told.where("_low < _high").drop("_low", "_high"), "simhash-mixed-buckets")
+
+
+def _apart(pairs: DataFrame, own: list[str], radius: int) -> DataFrame:
+    """Those of ``pairs``, structs ``u`` and ``v``, that are within the radius and span more than one group."""
+    near = F.bit_count(F.col("u.fp").bitwiseXOR(F.col("v.fp"))) <= radius
+    return pairs.where(near & (F.least("u.low", "v.low") < F.greatest("u.high", "v.high"))).select(*own, F.col("u.fp").alias("u"), F.col("v.fp").alias("v"))
+
+
+def _few_apart(mixed: DataFrame, radius: int, bucket: int) -> DataFrame:
+    """Pairs within the radius of more than one group, from buckets of up to ``bucket``."""
+    own = [c for c in mixed.columns if c == "seed"]
+    members = F.sort_array(F.collect_list(F.struct("fp", "low", "high"))).alias("all")
+    small = mixed.where(F.col("n") <= bucket).groupBy(*own, "t", "key").agg(members)
+    pairs = small.select(*own, "all", F.posexplode("all").alias("i", "u")).select(*own, "u", F.explode(F.slice("all", F.col("i") + 2, bucket)).alias("v"))
+    return _apart(pairs, own, radius)
+
+
 def links_apart(named: DataFrame, radius: int, bucket: int = BUCKET, crowd: int = CROWD) -> DataFrame:
     """All pairs ``u`` < ``v`` within the radius of ``named(fp, low, high)``, or of each ``seed``, that span more than one group.
 
@@ -316,47 +353,86 @@ def links_apart(named: DataFrame, radius: int, bucket: int = BUCKET, crowd: int
     """
     tables, own = masks(radius), [c for c in named.columns if c == "seed"]
     bucketed, kind = [*own, "t", "key"], "seed int, " if own else ""
-    keyed = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(tables)]))
-    dealt = named.select(*own, "fp", "low", "high", keyed.alias("b")).select(*own, "fp", "low", "high", "b.*")
-    mixed = F.min("low") < F.max("high")
-    sizes = dealt.groupBy(*bucketed).agg(F.count("*").alias("n"), mixed.alias("mixed")).where("n > 1 and mixed").drop("mixed")
-    crowded = stage(dealt.join(sizes, bucketed), "simhash-mixed-buckets")
-    near = F.bit_count(F.col("u.fp").bitwiseXOR(F.col("v.fp"))) <= radius
-    apart = F.least("u.low", "v.low") < F.greatest("u.high", "v.high")
-
-    members = F.sort_array(F.collect_list(F.struct("fp", "low", "high"))).alias("all")
-    small = crowded.where(F.col("n") <= bucket).groupBy(*bucketed).agg(members)
-    pairs = small.select(*own, "all", F.posexplode("all").alias("i", "u")).select(*own, "u", F.explode(F.slice("all", F.col("i") + 2, bucket)).alias("v"))
+    crowded = mixed_buckets(named, radius)
     middle = crowded.where((F.col("n") > bucket) & (F.col("n") <= crowd)).select(*bucketed, "fp", "low", "high")
     reached = middle.groupBy(*bucketed).applyInPandas(_per_seed(_crowd_apart(radius), own), f"{kind}u long, v long")
 
     large = crowded.where(F.col("n") > crowd).select(*own, "t", "fp")
     centres = large.mapInPandas(_centres(tables, radius, own), f"{kind}c long, inner boolean, fp long")
     centres = centres.select(*own, "c", "fp").distinct().join(named, [*own, "fp"])
-    held = centres.groupBy(*own, "c").agg(mixed.alias("mixed")).where("mixed").select(*own, "c")
+    held = centres.groupBy(*own, "c").agg((F.min("low") < F.max("high")).alias("mixed")).where("mixed").select(*own, "c")
     at = stage(centres.join(held, [*own, "c"]).select(*own, "c", F.struct("fp", "low", "high").alias("u")), "simhash-mixed-centres")
     met = at.join(at.withColumnRenamed("u", "v"), [*own, "c"]).where("u.fp < v.fp")
 
-    both = [p.where(near & apart).select(*own, F.col("u.fp").alias("u"), F.col("v.fp").alias("v")) for p in (pairs, met)]
-    return both[0].unionByName(reached).unionByName(both[1]).distinct()
+    return _few_apart(crowded, radius, bucket).unionByName(reached).unionByName(_apart(met, own, radius)).distinct()
 
 
-def remaining_pairs(classes: DataFrame, compared: DataFrame, linked: DataFrame, seeds: int, radius: int) -> DataFrame:
+def prefix_pairs(texts: DataFrame, similarity: float, width: int, seeds: int, radius: int) -> DataFrame:
+    """``u`` < ``v``: of ``texts(tid, of, fps, text)`` those pairs within the radius under any seed, of different
+    groups ``of``, that may have shingle sets of the given Jaccard similarity. No such pair is left out.
+
+    Shingles are ordered by how few of these texts have them. Of two sets as similar as that the smaller one,
+    of n shingles, shares one of its first n - ceil(2s / (1 + s) n) + 1 with the first m - ceil(s m) + 1 of the larger
+    one's m; and from the first that both have, what is left of either must suffice for the overlap. A crowd of
+    texts that differ in more than that meets in few pairs; those near the threshold still meet.
+    """
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in range(len(frame)):
+                found = shingles(frame["text"].iloc[row], width) or {b""}
+                hashes = np.array([xxhash.xxh64_intdigest(s) for s in found], np.uint64).view(np.int64)
+                yield pd.DataFrame({"tid": frame["tid"].iloc[row], "n": len(found), "h": hashes})
+
+    whole = texts.select("tid", F.coalesce("text", F.lit("")).alias("text"))
+    rows = stage(whole.mapInPandas(listed, "tid long, n int, h long"), "similar-shingles")
+    counted = rows.withColumn("df", F.count("*").over(Window.partitionBy("h")))
+    placed = counted.withColumn("i", F.row_number().over(Window.partitionBy("tid").orderBy("df", "h")))
+    slack, both = 1e-9, similarity / (1 + similarity)
+    probe = F.col("n") - F.ceil(similarity * F.col("n") - slack) + 1
+    held = placed.where((F.col("i") <= probe) & (F.col("df") > 1)).join(texts.select("tid", "of", "fps"), "tid")
+    held = stage(held, "similar-prefixes")
+    first = held.where(F.col("i") <= F.col("n") - F.ceil(2 * both * F.col("n") - slack) + 1)
+    u, v = first.alias("u"), held.alias("v")
+    smaller = F.struct("u.n", "u.tid") < F.struct("v.n", "v.tid")
+    left = 1 + F.least(F.col("u.n") - F.col("u.i"), F.col("v.n") - F.col("v.i"))
+    enough = (F.col("u.n") >= similarity * F.col("v.n") - slack) & (left >= both * (F.col("u.n") + F.col("v.n")) - slack)
+    near = F.lit(False)
+    for seed in range(seeds):
+        near |= F.bit_count(F.col("u.fps")[seed].bitwiseXOR(F.col("v.fps")[seed])) <= radius
+    met = u.join(v, (F.col("u.h") == F.col("v.h")) & smaller & (F.col("u.of") != F.col("v.of")) & enough & near)
+    return met.select(F.least("u.tid", "v.tid").alias("u"), F.greatest("u.tid", "v.tid").alias("v")).distinct()
+
+
+def remaining_pairs(
+    classes: DataFrame, compared: DataFrame, linked: DataFrame, seeds: int, radius: int,
+    read: Callable[[DataFrame], DataFrame], similarity: float, width: int,
+) -> DataFrame:
     """``u`` < ``v``: the pairs within ``radius`` under any seed that are neither ``compared`` nor of one group.
 
     ``linked(node, component)`` are the groups found so far. A pair of one group needs no comparison, so the
-    groups that these pairs complete are those of all pairs within the radius; of texts that stay apart
-    their number is that of the pairs.
+    groups that these pairs complete are those of all pairs within the radius. A bucket of up to MIXED texts gives
+    all such pairs. Texts of larger ones, which ``read`` gives for their ids, meet by their shingles, so
+    pairs that cannot reach the similarity are not made.
     """
     named = classes.select("tid", "fps").join(linked.withColumnRenamed("node", "tid"), "tid", "left")
     named = stage(named.select("tid", "fps", F.coalesce("component", "tid").alias("of")), "similar-named")
     own = named.select("tid", "of", F.posexplode(F.slice("fps", 1, seeds)).alias("seed", "fp"))
-    spans = stage(own.groupBy("seed", "fp").agg(F.min("of").alias("low"), F.max("of").alias("high")), "similar-spans")
-    equal = spans.where("low < high").select("seed", F.col("fp").alias("u"), F.col("fp").alias("v"))
-    near = equal.unionByName(links_apart(spans, radius))
+    groups = F.min("of").alias("low"), F.max("of").alias("high"), F.count("*").alias("texts")
+    spans = stage(own.groupBy("seed", "fp").agg(*groups), "similar-spans")
+    mixed = mixed_buckets(spans, radius)
+    # a fingerprint of several groups is in a mixed bucket of every table
+    few = mixed.where((F.col("n") <= MIXED) & (F.col("low") < F.col("high")))
+    equal = few.select("seed", F.col("fp").alias("u"), F.col("fp").alias("v"))
+    near = equal.unionByName(_few_apart(mixed, radius, MIXED)).distinct()
     one, two = (own.select("seed", F.col("fp").alias(c), F.col("tid").alias(f"_{c}"), F.col("of").alias(f"_of_{c}")) for c in ("u", "v"))
     met = near.join(one, ["seed", "u"]).join(two, ["seed", "v"]).where("_of_u <> _of_v")
-    every = met.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")).distinct()
+    every = met.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v"))
+
+    crowds = mixed.where(F.col("n") > MIXED).select("seed", "fp").distinct()
+    crowd = stage(own.join(crowds, ["seed", "fp"], "left_semi").select("tid").distinct(), "similar-crowds")
+    texts = stage(named.join(read(crowd), "tid"), "similar-crowd-texts")
+    every = every.unionByName(prefix_pairs(texts, similarity, width, seeds, radius)).distinct()
     return stage(every.join(compared, ["u", "v"], "left_anti"), "similar-remaining")
 
 
@@ -399,17 +475,19 @@ def one_of_similar(documents: DataFrame, similarity: float = 0.8, width: int = 5
     found = marked.groupBy("h1", "h2").agg(F.first("fps").alias("fps"), F.min(rank).alias("best"))
     classes = stage(found.withColumn("tid", F.monotonically_increasing_id()), "similar-classes")
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        sides = pairs.select(F.col("u").alias("tid")).union(pairs.select("v")).distinct()
-        wanted = classes.join(sides, "tid", "left_semi").select("tid", "h1", "h2", F.col("best.doc_id").alias("_first"))
+    def read(ids: DataFrame) -> DataFrame:
+        wanted = classes.join(ids, "tid", "left_semi").select("tid", "h1", "h2", F.col("best.doc_id").alias("_first"))
         met = keyed.join(wanted, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("_first")))
-        texts = stage(met.select("tid", "text").dropDuplicates(["tid"]), "similar-texts")
+        return met.select("tid", "text").dropDuplicates(["tid"])
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        texts = stage(read(pairs.select(F.col("u").alias("tid")).union(pairs.select("v")).distinct()), "similar-texts")
         return stage(similar_pairs(pairs, texts, similarity, width), "similar-pairs")
 
     candidates = candidate_pairs(classes, seeds, radius)
     first = similar(candidates)
     linked = components(first)
-    rest = remaining_pairs(classes, candidates, linked, seeds, radius)
+    rest = remaining_pairs(classes, candidates, linked, seeds, radius, read, similarity, width)
     linked = components(first.unionByName(similar(rest)))
     grouped_ = classes.select("tid", "best").join(linked.withColumnRenamed("node", "tid"), "tid", "left")
     kept = grouped_.groupBy(F.coalesce("component", "tid").alias("_group")).agg(F.min("best").alias("k"))

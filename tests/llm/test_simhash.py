@@ -230,3 +230,40 @@ def test_links_of_several_seeds_are_those_of_each(spark):
             found = {tuple(r) for r in find(frame.select("seed", *chosen)).select("seed", "u", "v").collect()}
             alone = [find(frame.where(f"seed = {n}").select(*chosen)).collect() for n in (0, 1)]
             assert found and found == {(n, r["u"], r["v"]) for n in (0, 1) for r in alone[n]}
+
+
+def test_crowds_that_stay_apart_are_not_compared_in_all_pairs(spark, monkeypatch):
+    """Orders of one set of words have one fingerprint; their pairs were all compared, 9,870 here, to link what 21 link."""
+    draw, base = random.Random(8), [f"w{i}" for i in range(120)]
+    texts = [" ".join(draw.sample(base, len(base))) for _ in range(120)]
+    texts += [" ".join(t.split()[1:] + t.split()[:1]) for t in texts[60:80]]  # similar to neither the least nor the nearest
+    texts.append(" ".join(texts[3].split()[k % 120] for k in range(2, 122)))
+    counts, plain = {}, simhash.stage
+
+    def counted(df, label, *more):
+        out = plain(df, label, *more)
+        counts[label] = counts.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "stage", counted)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups, pairs = plain_groups(texts)
+    assert {r["doc_id"] for r in simhash.one_of_similar(frame).collect()} == set(groups)
+    assert len(pairs) == 21 and counts["similar-remaining"] <= 2 * len(pairs)
+
+
+@pytest.mark.parametrize("similarity,width", [(0.8, 5), (0.5, 1), (1.0, 2)])
+def test_prefixes_leave_out_no_similar_pair(spark, similarity, width):
+    draw, texts = random.Random(9), ["", "a", "b"]
+    for _ in range(12):
+        base = [draw.choice("abcdefghijklmnop") + str(draw.randrange(8)) for _ in range(draw.choice([3, 9, 40, 60]))]
+        texts += [" ".join(edited(draw, base, k)) for k in (0, 1, 1, 2, 4, 8)] + [" ".join(base[: -len(base) // 6])]
+    texts += texts[::3]
+    fps = [int(np.int64(draw.getrandbits(1))) for _ in texts]
+    data = [(i, i % 5, [fps[i], 7 * i], t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(data, "tid long, of long, fps array<long>, text string")
+    found = {(r["u"], r["v"]) for r in simhash.prefix_pairs(frame, similarity, width, 1, 0).collect()}
+    sets = [simhash.shingles(t, width) or {b""} for t in texts]
+    apart = {(i, j) for j in range(len(texts)) for i in range(j) if i % 5 != j % 5 and fps[i] == fps[j]}
+    similar = {p for p in apart if simhash.jaccard(sets[p[0]], sets[p[1]]) >= similarity}
+    assert similar and similar <= found <= apart and len(found) < len(apart) / 2
