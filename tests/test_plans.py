@@ -11,6 +11,7 @@ from tallyweave.operators import labels as L
 from tallyweave.operators import ranking as R
 from tallyweave.operators.embeddings import event_embedding
 from tallyweave.operators.split import holdout
+from tallyweave.operators.timeline import timeline_checks
 from tallyweave.plans import catalog, oracles
 from tallyweave.plans.workbench import workbench
 from tallyweave.state import stage
@@ -97,3 +98,12 @@ def test_popularity_does_not_multiply_events_with_items(spark):
     on_sale = spark.createDataFrame([(1, "a")], "purchase_event_id long, item_id string")
     plan = explained(L.popularity_scores(on_sale, L.item_popularity(on_sale)))
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_checks_meet_the_stored_tables_by_shuffle(spark, rows):
+    users = spark.createDataFrame([(0, 1, None), (1, None, 2), (2, 3, None)], "purchase_event_id long, conversation_id long, session_id long")
+    bought = stage(spark.createDataFrame([(0, "1"), (0, "2"), (1, "1")], "purchase_event_id long, item_id string"), "plan-checks")
+    checks = timeline_checks(stage(users, "plan-users"), bought, bought)
+    # neither table may pass through the driver, however small its files
+    assert explained(checks).count("SortMergeJoin LeftAnti") >= 2 and "BroadcastHashJoin LeftAnti" not in explained(checks)
+    assert rows(checks)[:2] == [("an item bought per event", 1), ("an item on sale per event", 1)]
