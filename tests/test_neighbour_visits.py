@@ -35,3 +35,35 @@ def test_stored_vectors_are_searched_like_arrays(spark, rows):
     stored = spark.createDataFrame([(i, Vectors.sparse(20, s, [1.0] * len(s))) for i, s in sets], [EVENT, "x"])
     asked = F.col(EVENT) % 3 == 0
     assert rows(NB.nearest(stored.where(asked), stored, 3)) == rows(NB.nearest(arrays.where(asked), arrays, 3))
+
+
+def test_a_visited_cell_is_not_visited_again(spark):
+    """The second round once compared the questions with all of their first cell again."""
+    middle = spark.sparkContext.broadcast(np.eye(3))
+    cells = spark.sparkContext.broadcast((np.array([2, 0, 3]), np.zeros(3), np.ones(3), np.array([0, 2, 2, 5])))
+    asked = spark.createDataFrame(
+        [(1, [1.0, 0.0, 0.0], float("inf"), 0), (2, [0.0, 1.0, 0.0], float("inf"), 2)], "question long, x array<double>, reach double, seen int"
+    )
+    assert {r["question"]: r["blocks"] for r in NB._visits(asked, middle, cells).collect()} == {1: [2, 3, 4], 2: [0, 1]}
+
+
+def test_single_precision_leaves_out_nothing_that_counts():
+    draw = np.random.default_rng(7)
+    for width, share in ((300, 0.02), (300, 0.02), (24, 0.5), (24, None)):
+        rows = draw.normal(size=(1000, width)) if share is None else (draw.random((1000, width)) < share).astype(float)
+        rows[500:600] = rows[:100]  # ties go to the first
+        rows[7] = 0
+        there, asking = NB._unit(rows[:900]), rows[860:1000]
+        at = [np.flatnonzero(x) for x in asking]
+        some = NB.Rows(np.array([len(a) for a in at]), np.concatenate(at), np.concatenate([x[a] for x, a in zip(asking, at, strict=True)]), width)
+        near = np.round(NB._unit(asking) @ there.T, NB.DIGITS) + 0.0
+        for k in (2, 5):
+            want = np.argsort(-near, axis=1, kind="stable")[:, :k]
+            row, column, value = NB._Block(there).best(some, np.full(140, -2.0), k)
+            got = sorted(zip(row.tolist(), (-value).tolist(), column.tolist(), strict=True))
+            assert [g[2] for g in got] == want.ravel().tolist()
+            assert [-g[1] for g in got] == np.take_along_axis(near, want, axis=1).ravel().tolist()
+            # with the k-th best known, what is returned still holds it and all above it
+            bound = np.take_along_axis(near, want, axis=1)[:, -1]
+            row, column, _ = NB._Block(there).best(some, bound, k)
+            assert set(zip(row.tolist(), column.tolist(), strict=True)) == {(i, c) for i, cs in enumerate(want.tolist()) for c in cs}
