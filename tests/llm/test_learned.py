@@ -456,3 +456,50 @@ def test_secrets_of_unseen_formats(spark):
         assert found >= 48, (name, found)
     plain = [f"the {w} is" for w in ("internationalization", "getElementsByClassName", "state-of-the-art-things", "20250102030405060708", "some_long_variable_name")]
     assert sum(bool(secret_scan.model_spans(t, net, [])) for t in plain) <= 1
+
+
+def test_every_finding_takes_part(spark, monkeypatch):
+    """A fit once read a sample of the findings alone."""
+    frame = spark.createDataFrame(secret_documents(120), "doc_id long, text string")
+    settings = secret_scan.Settings(shard=25, epochs=2)
+    every = {bytes(r["window"]) for r in secret_scan.findings(frame).collect()}
+    dealt, counts = [], []
+    monkeypatch.setattr(secret_scan, "_epoch", lambda rows, *a, make=secret_scan._epoch: (dealt.append(rows), make(rows, *a))[1])
+    monkeypatch.setattr(secret_scan, "_counts", lambda rows, *a, make=secret_scan._counts: (dealt.append(rows), counts.append(make(rows, *a)), counts[0])[2])
+    net = secret_scan.fit(frame, settings)
+    *training, held = [[(r["shard"], bytes(r["window"])) for r in rows.collect()] for rows in dealt]
+    assert len(training) == settings.epochs and training[0] and held and all(sorted(rows) == sorted(training[0]) for rows in training)
+    both = [window for _, window in training[0] + held]
+    assert len(both) == len(every) > 2 * settings.shard and set(both) == every and len({shard for shard, _ in training[0]}) > 1
+    assert counts[0].sum() == len(held) * (1 + settings.copies)
+    start = secret_scan.Descent.fresh(settings)
+    assert not np.array_equal(net.kernel, start.network(settings).kernel) and net.threshold < math.inf
+
+
+def test_the_mean_of_shards_weighs_their_rows(spark):
+    settings = secret_scan.Settings(copies=1)
+    windows = sorted({bytes(r["window"]) for r in secret_scan.findings(spark.createDataFrame(secret_documents(40), "doc_id long, text string")).collect()})
+    data = [(bytearray(w), i % 2, int(i > 9)) for i, w in enumerate(windows)]
+    rows = spark.createDataFrame(data, "window binary, label int, shard int").repartition(2, "shard").sortWithinPartitions("shard")
+    start, weight, expected = secret_scan.Descent.fresh(settings), secret_scan.balanced(20, 20), 0
+    for shard in (0, 1):
+        own = secret_scan.Descent.fresh(settings)
+        of = [(w, label) for w, label, s in data if s == shard]
+        codes = np.frombuffer(b"".join(bytes(w) for w, _ in of), np.uint8).reshape(-1, secret_scan.WINDOW)
+        shown = secret_scan.varied(codes, np.array([label for _, label in of], np.int32), 1, (settings.seed, shard))
+        own.epoch(*shown, weight, settings, np.random.default_rng((settings.seed, 4, shard)))
+        expected += own.packed() * len(of) / len(data)
+    found = secret_scan._epoch(rows, start, weight, settings, 4)
+    assert found.packed() == pytest.approx(expected, abs=1e-6) and found.steps == expected[-1]
+
+
+def test_counted_logits_give_the_quantiles():
+    draw = np.random.default_rng(1)
+    logits, labels = draw.normal(size=500) * 4, (draw.random(500) < 0.3).astype(int)
+    logits += 6 * labels
+    counts = secret_scan.counted(logits, labels)
+    assert counts.sum(axis=0).tolist() == [(labels == 0).sum(), (labels == 1).sum()]
+    assert secret_scan.counted(np.array([-99.0, 99.0]), np.array([0, 1])).sum() == 2
+    grid = (np.arange(len(counts)) + 0.5) / secret_scan.BINS - secret_scan.LOGITS
+    for label, share in ((0, 0.998), (1, 0.05), (1, 0.0), (0, 1.0)):
+        assert secret_scan._quantile(grid, counts[:, label], share) == pytest.approx(np.quantile(logits[labels == label], share), abs=1 / secret_scan.BINS)
