@@ -20,11 +20,14 @@ def dense_entries(vector: Column, offset: int = 0) -> Column:
     )
 
 
+ENTRIES = "array<struct<at:int,x:double>>"
+
+
 def shifted(entries: Column, offset: int) -> Column:
-    return F.transform(
-        F.coalesce(entries, F.array().cast("array<struct<at:int,x:double>>")),
-        lambda e: F.struct((e["at"] + offset).cast("int").alias("at"), e["x"].alias("x")),
-    )
+    held = F.coalesce(entries.cast(ENTRIES), F.array().cast(ENTRIES))
+    if not offset:
+        return held
+    return F.transform(held, lambda e: F.struct((e["at"] + offset).cast("int").alias("at"), e["x"].alias("x")))
 
 
 def entry(value: Column, at: int) -> Column:
@@ -34,14 +37,15 @@ def entry(value: Column, at: int) -> Column:
 
 def stage_vectors(rows: DataFrame, size: int, label: str) -> DataFrame:
     """Write ``rows`` with their ``entries`` (sorted by place) and read them back with a ``vector``."""
-    filled = F.filter(shifted(F.col("entries"), 0), lambda e: e["x"] != 0)
     stored = F.struct(
         F.lit(0).cast("tinyint").alias("type"),
         F.lit(size).alias("size"),
-        filled["at"].alias("indices"),
-        filled["x"].alias("values"),
+        F.col("_filled.at").alias("indices"),
+        F.col("_filled.x").alias("values"),
     )
     keys = [c for c in rows.columns if c != "entries"]
-    written = rows.select(*keys, stored.alias("vector"))
+    # a column of its own, so that entries are made and filtered once for places and values
+    filled = rows.select(*keys, F.filter(shifted(F.col("entries"), 0), lambda e: e["x"] != 0).alias("_filled"))
+    written = filled.select(*keys, stored.alias("vector"))
     schema = T.StructType([*written.schema.fields[:-1], T.StructField("vector", VectorUDT())])
     return stage(written, label, schema)

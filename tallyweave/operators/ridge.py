@@ -94,9 +94,16 @@ def by_event(vectors: DataFrame) -> DataFrame:
     return vectors.hint("merge")
 
 
-def square_moments(vectors: DataFrame, weights: DataFrame, runs: int) -> DataFrame:
+def _with_weights(rows: DataFrame, weights: DataFrame | None, runs: int) -> DataFrame:
+    """Rows with ``w``; without a table of weights every event weighs 1 in each run, and nothing is joined."""
+    if weights is None:
+        return rows.where(F.col(EVENT).isNotNull()).withColumn("w", F.array(*[F.lit(1.0)] * runs))
+    return by_event(rows).join(weights, EVENT)
+
+
+def square_moments(vectors: DataFrame, weights: DataFrame | None, runs: int) -> DataFrame:
     """X'WX of every run, the constant last."""
-    rows = by_event(vectors).join(weights, EVENT)
+    rows = _with_weights(vectors, weights, runs)
     return _matrix_sum(rows.select(F.col("vector").alias("x"), "w"), runs)
 
 
@@ -106,13 +113,13 @@ def cross_moments(vectors: DataFrame, others: DataFrame, weights: DataFrame, run
     return _matrix_sum(rows.select(F.col("vector").alias("x"), "y", "w"), runs)
 
 
-def label_moments(vectors: DataFrame, labels: DataFrame, weights: DataFrame, runs: int) -> DataFrame:
+def label_moments(vectors: DataFrame, labels: DataFrame, weights: DataFrame | None, runs: int) -> DataFrame:
     """``run``, ``item_id`` and ``sums``, the sum of w x over the events that bought the item, the constant last.
 
     Sums combine before the shuffle, so an item that everyone buys is no hot key. A run may give all buyers
     of an item the weight 0, which the summarizer would refuse; it gets a weight that changes no sum.
     """
-    rows = by_event(labels.select(EVENT, "item_id").distinct().join(by_event(vectors), EVENT)).join(weights, EVENT)
+    rows = _with_weights(labels.select(EVENT, "item_id").distinct().join(by_event(vectors), EVENT), weights, runs)
     sums = [
         F.concat(
             vector_to_array(Summarizer.sum(F.col("vector"), F.greatest(F.col("w")[r], F.lit(1e-300)))), F.array(F.sum(F.col("w")[r]))
@@ -223,7 +230,7 @@ def fit(
     Run r of the result (from 0) equals a fit with ``weights[r]`` alone. Events without a vector take no
     part; an event without a label counts as one that bought nothing.
     """
-    w = stage(weighted(vectors, weights), "run-weights")
+    w = stage(weighted(vectors, weights), "run-weights") if any(table is not None for table in weights) else None
     runs = len(weights)
     return solve(square_moments(vectors, w, runs), label_moments(vectors, labels, w, runs), runs, ridge, items_per_block)
 

@@ -71,11 +71,14 @@ def _pooled(w: Workbench, steps: DataFrame, vocabulary: DataFrame, ties: tuple[s
     return pooled_entries(steps, pooled_sessions(steps, ties), w.width(vocabulary))
 
 
+def _pooled_sessions(w: Workbench, part: str) -> DataFrame:
+    """Pooled steps of the sessions of a part, stored for the families that use them as they are."""
+    return w.keep(f"pooled-{part}", lambda: _pooled(w, w.session_steps(part), w.session_vocabulary(), ("session_id",)))
+
+
 @_once
 def session_vectors(w: Workbench, part: str) -> DataFrame:
-    vocabulary = w.session_vocabulary()
-    pooled = _pooled(w, w.session_steps(part), vocabulary, ("session_id",))
-    return stage_vectors(pooled, 3 * w.width(vocabulary), f"session-vectors-{part}")
+    return stage_vectors(_pooled_sessions(w, part), 3 * w.width(w.session_vocabulary()), f"session-vectors-{part}")
 
 
 @_once
@@ -104,9 +107,7 @@ def _side_by_side(w: Workbench, talk: DataFrame, clicks: DataFrame, vocabulary:
 
 @_once
 def joint_vectors(w: Workbench, part: str) -> DataFrame:
-    vocabulary = w.session_vocabulary()
-    clicks = _pooled(w, w.session_steps(part), vocabulary, ("session_id",))
-    return _side_by_side(w, w.event_embeddings(part), clicks, vocabulary, f"joint-vectors-{part}")
+    return _side_by_side(w, w.event_embeddings(part), _pooled_sessions(w, part), w.session_vocabulary(), f"joint-vectors-{part}")
 
 
 @_once
@@ -168,6 +169,13 @@ def _steps(w: Workbench, part: str) -> DataFrame:
     )
 
 
+def _with_pooled(w: Workbench, part: str, made: DataFrame) -> DataFrame:
+    """Pooled steps of the events with a session, stored once for all families, and those made for events without one."""
+    vocabulary = w.intersection_vocabulary()
+    own = w.keep(f"pooled-intersection-{part}", lambda: _pooled(w, _steps(w, part), vocabulary, ("session_id",)))
+    return own.unionByName(_pooled(w, made, vocabulary, ()))
+
+
 def _any_step(w: Workbench, part: str) -> DataFrame:
     """Features of an event in any of its steps, as one 0/1 vector."""
     single = _steps(w, part).select(EVENT, F.explode_outer("positions").alias("_at"))
@@ -226,9 +234,7 @@ def generated_vectors(w: Workbench, part: str) -> DataFrame:
     """Both modalities of every event, the missing one generated."""
     vocabulary = w.intersection_vocabulary()
     talk = _embedded(w, part).withColumnRenamed("x", "embedding").unionByName(generated_conversations(w, part))
-    steps = _steps(w, part).unionByName(generated_sessions(w, part), allowMissingColumns=True)
-    clicks = _pooled(w, steps, vocabulary, ("session_id",))
-    return _side_by_side(w, talk, clicks, vocabulary, f"generated-vectors-{part}")
+    return _side_by_side(w, talk, _with_pooled(w, part, generated_sessions(w, part)), vocabulary, f"generated-vectors-{part}")
 
 
 # --- missing modality from the nearest intersection events ------------------------------------
@@ -300,10 +306,7 @@ def neighbour_steps(w: Workbench, part: str) -> DataFrame:
 def neighbour_vectors(w: Workbench, part: str) -> DataFrame:
     """Both modalities of every event, the missing one from its nearest intersection events."""
     talk = _embedded(w, part).withColumnRenamed("x", "embedding").unionByName(neighbour_embeddings(w, part))
-    steps = _steps(w, part).unionByName(neighbour_steps(w, part), allowMissingColumns=True)
-    vocabulary = w.intersection_vocabulary()
-    clicks = _pooled(w, steps, vocabulary, ("session_id",))
-    return _side_by_side(w, talk, clicks, vocabulary, f"neighbour-vectors-{part}")
+    return _side_by_side(w, talk, _with_pooled(w, part, neighbour_steps(w, part)), w.intersection_vocabulary(), f"neighbour-vectors-{part}")
 
 
 # --- fits and scores -------------------------------------------------------------------------
@@ -565,17 +568,20 @@ def validation_auc(w: Workbench) -> DataFrame:
         conversation_vectors, session_vectors, keyword_vectors, joint_vectors, relative_vectors, relative_encoded_vectors,
         neutral_vectors, generated_vectors, neighbour_vectors,
     )
-    reports = [tail_auc(w, v, "train", valid, _weights(w, v)) for v in families]
+    on_sale = w.keep("available-validation", lambda: TL.restrict(w.available("train"), valid))
+    reports = [tail_auc(w, v, "train", valid, on_sale, _weights(w, v)) for v in families]
     tail = validation_split(w.types("train").where(F.col("event") == "intersection").select(EVENT), 0.11)
-    reports.append(tail_auc(w, student_vectors, "intersection", tail.where("is_validation").select(EVENT)))
+    tail = tail.where("is_validation").select(EVENT)
+    reports.append(tail_auc(w, student_vectors, "intersection", tail, TL.restrict(w.available("train"), tail)))
     return reduce(lambda a, b: a.unionByName(b), reports)
 
 
-def tail_auc(w: Workbench, vectors, part: str, valid: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+def tail_auc(w: Workbench, vectors, part: str, valid: DataFrame, on_sale: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """Macro AUC of a family on the events in ``valid``, of which ``on_sale`` has the items."""
     rows = vectors(w, part)
     model = ridge.fit(rows.join(valid, EVENT, "left_anti"), w.labels("train"), [weights])
     held = rows.join(valid, EVENT, "left_semi")
-    scores = ridge.score(model, held, w.available("train"), (1,)).drop("run")
+    scores = ridge.score(model, held, on_sale, (1,)).drop("run")
     report = macro_auc(scores, w.labels("train"), held.select(EVENT))
     return report.withColumn("model", F.lit(vectors.__name__.removesuffix("_vectors")))
 

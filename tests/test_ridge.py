@@ -179,3 +179,13 @@ def test_an_encoder_needs_labels(spark):
     x, y, vectors, labels = made(spark)
     with pytest.raises(ValueError, match="no direction"):
         encoder.projection(encoder.fit(vectors, labels.limit(0)))
+
+
+def test_without_weights_nothing_is_joined(spark, rows):
+    rows_of = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 3.0]), (None, [5.0, 5.0])], f"{EVENT} long, v array<double>")
+    vectors = rows_of.select(EVENT, array_to_vector("v").alias("vector"))
+    labels = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (None, "b")], "purchase_event_id long, item_id string")
+    ones = ridge.weighted(vectors, [None, None])
+    assert rows(ridge.square_moments(vectors, None, 2)) == rows(ridge.square_moments(vectors, ones, 2))
+    assert rows(ridge.label_moments(vectors, labels, None, 2)) == rows(ridge.label_moments(vectors, labels, ones, 2))
+    assert "Join" not in ridge.square_moments(vectors, None, 2)._jdf.queryExecution().toString()
